@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from coderill.llm import bpe, decision_rules, license_scan, packing
+from coderill.llm import bpe, decision_rules, license_scan, packing, shingle_join
 from coderill.llm.tables import read
 
 
@@ -17,6 +17,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_join.join(read(spark, sf_dir, "documents"))
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(read(spark, sf_dir, "documents"))
 
@@ -35,6 +39,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_license_scan": op6_license_scan,
     "op7_bpe_round_trip": op7_bpe_round_trip,
     "op8_best_fit_packing": op8_best_fit_packing,

@@ -25,15 +25,16 @@ def chunk_of(id_col: str, chunks: int) -> Column:
 
 
 def pack_counts(counts: np.ndarray) -> bytes:
-    """Counts by byte plane, so that the zero planes of small counts compress away."""
+    """Counts by byte plane, compressed: the planes of small counts are zero."""
     wide = np.uint32 if not len(counts) or int(counts.max()) < 1 << 32 else np.uint64
-    return counts.astype(wide).view(np.uint8).reshape(len(counts), -1).T.tobytes()
+    planes = counts.astype(wide).view(np.uint8).reshape(len(counts), -1).T.tobytes()
+    return bytes([wide().itemsize]) + pa.compress(planes, codec="lz4", asbytes=True)
 
 
 def unpack_counts(data: bytes, n: int) -> np.ndarray:
     if not n:
         return np.zeros(0, dtype=np.int64)
-    planes = np.frombuffer(data, dtype=np.uint8).reshape(-1, n)
+    planes = np.frombuffer(pa.decompress(data[1:], data[0] * n, codec="lz4", asbytes=True), dtype=np.uint8).reshape(-1, n)
     return np.ascontiguousarray(planes.T).view(np.uint32 if len(planes) == 4 else np.uint64).ravel().astype(np.int64)
 
 
@@ -48,17 +49,20 @@ def _unpack_keys(data: bytes) -> np.ndarray:
 
 
 REQUEST = "bucket int, chunk int, keys binary, counts binary"
-ANSWER = "chunk int, bucket int, counts binary"
+ANSWER = "chunk int, bucket int, counts binary, n_keys long, n_counted long"
 
 
-def requests(chunk: int, keys: np.ndarray, counts: np.ndarray, buckets: int) -> pa.Table:
-    """Rows of REQUEST for a chunk's keys, distinct and in rising order; ``buckets`` is a power of two."""
+def requests(chunk: int, keys: np.ndarray, counts: np.ndarray, buckets: int, base: int = 0) -> pa.Table:
+    """Rows of REQUEST for a chunk's keys, distinct and in rising order; ``buckets`` is a power of two.
+
+    Keys of another kind use buckets from another ``base`` on.
+    """
     edges = np.searchsorted(keys, np.arange(1, buckets, dtype=np.uint64) << np.uint64(64 - (buckets.bit_length() - 1))) if buckets > 1 else []
     cuts = [0, *map(int, edges), len(keys)]
     spans = [(b, lo, hi) for b, (lo, hi) in enumerate(zip(cuts, cuts[1:])) if hi > lo]
     return pa.table(
         {
-            "bucket": pa.array([b for b, _, _ in spans], pa.int32()),
+            "bucket": pa.array([base + b for b, _, _ in spans], pa.int32()),
             "chunk": pa.array([chunk] * len(spans), pa.int32()),
             "keys": pa.array([_pack_keys(keys[lo:hi]) for _, lo, hi in spans], pa.binary()),
             "counts": pa.array([pack_counts(counts[lo:hi]) for _, lo, hi in spans], pa.binary()),
@@ -79,22 +83,29 @@ def _answer(table: pa.Table) -> pa.Table:
             "chunk": table["chunk"],
             "bucket": table["bucket"],
             "counts": pa.array([pack_counts(total[at]) for at in places], pa.binary()),
+            "n_keys": [int((total > 0).sum())] + [0] * (len(keys) - 1),
+            "n_counted": [int(total.sum())] + [0] * (len(keys) - 1),
         }
     )
 
 
 def totals(asked: DataFrame) -> DataFrame:
-    """Rows of ANSWER for rows of REQUEST."""
+    """Rows of ANSWER for rows of REQUEST.
+
+    ``n_keys`` and ``n_counted`` stand on one row of each bucket: its keys with a count, and their sum.
+    """
     return asked.groupBy("bucket").applyInArrow(_answer, ANSWER)
 
 
-def answered(table: pa.Table, keys: np.ndarray, buckets: int) -> np.ndarray:
+def answered(table: pa.Table, keys: np.ndarray, buckets: int, base: int = 0) -> np.ndarray:
     """Totals in the order of the chunk's ``keys``, from its rows of ANSWER."""
     edges = np.searchsorted(keys, np.arange(1, buckets, dtype=np.uint64) << np.uint64(64 - (buckets.bit_length() - 1))) if buckets > 1 else []
     cuts = [0, *map(int, edges), len(keys)]
     out = np.zeros(len(keys), dtype=np.int64)
     for b, data in zip(table["bucket"].to_pylist(), table["counts"].to_pylist()):
-        out[cuts[b] : cuts[b + 1]] = unpack_counts(data, cuts[b + 1] - cuts[b])
+        b -= base
+        if 0 <= b < buckets:
+            out[cuts[b] : cuts[b + 1]] = unpack_counts(data, cuts[b + 1] - cuts[b])
     return out
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from coderill.llm import bpe, decision_rules, license_scan, packing, shingle_join
+from coderill.llm import bpe, decision_rules, deleted_interpolation, license_scan, packing, shingle_join
 from coderill.llm.tables import read
 
 
@@ -33,6 +33,10 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.tokenise(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")))
 
 
+def op9_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deleted_interpolation.score(read(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return decision_rules.judge(docs, decision_rules.fit(docs, read(spark, sf_dir, "labels")))
@@ -43,6 +47,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_license_scan": op6_license_scan,
     "op7_bpe_round_trip": op7_bpe_round_trip,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_deleted_interpolation": op9_deleted_interpolation,
     "op10_quality_rules": op10_quality_rules,
 }
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from coderill.llm import bpe, decision_rules, deleted_interpolation, embedding_dedup, license_scan, packing, shingle_join
+from coderill.llm import bpe, decision_rules, deleted_interpolation, embedding_dedup, html_templates, license_scan, packing, shingle_join, substring_dedup
 from coderill.llm.tables import read
 
 
@@ -17,10 +17,18 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.passages(read(spark, sf_dir, "documents"))
+
+
 def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(read(spark, sf_dir, "embeddings"))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_templates.extract(read(spark, sf_dir, "pages"))
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_join.join(read(spark, sf_dir, "documents"))
 
@@ -47,7 +55,9 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
+    "op3_html_extraction": op3_html_extraction,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_license_scan": op6_license_scan,
     "op7_bpe_round_trip": op7_bpe_round_trip,

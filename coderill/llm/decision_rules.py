@@ -78,12 +78,15 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         lambda a: a["n"],
     )
     chars, words = F.greatest(F.col("word_chars"), F.lit(1)), F.greatest(F.col("n_words"), F.lit(1))
-    return found.select(
-        F.col("__id").alias(id_col), "n_words", "word_chars", "n_symbols",
+    counts = found.select(
+        "__id", "n_words", "word_chars", "n_symbols",
         (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
         covered.cast("long").alias("n_repeat_words"), "__marks", "__upper", "__distinct", F.size("__lines").alias("__n_lines"),
-    ).select(
-        id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+    )
+    # exploding an array of one keeps later filters above it, so that no statistic is computed again for them
+    held = counts.select("__id", F.explode(F.array(F.struct(*[c for c in counts.columns if c != "__id"]))).alias("__s")).select("__id", "__s.*")
+    return held.select(
+        F.col("__id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         (F.col("word_chars") / words).alias("mean_word_chars"),
         (F.col("n_symbols") / chars).alias("symbol_share"),
         (F.col("__marks") / chars).alias("mark_share"),
@@ -216,10 +219,19 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return learn(np.array([[r[f] for f in FEATURES] for r in rows], dtype=float), np.array([r["__quality"] == 0 for r in rows]))
 
 
+_FAILED = f"n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED_PERCENT} * n_words"
+
+
+def accepted(docs: DataFrame, rules: DecisionList, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that the base rule and the decision list keep, with all their columns."""
+    whole = docs.select(F.struct("*").alias("__row"), F.col(text_col).alias("__own_text"))
+    stats = statistics(whole, "__row", "__own_text").filter(f"NOT ({_FAILED})")
+    return stats.filter(rules.verdict()).select("__row.*")
+
+
 def judge(docs: DataFrame, rules: DecisionList, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept)."""
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
-    stats = statistics(docs, id_col, text_col).withColumn("base_failed", failed)
+    stats = statistics(docs, id_col, text_col).withColumn("base_failed", F.expr(_FAILED))
     return stats.select(
         id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         F.when(F.col("base_failed"), F.lit(False)).otherwise(rules.verdict()).alias("kept"),

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from coderill.llm import bpe, decision_rules, deleted_interpolation, embedding_dedup, html_templates, license_scan, packing, shingle_join, substring_dedup
+from coderill.llm import bpe, decision_rules, deleted_interpolation, embedding_dedup, html_templates, license_scan, packing, quality_lm, shingle_join, substring_dedup
 from coderill.llm.tables import read
 
 
@@ -29,6 +29,11 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_templates.extract(read(spark, sf_dir, "pages"))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return quality_lm.judge(docs, quality_lm.fit(docs, read(spark, sf_dir, "labels")))
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_join.join(read(spark, sf_dir, "documents"))
 
@@ -58,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
     "op3_html_extraction": op3_html_extraction,
+    "op4_quality_classifier": op4_quality_classifier,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_license_scan": op6_license_scan,
     "op7_bpe_round_trip": op7_bpe_round_trip,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,19 +13,29 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the session's checkpoint folder and cut its lineage.
+def _shared(spark: SparkSession) -> str:
+    """The context's checkpoint folder: the one in ``spark.checkpoint.dir``.
 
-    The folder is the one in ``spark.checkpoint.dir``. Only where neither that setting nor a folder of
-    the context exists, as in tests in one JVM, a temporary one is made.
+    Only where neither that setting nor a folder of the context exists, as in tests in one JVM, a
+    temporary one is made.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None and not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="coderill-"))
+    return context.getCheckpointDir()
+
+
+def stage_folder(spark: SparkSession) -> str:
+    """A new folder below the checkpoint folder, for tables that stages hand on."""
+    return f"{_shared(spark)}/stages-{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the session's checkpoint folder and cut its lineage."""
+    _shared(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

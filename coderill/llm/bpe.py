@@ -12,6 +12,7 @@ rows and null ids included; other columns are dropped, so none can clash.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import heapq
 import json
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 #: The pre-tokenizer pattern that byte-level vocabularies of this kind are made with.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-#: Pieces of text whose encoding a worker remembers before it starts afresh.
-MEMORY = 300_000
+#: Pre-tokens, and words, whose ids a worker remembers before it starts afresh: about 200 bytes each.
+MEMORY = 800_000
 
 _UNUSUAL_SPACE = re.compile(r"[^\S \n]|[ \n]{2}")
 
@@ -50,73 +51,71 @@ class BytePairCodec:
         alphabet = byte_alphabet()
         back = {c: b for b, c in enumerate(alphabet)}
         self._first = [vocabulary[c] for c in alphabet]
-        self._merge: dict[tuple[int, int], tuple[int, int]] = {}
+        self._span = 1 + max(vocabulary.values())
+        self._merge: dict[int, tuple[int, int]] = {}  # pair of ids as one number: rank and joined id
         for rank, pair in enumerate(spec["model"]["merges"]):
             left, right = pair.split(" ") if isinstance(pair, str) else pair
-            self._merge[vocabulary[left], vocabulary[right]] = rank, vocabulary[left + right]
+            self._merge[vocabulary[left] * self._span + vocabulary[right]] = rank << 32, vocabulary[left + right]
         self._bytes = {i: bytes(back[c] for c in token) for token, i in vocabulary.items()}
         self._special = {t["content"]: t["id"] for t in spec.get("added_tokens", ())}
         self._bytes.update({i: text.encode() for text, i in self._special.items()})
         self._cut = regex.compile("|".join(map(regex.escape, sorted(self._special, key=len, reverse=True)))) if self._special else None
-        self._pre_token = regex.compile(PRE_TOKEN)
-        self._known: dict[str, list[int]] = {}
+        self.pre_tokens = regex.compile(PRE_TOKEN).findall
 
     def merge(self, data: bytes) -> list[int]:
-        """Ids of one pre-token."""
-        symbols = [self._first[b] for b in data]
+        """Ids of one pre-token.
+
+        A queue entry is a rank and a left position in one number. As a rank belongs to one pair of
+        symbols, an entry is stale when the pair at its position has another rank by now, or none.
+        """
+        first = self._first
+        symbols = [first[b] for b in data]
         n = len(symbols)
         if n < 2:
             return symbols
-        merges = self._merge
-        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
+        find, span = self._merge.get, self._span
         queue = []
-        for i in range(n - 1):
-            if found := merges.get((symbols[i], symbols[i + 1])):
-                queue.append((found[0], i, symbols[i], symbols[i + 1], found[1]))
+        left = symbols[0]
+        for i in range(1, n):
+            right = symbols[i]
+            if found := find(left * span + right):
+                queue.append(found[0] | i - 1)
+            left = right
+        if not queue:
+            return symbols
         heapq.heapify(queue)
+        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
         while queue:
-            _, i, left, right, joined = heapq.heappop(queue)
+            entry = heapq.heappop(queue)
+            i = entry & 0xFFFFFFFF
             j = after[i]
-            if symbols[i] != left or j < 0 or symbols[j] != right:
+            left = symbols[i]
+            if j < 0 or left < 0:
+                continue
+            found = find(left * span + symbols[j])
+            if found is None or found[0] | i != entry:
                 continue  # stale: one of the two has been merged since
-            symbols[i], symbols[j] = joined, -1
+            joined = symbols[i] = found[1]
+            symbols[j] = -1
             k = after[i] = after[j]
             if k >= 0:
                 before[k] = i
-                if found := merges.get((joined, symbols[k])):
-                    heapq.heappush(queue, (found[0], i, joined, symbols[k], found[1]))
+                if found := find(joined * span + symbols[k]):
+                    heapq.heappush(queue, found[0] | i)
             h = before[i]
-            if h >= 0 and (found := merges.get((symbols[h], joined))):
-                heapq.heappush(queue, (found[0], h, symbols[h], joined, found[1]))
-        out, i = [], 0
-        while i >= 0:
-            out.append(symbols[i])
-            i = after[i]
-        return out
-
-    def _ordinary(self, text: str) -> list[int]:
-        out: list[int] = []
-        known = self._known
-        if len(known) > MEMORY:
-            known.clear()
-        for token in self._pre_token.findall(text):
-            ids = known.get(token)
-            if ids is None:
-                ids = self.merge(token.encode("utf-8"))
-                if len(token) <= 64:
-                    known[token] = ids
-            out += ids
-        return out
+            if h >= 0 and (found := find(symbols[h] * span + joined)):
+                heapq.heappush(queue, found[0] | h)
+        return [x for x in symbols if x >= 0]
 
     def encode(self, text: str) -> list[int]:
-        if self._cut is None or not self._cut.search(text):
-            return self._ordinary(text)
+        if not self.has_special(text):
+            return [i for token in self.pre_tokens(text) for i in self.merge(token.encode("utf-8"))]
         out, at = [], 0
         for found in self._cut.finditer(text):
-            out += self._ordinary(text[at : found.start()])
+            out += self.encode(text[at : found.start()])
             out.append(self._special[found.group()])
             at = found.end()
-        return out + self._ordinary(text[at:])
+        return out + self.encode(text[at:])
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self._bytes.__getitem__, ids)).decode("utf-8", "replace")
@@ -125,16 +124,40 @@ class BytePairCodec:
         return self._cut is not None and self._cut.search(text) is not None
 
 
-class _Pieces(dict):
-    """Of a word, after a space or not: its ids written with commas, and what they decode to."""
+class _Tokens(dict):
+    """Of a pre-token: its ids written with commas. Each is decoded again when it is first seen."""
 
-    def __init__(self, codec: BytePairCodec, lead: str):
+    def __init__(self, codec: BytePairCodec):
         super().__init__()
-        self.codec, self.lead = codec, lead
+        self.codec = codec
+        self.lossy = False
+
+    def __missing__(self, token: str) -> str:
+        ids = self.codec.merge(token.encode("utf-8"))
+        self.lossy |= self.codec.decode(ids) != token
+        out = ",".join(map(str, ids))
+        if len(token) <= 64:
+            if len(self) > MEMORY:
+                self.clear()
+            self[token] = out
+        return out
+
 
-    def __missing__(self, word: str) -> tuple[str, str]:
-        ids = self.codec.encode(self.lead + word)
-        out = ",".join(map(str, ids)), self.codec.decode(ids)
+class _Words(dict):
+    """The same of a word with what leads it: a space or nothing."""
+
+    def __init__(self, tokens: _Tokens, lead: str):
+        super().__init__()
+        self.tokens, self.lead = tokens, lead
+
+    def __missing__(self, word: str) -> str:
+        tokens = self.tokens
+        if word.isalpha():  # the commonest cases need no pattern
+            out = tokens[self.lead + word]
+        elif word[:-1].isalpha() and word[-1] in ",.":
+            out = f"{tokens[self.lead + word[:-1]]},{tokens[word[-1]]}"
+        else:
+            out = ",".join([tokens[t] for t in tokens.codec.pre_tokens(self.lead + word)])
         if len(word) <= 64:
             if len(self) > MEMORY:
                 self.clear()
@@ -146,19 +169,24 @@ class Digester:
     """Token count and the two hashes of a text.
 
     Where white space is single spaces and line feeds only, no pre-token spans more than a space and
-    the word after it, so words are looked up one by one; other texts are encoded as a whole.
+    the word after it, so words are looked up one by one; other texts are encoded as a whole. What a
+    text decodes to is put together from its pre-tokens: while each of them has decoded to itself, that
+    is the text; once one has not, texts are decoded id by id.
     """
 
     def __init__(self, path: str):
         self.codec = BytePairCodec(path)
-        self.bare, self.spaced = _Pieces(self.codec, ""), _Pieces(self.codec, " ")
-
-    def pieces(self, text: str) -> list[tuple[str, str]]:
-        if _UNUSUAL_SPACE.search(text) or self.codec.has_special(text):
-            ids = self.codec.encode(text)
-            return [(",".join(map(str, ids)), self.codec.decode(ids))]
+        self.tokens = _Tokens(self.codec)
+        self.bare, self.spaced = _Words(self.tokens, ""), _Words(self.tokens, " ")
+
+    def ids(self, text: str) -> str:
+        if self.codec.has_special(text):
+            return ",".join(map(str, self.codec.encode(text)))
+        if _UNUSUAL_SPACE.search(text):
+            tokens = self.tokens
+            return ",".join([tokens[t] for t in self.codec.pre_tokens(text)])
         bare, spaced, out = self.bare, self.spaced, []
-        feed = bare["\n"]
+        feed = self.tokens["\n"]
         for k, line in enumerate(text.split("\n")):
             if k:
                 out.append(feed)
@@ -166,20 +194,25 @@ class Digester:
             if first:
                 out.append(bare[first])
             out += [spaced[word] for word in rest]
-        return out
+        return ",".join(out)
 
     def digest(self, text: str) -> tuple[int, str, str]:
-        pieces = self.pieces(text) if text else []
-        ids = ",".join([p[0] for p in pieces])
-        decoded = "".join([p[1] for p in pieces])
+        ids = self.ids(text) if text else ""
+        decoded = text if not self.tokens.lossy else self.codec.decode(list(map(int, ids.split(",")))) if ids else ""
         return ids.count(",") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
 
 
+@functools.cache
+def digester(path: str) -> Digester:
+    """One for all tasks of a worker, with the words that it knows."""
+    return Digester(path)
+
+
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Ids of each whole text: (id, ids array<int>)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = BytePairCodec(path)
+        codec = digester(path).codec
         for batch in batches:
             ids = [codec.encode(t or "") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=[id_col, "ids"])
@@ -192,7 +225,7 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
     """Text of each list of ids, special tokens included: (id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = BytePairCodec(path)
+        codec = digester(path).codec
         for batch in batches:
             texts = [codec.decode(ids or []) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[id_col, "text"])
@@ -205,13 +238,13 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     """Encode and decode each whole text: (id, n_tokens, ids_sha256, decoded_sha256)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digester = Digester(path)
+        known = digester(path)
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
                 counts, ids, texts = [], [], []
                 for text in part.column(1):
-                    n, a, b = digester.digest(text.as_py() or "")
+                    n, a, b = known.digest(text.as_py() or "")
                     counts.append(n), ids.append(a), texts.append(b)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())],

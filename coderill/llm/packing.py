@@ -16,7 +16,9 @@ null id is kept. Other columns are dropped, so none can clash.
 from __future__ import annotations
 
 import bisect
+import functools
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -30,8 +32,8 @@ from coderill.llm.tables import materialise
 CAPACITY = 4096
 END_TOKEN = 1
 
-#: Distinct words whose ids a worker remembers before it starts afresh.
-MEMORY = 400_000
+#: Distinct words whose ids a worker remembers before it starts afresh: about 200 bytes each.
+MEMORY = 1_200_000
 
 _NOT_UNICODE_SPACE = re.compile("[\x1c-\x1f]")
 
@@ -58,29 +60,28 @@ class WordIds:
         known = self.known
         if len(known) > MEMORY:
             known.clear()
-        out: list[bytes | None] = []
-        split: list[list[str] | None] = []
-        unknown: dict[str, None] = {}
-        for text in texts:
-            words = None if _NOT_UNICODE_SPACE.search(text) else text.split()
-            split.append(words)
-            if words:
-                unknown.update(dict.fromkeys(w for w in words if w not in known))
-        fresh = list(unknown)
+        split = [None if _NOT_UNICODE_SPACE.search(text) else text.split() for text in texts]
+        fresh = list(set().union(*(words for words in split if words)) - known.keys())
         for lo in range(0, len(fresh), 20_000):
             some = fresh[lo : lo + 20_000]
             for word, got in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                known[word] = np.asarray(got.ids, dtype="<u4").tobytes()
-        for text, words in zip(texts, split):
-            out.append(self._bytes(text) if words is None else b"".join([known[w] for w in words]))
-        return out
+                ids = got.ids
+                known[word] = struct.pack(f"<{len(ids)}I", *ids)
+        find = known.__getitem__
+        return [self._bytes(text) if words is None else b"".join(map(find, words)) for text, words in zip(texts, split)]
+
+
+@functools.cache
+def word_ids(path: str) -> WordIds:
+    """One encoder for all tasks of a worker, with the words that it knows."""
+    return WordIds(path)
 
 
 def tokenise(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END_TOKEN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of each document: (id, piece, start, length, ids_crc32); only longer documents are cut."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, stop = WordIds(path), np.array([end], dtype="<u4").tobytes()
+        encoder, stop = word_ids(path), np.array([end], dtype="<u4").tobytes()
         for batch in batches:
             for lo in range(0, batch.num_rows, 200):
                 part = batch.slice(lo, 200)

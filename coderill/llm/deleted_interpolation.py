@@ -18,6 +18,8 @@ dropped. Without training text, N and V are 0 and every token has the probabilit
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -61,25 +63,50 @@ def _asked(table: pa.Table, chunks: int) -> pa.Table:
     train = np.repeat(~table["held_out"].to_numpy(), counts)
     chunk = table["chunk"][0].as_py()
     out = []
-    n_start = int((~table["held_out"].to_numpy()).sum())
     for base, keys in ((0, current), (chunks, bigram_keys(current, context))):
         distinct, at = np.unique(keys, return_inverse=True)
         out.append(exchange.requests(chunk, distinct, np.bincount(at, weights=train, minlength=len(distinct)).astype(np.int64), chunks, base))
-    out.append(exchange.requests(chunk, np.array([_START]), np.array([n_start]), 1, 2 * chunks))
     return pa.concat_tables(out)
 
 
-def _counts(table: pa.Table, answers: pa.Table, chunks: int) -> tuple[np.ndarray, ...]:
-    """Tokens of each document, and for each token the counts of its bigram, its context and itself."""
+COUNTED = "doc_id long, held_out boolean, n_tokens long, words binary, pairs binary, n_keys long, n_counted long"
+
+
+def _counted(table: pa.Table, answers: pa.Table, chunks: int) -> pa.Table:
+    """Of each document, the corpus counts of its tokens and of its bigrams; sums of answers on a row of each chunk."""
     counts, current, context = tokens(table["text"])
     distinct, at = np.unique(current, return_inverse=True)
     word = exchange.answered(answers, distinct, chunks)[at]
     bigrams, there = np.unique(bigram_keys(current, context), return_inverse=True)
     pair = exchange.answered(answers, bigrams, chunks, chunks)[there]
-    before = np.empty_like(word)
-    before[1:] = word[:-1]
-    before[np.cumsum(counts) - counts] = exchange.answered(answers, np.array([_START]), 1, 2 * chunks)[0]
-    return counts, pair, before, word
+    ends = np.cumsum(counts).tolist()
+    spans = list(zip([0, *ends], ends))
+    own = answers["bucket"].to_numpy() < chunks
+    sums = [int(answers[c].to_numpy()[own].sum()) for c in ("n_keys", "n_counted")]
+    return pa.table(
+        {
+            "doc_id": table["doc_id"],
+            "held_out": table["held_out"],
+            "n_tokens": pa.array(counts.astype(np.int64)),
+            "words": pa.array([exchange.pack_counts(word[a:b]) for a, b in spans], pa.binary()),
+            "pairs": pa.array([exchange.pack_counts(pair[a:b]) for a, b in spans], pa.binary()),
+            **{c: pa.array([x] + [0] * (len(counts) - 1), pa.int64()) for c, x in zip(("n_keys", "n_counted"), sums)},
+        }
+    ) if len(counts) else pa.table({f.name: pa.array([], f.type) for f in _SCHEMA})
+
+
+_SCHEMA = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("words", pa.binary()), ("pairs", pa.binary()), ("n_keys", pa.int64()), ("n_counted", pa.int64())])
+
+
+def _opened(batch: pa.RecordBatch, starts: int) -> tuple[np.ndarray, ...]:
+    """Tokens of each document of a batch of COUNTED, and of all tokens the counts of bigram, context and word."""
+    column = lambda name: batch.column(batch.schema.get_field_index(name))
+    counts = column("n_tokens").to_numpy()
+    word, pair = (np.concatenate([exchange.unpack_counts(x, n) for x, n in zip(column(c).to_pylist(), counts.tolist())]) for c in ("words", "pairs"))
+    context = np.empty_like(word)
+    context[1:] = word[:-1]
+    context[np.cumsum(counts) - counts] = starts
+    return counts, pair, context, word
 
 
 def _bucket(context: np.ndarray) -> np.ndarray:
@@ -96,24 +123,22 @@ def _cell(p: np.ndarray) -> np.ndarray:
 CELLS = "bucket int, cell int, n long, p2 double, p1 double"
 
 
-def _deleted(table: pa.Table, answers: pa.Table, chunks: int, total: int) -> pa.Table:
-    counts, pair, context, word = _counts(table, answers, chunks)
-    train = np.repeat(~table["held_out"].to_numpy(), counts)
+def _deleted(batch: pa.RecordBatch, starts: int, total: int) -> pa.RecordBatch:
+    counts, pair, context, word = _opened(batch, starts)
+    train = np.repeat(~batch.column(batch.schema.get_field_index("held_out")).to_numpy(zero_copy_only=False), counts)
     pair, context, word = pair[train] - 1, context[train] - 1, word[train] - 1
     p2 = pair / np.maximum(context, 1)
     p1 = word / max(total - 1, 1)
     key = (_bucket(context) * _CELLS + _cell(p2)) * _CELLS + _cell(p1)
     cells, at = np.unique(key, return_inverse=True)
-    n = np.bincount(at, minlength=len(cells))
-    return pa.table(
-        {
-            "bucket": pa.array((cells // _CELLS**2).astype(np.int32)),
-            "cell": pa.array((cells % _CELLS**2).astype(np.int32)),
-            "n": pa.array(n.astype(np.int64)),
-            "p2": pa.array(np.bincount(at, weights=p2, minlength=len(cells)).astype(float)),
-            "p1": pa.array(np.bincount(at, weights=p1, minlength=len(cells)).astype(float)),
-        }
-    )
+    columns = [
+        pa.array((cells // _CELLS**2).astype(np.int32)),
+        pa.array((cells % _CELLS**2).astype(np.int32)),
+        pa.array(np.bincount(at, minlength=len(cells)).astype(np.int64)),
+        pa.array(np.bincount(at, weights=p2, minlength=len(cells)).astype(float)),
+        pa.array(np.bincount(at, weights=p1, minlength=len(cells)).astype(float)),
+    ]
+    return pa.RecordBatch.from_arrays(columns, names=["bucket", "cell", "n", "p2", "p1"])
 
 
 def learn_weights(bucket: np.ndarray, n: np.ndarray, p2: np.ndarray, p1: np.ndarray, p0: float, rounds: int = ROUNDS) -> np.ndarray:
@@ -145,33 +170,47 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     chunks = shards(plain, "text")
     chunked = plain.withColumn("chunk", exchange.chunk_of("doc_id", chunks))
     asked = chunked.groupBy("chunk").applyInArrow(lambda table: _asked(table, chunks), exchange.REQUEST)
-    answers = materialise(exchange.totals(asked))
-    seen = answers.filter(F.col("bucket") < chunks).agg(F.sum("n_counted"), F.sum("n_keys")).first()
-    total, distinct = seen[0] or 0, seen[1] or 0
-    cells = exchange.with_answers(chunked, answers, lambda a, b: _deleted(a, b, chunks, total), CELLS)
+    # one job, so that requests and answers read the same exchange of texts; from here on only counts are read
+    counted = exchange.with_answers(chunked, exchange.totals(asked), lambda a, b: _counted(a, b, chunks), COUNTED.replace("doc_id long", f"doc_id {kind}"))
+    counted = materialise(counted)
+    sums = counted.agg(F.sum("n_counted"), F.sum("n_keys"), F.count_if(~F.col("held_out"))).first()
+    total, distinct, starts = (x or 0 for x in sums)
+
+    def deleted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from (_deleted(part, starts, total) for batch in batches for part in _parts(batch))
+
+    cells = counted.select("held_out", "n_tokens", "words", "pairs").mapInArrow(deleted, CELLS)
     cells = cells.groupBy("bucket", "cell").agg(F.sum("n").alias("n"), F.sum("p2").alias("p2"), F.sum("p1").alias("p1"))
     rows = cells.orderBy("bucket", "cell").collect()  # at most _BUCKETS * _CELLS ** 2
     bucket, n, p2, p1 = (np.array([r[k] for r in rows]) for k in ("bucket", "n", "p2", "p1"))
     p0 = 1 / (distinct + 1)
     weights = learn_weights(bucket.astype(int), n, p2 / np.maximum(n, 1), p1 / np.maximum(n, 1), p0) if len(rows) else np.tile([0, 0, 1.0], (_BUCKETS, 1))
 
-    def run(table: pa.Table, answers: pa.Table) -> pa.Table:
-        counts, pair, context, word = _counts(table, answers, chunks)
-        mix = weights[_bucket(context)]
-        p = mix[:, 0] * (pair / np.maximum(context, 1)) + mix[:, 1] * (word / max(total, 1)) + mix[:, 2] * p0
-        firsts = np.cumsum(counts) - counts
-        sums = lambda x: np.add.reduceat(x, firsts) if len(firsts) else np.zeros(0)  # noqa: E731  every document has its end token
-        return pa.table(
-            {
-                "doc_id": table["doc_id"],
-                "held_out": table["held_out"],
-                "n_tokens": pa.array(counts.astype(np.int64)),
-                "n_known": pa.array(sums((word > 0).astype(np.int64))),
-                "train_tokens": pa.array(np.full(len(counts), total, dtype=np.int64)),
-                "base_score": pa.array(sums(np.log10((word + 1) / (total + distinct + 1)))),
-                "score": pa.array(sums(np.log10(p))),
-            }
-        )
-
-    out = exchange.with_answers(chunked, answers, run, SCORES.replace("doc_id long", f"doc_id {kind}"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (part for batch in batches for part in _parts(batch)):
+            counts, pair, context, word = _opened(part, starts)
+            mix = weights[_bucket(context)]
+            p = mix[:, 0] * (pair / np.maximum(context, 1)) + mix[:, 1] * (word / max(total, 1)) + mix[:, 2] * p0
+            firsts = np.cumsum(counts) - counts  # every document has its end token
+            columns = [
+                part.column(0), part.column(1), part.column(2),
+                pa.array(np.add.reduceat((word > 0).astype(np.int64), firsts)),
+                pa.array(np.full(len(counts), total, dtype=np.int64)),
+                pa.array(np.add.reduceat(np.log10((word + 1) / (total + distinct + 1)), firsts)),
+                pa.array(np.add.reduceat(np.log10(p), firsts)),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in SCORES.split(", ")])
+
+    out = counted.select("doc_id", "held_out", "n_tokens", "words", "pairs").mapInArrow(run, SCORES.replace("doc_id long", f"doc_id {kind}"))
     return out.withColumnRenamed("doc_id", id_col)
+
+
+def _parts(batch: pa.RecordBatch, tokens_each: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch of COUNTED in parts of about so many tokens."""
+    so_far = np.cumsum(batch.column(batch.schema.get_field_index("n_tokens")).to_numpy())
+    lo = 0
+    while lo < batch.num_rows:
+        before = int(so_far[lo - 1]) if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(so_far, before + tokens_each, side="right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi

@@ -129,7 +129,7 @@ class Page:
         cuts = [(a, b, False) for a, b in self.raw if lo <= a < hi] + [(a, b, True) for a, b in gone]
         cuts += [(t[3], t[4], t[2] in BLOCKS) for t in self.tokens[first + 1 : last]]
         blocks, now, at = [], [], lo
-        for a, b, breaks in sorted(cuts):
+        for a, b, breaks in sorted(cuts, key=lambda c: (c[0], -c[1])):
             if a < at:
                 continue  # inside furniture
             now.append(self.source[at:a])

@@ -33,7 +33,7 @@ CAPACITY = 4096
 END_TOKEN = 1
 
 #: Distinct words whose ids a worker remembers before it starts afresh: about 200 bytes each.
-MEMORY = 1_200_000
+MEMORY = 600_000
 
 _NOT_UNICODE_SPACE = re.compile("[\x1c-\x1f]")
 

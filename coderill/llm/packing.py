@@ -32,14 +32,24 @@ from coderill.llm.tables import materialise
 CAPACITY = 4096
 END_TOKEN = 1
 
-#: Distinct words whose ids a worker remembers before it starts afresh: about 200 bytes each.
+#: Distinct words whose ids a worker remembers: about 200 bytes each. Those of the older half are forgotten
+#: together, unless they were met again.
 MEMORY = 600_000
 
+_BATCH = 20_000
+
+#: ASCII signs, without the apostrophe, which may belong to what follows it.
+_SIGNS = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
+
 _NOT_UNICODE_SPACE = re.compile("[\x1c-\x1f]")
 
 
 class WordIds:
-    """Ids of texts under a tokenizer that never joins what white space parts, word by word."""
+    """Ids of texts under a tokenizer that never joins what white space parts, word by word.
+
+    Where the tokenizer marks the ends of words and parts letters from signs, a new word of letters and signs
+    at its end is put together from both; its letters are encoded beside other words' in one text.
+    """
 
     def __init__(self, path: str):
         import os
@@ -51,24 +61,66 @@ class WordIds:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
+        if suffix:
+            self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+        self.parted = int(self.ends[self.tokenizer.encode("a.", add_special_tokens=False).ids].sum()) == 2
+        self.added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
 
     def _bytes(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        known = self.known
-        if len(known) > MEMORY:
-            known.clear()
+        if len(self.known) > MEMORY // 2:
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
         split = [None if _NOT_UNICODE_SPACE.search(text) else text.split() for text in texts]
-        fresh = list(set().union(*(words for words in split if words)) - known.keys())
-        for lo in range(0, len(fresh), 20_000):
-            some = fresh[lo : lo + 20_000]
+        missing = set().union(*(words for words in split if words)).difference(known)
+        known.update((word, older[word]) for word in missing if word in older)
+        self._learn([word for word in missing if word not in older])
+        find = known.__getitem__
+        return [self._bytes(text) if words is None else b"".join(map(find, words)) for text, words in zip(texts, split)]
+
+
+    def _learn(self, fresh: list[str]) -> None:
+        known, whole, signs = self.known, [], {}
+        parted: list[tuple[str, str, str]] = []
+        for word in fresh:
+            head = word.rstrip(_SIGNS)
+            if not self.parted or not head.isalpha() or any(token in word for token in self.added):
+                whole.append(word)
+                continue
+            tail = word[len(head) :]
+            if tail and tail not in signs:
+                signs[tail] = self._bytes(tail)
+            parted.append((word, head.lower() if head.isascii() else head, tail))
+        heads = {head: known[head] for _, head, _ in parted if head in known}
+        self._letters(list({head for _, head, _ in parted} - heads.keys()), heads)
+        for word, head, tail in parted:
+            known[word] = heads[head] + signs[tail] if tail else heads[head]
+        for lo in range(0, len(whole), _BATCH):
+            some = whole[lo : lo + _BATCH]
             for word, got in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
                 ids = got.ids
                 known[word] = struct.pack(f"<{len(ids)}I", *ids)
-        find = known.__getitem__
-        return [self._bytes(text) if words is None else b"".join(map(find, words)) for text, words in zip(texts, split)]
+
+    def _letters(self, heads: list[str], out: dict[str, bytes]) -> None:
+        """Words of letters alone, each of which ends once; where one does not, they are encoded one by one."""
+        groups = [heads[lo : lo + 200] for lo in range(0, len(heads), 200)]
+        for group, got in zip(groups, self.tokenizer.encode_batch_fast([" ".join(group) for group in groups], add_special_tokens=False)):
+            ids = np.array(got.ids, dtype="<u4")
+            ends = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+            if len(ends) != len(group) or ends[-1] != 4 * len(ids):
+                out.update((head, self._bytes(head)) for head in group)
+                continue
+            raw, at = ids.tobytes(), 0
+            for head, to in zip(group, ends.tolist()):
+                out[head] = raw[at:to]
+                at = to
 
 
 @functools.cache

@@ -131,6 +131,18 @@ def test_bpe_is_the_library(spark):
     assert {r.doc_id: r.text for r in bpe.decode(bpe.encode(frame, path), path).collect()} == dict(texts[-3:])
 
 
+def test_words_are_encoded_as_by_the_library(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = vocabulary("word_bpe_49k.json")
+    library, ours = Tokenizer.from_file(path), packing.WordIds(path)
+    monkeypatch.setattr(packing, "MEMORY", 20)
+    texts = ["Don't stop, it's (fine). x<|endoftext|>y <|endoftext|> a<|endoftext|>", "\u0130stanbul \u039f\u0394\u039f\u03a3. \u03a3, e\u0301t\u00e9!! e\u0301 \u65e5\u672c; \u00bdx ab12. _a_ '' a' --- \u1e9e\u00df?", "one, One. ONE one two two;; ***,three.", "", "\u01c5. \u0301a a\u200b. \u0e01\u0e33: \uac00\u11a8, \U0001f642!"]
+    texts += [" ".join(f"w{chr(97 + k % 26)}{chr(97 + k // 26)}o{'.,;!'[k % 4]}" for k in range(60)), *texts[:3]]
+    for some in (texts[:2], texts[2:], texts):
+        assert ours.encode(some) == [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in some]
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 

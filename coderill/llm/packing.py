@@ -16,7 +16,6 @@ null id is kept. Other columns are dropped, so none can clash.
 from __future__ import annotations
 
 import bisect
-import functools
 import re
 import struct
 import zlib
@@ -27,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from coderill.llm import worker
 from coderill.llm.tables import materialise
 
 CAPACITY = 4096
@@ -123,10 +123,9 @@ class WordIds:
                 at = to
 
 
-@functools.cache
 def word_ids(path: str) -> WordIds:
     """One encoder for all tasks of a worker, with the words that it knows."""
-    return WordIds(path)
+    return worker.kept(f"words of {path}", lambda: WordIds(path))
 
 
 def tokenise(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END_TOKEN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -150,7 +149,7 @@ def tokenise(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = EN
                 )
 
     frame = docs.select(F.col(id_col), F.col(text_col).cast("string"))
-    return frame.mapInArrow(run, f"`{id_col}` {frame.schema[0].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
+    return frame.mapInArrow(worker.tidy(run, forgetting=False), f"`{id_col}` {frame.schema[0].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
 
 
 class Plan:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from coderill.llm import exchange, words
+from coderill.llm import exchange, words, worker
 from coderill.llm.graph import Forest, components
 from coderill.llm.tables import materialise, shards
 
@@ -217,7 +217,7 @@ def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids))], names=["key", "doc_id"])
 
-    return sets.select("doc_id", "n", "own", "shared").mapInArrow(run, "key long, doc_id long")
+    return sets.select("doc_id", "n", "own", "shared").mapInArrow(worker.tidy(run), "key long, doc_id long")
 
 
 EDGES = "a long, b long"

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coderill.llm import words
+from coderill.llm import words, worker
 from coderill.llm.tables import materialise
 
 K = 8
@@ -85,7 +85,7 @@ def seeds(docs: DataFrame, k: int = K, window: int = W) -> DataFrame:
                 doc, place, hashes = minimizers(w, k, window)
                 yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(ids[w.lo + doc]), pa.array(place.astype(np.int32))], names=["seed", "doc_id", "place"])
 
-    return docs.mapInArrow(run, "seed long, doc_id long, place int")
+    return docs.mapInArrow(worker.tidy(run), "seed long, doc_id long, place int")
 
 
 def matches(found: DataFrame) -> DataFrame:
@@ -200,7 +200,7 @@ def chained(linked: DataFrame, k: int = K, gap_cost: float = GAP_COST) -> DataFr
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.binary()), pa.array(rows[3], pa.binary())], names=["doc_id", "source", "places", "sources"])
 
-    return linked.repartition("doc_id").sortWithinPartitions("doc_id", "source", "place", "source_place").mapInArrow(run, CHAINS)
+    return linked.repartition("doc_id").sortWithinPartitions("doc_id", "source", "place", "source_place").mapInArrow(worker.tidy(run), CHAINS)
 
 
 def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
@@ -302,7 +302,7 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
                     rows.append({"source": c["source"], "doc_id": doc, "lo": lo, "places": c["places"], "sources": c["sources"], "segment": hashes[lo:hi].tobytes()})
             yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("source", pa.int64()), ("doc_id", pa.int64()), ("lo", pa.int32()), ("places", pa.binary()), ("sources", pa.binary()), ("segment", pa.binary())]))
 
-    cut_out = by_doc.join(texts, "doc_id").select("doc_id", "text", "chains").mapInArrow(segment, "source long, doc_id long, lo int, places binary, sources binary, segment binary")
+    cut_out = by_doc.join(texts, "doc_id").select("doc_id", "text", "chains").mapInArrow(worker.tidy(segment), "source long, doc_id long, lo int, places binary, sources binary, segment binary")
     sourced = cut_out.join(texts.select(F.col("doc_id").alias("source"), "text"), "source").select("source", "text", "doc_id", "lo", "places", "sources", "segment")
 
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -323,7 +323,7 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=[f.split()[0] for f in PASSAGES.split(", ")])
 
-    return sourced.mapInArrow(aligned, PASSAGES)
+    return sourced.mapInArrow(worker.tidy(aligned), PASSAGES)
 
 
 def cut(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -358,7 +358,7 @@ def cut(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([*columns, pa.array(changed)], names=[*batch.schema.names[:-1], "__changed"]).filter(pa.array(keep))
 
     kept = ", ".join(f"`{f.name}` {'string' if f.name == text_col else f.dataType.simpleString()}" for f in docs.schema)
-    out = joined.mapInArrow(run, f"{kept}, __changed boolean")
+    out = joined.mapInArrow(worker.tidy(run), f"{kept}, __changed boolean")
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.when(F.col("__changed"), F.char_length(text_col).cast(kind)).otherwise(F.col("n_chars")))

@@ -8,7 +8,8 @@
    words skipped on either side.
 3. A chain is aligned: equal words along the diagonals before, between and after its seeds, and longest
    common subsequences where the sides skip different numbers of words. Stretches of at least
-   ``min_words`` equal words, of which a share of ``identity`` is equal, are passages.
+   ``min_words`` equal words, of which a share of ``identity`` is equal, are passages. A chain that is none
+   as a whole is cut at its gaps: the longest stretches of it that are passages count, each for itself.
 
 Texts are compared with A-Z lower-cased. The source is the occurrence in the document of the smallest
 id. Repeats inside a document are not passages. Null and empty texts and null ids have no seeds. Repeated
@@ -244,22 +245,65 @@ def _equal(a: np.ndarray, b: np.ndarray) -> int:
     return int((a[:n] == b[:n]).sum())
 
 
-def align(doc: np.ndarray, source: np.ndarray, places: np.ndarray, sources: np.ndarray, k: int = K) -> tuple[int, int, int, int, int]:
-    """Start and end in both, and equal words, of the passage around a chain of matches."""
-    back, equal = _extend(doc[: places[0]][::-1], source[: sources[0]][::-1])
-    start, source_start = int(places[0]) - back, int(sources[0]) - back
-    at, source_at = int(places[0]), int(sources[0])
+def _blocks(doc: np.ndarray, source: np.ndarray, places: np.ndarray, sources: np.ndarray, k: int) -> list[list[int]]:
+    """Runs of a chain's seeds without a word skipped: start and end in both, equal words, and those of the gap before."""
+    out = [[int(places[0]), int(places[0]), int(sources[0]), int(sources[0]), 0, 0]]
     for p, s in zip(places.tolist(), sources.tolist()):
+        _, at, _, source_at, _, _ = last = out[-1]
+        end, source_end = max(at, p + k), max(source_at, s + k)
         if p - at == s - source_at:
-            equal += _equal(doc[at : max(at, p + k)], source[source_at : max(source_at, s + k)])
+            if p <= at:
+                last[4] += _equal(doc[at:end], source[source_at:source_end])
+                last[1], last[3] = end, source_end
+            else:
+                out.append([p, end, s, source_end, _equal(doc[p:end], source[s:source_end]), _equal(doc[at:p], source[source_at:s])])
         else:
             gap, source_gap = doc[at : max(at, p)], source[source_at : max(source_at, s)]
-            equal += common_subsequence(gap, source_gap) if len(gap) and len(source_gap) else 0
+            common = common_subsequence(gap, source_gap) if len(gap) and len(source_gap) else 0
             over = max(0, at - p, source_at - s)  # a match that overlaps what is aligned counts from there on
-            equal += max(0, k - over)
-        at, source_at = max(at, p + k), max(source_at, s + k)
-    on, more = _extend(doc[at:], source[source_at:])
-    return start, at + on, source_start, source_at + on, equal + more
+            out.append([max(at, p), end, max(source_at, s), source_end, max(0, k - over), common])
+    return out
+
+
+def align(doc: np.ndarray, source: np.ndarray, places: np.ndarray, sources: np.ndarray, k: int = K, min_words: int = MIN_WORDS, identity: float = IDENTITY) -> list[tuple[int, int, int, int, int]]:
+    """Start and end in both, and equal words, of the passages around a chain of matches.
+
+    That is the whole chain where it is one, else the fewest of its longest stretches, from block to block,
+    that hold all words of stretches which are.
+    """
+    blocks = np.array(_blocks(doc, source, places, sources, k), dtype=np.int64)
+    start, end, source_start, source_end, equal, gap = blocks.T
+    n, sums = len(blocks), np.cumsum(equal + gap)
+    backs, ons = np.zeros((n, 2), np.int64), np.zeros((n, 2), np.int64)
+
+    def reach(i: int, j: int) -> None:
+        backs[i] = _extend(doc[: start[i]][::-1], source[: source_start[i]][::-1])
+        ons[j] = _extend(doc[end[j] :], source[source_end[j] :])
+
+    def judged(i: int, j: int | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Equal words from block ``i`` to ``j`` with what they extend to, and whether that is a passage."""
+        same = sums[j] - sums[i] + equal[i] + backs[i, 1] + ons[j, 1]
+        span = np.maximum(end[j] - start[i], source_end[j] - source_start[i]) + backs[i, 0] + ons[j, 0]
+        return same, (same >= min_words) & (same / span >= identity)
+
+    def stretch(i: int, j: int) -> tuple[int, int, int, int, int]:
+        back, on = int(backs[i, 0]), int(ons[j, 0])
+        return int(start[i]) - back, int(end[j]) + on, int(source_start[i]) - back, int(source_end[j]) + on, int(judged(i, j)[0])
+
+    reach(0, n - 1)
+    if judged(0, n - 1)[1]:
+        return [stretch(0, n - 1)]
+    longest: list[tuple[int, int]] = []
+    if n > 1:
+        for i in range(n):
+            reach(i, i)
+        for i in range(n):
+            good = np.flatnonzero(judged(i, np.arange(i, n))[1])
+            if len(good) and (not longest or i + good[-1] > longest[-1][1]):
+                while len(longest) > 1 and longest[-2][1] >= i - 1:
+                    longest.pop()  # the one before and this one hold it
+                longest.append((i, i + int(good[-1])))
+    return [stretch(i, j) for i, j in longest]
 
 
 PASSAGES = "doc_id long, start int, end int, source_id long, source_start int, source_end int, n_equal int, identity double"
@@ -315,9 +359,8 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
                 places, sources = np.frombuffer(places, np.int32), np.frombuffer(sources, np.int32)
                 source_lo = max(0, int(sources[0]) - _REACH)
                 part = hashes[source_lo : int(sources[-1]) + k + _REACH]
-                start, end, source_start, source_end, equal = align(np.frombuffer(segment, np.uint64), part, places - lo, sources - source_lo, k)
-                share = equal / max(end - start, source_end - source_start)
-                if equal >= min_words and share >= identity:
+                for start, end, source_start, source_end, equal in align(np.frombuffer(segment, np.uint64), part, places - lo, sources - source_lo, k, min_words, identity):
+                    share = equal / max(end - start, source_end - source_start)
                     rows.append((doc, start + lo, end + lo, source, source_start + source_lo, source_end + source_lo, equal, share))
             columns = list(zip(*rows)) or [()] * 8
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64())

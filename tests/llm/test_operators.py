@@ -90,6 +90,14 @@ def test_passages(spark):
     assert substring_dedup.passages(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("gap", [60, 100, 200, 500])
+def test_passages_with_unlike_words_between(spark, gap):
+    one, two = (" ".join(f"{c}{i}" for i in range(60)) for c in "pq")
+    rows = [(k, " ".join([one, *(f"u{k}x{i}" for i in range(gap + more)), two])) for k, more in ((1, 0), (2, 0), (3, 17))]
+    found = sorted((r.doc_id, r.start, r.end, r.n_equal) for r in substring_dedup.passages(docs(spark, rows)).collect())
+    assert found == [(2, 0, 60, 60), (2, 60 + gap, 120 + gap, 60), (3, 0, 60, 60), (3, 77 + gap, 137 + gap, 60)]
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(5)
     centres = rng.normal(size=(20, 8))

@@ -7,11 +7,13 @@
    all pages is merged from partial sums.
 2. A class counts if it is large (three tokens or more) and frequent (on half of the host's pages). An
    element is in the template if its start and end are in one such class; by their depth, elements nest.
-3. The main region is the deepest element of the template that holds most of the text outside of page
-   furniture: the slots between its tokens are the article. Hosts of fewer than ``FEW`` pages take the
-   template of all pages together.
+3. The main region is the deepest element of the template that occurs once a page and holds all headings
+   and next to all of the text outside of page furniture: the slots between its tokens are the article.
+   Hosts of fewer than ``FEW`` pages take the template of all pages together.
 4. A page's text is that of its main region without the elements that are furniture by their tag or by
-   their class, id or role; a page without the region gives what its body holds outside of furniture.
+   their class, id or role. Where a page has the region more than once, it is the least element around all
+   of them. A page without the region takes its article or main in the same way, if that holds all headings
+   and next to all of the text, and else what its body holds outside of furniture.
 
 Character references are decoded, white space inside a block is one space, blocks are joined by one line
 feed in page order. A null or empty page gives an empty text, a null url is a host of its own. Repeated
@@ -22,6 +24,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -31,6 +34,8 @@ from pyspark.sql import functions as F
 from coderill.llm.tables import materialise
 
 FEW = 3
+#: Share of the text outside of furniture that a region holds at least, and of its pages that have it once.
+HELD = 0.99
 #: Hosts whose main region is broadcast at most; more are joined by shuffle.
 BROADCAST_HOSTS = 200_000
 
@@ -55,6 +60,9 @@ FURNITURE_WORDS = frozenset(
 )
 
 
+_HEADINGS = frozenset(f"h{i}" for i in range(1, 7))
+
+
 def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
@@ -75,6 +83,8 @@ class Page:
         self.tokens: list[tuple[str, bool, str, int, int, bool]] = []
         self.raw: list[tuple[int, int]] = []  # comments, scripts and the like
         self.closed_by: dict[int, int] = {}
+        self.upto: list[int] = []  # characters before each token, and in all; see chars()
+        self.around: dict[int, int] = {}  # for each start the start of the element that holds it, or -1
         self.depth: list[int] = []
         open_tags: dict[str, list[int]] = {}
         stack: list[int] = []
@@ -99,6 +109,7 @@ class Page:
                 marks, words = _marks(m[4])
                 furniture = tag in FURNITURE_TAGS or any(w in FURNITURE_WORDS for w in words)
                 self.tokens.append((tag + marks, False, tag, *m.span(), furniture))
+                self.around[here] = stack[-1] if stack else -1
                 if tag not in VOID:
                     open_tags.setdefault(tag, []).append(here)
                     stack.append(here)
@@ -115,10 +126,16 @@ class Page:
         return out
 
     def chars(self, first: int, last: int) -> int:
-        """Source characters between two tokens that are neither tags nor raw."""
-        lo, hi = self.tokens[first][4], self.tokens[last][3]
-        tags = sum(t[4] - t[3] for t in self.tokens[first + 1 : last])
-        return hi - lo - tags - sum(b - a for a, b in self.raw if lo <= a and b <= hi)
+        """Source characters between two tokens (-1: from the start, the number of tokens: to the end) that are neither tags nor raw nor white space."""
+        if not self.upto:
+            cuts = sorted([(t[3], t[4], True) for t in self.tokens] + [(a, b, False) for a, b in self.raw])
+            n, at = 0, 0
+            for a, b, is_token in [*cuts, (len(self.source), len(self.source), True)]:
+                n += sum(map(len, self.source[at:a].split()))
+                at = b
+                if is_token:
+                    self.upto.append(n)
+        return self.upto[last] - (self.upto[first] if first >= 0 else 0)
 
     def text(self, inside: tuple[int, int]) -> str:
         """Text between two tokens (-1: from the start, the number of tokens: to the end) outside of furniture."""
@@ -142,19 +159,61 @@ class Page:
         return "\n".join(b for b in clean if b)
 
 
+    def elements(self) -> Iterator[tuple[int, int, int, int]]:
+        """Start, end, characters and headings of the page (from -1) and each closed element, without furniture and the head."""
+        inner: list[tuple[int, int]] = []  # furniture and heads that are skipped
+        skip = -1
+        for at, token in enumerate(self.tokens):
+            if at > skip and not token[1] and (token[5] or token[2] == "head") and (end := self.closed_by.get(at)) is not None:
+                inner.append((at, end))
+                skip = end
+        starts, lost = [a for a, _ in inner], [0]
+        for a, b in inner:
+            lost.append(lost[-1] + self.chars(a, b))
+        heads = [0]
+        for at, token in enumerate(self.tokens):
+            k = bisect_right(starts, at)
+            out = k and at <= inner[k - 1][1]
+            heads.append(heads[-1] + (token[2] in _HEADINGS and not token[1] and not out))
+        yield -1, len(self.tokens), self.chars(-1, len(self.tokens)) - lost[-1], heads[-1]
+        for at, token in enumerate(self.tokens):
+            end = self.closed_by.get(at)
+            k = bisect_right(starts, at)
+            if token[1] or end is None or k and at <= inner[k - 1][1]:
+                continue
+            to = bisect_right(starts, end)
+            yield at, end, self.chars(at, end) - lost[to] + lost[k], heads[end + 1] - heads[at]
+
+    def region(self, found: list[int]) -> tuple[int, int] | None:
+        """The least element around starts of elements, outside of furniture; none if there is no such."""
+        gone = self.furniture((0, len(self.tokens)))
+        found = [a for a in found if not any(lo <= a <= hi for lo, hi in gone)] if gone else found
+        if not found:
+            return None
+        at, last = found[0], max(self.closed_by.get(a, len(self.tokens)) for a in found)
+        while at >= 0 and self.closed_by.get(at, len(self.tokens)) < last:
+            at = self.around[at]
+        return at, self.closed_by.get(at, len(self.tokens))
+
+
 def main_text(source: str | None, region: str | None) -> str:
     page = Page(source or "")
     if not page.tokens:
         return page.text((-1, 0))
-    wanted = [region, "article", "main", "body"] if region else ["article", "main", "body"]
-    for key in wanted:
-        for at, token in enumerate(page.tokens):
-            if token[0] == key and not token[1]:
-                return page.text((at, page.closed_by.get(at, len(page.tokens))))
-    return page.text((-1, len(page.tokens)))
+    starts = [at for at, token in enumerate(page.tokens) if not token[1]]
+    if region and (inside := page.region([at for at in starts if page.tokens[at][0] == region])):
+        return page.text(inside)
+    sizes = {at: (chars, heads) for at, _, chars, heads in page.elements()}
+    chars, heads = sizes[-1]
+    for tag in ("article", "main"):
+        inside = page.region([at for at in starts if page.tokens[at][2] == tag])
+        if inside and inside[0] in sizes and sizes[inside[0]][0] >= HELD * chars and sizes[inside[0]][1] >= heads:
+            return page.text(inside)
+    inside = page.region([at for at in starts if page.tokens[at][2] == "body"])
+    return page.text(inside or (-1, len(page.tokens)))
 
 
-COUNTS = "host string, key string, vector long, pages long, chars long, depth long"
+COUNTS = "host string, key string, vector long, pages long, times long, chars long, all_chars long, missed long, depth long"
 
 
 def _mix(page: int, n: int) -> int:
@@ -171,36 +230,31 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def rows() -> pa.RecordBatch:
         out = [(*k, v[0] - (1 << 64) if v[0] >> 63 else v[0], *v[1:]) for k, v in sums.items()]
         sums.clear()
-        kinds = (pa.string(), pa.string(), *[pa.int64()] * 4)
+        kinds = (pa.string(), pa.string(), *[pa.int64()] * 7)
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=[f.split()[0] for f in COUNTS.split(", ")])
 
     for batch in batches:
         for host, number, source in zip(*(batch.column(k).to_pylist() for k in range(3))):
             page = Page(source or "")
-            tally: dict[str, list[int]] = {"*": [1, 0, 0]}
-            skip, total = -1, 0
-            for at, token in enumerate(page.tokens):
-                seen = tally.setdefault(token[0], [0, 0, 0])
-                seen[0] += 1
-                if at <= skip or token[1]:
+            tally: dict[str, list[int]] = {"*": [1, 0, 0, 0]}
+            for token in page.tokens:
+                tally.setdefault(token[0], [0, 0, 0, 0])[0] += 1
+            total, heads = 0, 0
+            for at, _, chars, held in page.elements():
+                if at < 0:
+                    total, heads = chars, held
                     continue
-                end = page.closed_by.get(at)
-                if token[5] or token[2] == "head":
-                    skip = end if end is not None else skip
-                elif end is not None:
-                    chars = page.chars(at, end) - sum(page.chars(a, b) for a, b in page.furniture((at + 1, end - 1)))
-                    seen[1] += chars
-                    total = max(total, chars)
-                    seen[2] += page.depth[at]
-            tally["*"][1] = total
-            for key, (n, chars, depth) in tally.items():
+                seen = tally[page.tokens[at][0]]
+                seen[1] += chars
+                seen[2] += held
+                seen[3] += page.depth[at]
+            for key, (n, chars, held, depth) in tally.items():
                 vector = _mix(number, n)
                 for who in (host, None):
-                    one = sums.setdefault((who, key), [0, 0, 0, 0])
+                    one = sums.setdefault((who, key), [0] * 7)
                     one[0] ^= vector
-                    one[1] += 1
-                    one[2] += chars
-                    one[3] += depth
+                    for k, x in enumerate((1, n, chars, total, max(0, heads - held), depth), 1):
+                        one[k] += x
             if len(sums) > 100_000:
                 yield rows()
     if sums:
@@ -210,15 +264,15 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def templates(pages: DataFrame) -> DataFrame:
     """(host, region, n_pages): the key of the main region of each host, and under a null host of all pages."""
     parts = pages.select("host", F.xxhash64("page_id", "url", F.length("html")).alias("number"), "html").mapInArrow(_counts, COUNTS)
-    keys = parts.groupBy("host", "key").agg(F.bit_xor("vector").alias("vector"), *(F.sum(c).alias(c) for c in ("pages", "chars", "depth")))
+    keys = parts.groupBy("host", "key").agg(F.bit_xor("vector").alias("vector"), *(F.sum(c).alias(c) for c in ("pages", "times", "chars", "all_chars", "missed", "depth")))
     keys = materialise(keys)
-    whole = keys.filter("key = '*'").select("host", F.col("pages").alias("n_pages"), F.col("chars").alias("all_chars"))
+    whole = keys.filter("key = '*'").select("host", F.col("pages").alias("n_pages"))
     frequent = keys.filter("key <> '*'").join(whole, keys["host"].eqNullSafe(whole["host"])).drop(whole["host"]).filter("2 * pages >= n_pages")
     classed = frequent.withColumn("members", F.count(F.lit(1)).over(Window.partitionBy("host", "vector"))).filter("members >= 3")
     starts = classed.filter("NOT startswith(key, '/')").alias("s")
     ends = classed.filter("startswith(key, '/')").select("host", F.expr("substr(key, 2)").alias("key"), "vector").alias("e")
     same = F.col("s.host").eqNullSafe(F.col("e.host")) & (F.col("s.key") == F.col("e.key")) & (F.col("s.vector") == F.col("e.vector"))
-    elements = starts.join(ends, same, "left_semi").filter("2 * chars >= all_chars AND chars > 0")
+    elements = starts.join(ends, same, "left_semi").filter(f"chars >= {HELD} * all_chars AND missed = 0 AND chars > 0 AND {HELD} * times <= pages")
     best = F.max_by("key", F.struct(F.col("depth") / F.col("pages"), F.col("chars"), F.col("key")))
     return elements.groupBy("host").agg(best.alias("region"), F.max("n_pages").alias("n_pages"))
 

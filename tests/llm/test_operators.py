@@ -123,6 +123,24 @@ def test_pages(spark):
     assert got[6] == got[7] == ("", 0) and got[8][0] == "plain < text" and got[9][0] == "only\nthis"
 
 
+def extracted(spark, page):
+    rows = [(k, f"http://h.example/{k}", page.replace("#", str(k))) for k in range(5)]
+    return html_templates.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).filter("page_id = 3").first().text
+
+
+def test_regions_leave_nothing_out(spark):
+    long = "word " * 60
+    sections = "".join(f"<section><h2>Part {i}</h2><p>{long}{i}</p></section>" for i in range(3))
+    got = extracted(spark, f"<html><body><nav>menu</nav><article><h1>Title #</h1><p>start</p>{sections}</article><footer>f</footer></body></html>")
+    assert got.split("\n") == ["Title 3", "start", *(x for i in range(3) for x in (f"Part {i}", f"{long}{i}"))]
+    got = extracted(spark, f"<html><body><article><h1>Title #</h1><p class='lead'>{long}</p><div class='body'><p>{long * 2}end</p></div></article></body></html>")
+    assert got.split("\n") == ["Title 3", long.strip(), f"{long * 2}end"]
+    got = extracted(spark, f"<html><body><h1>T</h1><div class='body'><p>{long * 20}</p></div></body></html>")
+    assert got.startswith("T\nword")
+    assert extracted(spark, f"<html><body>\n<h1>T</h1>\n<div class='body'><p>{long * 20}</p></div>").startswith("T\nword")
+    assert html_templates.main_text(f"<body><article>a</article><article>b</article><p>{long}", None) == "a\nb\n" + long.strip()
+
+
 def test_bpe_is_the_library(spark):
     from tokenizers import Tokenizer
 

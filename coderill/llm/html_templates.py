@@ -15,6 +15,11 @@
    of them. A page without the region takes its article or main in the same way, if that holds all headings
    and next to all of the text, and else what its body holds outside of furniture.
 
+A name in class, id or role marks furniture if one of its parts is a word of it and the others say only where
+or what kind of box it is: ``site-footer``, but not ``has-sidebar`` or ``share-price``. By such names html, body,
+main and article are never furniture, nor is an element with most of the page's text, unless an article, a
+main or an h1 stands outside of it.
+
 Character references are decoded, white space inside a block is one space, blocks are joined by one line
 feed in page order. A null or empty page gives an empty text, a null url is a host of its own. Repeated
 rows give rows of their own. Extra columns are dropped.
@@ -59,6 +64,13 @@ FURNITURE_WORDS = frozenset(
     "search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
 
+_KEPT_TAGS = frozenset("html body main article".split())
+#: Words beside one of furniture in a name that say where or what kind of box it is.
+BOX_WORDS = frozenset(
+    "a and area article articles bar block blocks bottom bottombar box btn button buttons center col column container content div fixed float form "
+    "global group header holder icon icons inline inner item items js layout left line link links list local main mobile module of outer page panel "
+    "post posts primary region right row secondary section site slot small sticky stories story the title top unit wrap wrapper zone".split()
+)
 
 _HEADINGS = frozenset(f"h{i}" for i in range(1, 7))
 
@@ -72,7 +84,12 @@ def _marks(attributes: str) -> tuple[str, list[str]]:
         return "", []
     found = [(m[1].lower(), m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(attributes)]
     marks = "".join(f".{' '.join(sorted(value.split()))}" for name, value in found if name != "id" and value)
-    return marks, [w for _, value in found for w in re.split(r"[^a-z]+", value.lower()) if w]
+    return marks, [name for _, value in found for name in value.lower().split()]
+
+
+def _is_furniture(name: str) -> bool:
+    parts = [w for w in re.split(r"[^a-z]+", name) if w]
+    return any(w in FURNITURE_WORDS for w in parts) and all(w in FURNITURE_WORDS or w in BOX_WORDS for w in parts)
 
 
 class Page:
@@ -106,14 +123,27 @@ class Page:
                             open_tags[self.tokens[gone][2]].pop()  # left open inside
                 self.tokens.append((key, True, tag, *m.span(), False))
             else:
-                marks, words = _marks(m[4])
-                furniture = tag in FURNITURE_TAGS or any(w in FURNITURE_WORDS for w in words)
+                marks, names = _marks(m[4])
+                furniture = tag in FURNITURE_TAGS or tag not in _KEPT_TAGS and any(_is_furniture(x) for x in names)
                 self.tokens.append((tag + marks, False, tag, *m.span(), furniture))
                 self.around[here] = stack[-1] if stack else -1
                 if tag not in VOID:
                     open_tags.setdefault(tag, []).append(here)
                     stack.append(here)
             self.depth.append(len(stack))
+        self._keep_most()
+
+    def _keep_most(self) -> None:
+        """No form, and no furniture by name, that holds most of the text, and the article, main and h1 if there are any."""
+        named = [at for at, t in enumerate(self.tokens) if t[5] and (t[2] == "form" or t[2] not in FURNITURE_TAGS) and at in self.closed_by]
+        if not named:
+            return
+        text = self.chars(-1, len(self.tokens)) - sum(self.chars(a, self.closed_by[a]) for a, t in enumerate(self.tokens) if t[2] == "head" and not t[1] and a in self.closed_by)
+        mains = [(at, self.closed_by.get(at, len(self.tokens))) for at, t in enumerate(self.tokens) if not t[1] and t[2] in ("article", "main", "h1")]
+        for at in named:
+            end = self.closed_by[at]
+            if 2 * self.chars(at, end) > text and all(at < a < end or a < at and end < b for a, b in mains):
+                self.tokens[at] = (*self.tokens[at][:5], False)
 
     def furniture(self, inside: tuple[int, int]) -> list[tuple[int, int]]:
         """Token ranges of furniture elements within a token range; a header counts outside of the region only."""

@@ -141,6 +141,23 @@ def test_regions_leave_nothing_out(spark):
     assert html_templates.main_text(f"<body><article>a</article><article>b</article><p>{long}", None) == "a\nb\n" + long.strip()
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<body class='post has-sidebar'>{}</body>",
+        "<html><body class='has-sidebar'><article class='post'>{}</article></body></html>",
+        "<body><div class='content with-sidebar'>{}</div><div class='site-footer'>f</div><div class='ad'>buy</div></body>",
+        "<body><form id='search'>{}</form></body>",
+        "<body><div role='banner'><article class='widget'>{}</article></div></body>",
+        "<body><article>{}</article><div class='comments'>%s</div></body>" % ("reply " * 90),
+    ],
+)
+def test_furniture_is_not_the_article(spark, page):
+    inside = "<h1>T</h1><p>text of it</p><div class='search-results'>two found</div><div class='share-price'>12.5</div><div class='share-buttons'>s</div>"
+    assert html_templates.main_text(page.format(inside), None) == "T\ntext of it\ntwo found\n12.5"
+    assert extracted(spark, page.format(inside)) == "T\ntext of it\ntwo found\n12.5"
+
+
 def test_bpe_is_the_library(spark):
     from tokenizers import Tokenizer
 

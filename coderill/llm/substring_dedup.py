@@ -2,7 +2,9 @@
 
 1. Seeds are hashes of ``K`` words at the minimizers of windows of ``W``: any ``K + W - 1`` equal words
    share one. A seed is joined with its first occurrence in the corpus, by document and place, so copies
-   link to one source and rows stay linear in the seeds, however common a passage is.
+   link to one source and rows stay linear in the seeds, however common a passage is. Neighbouring seeds
+   whose first occurrences are not neighbours alike are a joint; it is joined with its own first occurrence,
+   so that a passage made of stretches which earlier documents have apart gets a source of its own.
 2. The matches of a document with a source are chained: in order of their place in the document, a
    Fenwick tree over the places in the source finds the best chain to extend, its score falling with the
    words skipped on either side.
@@ -90,11 +92,11 @@ def seeds(docs: DataFrame, k: int = K, window: int = W) -> DataFrame:
 
 
 def matches(found: DataFrame) -> DataFrame:
-    """(doc_id, place, source, source_place): seeds of a document that an earlier one has too."""
+    """(doc_id, source, place, source_place): seeds that two documents have, also those of the first, its own source."""
     first = F.min(F.struct("doc_id", "place")).alias("first")
     firsts = found.groupBy("seed").agg(first, F.max("doc_id").alias("last")).filter("first.doc_id < last")
     firsts = firsts.select("seed", F.col("first.doc_id").alias("source"), F.col("first.place").alias("source_place"))
-    return found.join(firsts, "seed").filter("doc_id <> source").select("doc_id", "source", "place", "source_place")
+    return found.join(firsts, "seed").select("doc_id", "source", "place", "source_place")
 
 
 class Fenwick:
@@ -178,7 +180,40 @@ def uncovered(spans: list[tuple[np.ndarray, np.ndarray]], min_words: int, identi
 CHAINS = "doc_id long, source long, places binary, sources binary"
 
 
+def joints(place: np.ndarray, source: np.ndarray, source_place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Key and places of neighbouring seeds of a document that lie otherwise in their sources."""
+    rows = np.unique(np.stack([place.astype(np.int64), source, source_place.astype(np.int64)], axis=1), axis=0)
+    a, b = rows[:-1], rows[1:]
+    joint = (a[:, 1] != b[:, 1]) | (b[:, 2] - a[:, 2] != b[:, 0] - a[:, 0])
+    a, b = a[joint], b[joint]
+    key = np.zeros(len(a), dtype=np.uint64)
+    for part in (a[:, 1], a[:, 2], b[:, 1], b[:, 2], b[:, 0] - a[:, 0]):
+        key = words.mix(key * np.uint64(0xD6E8FEB86659FD93) + part.astype(np.uint64))
+    return key.view(np.int64), np.stack([a[:, 0], b[:, 0]], axis=1).astype(np.int32)
+
+
+def second_chains(found: DataFrame) -> DataFrame:
+    """CHAINS of two matches each: joints with their first occurrence."""
+    rows = found.filter("length(sources) = 0").select("doc_id", F.col("source").alias("joint"), "places")
+    first = F.min(F.struct("doc_id", "places")).alias("first")
+    firsts = rows.groupBy("joint").agg(first, F.max("doc_id").alias("last")).filter("first.doc_id < last")
+    firsts = firsts.select("joint", F.col("first.doc_id").alias("source"), F.col("first.places").alias("sources"))
+    return rows.join(firsts, "joint").filter("doc_id <> source").select("doc_id", "source", "places", "sources")
+
+
+def rechained(spans: list[tuple[int, np.ndarray, np.ndarray, bool]], k: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """Chains (source, places, source places) of a document; where joints are among those of a source, all its matches are chained again."""
+    again = {source for source, _, _, joint in spans if joint}
+    out = [(source, p, s) for source, p, s, _ in spans if source not in again]
+    for source in sorted(again):
+        held = np.unique(np.concatenate([np.stack([p, s], axis=1) for x, p, s, _ in spans if x == source]), axis=0)
+        out += [(source, held[c, 0], held[c, 1]) for c in chains(held[:, 0].tolist(), held[:, 1].tolist(), k)]
+    return out
+
+
 def chained(linked: DataFrame, k: int = K, gap_cost: float = GAP_COST) -> DataFrame:
+    """CHAINS of each document with its sources, and its joints: the key as source, and no source places."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for batch in _with_end(batches):
@@ -188,20 +223,26 @@ def chained(linked: DataFrame, k: int = K, gap_cost: float = GAP_COST) -> DataFr
             if columns is None or not len(columns[0]):
                 continue
             doc, source, place, source_place = columns
-            edges = np.flatnonzero((doc[1:] != doc[:-1]) | (source[1:] != source[:-1])) + 1
+            edges = np.flatnonzero(doc[1:] != doc[:-1]) + 1
             cuts = [0, *edges.tolist(), len(doc)]
-            if batch is not None:  # the last pair may go on in the next batch
+            if batch is not None:  # the last document may go on in the next batch
                 rest = [c[cuts[-2] :] for c in columns]
                 cuts.pop()
             rows: tuple[list, ...] = ([], [], [], [])
             for lo, hi in zip(cuts, cuts[1:]):
-                p, s = place[lo:hi], source_place[lo:hi]
-                for chain in chains(p.tolist(), s.tolist(), k, gap_cost):
-                    for column, value in zip(rows, (doc[lo], source[lo], p[chain].astype(np.int32).tobytes(), s[chain].astype(np.int32).tobytes())):
+                for key, both in zip(*joints(place[lo:hi], source[lo:hi], source_place[lo:hi])):
+                    for column, value in zip(rows, (doc[lo], key, both.tobytes(), b"")):
                         column.append(value)
+                order = lo + np.lexsort((source_place[lo:hi], place[lo:hi], source[lo:hi]))
+                order = order[source[order] != doc[lo]]
+                for part in np.split(order, np.flatnonzero(np.diff(source[order])) + 1) if len(order) else ():
+                    p, s = place[part], source_place[part]
+                    for chain in chains(p.tolist(), s.tolist(), k, gap_cost):
+                        for column, value in zip(rows, (doc[lo], source[part[0]], p[chain].astype(np.int32).tobytes(), s[chain].astype(np.int32).tobytes())):
+                            column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.binary()), pa.array(rows[3], pa.binary())], names=["doc_id", "source", "places", "sources"])
 
-    return linked.repartition("doc_id").sortWithinPartitions("doc_id", "source", "place", "source_place").mapInArrow(worker.tidy(run), CHAINS)
+    return linked.repartition("doc_id").sortWithinPartitions("doc_id").mapInArrow(worker.tidy(run), CHAINS)
 
 
 def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
@@ -326,11 +367,13 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     """Rows of PASSAGES: words ``start`` to ``end`` of a document repeat those of its source."""
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     plain = plain.filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    found = materialise(chained(matches(seeds(plain, k, window)), k))
+    first_round = materialise(chained(matches(seeds(plain, k, window)), k))
+    second_round = materialise(second_chains(first_round))
+    found = first_round.filter("length(sources) > 0").withColumn("joint", F.lit(False)).union(second_round.withColumn("joint", F.lit(True)))
     asked = found.select("doc_id").union(found.select("source")).distinct()
     few = asked.count() <= BROADCAST_ROWS
     texts = plain.join(F.broadcast(asked) if few else asked, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-    chain = F.struct("source", "places", "sources")
+    chain = F.struct("source", "places", "sources", "joint")
     by_doc = found.groupBy("doc_id").agg(F.collect_list(chain).alias("chains"))  # no more than the document has seeds
 
     def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -339,11 +382,11 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
             rows: list[dict] = []
             for i, (doc, chains_here) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())):
                 hashes = segments.of(doc, batch.column(1).slice(i, 1))
-                spans = [(np.frombuffer(c["places"], np.int32), np.frombuffer(c["sources"], np.int32)) for c in chains_here]
-                for j in uncovered(spans, min_words, identity, k):
-                    c, places = chains_here[j], spans[j][0]
+                chained_here = rechained([(c["source"], np.frombuffer(c["places"], np.int32), np.frombuffer(c["sources"], np.int32), c["joint"]) for c in chains_here], k)
+                for j in uncovered([x[1:] for x in chained_here], min_words, identity, k):
+                    source, places, sources = chained_here[j]
                     lo, hi = max(0, int(places[0]) - _REACH), int(places[-1]) + k + _REACH
-                    rows.append({"source": c["source"], "doc_id": doc, "lo": lo, "places": c["places"], "sources": c["sources"], "segment": hashes[lo:hi].tobytes()})
+                    rows.append({"source": source, "doc_id": doc, "lo": lo, "places": places.tobytes(), "sources": sources.tobytes(), "segment": hashes[lo:hi].tobytes()})
             yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("source", pa.int64()), ("doc_id", pa.int64()), ("lo", pa.int32()), ("places", pa.binary()), ("sources", pa.binary()), ("segment", pa.binary())]))
 
     cut_out = by_doc.join(texts, "doc_id").select("doc_id", "text", "chains").mapInArrow(worker.tidy(segment), "source long, doc_id long, lo int, places binary, sources binary, segment binary")

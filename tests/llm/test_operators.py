@@ -98,6 +98,15 @@ def test_passages_with_unlike_words_between(spark, gap):
     assert found == [(2, 0, 60, 60), (2, 60 + gap, 120 + gap, 60), (3, 0, 60, 60), (3, 77 + gap, 137 + gap, 60)]
 
 
+def test_passages_of_stretches_that_others_have_apart(spark):
+    rows = []
+    for k in range(0, 300, 5):
+        one, two = (" ".join(f"{c}{k}x{i}" for i in range(30)) for c in "pq")
+        rows += [(k, f"a{k} {one} b{k}"), (k + 1, f"c{k} {two} d{k}"), (k + 2, f"e{k} {one} {two} f{k}"), (k + 3, f"g{k} {one} {two} h{k}")]
+    found = sorted((r.doc_id, r.start, r.end, r.source_id) for r in substring_dedup.passages(docs(spark, rows)).collect())
+    assert found == [(k + 3, 1, 61, k + 2) for k in range(0, 300, 5)]
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(5)
     centres = rng.normal(size=(20, 8))

@@ -1,19 +1,23 @@
 """Main text of web pages by deducing the template that pages of a host share.
 
-1. Of each page, every tag token (its name with class, id and role; end tags take those of the tag they
-   close) has a number of occurrences. Over the pages of a host these numbers are the token's occurrence
-   vector. Tokens with the same vector are an equivalence class: its fingerprint is the exclusive-or over
-   pages of a hash of the page and the number, so vectors are never gathered and a host with a third of
-   all pages is merged from partial sums.
-2. A class counts if it is large (three tokens or more) and frequent (on half of the host's pages). An
-   element is in the template if its start and end are in one such class; by their depth, elements nest.
-3. The main region is the deepest element of the template that occurs once a page and holds all headings
-   and next to all of the text outside of page furniture: the slots between its tokens are the article.
-   Hosts of fewer than ``FEW`` pages take the template of all pages together.
-4. A page's text is that of its main region without the elements that are furniture by their tag or by
-   their class, id or role. Where a page has the region more than once, it is the least element around all
-   of them. A page without the region takes its article or main in the same way, if that holds all headings
-   and next to all of the text, and else what its body holds outside of furniture.
+1. Every element of a repaired page (``markup``) has a role, its path of labels; its start and its end are two tokens
+   of this role. Over the pages of a host a role's numbers of occurrences are its occurrence vector. Roles with one
+   vector are an equivalence class: its fingerprint is the sum over pages of a hash of the page and the number, so
+   vectors are never gathered and a host with a third of all pages is merged from partial sums.
+2. A class is valid if it is large (three tokens or more) and frequent (on half of the host's pages). As a role holds
+   the roles around it, and elements of a repaired page have an end, tokens of valid classes are in order and nest: a
+   class whose elements stand once in an element of another one nests in the slot there. What nests is the template.
+3. What a template element holds outside of the template elements in it is its slot. A slot is furniture if its
+   text is the same on all pages (unless most text is, as in copies), if most of it are links, or if tag or names around it
+   say so; names are a hint
+   beside the counts, and a template without any names works alike. The main slot is the largest other one over all
+   pages. The region is the least element around it that stands once a page, or one further out that adds a heading
+   or more than ``REST`` of the region's text in slots that are no furniture. A part of the region that does not
+   change from page to page is furniture too, if it is less than ``REST`` of it.
+4. A page's text is that of the element of the region's role, but for its furniture. Where a page has the role more than
+   once, it is the least element around all of them. Hosts of fewer than ``FEW`` pages, and pages without their
+   host's region, take the template of all pages together; where that fits neither, the page's article or
+   main if it holds all headings and next to all text, and else what its body holds outside of furniture.
 
 A name in class, id or role marks furniture if one of its parts is a word of it and the others say only where
 or what kind of box it is: ``site-footer``, but not ``has-sidebar`` or ``share-price``. By such names html, body,
@@ -22,289 +26,240 @@ main or an h1 stands outside of it.
 
 Character references are decoded, white space inside a block is one space, blocks are joined by one line
 feed in page order. A null or empty page gives an empty text, a null url is a host of its own. Repeated
-rows give rows of their own. Extra columns are dropped.
+rows give rows of their own and leave all texts as they are. Extra columns are dropped. An empty table gives no row.
 """
 
 from __future__ import annotations
 
-import html
-import re
-from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from coderill.llm.markup import HEADINGS, Page, mixed
 from coderill.llm.tables import materialise
 
 FEW = 3
-#: Share of the text outside of furniture that a region holds at least, and of its pages that have it once.
+#: Pages that text must be the same on to be furniture, share of link text that makes a slot a menu.
+SAME = 5
+LINKS = 0.6
+#: Share of a region's text that slots outside of it may hold, and that unchanging parts of it may be.
+REST = 0.2
+#: Share of the pages that have a role once a page, and of the text that a page's article or main holds.
 HELD = 0.99
-#: Hosts whose main region is broadcast at most; more are joined by shuffle.
-BROADCAST_HOSTS = 200_000
-
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|svg|iframe|object|textarea|select|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
-    re.S | re.I,
-)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-
-#: Elements of HTML that end a block of text, and those without an end tag.
-BLOCKS = frozenset(
-    "address article aside blockquote body br button caption center dd details dialog div dl dt fieldset figcaption figure footer form "
-    "h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
-)
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements and words of class, id or role that mark page furniture.
-FURNITURE_TAGS = frozenset("nav footer aside form dialog menu".split())
-FURNITURE_WORDS = frozenset(
-    "ad ads advert advertisement adverts alert banner breadcrumb breadcrumbs comment comments complementary contentinfo cookie cookies disqus footer "
-    "masthead menu menubar modal nav navbar navigation newsletter notice notices notification pagination popup promo promoted related remark replies "
-    "search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
-)
-
-_KEPT_TAGS = frozenset("html body main article".split())
-#: Words beside one of furniture in a name that say where or what kind of box it is.
-BOX_WORDS = frozenset(
-    "a and area article articles bar block blocks bottom bottombar box btn button buttons center col column container content div fixed float form "
-    "global group header holder icon icons inline inner item items js layout left line link links list local main mobile module of outer page panel "
-    "post posts primary region right row secondary section site slot small sticky stories story the title top unit wrap wrapper zone".split()
-)
-
-_HEADINGS = frozenset(f"h{i}" for i in range(1, 7))
+#: Numbers in templates that are broadcast at most (8 bytes each); more are joined by shuffle, dealt by hash within a host.
+BROADCAST_NUMBERS = 4_000_000
+_SALTS = 32
 
 
 def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def _marks(attributes: str) -> tuple[str, list[str]]:
-    if "=" not in attributes:
-        return "", []
-    found = [(m[1].lower(), m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(attributes)]
-    marks = "".join(f".{' '.join(sorted(value.split()))}" for name, value in found if name != "id" and value)
-    return marks, [name for _, value in found for name in value.lower().split()]
-
-
-def _is_furniture(name: str) -> bool:
-    parts = [w for w in re.split(r"[^a-z]+", name) if w]
-    return any(w in FURNITURE_WORDS for w in parts) and all(w in FURNITURE_WORDS or w in BOX_WORDS for w in parts)
-
-
-class Page:
-    """Tokens of a page: (key, is end, tag, start, end, furniture), and for each start the token that closes it."""
-
-    def __init__(self, source: str):
-        self.source = source
-        self.tokens: list[tuple[str, bool, str, int, int, bool]] = []
-        self.raw: list[tuple[int, int]] = []  # comments, scripts and the like
-        self.closed_by: dict[int, int] = {}
-        self.upto: list[int] = []  # characters before each token, and in all; see chars()
-        self.around: dict[int, int] = {}  # for each start the start of the element that holds it, or -1
-        self.depth: list[int] = []
-        open_tags: dict[str, list[int]] = {}
-        stack: list[int] = []
-        for m in _TOKEN.finditer(source):
-            tag = m[3]
-            if tag is None:
-                self.raw.append(m.span())
-                continue
-            tag, here = tag.lower(), len(self.tokens)
-            if m[2]:
-                key = f"/{tag}"
-                if mine := open_tags.get(tag):
-                    start = mine.pop()
-                    self.closed_by[start] = here
-                    key = f"/{self.tokens[start][0]}"
-                    while stack and stack[-1] >= start:
-                        gone = stack.pop()
-                        if gone != start and open_tags[self.tokens[gone][2]][-1:] == [gone]:
-                            open_tags[self.tokens[gone][2]].pop()  # left open inside
-                self.tokens.append((key, True, tag, *m.span(), False))
-            else:
-                marks, names = _marks(m[4])
-                furniture = tag in FURNITURE_TAGS or tag not in _KEPT_TAGS and any(_is_furniture(x) for x in names)
-                self.tokens.append((tag + marks, False, tag, *m.span(), furniture))
-                self.around[here] = stack[-1] if stack else -1
-                if tag not in VOID:
-                    open_tags.setdefault(tag, []).append(here)
-                    stack.append(here)
-            self.depth.append(len(stack))
-        self._keep_most()
-
-    def _keep_most(self) -> None:
-        """No form, and no furniture by name, that holds most of the text, and the article, main and h1 if there are any."""
-        named = [at for at, t in enumerate(self.tokens) if t[5] and (t[2] == "form" or t[2] not in FURNITURE_TAGS) and at in self.closed_by]
-        if not named:
-            return
-        text = self.chars(-1, len(self.tokens)) - sum(self.chars(a, self.closed_by[a]) for a, t in enumerate(self.tokens) if t[2] == "head" and not t[1] and a in self.closed_by)
-        mains = [(at, self.closed_by.get(at, len(self.tokens))) for at, t in enumerate(self.tokens) if not t[1] and t[2] in ("article", "main", "h1")]
-        for at in named:
-            end = self.closed_by[at]
-            if 2 * self.chars(at, end) > text and all(at < a < end or a < at and end < b for a, b in mains):
-                self.tokens[at] = (*self.tokens[at][:5], False)
-
-    def furniture(self, inside: tuple[int, int]) -> list[tuple[int, int]]:
-        """Token ranges of furniture elements within a token range; a header counts outside of the region only."""
-        out, at = [], inside[0]
-        while at < inside[1]:
-            if self.tokens[at][5] and (end := self.closed_by.get(at)) is not None and end <= inside[1]:
-                out.append((at, end))
-                at = end
-            at += 1
-        return out
+_SUMS = ("pages", "times", "v1", "v2", "chars", "links", "named", "headings")
+COUNTS = "host string, path long, parent long, low long, high long, " + ", ".join(f"{c} long" for c in _SUMS)
 
-    def chars(self, first: int, last: int) -> int:
-        """Source characters between two tokens (-1: from the start, the number of tokens: to the end) that are neither tags nor raw nor white space."""
-        if not self.upto:
-            cuts = sorted([(t[3], t[4], True) for t in self.tokens] + [(a, b, False) for a, b in self.raw])
-            n, at = 0, 0
-            for a, b, is_token in [*cuts, (len(self.source), len(self.source), True)]:
-                n += sum(map(len, self.source[at:a].split()))
-                at = b
-                if is_token:
-                    self.upto.append(n)
-        return self.upto[last] - (self.upto[first] if first >= 0 else 0)
-
-    def text(self, inside: tuple[int, int]) -> str:
-        """Text between two tokens (-1: from the start, the number of tokens: to the end) outside of furniture."""
-        first, last = inside
-        lo = self.tokens[first][4] if first >= 0 else 0
-        hi = self.tokens[last][3] if last < len(self.tokens) else len(self.source)
-        gone = [(self.tokens[a][3], self.tokens[b][4]) for a, b in self.furniture((max(first + 1, 0), last - 1))]
-        cuts = [(a, b, False) for a, b in self.raw if lo <= a < hi] + [(a, b, True) for a, b in gone]
-        cuts += [(t[3], t[4], t[2] in BLOCKS) for t in self.tokens[first + 1 : last]]
-        blocks, now, at = [], [], lo
-        for a, b, breaks in sorted(cuts, key=lambda c: (c[0], -c[1])):
-            if a < at:
-                continue  # inside furniture
-            now.append(self.source[at:a])
-            at = b
-            if breaks:
-                blocks.append("".join(now))
-                now = []
-        blocks.append("".join([*now, self.source[at:hi]]))
-        clean = (" ".join((html.unescape(b) if "&" in b else b).split()) for b in blocks)
-        return "\n".join(b for b in clean if b)
-
-
-    def elements(self) -> Iterator[tuple[int, int, int, int]]:
-        """Start, end, characters and headings of the page (from -1) and each closed element, without furniture and the head."""
-        inner: list[tuple[int, int]] = []  # furniture and heads that are skipped
-        skip = -1
-        for at, token in enumerate(self.tokens):
-            if at > skip and not token[1] and (token[5] or token[2] == "head") and (end := self.closed_by.get(at)) is not None:
-                inner.append((at, end))
-                skip = end
-        starts, lost = [a for a, _ in inner], [0]
-        for a, b in inner:
-            lost.append(lost[-1] + self.chars(a, b))
-        heads = [0]
-        for at, token in enumerate(self.tokens):
-            k = bisect_right(starts, at)
-            out = k and at <= inner[k - 1][1]
-            heads.append(heads[-1] + (token[2] in _HEADINGS and not token[1] and not out))
-        yield -1, len(self.tokens), self.chars(-1, len(self.tokens)) - lost[-1], heads[-1]
-        for at, token in enumerate(self.tokens):
-            end = self.closed_by.get(at)
-            k = bisect_right(starts, at)
-            if token[1] or end is None or k and at <= inner[k - 1][1]:
-                continue
-            to = bisect_right(starts, end)
-            yield at, end, self.chars(at, end) - lost[to] + lost[k], heads[end + 1] - heads[at]
-
-    def region(self, found: list[int]) -> tuple[int, int] | None:
-        """The least element around starts of elements, outside of furniture; none if there is no such."""
-        gone = self.furniture((0, len(self.tokens)))
-        found = [a for a in found if not any(lo <= a <= hi for lo, hi in gone)] if gone else found
-        if not found:
-            return None
-        at, last = found[0], max(self.closed_by.get(a, len(self.tokens)) for a in found)
-        while at >= 0 and self.closed_by.get(at, len(self.tokens)) < last:
-            at = self.around[at]
-        return at, self.closed_by.get(at, len(self.tokens))
-
-
-def main_text(source: str | None, region: str | None) -> str:
-    page = Page(source or "")
-    if not page.tokens:
-        return page.text((-1, 0))
-    starts = [at for at, token in enumerate(page.tokens) if not token[1]]
-    if region and (inside := page.region([at for at in starts if page.tokens[at][0] == region])):
-        return page.text(inside)
-    sizes = {at: (chars, heads) for at, _, chars, heads in page.elements()}
-    chars, heads = sizes[-1]
-    for tag in ("article", "main"):
-        inside = page.region([at for at in starts if page.tokens[at][2] == tag])
-        if inside and inside[0] in sizes and sizes[inside[0]][0] >= HELD * chars and sizes[inside[0]][1] >= heads:
-            return page.text(inside)
-    inside = page.region([at for at in starts if page.tokens[at][2] == "body"])
-    return page.text(inside or (-1, len(page.tokens)))
 
-
-COUNTS = "host string, key string, vector long, pages long, times long, chars long, all_chars long, missed long, depth long"
-
-
-def _mix(page: int, n: int) -> int:
-    x = (page ^ n * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF
-    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & 0xFFFFFFFFFFFFFFFF
-    x = (x ^ x >> 27) * 0x94D049BB133111EB & 0xFFFFFFFFFFFFFFFF
-    return x ^ x >> 31
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial sums of a task's pages by host, and of all hosts together under a null host."""
-    sums: dict[tuple[str | None, str], list[int]] = {}
+    """Partial sums of a task's pages by host and role, and of all hosts together under a null host."""
+    sums: dict[tuple[str | None, int], list[int]] = {}
 
     def rows() -> pa.RecordBatch:
-        out = [(*k, v[0] - (1 << 64) if v[0] >> 63 else v[0], *v[1:]) for k, v in sums.items()]
+        out = [(who, path, *v) for (who, path), v in sums.items()]
         sums.clear()
-        kinds = (pa.string(), pa.string(), *[pa.int64()] * 7)
+        kinds = (pa.string(), *[pa.int64()] * (4 + len(_SUMS)))
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=[f.split()[0] for f in COUNTS.split(", ")])
 
     for batch in batches:
         for host, number, source in zip(*(batch.column(k).to_pylist() for k in range(3))):
             page = Page(source or "")
-            tally: dict[str, list[int]] = {"*": [1, 0, 0, 0]}
-            for token in page.tokens:
-                tally.setdefault(token[0], [0, 0, 0, 0])[0] += 1
-            total, heads = 0, 0
-            for at, _, chars, held in page.elements():
-                if at < 0:
-                    total, heads = chars, held
-                    continue
-                seen = tally[page.tokens[at][0]]
-                seen[1] += chars
-                seen[2] += held
-                seen[3] += page.depth[at]
-            for key, (n, chars, held, depth) in tally.items():
-                vector = _mix(number, n)
+            tally: dict[int, list[int]] = {}
+            for e, path in enumerate(page.paths):
+                one = tally.setdefault(path, [page.paths[page.parents[e]] if e else 0, 0, 0, 0, 0, 0, 0])
+                chars = page.chars(e)
+                one[1] += 1
+                one[2] += chars
+                one[3] += page.links(e)
+                one[4] += page.furniture[e]
+                one[5] += page.tags[e] in HEADINGS and chars > 0
+                one[6] += page.fingerprint(e)
+            for path, (parent, n, chars, links, named, headings, text) in tally.items():
+                vector = mixed(number & (1 << 64) - 1, n)
+                v1, v2 = vector >> 33, vector & 0x7FFFFFFF
+                text = (text ^ text >> 62) & (1 << 62) - 1
+                path = _signed(path)
                 for who in (host, None):
-                    one = sums.setdefault((who, key), [0] * 7)
-                    one[0] ^= vector
-                    for k, x in enumerate((1, n, chars, total, max(0, heads - held), depth), 1):
-                        one[k] += x
+                    held = sums.get((who, path))
+                    if held is None:
+                        sums[who, path] = [_signed(parent), text, text, 1, n, v1, v2, chars, links, named, headings]
+                        continue
+                    if text < held[1]:
+                        held[1] = text
+                    elif text > held[2]:
+                        held[2] = text
+                    for k, x in enumerate((1, n, v1, v2, chars, links, named, headings), 3):
+                        held[k] += x
             if len(sums) > 100_000:
                 yield rows()
     if sums:
         yield rows()
 
 
+class Role:
+    """A frequent role of a host's pages."""
+
+    __slots__ = ("path", "parent", "low", "high", "vector", "inner", "slot", "outside", "furniture", *(c for c in _SUMS if c not in ("v1", "v2")))
+
+    def __init__(self, row: dict):
+        self.path, self.parent, self.low, self.high = row["path"], row["parent"], row["low"], row["high"]
+        self.vector = row["v1"], row["v2"]
+        for c in ("pages", "times", "chars", "links", "named", "headings"):
+            setattr(self, c, row[c])
+        self.inner: list[Role] = []
+        self.slot = 0
+        self.furniture = False
+
+
+def deduced(rows: list[dict], n_pages: int) -> tuple[int | None, list[int]]:
+    """The role of the region and the roles of furniture in a template, from the frequent roles of a host."""
+    roles = {r["path"]: Role(r) for r in rows}
+    classes: dict[tuple[int, int], list[Role]] = defaultdict(list)
+    for role in roles.values():
+        classes[role.vector].append(role)
+    # each role has a start and an end, so two of them are a large class; the page itself holds the template
+    template = {r.path: r for same in classes.values() if len(same) >= 2 for r in same} | {r.path: r for r in roles.values() if r.parent == 0}
+    top = next((r for r in template.values() if r.parent == 0), None)
+    if top is None or not top.chars:
+        return None, []
+
+    def around(role: Role) -> Role | None:
+        parent = role.parent
+        while parent and parent not in template:
+            parent = roles[parent].parent if parent in roles else 0
+        return template.get(parent)
+
+    order: list[Role] = []  # from the outside in
+    for role in template.values():
+        if role is not top and (outer := around(role)) is not None:
+            outer.inner.append(role)
+    stack = [top]
+    while stack:
+        order.append(stack.pop())
+        stack += order[-1].inner
+    for role in order:
+        role.slot = role.chars - sum(r.chars for r in role.inner)
+        role.furniture = role is not top and bool(role.chars) and (2 * role.named > role.times or role.links >= LINKS * role.chars)
+
+    def total(role: Role, of, without: Role | None = None) -> int:
+        """A sum over the role and those in it, without furniture and all that is in it."""
+        out, stack = 0, [role]
+        while stack:
+            r = stack.pop()
+            if r is without or r.furniture and r is not role:
+                continue
+            out += of(r)
+            stack += r.inner
+        return out
+
+    same = [r for r in order if r.pages >= SAME and r.low == r.high and r.chars and not r.furniture]
+    unchanging = {r.path for r in same}
+    if 2 * total(top, lambda r: r.slot * (r.path in unchanging)) > total(top, lambda r: r.slot):
+        same = []  # copies of a page, or nearly
+    for role in same:
+        role.furniture = True
+    open_roles, stack = [], [top]
+    while stack:
+        role = stack.pop()
+        if not role.furniture:
+            open_roles.append(role)
+            stack += role.inner
+    holder = {r.path: outer for outer in order for r in outer.inner}
+    once = lambda r: HELD * r.times <= r.pages and r.pages >= HELD * n_pages
+    region = max(open_roles, key=lambda r: (r.slot, -r.path))
+    while region is not top and not once(region):
+        region = holder[region.path]
+    own_headings = lambda r: r.headings
+    outer = region
+    while outer is not top:
+        outer = holder[outer.path]
+        if once(outer) and (total(outer, own_headings, region) or total(outer, lambda r: r.slot, region) > REST * total(region, lambda r: r.slot)):
+            region = outer
+    inside, stack = [], list(region.inner)
+    while stack:
+        role = stack.pop()
+        if role.furniture:
+            inside.append(role)
+        else:
+            stack += role.inner
+    same = [r for r in inside if r.path in unchanging]
+    if sum(r.chars for r in same) > REST * region.chars:
+        inside = [r for r in inside if r.path not in unchanging]
+    return region.path, sorted(r.path for r in inside)
+
+
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, region, n_pages): the key of the main region of each host, and under a null host of all pages."""
+    """(host, region, furniture): of each host of ``FEW`` pages or more, and under a null host of all pages."""
     parts = pages.select("host", F.xxhash64("page_id", "url", F.length("html")).alias("number"), "html").mapInArrow(_counts, COUNTS)
-    keys = parts.groupBy("host", "key").agg(F.bit_xor("vector").alias("vector"), *(F.sum(c).alias(c) for c in ("pages", "times", "chars", "all_chars", "missed", "depth")))
-    keys = materialise(keys)
-    whole = keys.filter("key = '*'").select("host", F.col("pages").alias("n_pages"))
-    frequent = keys.filter("key <> '*'").join(whole, keys["host"].eqNullSafe(whole["host"])).drop(whole["host"]).filter("2 * pages >= n_pages")
-    classed = frequent.withColumn("members", F.count(F.lit(1)).over(Window.partitionBy("host", "vector"))).filter("members >= 3")
-    starts = classed.filter("NOT startswith(key, '/')").alias("s")
-    ends = classed.filter("startswith(key, '/')").select("host", F.expr("substr(key, 2)").alias("key"), "vector").alias("e")
-    same = F.col("s.host").eqNullSafe(F.col("e.host")) & (F.col("s.key") == F.col("e.key")) & (F.col("s.vector") == F.col("e.vector"))
-    elements = starts.join(ends, same, "left_semi").filter(f"chars >= {HELD} * all_chars AND missed = 0 AND chars > 0 AND {HELD} * times <= pages")
-    best = F.max_by("key", F.struct(F.col("depth") / F.col("pages"), F.col("chars"), F.col("key")))
-    return elements.groupBy("host").agg(best.alias("region"), F.max("n_pages").alias("n_pages"))
+    sums = [F.sum(c).alias(c) for c in _SUMS]
+    roles = materialise(parts.groupBy("host", "path").agg(F.first("parent").alias("parent"), F.min("low").alias("low"), F.max("high").alias("high"), *sums))
+    whole = roles.filter("parent = 0").select(F.col("host").alias("of"), F.col("pages").alias("n_pages"))
+    # so a group has at most twice as many rows as a page of the host has roles
+    frequent = roles.join(whole, roles["host"].eqNullSafe(whole["of"])).filter(f"2 * pages >= n_pages AND (host IS NULL OR n_pages >= {FEW})").drop("of")
+
+    def deduce(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        region, furniture = deduced(rows, rows[0]["n_pages"])
+        return pa.table({"host": pa.array([rows[0]["host"]], pa.string()), "region": pa.array([region], pa.int64()), "furniture": pa.array([furniture], pa.list_(pa.int64()))})
+
+    return frequent.groupBy("host").applyInArrow(deduce, "host string, region long, furniture array<long>").filter("region IS NOT NULL")
+
+
+def _region(page: Page, region: int | None) -> int | None:
+    """The element of a region's role, or the least one around several; none if there is none outside of furniture."""
+    found = page.outermost(0, lambda e: _signed(page.paths[e]) == region or page.furniture[e]) if region is not None else []
+    found = [e for e in found if _signed(page.paths[e]) == region and not page.furniture[e]]
+    if not found and region == _signed(page.paths[0]):
+        return 0
+    return page.around(found) if found else None
+
+
+def _tagged(page: Page) -> int:
+    """The article or main that holds all headings and next to all text outside of furniture, else the body or the page."""
+    gone = page.outermost(0, lambda e: page.furniture[e] or page.tags[e] in ("article", "main"))
+    mains, gone = [e for e in gone if not page.furniture[e]], [e for e in gone if page.furniture[e]]
+    outer = page.outermost(0, lambda e: page.furniture[e])
+    text = lambda e: page.chars(e) - sum(page.chars(f) for f in outer if page.starts[e] < page.starts[f] < page.ends[e])
+    for tag in ("article", "main"):
+        found = [e for e in mains if page.tags[e] == tag]
+        if found:
+            e = page.around(found)
+            heads = [h for h, t in enumerate(page.tags) if t in HEADINGS and not any(page.starts[f] <= page.starts[h] < page.ends[f] for f in outer)]
+            if text(e) >= HELD * text(0) and all(page.starts[e] <= page.starts[h] < page.ends[e] for h in heads):
+                return e
+    bodies = [e for e, t in enumerate(page.tags) if t == "body"]
+    return page.around(bodies) if bodies else 0
+
+
+def main_text(source: str | None, own: tuple[int | None, frozenset[int]] = (None, frozenset()), common: tuple[int | None, frozenset[int]] = (None, frozenset())) -> str:
+    """Text of a page by the template of its host, else by that of all pages, else by its tags alone."""
+    page = Page(source or "")
+    for region, furniture in (own, common):
+        inside = _region(page, region)
+        if inside is not None and (page.chars(inside) or not page.chars(0)):
+            return page.text(inside, page.outermost(inside, lambda e: page.furniture[e] or _signed(page.paths[e]) in furniture))
+    inside = _tagged(page)
+    whole = page.tags[inside] not in ("article", "main")
+    return page.text(inside, page.outermost(inside, lambda e: page.furniture[e] or whole and page.tags[e] == "header" and not _holds_most(page, e)))
+
+
+def _holds_most(page: Page, e: int) -> bool:
+    return 2 * page.chars(e) > page.chars(0)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -312,15 +267,22 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     plain = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     hosted = plain.withColumn("host", host_of(F.col("url")))
     found = materialise(templates(hosted))
-    pooled = found.filter("host IS NULL").first()
-    common = pooled["region"] if pooled else None
-    own = found.filter(f"host IS NOT NULL AND n_pages >= {FEW}").select("host", "region")
-    few = own.count() <= BROADCAST_HOSTS
-    joined = hosted.join(F.broadcast(own) if few else own, "host", "left").select("page_id", "url", "html", F.coalesce("region", F.lit(common)).alias("region"))
+    pooled = found.filter("host IS NULL").first()  # a row of as many numbers as a page has roles
+    common = (pooled["region"], frozenset(pooled["furniture"])) if pooled else (None, frozenset())
+    own = found.filter("host IS NOT NULL").select(F.col("host").alias("__host"), "region", "furniture")
+    numbers = own.agg(F.sum(F.size("furniture") + 8)).first()[0] or 0
+    if numbers <= BROADCAST_NUMBERS:
+        joined = hosted.join(F.broadcast(own), F.col("host") == F.col("__host"), "left")
+    else:  # a host of many pages is dealt to several tasks
+        salt = F.pmod(F.xxhash64("page_id", "url", F.length("html")), F.lit(_SALTS))
+        salted = own.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).cast("long"))
+        joined = hosted.withColumn("salt", salt).join(salted, (F.col("host") == F.col("__host")) & (F.col("salt") == F.col("__salt")), "left")
+    joined = joined.select("page_id", "url", "html", "region", "furniture")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(h.as_py(), r.as_py()) for h, r in zip(batch.column(2), batch.column(3))]
+            regions, furniture = (batch.column(k).to_pylist() for k in (3, 4))
+            texts = [main_text(h.as_py(), (r, frozenset(f or ())), common) for h, r, f in zip(batch.column(2), regions, furniture)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     kind = joined.schema["page_id"].dataType.simpleString()

@@ -147,7 +147,7 @@ def test_regions_leave_nothing_out(spark):
     got = extracted(spark, f"<html><body><h1>T</h1><div class='body'><p>{long * 20}</p></div></body></html>")
     assert got.startswith("T\nword")
     assert extracted(spark, f"<html><body>\n<h1>T</h1>\n<div class='body'><p>{long * 20}</p></div>").startswith("T\nword")
-    assert html_templates.main_text(f"<body><article>a</article><article>b</article><p>{long}", None) == "a\nb\n" + long.strip()
+    assert html_templates.main_text(f"<body><article>a</article><article>b</article><p>{long}") == "a\nb\n" + long.strip()
 
 
 @pytest.mark.parametrize(
@@ -163,7 +163,7 @@ def test_regions_leave_nothing_out(spark):
 )
 def test_furniture_is_not_the_article(spark, page):
     inside = "<h1>T</h1><p>text of it</p><div class='search-results'>two found</div><div class='share-price'>12.5</div><div class='share-buttons'>s</div>"
-    assert html_templates.main_text(page.format(inside), None) == "T\ntext of it\ntwo found\n12.5"
+    assert html_templates.main_text(page.format(inside)) == "T\ntext of it\ntwo found\n12.5"
     assert extracted(spark, page.format(inside)) == "T\ntext of it\ntwo found\n12.5"
 
 

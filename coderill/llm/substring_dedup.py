@@ -1,10 +1,12 @@
 """Passages that repeat across documents, found by collinear chaining of shared k-mer seeds.
 
 1. Seeds are hashes of ``K`` words at the minimizers of windows of ``W``: any ``K + W - 1`` equal words
-   share one. A seed is joined with its first occurrence in the corpus, by document and place, so copies
-   link to one source and rows stay linear in the seeds, however common a passage is. Neighbouring seeds
-   whose first occurrences are not neighbours alike are a joint; it is joined with its own first occurrence,
-   so that a passage made of stretches which earlier documents have apart gets a source of its own.
+   share one. The occurrences of a seed, in order of document, are a list, dealt by ranges of (seed, document), so that
+   a seed that a third of all documents have is spread over tasks. Each occurrence is joined with the one in the
+   document before and with the first of its range: copies link to one source or to their neighbour, and rows stay
+   linear in the seeds, however common a passage is. Neighbouring seeds whose first occurrences are not neighbours
+   alike are a joint; joints are joined in the same way, so that a passage made of stretches which earlier
+   documents have apart gets a source of its own.
 2. The matches of a document with a source are chained: in order of their place in the document, a
    Fenwick tree over the places in the source finds the best chain to extend, its score falling with the
    words skipped on either side.
@@ -13,9 +15,10 @@
    ``min_words`` equal words, of which a share of ``identity`` is equal, are passages. A chain that is none
    as a whole is cut at its gaps: the longest stretches of it that are passages count, each for itself.
 
-Texts are compared with A-Z lower-cased. The source is the occurrence in the document of the smallest
-id. Repeats inside a document are not passages. Null and empty texts and null ids have no seeds. Repeated
-rows of an id count as one document, and are cut alike. Extra columns are dropped, or kept by ``cut``.
+Texts are compared with A-Z lower-cased. The source is a document of a smaller id. Of passages of a document that lie in
+one another, the longest is returned, once. Repeats inside a document are not passages. Null and empty texts and null ids
+have no seeds. Repeated rows of an id count as one document and are cut alike; of different texts under one id, the least
+stands for the id, and the others are neither compared nor cut. Extra columns are dropped, or kept by ``cut``.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from coderill.llm import words, worker
@@ -86,17 +89,100 @@ def seeds(docs: DataFrame, k: int = K, window: int = W) -> DataFrame:
             ids = batch.column(0).to_numpy()
             for w in words.split_words(batch.column(1)):
                 doc, place, hashes = minimizers(w, k, window)
-                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(ids[w.lo + doc]), pa.array(place.astype(np.int32))], names=["seed", "doc_id", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(ids[w.lo + doc]), pa.array(place.astype(np.int64))], names=["key", "doc_id", "place"])
 
-    return docs.mapInArrow(worker.tidy(run), "seed long, doc_id long, place int")
+    return docs.mapInArrow(worker.tidy(run), "key long, doc_id long, place long")
 
 
-def matches(found: DataFrame) -> DataFrame:
-    """(doc_id, source, place, source_place): seeds that two documents have, also those of the first, its own source."""
-    first = F.min(F.struct("doc_id", "place")).alias("first")
-    firsts = found.groupBy("seed").agg(first, F.max("doc_id").alias("last")).filter("first.doc_id < last")
-    firsts = firsts.select("seed", F.col("first.doc_id").alias("source"), F.col("first.place").alias("source_place"))
-    return found.join(firsts, "seed").select("doc_id", "source", "place", "source_place")
+LINKED = "kind int, part int, key long, doc_id long, place long, first_doc long, first_place long, prev_doc long, prev_place long"
+_INNER, _HEAD, _TAIL = 0, 1, 2
+
+
+def _linked(keys: np.ndarray, docs: np.ndarray, places: np.ndarray, state: tuple | None) -> tuple[list[np.ndarray], int, tuple | None]:
+    """Rows of LINKED (from ``key`` on) for sorted occurrences but for those of the last key and document, which may go on.
+
+    ``state`` is the first and the last occurrence before these of the first key, if it has any. Also
+    returned are how many rows are done, and the state for the rest.
+    """
+    n = len(keys)
+    new_key = np.ones(n, dtype=bool)
+    new_key[1:] = keys[1:] != keys[:-1]
+    new = new_key.copy()
+    new[1:] |= docs[1:] != docs[:-1]
+    at = np.flatnonzero(new)  # where a document's occurrences of a key begin
+    of_row = np.cumsum(new) - 1
+    key_start = new_key[at]
+    first = np.maximum.accumulate(np.where(key_start, np.arange(len(at)), 0))
+    prev = np.where(key_start, -1, np.arange(len(at)) - 1)
+    first_doc, first_place = docs[at[first]], places[at[first]]
+    prev_doc, prev_place = np.where(prev >= 0, docs[at[prev]], -1), np.where(prev >= 0, places[at[prev]], 0)
+    known = prev >= 0
+    if state is not None:
+        mine = first == 0
+        first_doc, first_place = np.where(mine, state[0], first_doc), np.where(mine, state[1], first_place)
+        prev_doc[0], prev_place[0], known[0] = state[2], state[3], True
+    last = len(at) - 1
+    done = int(at[last])
+    more = known.copy()
+    more[:-1] |= first[1:] == first[:-1]  # another document follows
+    rest = (int(first_doc[last]), int(first_place[last]), int(prev_doc[last]), int(prev_place[last])) if known[last] else None
+    k = np.flatnonzero(more[of_row[:done]])
+    g = of_row[:done][k]
+    return [keys[k], docs[k], places[k], first_doc[g], first_place[g], np.where(known[g], prev_doc[g], -1), prev_place[g], known[g]], done, rest
+
+
+def linked(found: DataFrame) -> DataFrame:
+    """(key, doc_id, place, first_doc, first_place, prev_doc, prev_place) for keys that two documents have.
+
+    ``found`` is (key, doc_id, place). Of each occurrence in a document that is not the first of its range, the first
+    occurrence in the range and the one in the document before; of the first one, itself and no document before.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
+        names = [f.split()[0] for f in LINKED.split(", ")]
+
+        def rows(columns: list[np.ndarray], kind: int) -> pa.RecordBatch:
+            known = columns[7]
+            n = len(columns[0])
+            head = [pa.array(np.full(n, kind, np.int32)), pa.array(np.full(n, part, np.int32))]
+            return pa.RecordBatch.from_arrays([*head, *(pa.array(c.astype(np.int64)) for c in columns[:5]), pa.array(columns[5].astype(np.int64), mask=~known), pa.array(columns[6].astype(np.int64), mask=~known)], names=names)
+
+        held, state, first = None, None, True
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [batch.column(k).to_numpy() for k in range(3)]
+            if held is not None:
+                columns = [np.concatenate(x) for x in zip(held, columns)]
+            if first:  # the first document of the range, which may have ones before it
+                first = False
+                n = int(np.argmax((columns[0] != columns[0][0]) | (columns[1] != columns[1][0]))) or len(columns[0])
+                one = np.ones(n, dtype=bool)
+                yield rows([columns[0][:n], columns[1][:n], columns[2][:n], columns[1][:n], columns[2][:n], columns[1][:n], columns[2][:n], ~one], _HEAD)
+            out, done, state = _linked(*columns, state)
+            held = [c[done:] for c in columns]
+            if len(out[0]):
+                yield rows(out, _INNER)
+        if held is not None:
+            keys, docs, places = held
+            if state is not None:
+                n = len(keys)
+                yield rows([keys, docs, places, *(np.full(n, x) for x in state), np.ones(n, dtype=bool)], _INNER)
+            begun = state[:2] if state is not None else (docs[0], places[0])
+            yield rows([keys[:1], docs[:1], places[:1], np.array(begun[:1]), np.array(begun[1:]), docs[:1], places[:1], np.zeros(1, dtype=bool)], _TAIL)
+
+    dealt = found.repartitionByRange("key", "doc_id").sortWithinPartitions("key", "doc_id", "place")
+    out = materialise(dealt.mapInArrow(worker.tidy(run), LINKED))
+    # a range that begins within a key: the end of the range before has the document before; a row for each range
+    heads, tails = out.filter(F.col("kind") == _HEAD), out.filter(F.col("kind") == _TAIL)
+    before = F.lag(F.struct("key", "doc_id", "place", "first_doc", "first_place")).over(Window.orderBy("part"))
+    joined = heads.join(tails.select("part", before.alias("t")), "part").filter("key = t.key")
+    own = ("key", "doc_id", "place")
+    ended = joined.select(*own, "t.first_doc", "t.first_place", F.col("t.doc_id").alias("prev_doc"), F.col("t.place").alias("prev_place"))
+    return out.filter(F.col("kind") == _INNER).select(*own, "first_doc", "first_place", "prev_doc", "prev_place").unionByName(ended)
 
 
 class Fenwick:
@@ -193,12 +279,24 @@ def joints(place: np.ndarray, source: np.ndarray, source_place: np.ndarray) -> t
 
 
 def second_chains(found: DataFrame) -> DataFrame:
-    """CHAINS of two matches each: joints with their first occurrence."""
-    rows = found.filter("length(sources) = 0").select("doc_id", F.col("source").alias("joint"), "places")
-    first = F.min(F.struct("doc_id", "places")).alias("first")
-    firsts = rows.groupBy("joint").agg(first, F.max("doc_id").alias("last")).filter("first.doc_id < last")
-    firsts = firsts.select("joint", F.col("first.doc_id").alias("source"), F.col("first.places").alias("sources"))
-    return rows.join(firsts, "joint").filter("doc_id <> source").select("doc_id", "source", "places", "sources")
+    """CHAINS of two matches each: joints with their first occurrence and the one before."""
+    rows = found.filter("length(sources) = 0")
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.int32).reshape(-1, 2).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(both[:, 0] << 32 | both[:, 1])], names=["key", "doc_id", "place"])
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places = [np.stack([c >> 32, c & 0xFFFFFFFF], axis=1).astype(np.int32) for c in (batch.column(k).to_numpy() for k in (2, 3))]
+            blobs = [pa.array([x.tobytes() for x in both], pa.binary()) for both in places]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *blobs], names=["doc_id", "source", "places", "sources"])
+
+    tied = linked(rows.select(F.col("source").alias("key"), "doc_id", "places").mapInArrow(packed, "key long, doc_id long, place long"))
+    first, before = (tied.select("doc_id", F.col(f"{who}_doc").alias("source"), "place", F.col(f"{who}_place").alias("source_place"), "prev_doc") for who in ("first", "prev"))
+    both = first.filter("source <> prev_doc").union(before.filter("source IS NOT NULL"))
+    return both.drop("prev_doc").mapInArrow(opened, CHAINS)
 
 
 def rechained(spans: list[tuple[int, np.ndarray, np.ndarray, bool]], k: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
@@ -211,18 +309,18 @@ def rechained(spans: list[tuple[int, np.ndarray, np.ndarray, bool]], k: int) ->
     return out
 
 
-def chained(linked: DataFrame, k: int = K, gap_cost: float = GAP_COST) -> DataFrame:
+def chained(matched: DataFrame, k: int = K, gap_cost: float = GAP_COST) -> DataFrame:
     """CHAINS of each document with its sources, and its joints: the key as source, and no source places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for batch in _with_end(batches):
-            columns = [c.to_numpy() for c in batch.columns] if batch is not None else None
+            columns = [*(c.fill_null(0).to_numpy() for c in batch.columns), batch.column(4).is_valid().to_numpy(zero_copy_only=False)] if batch is not None else None
             if rest is not None:
                 columns = [np.concatenate(x) for x in zip(rest, columns)] if columns else rest
             if columns is None or not len(columns[0]):
                 continue
-            doc, source, place, source_place = columns
+            doc = columns[0]
             edges = np.flatnonzero(doc[1:] != doc[:-1]) + 1
             cuts = [0, *edges.tolist(), len(doc)]
             if batch is not None:  # the last document may go on in the next batch
@@ -230,19 +328,22 @@ def chained(linked: DataFrame, k: int = K, gap_cost: float = GAP_COST) -> DataFr
                 cuts.pop()
             rows: tuple[list, ...] = ([], [], [], [])
             for lo, hi in zip(cuts, cuts[1:]):
-                for key, both in zip(*joints(place[lo:hi], source[lo:hi], source_place[lo:hi])):
+                place, first, first_place, before, before_place, known = (c[lo:hi] for c in columns[1:])
+                for key, both in zip(*joints(place, first, first_place)):
                     for column, value in zip(rows, (doc[lo], key, both.tobytes(), b"")):
                         column.append(value)
-                order = lo + np.lexsort((source_place[lo:hi], place[lo:hi], source[lo:hi]))
-                order = order[source[order] != doc[lo]]
-                for part in np.split(order, np.flatnonzero(np.diff(source[order])) + 1) if len(order) else ():
-                    p, s = place[part], source_place[part]
+                other = (first != doc[lo]) & ~(known & (first == before))
+                pairs = np.concatenate([np.stack([first, place, first_place], axis=1)[other], np.stack([before, place, before_place], axis=1)[known]])
+                pairs = np.unique(pairs, axis=0)
+                for part in np.split(pairs, np.flatnonzero(np.diff(pairs[:, 0])) + 1) if len(pairs) else ():
+                    p, s = part[:, 1], part[:, 2]
                     for chain in chains(p.tolist(), s.tolist(), k, gap_cost):
-                        for column, value in zip(rows, (doc[lo], source[part[0]], p[chain].astype(np.int32).tobytes(), s[chain].astype(np.int32).tobytes())):
+                        for column, value in zip(rows, (doc[lo], part[0, 0], p[chain].astype(np.int32).tobytes(), s[chain].astype(np.int32).tobytes())):
                             column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.binary()), pa.array(rows[3], pa.binary())], names=["doc_id", "source", "places", "sources"])
 
-    return linked.repartition("doc_id").sortWithinPartitions("doc_id").mapInArrow(worker.tidy(run), CHAINS)
+    rows = matched.select("doc_id", "place", "first_doc", "first_place", "prev_doc", "prev_place")
+    return rows.repartition("doc_id").sortWithinPartitions("doc_id").mapInArrow(worker.tidy(run), CHAINS)
 
 
 def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
@@ -363,64 +464,108 @@ class _Segments:
         return self.hashes
 
 
-def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, identity: float = IDENTITY, k: int = K, window: int = W) -> DataFrame:
-    """Rows of PASSAGES: words ``start`` to ``end`` of a document repeat those of its source."""
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    plain = plain.filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    first_round = materialise(chained(matches(seeds(plain, k, window)), k))
-    second_round = materialise(second_chains(first_round))
-    found = first_round.filter("length(sources) > 0").withColumn("joint", F.lit(False)).union(second_round.withColumn("joint", F.lit(True)))
-    asked = found.select("doc_id").union(found.select("source")).distinct()
+def one_text(plain: DataFrame) -> DataFrame:
+    """(doc_id, text) with the least text of each id that has several rows."""
+    several = materialise(plain.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id"))
+    n = several.count()
+    if not n:
+        return plain
+    several = F.broadcast(several) if n <= BROADCAST_ROWS else several
+    return plain.join(several, "doc_id", "left_anti").unionByName(plain.join(several, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")))
+
+
+_CUT_OUT = "source long, doc_id long, lo int, more boolean, places binary, sources binary, segment binary"
+
+
+def _aligned(chains_of: DataFrame, plain: DataFrame, reach: int, min_words: int, identity: float, k: int, first: bool) -> DataFrame:
+    """PASSAGES of chains, and the chains (as ``places``, ``sources``) of those that end where ``reach`` words beyond them do."""
+    asked = chains_of.select("doc_id").union(chains_of.select("source")).distinct()
     few = asked.count() <= BROADCAST_ROWS
-    texts = plain.join(F.broadcast(asked) if few else asked, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-    chain = F.struct("source", "places", "sources", "joint")
-    by_doc = found.groupBy("doc_id").agg(F.collect_list(chain).alias("chains"))  # no more than the document has seeds
+    texts = plain.join(F.broadcast(asked) if few else asked, "doc_id", "left_semi")
+    joint = F.col("joint") if first else F.lit(False)
+    by_doc = chains_of.groupBy("doc_id").agg(F.collect_list(F.struct("source", "places", "sources", joint.alias("joint"))).alias("chains"))  # no more than the document has seeds
 
     def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segments = _Segments()
         for batch in words.slices(batches, "text", 1 << 22):
-            rows: list[dict] = []
             for i, (doc, chains_here) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())):
+                rows: list[tuple] = []
                 hashes = segments.of(doc, batch.column(1).slice(i, 1))
-                chained_here = rechained([(c["source"], np.frombuffer(c["places"], np.int32), np.frombuffer(c["sources"], np.int32), c["joint"]) for c in chains_here], k)
-                for j in uncovered([x[1:] for x in chained_here], min_words, identity, k):
-                    source, places, sources = chained_here[j]
-                    lo, hi = max(0, int(places[0]) - _REACH), int(places[-1]) + k + _REACH
-                    rows.append({"source": source, "doc_id": doc, "lo": lo, "places": places.tobytes(), "sources": sources.tobytes(), "segment": hashes[lo:hi].tobytes()})
-            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("source", pa.int64()), ("doc_id", pa.int64()), ("lo", pa.int32()), ("places", pa.binary()), ("sources", pa.binary()), ("segment", pa.binary())]))
-
-    cut_out = by_doc.join(texts, "doc_id").select("doc_id", "text", "chains").mapInArrow(worker.tidy(segment), "source long, doc_id long, lo int, places binary, sources binary, segment binary")
-    sourced = cut_out.join(texts.select(F.col("doc_id").alias("source"), "text"), "source").select("source", "text", "doc_id", "lo", "places", "sources", "segment")
-
-    def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                chained_here = [(c["source"], np.frombuffer(c["places"], np.int32), np.frombuffer(c["sources"], np.int32), c["joint"]) for c in chains_here]
+                picked = rechained(chained_here, k) if first else [c[:3] for c in chained_here]
+                for j in uncovered([x[1:] for x in picked], min_words, identity, k) if first else range(len(picked)):
+                    source, places, sources = picked[j]
+                    lo, hi = max(0, int(places[0]) - reach), int(places[-1]) + k + reach
+                    rows.append((source, doc, lo, hi < len(hashes), places.tobytes(), sources.tobytes(), hashes[lo:hi].tobytes()))
+                if rows:
+                    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=[f.split()[0] for f in _CUT_OUT.split(", ")])
+
+    cut_out = by_doc.join(texts, "doc_id").select("doc_id", "text", "chains").mapInArrow(worker.tidy(segment), _CUT_OUT)
+    sourced = cut_out.join(texts.select(F.col("doc_id").alias("source"), "text"), "source").select("source", "text", "doc_id", "lo", "more", "places", "sources", "segment")
+
+    def align_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segments = _Segments()
         for batch in words.slices(batches, "text", 1 << 22):
             rows: list[tuple] = []
-            columns = [batch.column(c).to_pylist() for c in (0, 2, 3, 4, 5, 6)]
-            for i, (source, doc, lo, places, sources, segment) in enumerate(zip(*columns)):
+            columns = [batch.column(c).to_pylist() for c in (0, 2, 3, 4, 5, 6, 7)]
+            for i, (source, doc, lo, more, places, sources, segment) in enumerate(zip(*columns)):
                 hashes = segments.of(source, batch.column(1).slice(i, 1))
-                places, sources = np.frombuffer(places, np.int32), np.frombuffer(sources, np.int32)
-                source_lo = max(0, int(sources[0]) - _REACH)
-                part = hashes[source_lo : int(sources[-1]) + k + _REACH]
-                for start, end, source_start, source_end, equal in align(np.frombuffer(segment, np.uint64), part, places - lo, sources - source_lo, k, min_words, identity):
+                p, s = np.frombuffer(places, np.int32), np.frombuffer(sources, np.int32)
+                source_lo = max(0, int(s[0]) - reach)
+                part, own = hashes[source_lo : int(s[-1]) + k + reach], np.frombuffer(segment, np.uint64)
+                source_more = source_lo + len(part) < len(hashes)
+                for start, end, source_start, source_end, equal in align(own, part, p - lo, s - source_lo, k, min_words, identity):
+                    # words that both texts have beyond what lies here may go on
+                    ahead = (start == 0 and lo > 0 or source_start == 0 and source_lo > 0) and (start > 0 or lo > 0) and (source_start > 0 or source_lo > 0)
+                    behind = (end == len(own) and more or source_end == len(part) and source_more) and (end < len(own) or more) and (source_end < len(part) or source_more)
                     share = equal / max(end - start, source_end - source_start)
-                    rows.append((doc, start + lo, end + lo, source, source_start + source_lo, source_end + source_lo, equal, share))
-            columns = list(zip(*rows)) or [()] * 8
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=[f.split()[0] for f in PASSAGES.split(", ")])
+                    rows.append((doc, start + lo, end + lo, source, source_start + source_lo, source_end + source_lo, equal, share, *((places, sources) if ahead or behind else (None, None))))
+            columns = list(zip(*rows)) or [()] * 10
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=[f.split()[0] for f in f"{PASSAGES}, places binary, sources binary".split(", ")])
+
+    return sourced.mapInArrow(worker.tidy(align_all), f"{PASSAGES}, places binary, sources binary")
+
 
-    return sourced.mapInArrow(worker.tidy(aligned), PASSAGES)
+def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, identity: float = IDENTITY, k: int = K, window: int = W) -> DataFrame:
+    """Rows of PASSAGES: words ``start`` to ``end`` of a document repeat those of its source."""
+    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    plain = one_text(plain.filter("doc_id IS NOT NULL AND text IS NOT NULL"))
+    first_round = materialise(chained(linked(seeds(plain, k, window)), k))
+    second_round = materialise(second_chains(first_round))
+    chains_of = first_round.filter("length(sources) > 0").withColumn("joint", F.lit(False)).union(second_round.withColumn("joint", F.lit(True)))
+    found, reach, first = None, _REACH, True
+    while True:
+        part = materialise(_aligned(chains_of, plain, reach, min_words, identity, k, first))
+        found = part.drop("places", "sources") if found is None else found.unionByName(part.drop("places", "sources"))
+        chains_of = part.filter("places IS NOT NULL").select("doc_id", F.col("source_id").alias("source"), "places", "sources").distinct()
+        if chains_of.isEmpty():
+            break
+        reach, first = 16 * reach, False  # few go on beyond what lay there
+    before = Window.partitionBy("doc_id").orderBy("start", F.desc("end"), "source_id", "source_start").rowsBetween(Window.unboundedPreceding, -1)
+    return found.withColumn("__to", F.max("end").over(before)).filter("__to IS NULL OR end > __to").drop("__to")
 
 
 def cut(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the words of their passages; documents of which no word stays are gone.
 
-    All columns are kept; ``n_chars``, where there is one, is counted anew in the texts that change.
+    All columns are kept; ``n_chars``, where there is one, is counted anew in the texts that change. Of several texts
+    under one id only the least, which the passages are of, is cut.
     """
+    own, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
+    hashed = docs.select(own.alias("__doc"), F.xxhash64(text).alias("h")).filter(own.isNotNull() & text.isNotNull())
+    several = materialise(hashed.groupBy("__doc").agg(F.min("h").alias("low"), F.max("h").alias("high")).filter("low <> high").select("__doc"))
     spans = materialise(found.select(F.col("doc_id").alias("__doc"), F.struct("start", "end").alias("span")))
     few = spans.count() <= BROADCAST_ROWS
     grouped = spans.groupBy("__doc").agg(F.sort_array(F.collect_set("span")).alias("__spans"))
-    joined = docs.join(F.broadcast(grouped) if few else grouped, F.col(id_col).cast("long") == F.col("__doc"), "left").drop("__doc")
+    if not several.isEmpty():
+        least = docs.select(own.alias("__doc"), text.alias("__text")).join(several, "__doc", "left_semi").groupBy("__doc").agg(F.xxhash64(F.min("__text")).alias("__least"))
+        grouped = grouped.join(least, "__doc", "left")
+        same = (own == F.col("__doc")) & (F.col("__least").isNull() | (F.col("__least") == F.xxhash64(text)))
+        joined = docs.join(grouped, same, "left").drop("__doc", "__least")
+    else:
+        joined = docs.join(F.broadcast(grouped) if few else grouped, own == F.col("__doc"), "left").drop("__doc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

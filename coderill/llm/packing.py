@@ -91,7 +91,8 @@ class WordIds:
         parted: list[tuple[str, str, str]] = []
         for word in fresh:
             head = word.rstrip(_SIGNS)
-            if not self.parted or not head.isalpha() or any(token in word for token in self.added):
+            # lower-casing may part a letter into a letter and a mark, which is encoded as a sign
+            if not self.parted or not head.isalpha() or not head.lower().isalpha() or any(token in word for token in self.added):
                 whole.append(word)
                 continue
             tail = word[len(head) :]

@@ -59,6 +59,7 @@ class BytePairCodec:
         self._bytes = {i: bytes(back[c] for c in token) for token, i in vocabulary.items()}
         self._special = {t["content"]: t["id"] for t in spec.get("added_tokens", ())}
         self._bytes.update({i: text.encode() for text, i in self._special.items()})
+        self.written = {str(i): data for i, data in self._bytes.items()}
         self._cut = regex.compile("|".join(map(regex.escape, sorted(self._special, key=len, reverse=True)))) if self._special else None
         self.pre_tokens = regex.compile(PRE_TOKEN).findall
 
@@ -120,22 +121,24 @@ class BytePairCodec:
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self._bytes.__getitem__, ids)).decode("utf-8", "replace")
 
+    @staticmethod
+    def text_of(data: bytes) -> bytes:
+        """Joined vocabulary strings as UTF-8, with the replacement character for what is none."""
+        return data.decode("utf-8", "replace").encode("utf-8")
+
     def has_special(self, text: str) -> bool:
         return self._cut is not None and self._cut.search(text) is not None
 
 
 class _Tokens(dict):
-    """Of a pre-token: its ids written with commas. Each is decoded again when it is first seen."""
+    """Of a pre-token: its ids written with commas."""
 
     def __init__(self, codec: BytePairCodec):
         super().__init__()
         self.codec = codec
-        self.lossy = False
 
     def __missing__(self, token: str) -> str:
-        ids = self.codec.merge(token.encode("utf-8"))
-        self.lossy |= self.codec.decode(ids) != token
-        out = ",".join(map(str, ids))
+        out = ",".join(map(str, self.codec.merge(token.encode("utf-8"))))
         if len(token) <= 64:
             if len(self) > MEMORY:
                 self.clear()
@@ -169,9 +172,8 @@ class Digester:
     """Token count and the two hashes of a text.
 
     Where white space is single spaces and line feeds only, no pre-token spans more than a space and
-    the word after it, so words are looked up one by one; other texts are encoded as a whole. What a
-    text decodes to is put together from its pre-tokens: while each of them has decoded to itself, that
-    is the text; once one has not, texts are decoded id by id.
+    the word after it, so words are looked up one by one; other texts are encoded as a whole. The text's
+    ids, as they are hashed, are decoded one by one.
     """
 
     def __init__(self, path: str):
@@ -198,8 +200,11 @@ class Digester:
 
     def digest(self, text: str) -> tuple[int, str, str]:
         ids = self.ids(text) if text else ""
-        decoded = text if not self.tokens.lossy else self.codec.decode(list(map(int, ids.split(",")))) if ids else ""
-        return ids.count(",") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+        if not ids:
+            return 0, hashlib.sha256(b"").hexdigest(), hashlib.sha256(b"").hexdigest()
+        each = ids.split(",")
+        decoded = self.codec.text_of(b"".join(map(self.codec.written.__getitem__, each)))
+        return len(each), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()
 
 
 @functools.cache

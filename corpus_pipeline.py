@@ -1,7 +1,8 @@
 """A corpus pipeline of five operators: filter twice, keep one of near copies, cut repeated passages, pack.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read again
-as the next one's ``docs``. All but the last return the columns of ``documents``.
+as the next one's ``docs``. All but the last return the columns of ``documents``. Of an empty table every stage returns an
+empty one.
 """
 
 from __future__ import annotations
@@ -17,19 +18,27 @@ from coderill.llm.tables import read, stage_folder
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose perplexity under the model of trusted text is within their language's bound."""
-    classifier = quality_lm.fit(docs, read(spark, sf_dir, "labels"))
-    return classifier.score(docs).filter("kept").select(*docs.columns)
+    """Documents whose perplexity under the model of trusted text is within their language's bound.
+
+    Null and empty texts and null ids stay; rows stay as often as they come. Without labels all stay.
+    """
+    return quality_lm.fit(docs, read(spark, sf_dir, "labels")).accepted(docs)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rule and the learned decision list."""
+    """Documents that pass the base rule and the learned decision list; null and empty texts have no words and go.
+
+    Rows stay as often as they come, null ids too. Without labels the base rule decides alone.
+    """
     rules = decision_rules.fit(docs, read(spark, sf_dir, "labels"))
     return decision_rules.accepted(docs, rules)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one of the smallest id. Rows without an id stay."""
+    """One document of each group of near copies: the one of the smallest id. Rows without an id stay.
+
+    Null and empty texts are copies of nothing; repeated rows of an id that stays all stay.
+    """
     groups = shingle_join.join(docs)
     copies = groups.filter("component_id < doc_id").select(F.col("doc_id").alias("__copy")).distinct()
     few = copies.count() <= substring_dedup.BROADCAST_ROWS
@@ -38,12 +47,15 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages that one of a smaller id has; those left without a word go."""
+    """Documents without passages that one of a smaller id has; those left without a word go.
+
+    Null and empty texts and null ids stay as they are; repeated rows of an id are cut alike.
+    """
     return substring_dedup.cut(docs, substring_dedup.passages(docs))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents with the sequence that each is packed into."""
+    """Pieces of the documents with the sequence that each is packed into; a null or empty text is a piece of one token."""
     return packing.pack(packing.tokenise(docs, vocabulary("word_bpe_49k.json")))
 
 

@@ -23,6 +23,7 @@ stands for the id, and the others are neither compared nor cut. Extra columns ar
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -238,29 +239,29 @@ def chains(place: list[int], source: list[int], k: int = K, gap_cost: float = GA
     return out
 
 
-def uncovered(spans: list[tuple[np.ndarray, np.ndarray]], min_words: int, identity: float, k: int = K) -> list[int]:
-    """Which chains (places, source places) of a document to align.
+def levels(spans: list[tuple[int, int, int]], most: int) -> list[int]:
+    """Of each chain (first place, last place, seeds) of a document, in which round it is aligned, from 1 to ``most``.
 
-    A chain whose seeds alone are a passage covers those that lie strictly inside of it, for whichever
-    source; they would find the same words again. In a group of near copies that leaves each document
-    few chains, where each seed may have another first source.
+    In the first are those that lie in no greater one of the round, in the next those of the others that do, and so on.
     """
-    def seeded(places: np.ndarray) -> int:
-        return int(np.minimum(np.diff(places), k).sum()) + k
-
-    order = sorted(range(len(spans)), key=lambda i: (-len(spans[i][0]), int(spans[i][0][0])))
-    covers: list[tuple[int, int]] = []
-    out = []
-    for i in order:
-        places, sources = spans[i]
-        first, last = int(places[0]), int(places[-1])
-        if any(a < first and last < b for a, b in covers):
-            continue
-        out.append(i)
-        words_seeded = min(seeded(places), seeded(sources))
-        if words_seeded >= max(min_words, identity * (max(last - first, int(sources[-1] - sources[0])) + k)):
-            covers.append((first, last))
-    return sorted(out)
+    out, left = [most] * len(spans), sorted(range(len(spans)), key=lambda i: (-spans[i][2], spans[i][0], i))
+    for level in range(1, most):
+        taken: list[tuple[int, int]] = []  # neither lies in another, so both ends rise
+        rest = []
+        for i in left:
+            first, last, _ = spans[i]
+            at = bisect_right(taken, (first, 1 << 60)) - 1
+            if at >= 0 and taken[at][1] >= last:
+                rest.append(i)
+                continue
+            out[i] = level
+            lo = bisect_left(taken, (first, -1))
+            hi = lo
+            while hi < len(taken) and taken[hi][1] <= last:
+                hi += 1
+            taken[lo:hi] = [(first, last)]
+        left = rest
+    return out
 
 
 CHAINS = "doc_id long, source long, places binary, sources binary"
@@ -474,32 +475,54 @@ def one_text(plain: DataFrame) -> DataFrame:
     return plain.join(several, "doc_id", "left_anti").unionByName(plain.join(several, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")))
 
 
+_PICKED = "doc_id long, source long, level int, first int, last int, places binary, sources binary"
+_ROUNDS = 4
+
+
+def _picked(chains_of: DataFrame, k: int) -> DataFrame:
+    """Rows of _PICKED: the chains of each document, joints among them chained again, and the round of each."""
+    chain = F.struct("source", "places", "sources", "joint")
+    by_doc = chains_of.groupBy("doc_id").agg(F.collect_list(chain).alias("chains"))  # no more than the document has seeds
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for doc, chains_here in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                some = rechained([(c["source"], np.frombuffer(c["places"], np.int32), np.frombuffer(c["sources"], np.int32), c["joint"]) for c in chains_here], k)
+                some.sort(key=lambda c: (c[0], int(c[1][0]), int(c[2][0])))
+                spans = [(int(p[0]), int(p[-1]), len(p)) for _, p, _ in some]
+                for (source, p, s), (first, last, _), level in zip(some, spans, levels(spans, _ROUNDS)):
+                    rows.append((doc, source, level, first, last, p.astype(np.int32).tobytes(), s.astype(np.int32).tobytes()))
+            if rows:
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=[f.split()[0] for f in _PICKED.split(", ")])
+
+    return by_doc.mapInArrow(worker.tidy(run), _PICKED)
+
+
 _CUT_OUT = "source long, doc_id long, lo int, more boolean, places binary, sources binary, segment binary"
+_ALIGNED = f"{PASSAGES}, whole boolean, places binary, sources binary"
 
 
-def _aligned(chains_of: DataFrame, plain: DataFrame, reach: int, min_words: int, identity: float, k: int, first: bool) -> DataFrame:
-    """PASSAGES of chains, and the chains (as ``places``, ``sources``) of those that end where ``reach`` words beyond them do."""
+def _aligned(chains_of: DataFrame, plain: DataFrame, reach: int, min_words: int, identity: float, k: int) -> DataFrame:
+    """_ALIGNED rows of chains: whether they end the document, and the chains of those that end where ``reach`` words beyond them do."""
     asked = chains_of.select("doc_id").union(chains_of.select("source")).distinct()
     few = asked.count() <= BROADCAST_ROWS
     texts = plain.join(F.broadcast(asked) if few else asked, "doc_id", "left_semi")
-    joint = F.col("joint") if first else F.lit(False)
-    by_doc = chains_of.groupBy("doc_id").agg(F.collect_list(F.struct("source", "places", "sources", joint.alias("joint"))).alias("chains"))  # no more than the document has seeds
+    by_doc = chains_of.groupBy("doc_id").agg(F.collect_list(F.struct("source", "places", "sources")).alias("chains"))
 
     def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segments = _Segments()
         for batch in words.slices(batches, "text", 1 << 22):
             for i, (doc, chains_here) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())):
-                rows: list[tuple] = []
                 hashes = segments.of(doc, batch.column(1).slice(i, 1))
-                chained_here = [(c["source"], np.frombuffer(c["places"], np.int32), np.frombuffer(c["sources"], np.int32), c["joint"]) for c in chains_here]
-                picked = rechained(chained_here, k) if first else [c[:3] for c in chained_here]
-                for j in uncovered([x[1:] for x in picked], min_words, identity, k) if first else range(len(picked)):
-                    source, places, sources = picked[j]
+                rows: list[tuple] = []
+                for c in chains_here:
+                    places = np.frombuffer(c["places"], np.int32)
                     lo, hi = max(0, int(places[0]) - reach), int(places[-1]) + k + reach
-                    rows.append((source, doc, lo, hi < len(hashes), places.tobytes(), sources.tobytes(), hashes[lo:hi].tobytes()))
-                if rows:
-                    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=[f.split()[0] for f in _CUT_OUT.split(", ")])
+                    rows.append((c["source"], doc, lo, hi < len(hashes), c["places"], c["sources"], hashes[lo:hi].tobytes()))
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=[f.split()[0] for f in _CUT_OUT.split(", ")])
 
     cut_out = by_doc.join(texts, "doc_id").select("doc_id", "text", "chains").mapInArrow(worker.tidy(segment), _CUT_OUT)
     sourced = cut_out.join(texts.select(F.col("doc_id").alias("source"), "text"), "source").select("source", "text", "doc_id", "lo", "more", "places", "sources", "segment")
@@ -520,31 +543,46 @@ def _aligned(chains_of: DataFrame, plain: DataFrame, reach: int, min_words: int,
                     ahead = (start == 0 and lo > 0 or source_start == 0 and source_lo > 0) and (start > 0 or lo > 0) and (source_start > 0 or source_lo > 0)
                     behind = (end == len(own) and more or source_end == len(part) and source_more) and (end < len(own) or more) and (source_end < len(part) or source_more)
                     share = equal / max(end - start, source_end - source_start)
-                    rows.append((doc, start + lo, end + lo, source, source_start + source_lo, source_end + source_lo, equal, share, *((places, sources) if ahead or behind else (None, None))))
-            columns = list(zip(*rows)) or [()] * 10
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=[f.split()[0] for f in f"{PASSAGES}, places binary, sources binary".split(", ")])
+                    chain = (places, sources) if ahead or behind else (None, None)
+                    rows.append((doc, start + lo, end + lo, source, source_start + source_lo, source_end + source_lo, equal, share, end == len(own) and not more, *chain))
+            columns = list(zip(*rows)) or [()] * 11
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.bool_(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=[f.split()[0] for f in _ALIGNED.split(", ")])
 
-    return sourced.mapInArrow(worker.tidy(align_all), f"{PASSAGES}, places binary, sources binary")
+    return sourced.mapInArrow(worker.tidy(align_all), _ALIGNED)
 
 
 def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, identity: float = IDENTITY, k: int = K, window: int = W) -> DataFrame:
-    """Rows of PASSAGES: words ``start`` to ``end`` of a document repeat those of its source."""
+    """Rows of PASSAGES: words ``start`` to ``end`` of a document repeat those of its source.
+
+    Chains are aligned in rounds, the greater ones of a document first; one that lies in a passage that is found, with as many
+    words around it as hold a seed, is left out, as it finds the same words again. In a group of near copies, whose
+    seeds each have another document before, that leaves each document few chains.
+    """
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     plain = one_text(plain.filter("doc_id IS NOT NULL AND text IS NOT NULL"))
     first_round = materialise(chained(linked(seeds(plain, k, window)), k))
     second_round = materialise(second_chains(first_round))
-    chains_of = first_round.filter("length(sources) > 0").withColumn("joint", F.lit(False)).union(second_round.withColumn("joint", F.lit(True)))
-    found, reach, first = None, _REACH, True
-    while True:
-        part = materialise(_aligned(chains_of, plain, reach, min_words, identity, k, first))
-        found = part.drop("places", "sources") if found is None else found.unionByName(part.drop("places", "sources"))
-        chains_of = part.filter("places IS NOT NULL").select("doc_id", F.col("source_id").alias("source"), "places", "sources").distinct()
-        if chains_of.isEmpty():
-            break
-        reach, first = 16 * reach, False  # few go on beyond what lay there
+    both = first_round.filter("length(sources) > 0").withColumn("joint", F.lit(False)).union(second_round.withColumn("joint", F.lit(True)))
+    picked = materialise(_picked(both, k))
+    found, around = None, k + window - 1
+    for level in range(1, _ROUNDS + 1):
+        open_chains = picked.filter(F.col("level") == level)
+        if found is not None:
+            spans = found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "whole")).alias("spans"))
+            holds = lambda x: (x["start"] <= F.greatest(F.col("first") - around, F.lit(0))) & ((x["end"] >= F.col("last") + k + around) | x["whole"])
+            open_chains = materialise(open_chains.join(spans, "doc_id", "left").filter(~F.coalesce(F.exists("spans", holds), F.lit(False))).drop("spans"))
+        reach = _REACH
+        while not open_chains.isEmpty():
+            part = materialise(_aligned(open_chains, plain, reach, min_words, identity, k))
+            rows = part.drop("places", "sources")
+            found = rows if found is None else found.unionByName(rows)
+            open_chains = part.filter("places IS NOT NULL").select("doc_id", F.col("source_id").alias("source"), "places", "sources").distinct()
+            reach *= 16  # few go on beyond what lay there
+    if found is None:
+        return plain.sparkSession.createDataFrame([], PASSAGES)
     before = Window.partitionBy("doc_id").orderBy("start", F.desc("end"), "source_id", "source_start").rowsBetween(Window.unboundedPreceding, -1)
-    return found.withColumn("__to", F.max("end").over(before)).filter("__to IS NULL OR end > __to").drop("__to")
+    return found.drop("whole").withColumn("__to", F.max("end").over(before)).filter("__to IS NULL OR end > __to").drop("__to")
 
 
 def cut(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

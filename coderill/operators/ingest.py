@@ -36,10 +36,18 @@ def first_seen(found: DataFrame) -> DataFrame:
     return found.groupBy("address").agg(first.alias("r")).select("address", "r.block", "r.origin")
 
 
-def capped(new: DataFrame, most: int) -> DataFrame:
-    """New candidates with ``fetched``: the first ``most`` of each block in order of address."""
+def capped(new: DataFrame, most: int | None, calls: int | None = None) -> DataFrame:
+    """New candidates with ``fetched``: the first ``most`` of each block in order of address, and ``calls`` in all, in order of block."""
     order = Window.partitionBy("block").orderBy("address")
-    return new.withColumn("fetched", F.row_number().over(order) <= most)
+    ranked = new.withColumn("k", F.row_number().over(order))
+    allowed = F.lit(most) if most is not None else F.lit(1 << 60)
+    if calls is None:
+        return ranked.withColumn("fetched", F.col("k") <= allowed).drop("k")
+    per_block = new.groupBy("block").agg(F.least(F.count(F.lit(1)), allowed).alias("n"))
+    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each block
+    left = F.lit(calls) - F.coalesce(F.sum("n").over(before), F.lit(0))
+    quota = per_block.select("block", F.greatest(F.least("n", left), F.lit(0)).alias("quota"))
+    return ranked.join(quota, "block").withColumn("fetched", F.col("k") <= F.col("quota")).select(*new.columns, "fetched")
 
 
 def classified(answers: DataFrame) -> DataFrame:
@@ -65,17 +73,28 @@ def block_stats(found: DataFrame, known: DataFrame, decided: DataFrame, kinds: D
     return out.withColumn("complete", F.col("deferred") == 0)
 
 
-def resolved(proxies: DataFrame, slots: DataFrame) -> DataFrame:
-    """(address, implementation): of the implementation slot, else of the beacon slot if the first read did not fail.
+def resolved(proxies: DataFrame, slots: DataFrame, by: tuple[str, ...] = ("address",)) -> DataFrame:
+    """(address, implementation, direct): of the implementation slot (direct), else of the beacon slot if the first read did not fail.
 
-    ``slots`` is (address, slot, word), with a null word for a failed read.
+    ``slots`` is (address, slot, word), with a null word for a failed read; ``by`` may add the block to both.
     """
-    impl = slots.filter("slot = 'implementation'").select("address", F.lit(True).alias("read"), F.col("word").alias("impl_word"))
-    beacon = slots.filter("slot = 'beacon'").select("address", F.col("word").alias("beacon_word"))
-    joined = proxies.select("address").join(impl, "address", "left").join(beacon, "address", "left")
+    impl = slots.filter("slot = 'implementation'").select(*by, F.col("word").alias("impl_word"))
+    beacon = slots.filter("slot = 'beacon'").select(*by, F.col("word").alias("beacon_word"))
+    joined = proxies.select(*by).join(impl, list(by), "left").join(beacon, list(by), "left")
     own = slot_address(F.col("impl_word"))
-    other = F.when(F.col("read") & F.col("impl_word").isNotNull(), slot_address(F.col("beacon_word")))
-    return joined.select("address", F.coalesce(own, other).alias("implementation"))
+    other = F.when(F.col("impl_word").isNotNull(), slot_address(F.col("beacon_word")))
+    return joined.select(*by, F.coalesce(own, other).alias("implementation"), own.isNotNull().alias("direct"))
+
+
+def changes(found: DataFrame, before: DataFrame) -> DataFrame:
+    """(block, address, old_impl, new_impl) of resolved proxies (block, address, implementation), block after block.
+
+    ``before`` is (address, implementation) as known so far. A first implementation is no change, and a failed read leaves what is known.
+    """
+    rows = found.filter("implementation IS NOT NULL").join(before.select("address", F.col("implementation").alias("known")), "address", "left")
+    earlier = F.lag("implementation").over(Window.partitionBy("address").orderBy("block"))
+    rows = rows.select("block", "address", F.coalesce(earlier, "known").alias("old_impl"), F.col("implementation").alias("new_impl"))
+    return rows.filter("old_impl IS NOT NULL AND old_impl <> new_impl")
 
 
 def upgrades(before: DataFrame, now: DataFrame) -> DataFrame:
@@ -90,16 +109,19 @@ def overlaid(before: DataFrame, now: DataFrame) -> DataFrame:
     return before.join(fresh, "address", "left").withColumn("implementation", F.coalesce("new_impl", "implementation")).drop("new_impl")
 
 
+KINDS = ("ALERT", "UPGRADE")
+
+
 def events(alerts: DataFrame, changes: DataFrame, start: int = 0) -> DataFrame:
     """Event rows with ids in order: by block, alerts before upgrades, then as they come in their lists."""
     none = F.lit(None)
     a = alerts.select(
-        F.lit("ALERT").alias("kind"), "block", "address", "seed_address", "label", "score", "origin",
+        F.lit(KINDS[0]).alias("kind"), "block", F.lower("address").alias("address"), F.lower("seed_address").alias("seed_address"), "label", "score", "origin",
         none.cast("string").alias("old_impl"), none.cast("string").alias("new_impl"),
     )
     u = changes.select(
-        F.lit("UPGRADE").alias("kind"), "block", "address", none.cast("string").alias("seed_address"), none.cast("string").alias("label"),
-        none.cast("double").alias("score"), none.cast("string").alias("origin"), "old_impl", "new_impl",
+        F.lit(KINDS[1]).alias("kind"), "block", F.lower("address").alias("address"), none.cast("string").alias("seed_address"), none.cast("string").alias("label"),
+        none.cast("double").alias("score"), none.cast("string").alias("origin"), F.lower("old_impl").alias("old_impl"), F.lower("new_impl").alias("new_impl"),
     )
     rows = a.unionByName(u)
     within = Window.partitionBy("block").orderBy("kind", "address", F.desc("score"), "seed_address", "new_impl")
@@ -110,6 +132,14 @@ def events(alerts: DataFrame, changes: DataFrame, start: int = 0) -> DataFrame:
     return numbered.select((F.lit(start) + F.col("first") + F.col("k")).alias("id"), *rows.columns)
 
 
+def lines(rows: DataFrame, alert_on: str = "all") -> DataFrame:
+    """(id, line) of events as they are printed; ``alert_on`` shows alerts of one origin only, and hides no upgrade."""
+    alert = F.concat_ws("\t", F.lit("ALERT"), "address", "seed_address", "label", F.format_string("%.4f", "score"), "origin")
+    upgrade = F.concat_ws("\t", F.lit("UPGRADE"), "address", "old_impl", "new_impl", F.col("block").cast("string"))
+    shown = rows if alert_on == "all" else rows.filter((F.col("kind") == "UPGRADE") | (F.col("origin") == alert_on))
+    return shown.select("id", F.when(F.col("kind") == "ALERT", alert).otherwise(upgrade).alias("line"))
+
+
 def ledger_days(ledger: DataFrame) -> DataFrame:
     return ledger.groupBy("day").agg(F.sum("credits").alias("credits")).orderBy("day")
 
@@ -119,6 +149,22 @@ def events_after(rows: DataFrame, after: int, limit: int) -> DataFrame:
     return rows.filter(F.col("id") > after).orderBy(F.desc("id")).limit(limit)
 
 
+def seed_counts(rows: DataFrame) -> DataFrame:
+    """(seed_address, label, n) of alerts, most first."""
+    found = rows.filter("kind = 'ALERT'").groupBy("seed_address", "label").agg(F.count(F.lit(1)).alias("n"))
+    return found.orderBy(F.desc("n"), "label", "seed_address")
+
+
+def of_kind(rows: DataFrame, kind: str = "ALL") -> DataFrame:
+    return rows if kind == "ALL" else rows.filter(F.col("kind") == kind)
+
+
+def merged(kept: DataFrame, incoming: DataFrame, most: int = 500) -> DataFrame:
+    """A feed of events: each id once, as it is kept if it is in both, newest first."""
+    fresh = incoming.dropDuplicates(["id"]).join(kept.select("id"), "id", "left_anti")
+    return kept.dropDuplicates(["id"]).unionByName(fresh.select(*kept.columns)).orderBy(F.desc("id")).limit(most)
+
+
 def event_counts(rows: DataFrame) -> DataFrame:
     """(kind, n), with zeros."""
     every = rows.sparkSession.createDataFrame([("ALERT",), ("UPGRADE",)], "kind string")

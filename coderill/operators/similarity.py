@@ -78,7 +78,7 @@ def match(new_codes: DataFrame, codes: DataFrame, seeds: DataFrame, t: float = A
     pairs = score_pairs(seed_codes, new_codes, t)
     hits = pairs.join(seeds.select(F.col("address").alias("seed_address"), F.col("code_id").alias("a"), "label", "strict"), "a")
     kept = with_code_similarity(hits, codes, "strict").filter(~F.col("strict") | (F.col("code_score") >= code_min))
-    return kept.select(F.col("b").alias("code_id"), "seed_address", "label", "score")
+    return kept.select(F.col("b").alias("code_id"), "seed_address", "label", "score").orderBy(F.desc("score"), "seed_address")
 
 
 def recheck(stored: DataFrame, codes: DataFrame, seeds: DataFrame, effective: DataFrame, t: float = ALERT_MIN, code_min: float = CODE_MIN, origin: str | None = None) -> DataFrame:

@@ -7,8 +7,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from coderill.functions.bytecode import tokens
-
 #: Lower edges of the histogram buckets; the last bucket is open.
 SIZE_EDGES = (0, 256, 1024, 4096, 8192, 16384, 24576)
 SELECTOR_EDGES = (0, 1, 2, 4, 8, 16, 32, 64)
@@ -106,10 +104,10 @@ def flagged_addresses(stored: DataFrame, codes: DataFrame, flag: str | None = No
 
 
 def features(stored: DataFrame, codes: DataFrame) -> DataFrame:
-    """A row of FEATURES for each code; instructions are those of the whole code here, trailer included."""
+    """A row of FEATURES for each code; ``opcode_count``, made at ingest, is that of the whole code, trailer included."""
     per_code = stored.groupBy("code_id").agg(F.count(F.lit(1)).alias("address_count"))
     family = codes.groupBy("skeleton_hash").agg(F.count(F.lit(1)).alias("l1_family_size"))
-    rows = codes.select("code_id", "skeleton_hash", "size", F.size(tokens(F.col("hx"))).cast("long").alias("opcode_count"), F.size("selectors").cast("long").alias("selector_count"), F.col("proxy_kind").isNotNull().cast("long").alias("is_proxy"))
+    rows = codes.select("code_id", "skeleton_hash", "size", "opcode_count", F.size("selectors").cast("long").alias("selector_count"), F.col("proxy_kind").isNotNull().cast("long").alias("is_proxy"))
     joined = rows.join(per_code, "code_id", "left").join(family, "skeleton_hash")
     return joined.select(F.coalesce("address_count", F.lit(0)).alias("address_count"), *(c for c in FEATURES if c != "address_count"))
 

@@ -1,15 +1,19 @@
-"""JSON-RPC reads with retries, and an Arrow-batched fetcher of codes for a followed stream."""
+"""JSON-RPC reads with retries, and Arrow-batched readers of receipts, codes and storage slots."""
 
 from __future__ import annotations
 
 import json
+import os
 import time
 import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+from coderill.functions.bytecode import BEACON_SLOT, IMPLEMENTATION_SLOT
 
 Transport = Callable[[str, bytes], tuple[int, bytes]]
 
@@ -52,20 +56,85 @@ def call(url: str, method: str, params: list, transport: Transport = post, retri
     raise RpcError(f"{method}: {last}")
 
 
-def code_fetcher(url: str, transport: Transport = post) -> Callable[[DataFrame], DataFrame]:
-    """A ``get_code`` for the stream: partitions read in parallel, a failed read is a null answer."""
+def node_url(template: str, variable: str, env_file: str = ".env") -> str:
+    """``template`` with the key that the environment, or else a line of a file, gives for ``variable``."""
+    key = os.environ.get(variable) or ""
+    if not key and os.path.isfile(env_file):
+        with open(env_file, encoding="utf-8") as f:
+            for line in map(str.strip, f):
+                name, found, value = line.partition("=")
+                if found and name == variable and not line.startswith("#"):
+                    value = value.strip()
+                    key = value[1:-1] if len(value) > 1 and value[0] == value[-1] and value[0] in "\"'" else value
+                    break
+    if not key:
+        raise RpcError(f"{variable} is not set")
+    return template.format(key=key)
+
+
+def _each(column: str, kind: str, workers: int, ask: Callable[[dict], str | None]) -> Callable[[DataFrame], DataFrame]:
+    """Rows with one more column that ``ask`` gives of each; partitions are read side by side, and ``workers`` rows of a partition."""
 
     def fetch(rows: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                answers = []
-                for address in batch.column(0).to_pylist():
-                    try:
-                        answers.append(call(url, "eth_getCode", [address, "latest"], transport))
-                    except (RpcError, ValueError):
-                        answers.append(None)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(answers, pa.string())], names=["address", "block", "origin", "answer"])
+            with ThreadPoolExecutor(workers) as pool:
+                for batch in batches:
+                    answers = list(pool.map(ask, batch.to_pylist()))
+                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(answers, pa.string())], names=[*batch.schema.names, column])
 
-        return rows.select("address", "block", "origin").mapInArrow(run, "address string, block long, origin string, answer string")
+        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+        return rows.mapInArrow(run, f"{fields}, {column} {kind}")
 
     return fetch
+
+
+def code_fetcher(url: str, transport: Transport = post, tag: str | None = "latest", workers: int = 1) -> Callable[[DataFrame], DataFrame]:
+    """A ``get_code`` for a batch; a failed read is a null answer. ``tag`` none asks for the code at the row's block."""
+
+    def ask(row: dict) -> str | None:
+        try:
+            answer = call(url, "eth_getCode", [row["address"], tag or hex(row["block"])], transport)
+        except (RpcError, ValueError):
+            return None
+        return answer if isinstance(answer, str) else None
+
+    return _each("answer", "string", workers, ask)
+
+
+def slot_fetcher(url: str, transport: Transport = post, tag: str | None = "latest", workers: int = 1) -> Callable[[DataFrame], DataFrame]:
+    """A ``get_slot`` for a batch; a failed read is a null word, and a word that is no text an empty one."""
+    slots = {"implementation": f"0x{IMPLEMENTATION_SLOT}", "beacon": f"0x{BEACON_SLOT}"}
+
+    def ask(row: dict) -> str | None:
+        try:
+            answer = call(url, "eth_getStorageAt", [row["address"], slots[row["slot"]], tag or hex(row["block"])], transport)
+        except (RpcError, ValueError):
+            return None
+        return answer if isinstance(answer, str) else ""
+
+    return _each("word", "string", workers, ask)
+
+
+def head(url: str, transport: Transport = post) -> int:
+    return int(call(url, "eth_blockNumber", [], transport), 16)
+
+
+def receipts_of(url: str, block: int, transport: Transport = post, **options) -> list[str]:
+    """A block's receipts as JSON texts; an answer that is no list is an error, not an empty block."""
+    answer = call(url, "eth_getBlockReceipts", [hex(block)], transport, retry_null=True, **options)
+    if not isinstance(answer, list):
+        raise RpcError("eth_getBlockReceipts: no list")
+    return [json.dumps(r) for r in answer]
+
+
+def read_receipts(spark: SparkSession, url: str, blocks: range, transport: Transport = post) -> DataFrame:
+    """(block, receipt) of some blocks, a block a task at a time; a block without receipts gives a row with a null one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in batch.column(0).to_pylist():
+                found = receipts_of(url, block, transport) or [None]
+                yield pa.RecordBatch.from_arrays([pa.array([block] * len(found), pa.int64()), pa.array(found, pa.string())], names=["block", "receipt"])
+
+    numbers = spark.range(blocks.start, blocks.stop, 1, max(1, min(len(blocks), 64)))
+    return numbers.mapInArrow(run, "block long, receipt string")

@@ -1,60 +1,143 @@
-"""The store as Parquet tables in a folder: appends keyed by what is stored already, overlays and point reads.
+"""The store as Parquet tables in a folder: batches that become visible together, overlays and point reads.
 
-Tables are append-only, so a reader never meets a half-written row; a batch that is run again appends
-nothing, as its keys are known. ``implementations`` and ``seeds`` keep every version, the latest counts.
+Every table is written in partitions by batch. A batch is visible from the moment it is committed, by one row of
+``commits``; one that fails halfway is never seen, and running it again overwrites what it left. The first block of
+an address counts whatever order its records arrive in. Of ``implementations``, ``seeds`` and ``deferred``
+every version is kept and the latest counts. There is one writer at a time, and any number of readers.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from coderill.functions import bytecode as B
+
 SCHEMAS = {
-    "codes": "code_id string, size long, skeleton_hash string, selectors array<string>, proxy_kind string, proxy_target string, std_proxy boolean, selfdestruct boolean, mutable_delegatecall boolean, ops array<string>, runs array<string>, hx string",
+    "codes": "code_id string, size long, skeleton_hash string, selectors array<string>, proxy_kind string, proxy_target string, std_proxy boolean, selfdestruct boolean, mutable_delegatecall boolean, ops array<string>, runs array<string>, hx string, opcode_count long",
     "addresses": "address string, code_id string, block long, origin string",
-    "implementations": "address string, implementation string, block long",
+    "implementations": "address string, implementation string, block long, step long",
+    "deferred": "address string, block long, origin string, pending boolean, step long",
     "seeds": "address string, code_id string, label string, strict boolean, version long, removed boolean",
-    "progress": "block long, updated_at string",
+    "progress": "block long, updated_at string, seen long",
     "ledger": "day string, method string, credits long",
-    "events": "id long, kind string, block long, address string, seed_address string, label string, score double, origin string, old_impl string, new_impl string",
+    "events": "id long, kind string, block long, at string, address string, seed_address string, label string, score double, origin string, old_impl string, new_impl string",
+    "commits": "batch string, step long",
 }
 
 
 class Store:
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
+    def __init__(self, spark: SparkSession, folder: str, readonly: bool = False):
+        self.spark, self.folder, self.readonly = spark, folder.rstrip("/"), readonly
 
     def _exists(self, name: str) -> bool:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
 
-    def read(self, name: str) -> DataFrame:
-        """A table with its whole schema: columns that older files lack are null."""
+    def commits(self) -> DataFrame:
+        if not self._exists("commits"):
+            return self.spark.createDataFrame([], SCHEMAS["commits"])
+        return self.spark.read.schema(SCHEMAS["commits"]).parquet(f"{self.folder}/commits")
+
+    def read(self, name: str, batch: str | None = None) -> DataFrame:
+        """A table with its whole schema, of committed batches but ``batch``: columns that older files lack are null."""
         if not self._exists(name):
             return self.spark.createDataFrame([], SCHEMAS[name])
-        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.folder}/{name}")
+        rows = self.spark.read.schema(f"{SCHEMAS[name]}, batch string").parquet(f"{self.folder}/{name}")
+        seen = self.commits().select("batch")
+        seen = seen if batch is None else seen.filter(F.col("batch") != batch)
+        return rows.join(F.broadcast(seen), "batch", "left_semi").drop("batch")  # a row for each batch
+
+    def write(self, name: str, rows: DataFrame, batch: str) -> None:
+        """What a batch has of a table, in place of what it had."""
+        if self.readonly:
+            raise PermissionError("the store is open for reading")
+        columns = [f.split()[0] for f in SCHEMAS[name].split(", ")]
+        shaped = rows.select(*(c if c in rows.columns else F.lit(None).alias(c) for c in columns)).to(self.spark.createDataFrame([], SCHEMAS[name]).schema)
+        shaped.write.mode("overwrite").parquet(f"{self.folder}/{name}/batch={batch}")
+
+    def commit(self, batch: str, step: int | None = None) -> None:
+        """Make a batch visible; doing it again changes nothing."""
+        if self.readonly:
+            raise PermissionError("the store is open for reading")
+        row = self.spark.createDataFrame([(batch, self.step() if step is None else step)], SCHEMAS["commits"])
+        row.coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/commits/of={batch}")
+
+    def committed(self, batch: str) -> bool:
+        return not self.commits().filter(F.col("batch") == batch).isEmpty()
+
+    def step(self, batch: str | None = None) -> int:
+        """The number of the next commit."""
+        rows = self.commits() if batch is None else self.commits().filter(F.col("batch") != batch)
+        return (rows.agg(F.max("step")).first()[0] or 0) + 1
 
     def append(self, name: str, rows: DataFrame) -> None:
-        columns = [f.split()[0] for f in SCHEMAS[name].split(", ")]
-        rows.select(*(c if c in rows.columns else F.lit(None).alias(c) for c in columns)).to(self.spark.createDataFrame([], SCHEMAS[name]).schema).write.mode("append").parquet(f"{self.folder}/{name}")
+        batch = uuid.uuid4().hex
+        self.write(name, rows, batch)
+        self.commit(batch)
 
     def put(self, name: str, key: str, rows: DataFrame) -> None:
         """Rows of keys that are not stored yet; the first of a key within the rows."""
-        fresh = rows.join(self.read(name).select(key), key, "left_anti").dropDuplicates([key])
-        self.append(name, fresh)
-
-    def implementations(self) -> DataFrame:
-        return self.read("implementations").groupBy("address").agg(F.max_by("implementation", "block").alias("implementation"))
-
-    def addresses(self) -> DataFrame:
-        return self.read("addresses").join(self.implementations(), "address", "left")
+        self.append(name, rows.join(self.read(name).select(key), key, "left_anti").dropDuplicates([key]))
+
+    def codes(self, batch: str | None = None) -> DataFrame:
+        """A row for each code; what an older file lacks is made from the code itself, and only there."""
+        rows = self.read("codes", batch)
+        whole, old = rows.filter("std_proxy IS NOT NULL"), rows.filter("std_proxy IS NULL")
+        return whole.unionByName(old.withColumn("std_proxy", B.is_standard_proxy(B.tokens(B.body(F.col("hx"))))))
+
+    def fingerprints(self) -> DataFrame:
+        """All codes without their bytes and opcodes, in order of id."""
+        return self.codes().drop("hx", "ops", "runs").orderBy("code_id")
+
+    def code_by_id(self, code_id: str) -> DataFrame:
+        return self.codes().filter(F.col("code_id") == code_id.lower())
+
+    def known(self, batch: str | None = None, of: DataFrame | None = None) -> DataFrame:
+        """(address, code_id, block, origin): the record of the least block of each address, or of those in ``of``."""
+        rows = self.read("addresses", batch)
+        rows = rows if of is None else rows.join(of.select("address"), "address", "left_semi")
+        first = F.min_by(F.struct("code_id", "block", "origin"), F.struct("block", F.coalesce("origin", F.lit(""))))
+        return rows.groupBy("address").agg(first.alias("r")).select("address", "r.*")
+
+    def scratch(self, frame: DataFrame, batch: str, name: str) -> DataFrame:
+        """A frame written beside the tables and read again, for as long as its batch runs."""
+        path = f"{self.folder}/_scratch/{batch}/{name}"
+        frame.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(frame.schema).parquet(path)
+
+    def sweep(self, batch: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/_scratch/{batch}")
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def implementations(self, batch: str | None = None) -> DataFrame:
+        return self.read("implementations", batch).groupBy("address").agg(F.max_by("implementation", F.struct("block", "step")).alias("implementation"))
+
+    def addresses(self, batch: str | None = None) -> DataFrame:
+        return self.known(batch).join(self.implementations(batch), "address", "left")
+
+    def set_implementation(self, address: str, implementation: str, block: int) -> None:
+        """Of a stored address; an unknown one changes nothing."""
+        row = self.spark.createDataFrame([(address.lower(), implementation.lower(), block, self.step())], SCHEMAS["implementations"])
+        self.append("implementations", row.join(self.read("addresses").select("address"), "address", "left_semi"))
+
+    def pending(self, batch: str | None = None) -> DataFrame:
+        """(address, block, origin) that a cap left to later batches."""
+        last = F.max_by(F.struct("block", "origin", "pending"), "step")
+        rows = self.read("deferred", batch).groupBy("address").agg(last.alias("r"))
+        return rows.filter("r.pending").select("address", "r.block", "r.origin")
+
+    def has_address(self, address: str) -> bool:
+        return not self.read("addresses").filter(F.col("address") == address.lower()).isEmpty()
 
     def code_of(self, address: str) -> DataFrame:
-        own = self.read("addresses").filter(F.col("address") == address.lower()).select("code_id")
-        return self.read("codes").join(own, "code_id", "left_semi")
+        own = self.known().filter(F.col("address") == address.lower()).select("code_id")
+        return self.codes().join(own, "code_id", "left_semi")
 
     def addresses_of(self, code_id: str) -> DataFrame:
-        return self.read("addresses").filter(F.col("code_id") == code_id).select("address").orderBy("address")
+        return self.known().filter(F.col("code_id") == code_id).select("address").orderBy("address")
 
     def seeds(self) -> DataFrame:
         """The latest version of each seed that is not removed, in order of address."""
@@ -62,6 +145,9 @@ class Store:
         rows = self.read("seeds").withColumn("k", F.row_number().over(last)).filter("k = 1 AND NOT removed")
         return rows.select("address", "code_id", "label", F.coalesce("strict", F.lit(False)).alias("strict")).orderBy("address")
 
+    def strict_seeds(self) -> DataFrame:
+        return self.seeds().filter("strict").select("address").orderBy("address")
+
     def _version(self) -> int:
         return (self.read("seeds").agg(F.max("version")).first()[0] or 0) + 1
 
@@ -69,7 +155,7 @@ class Store:
         """The code that counts for the address now; adding it again renews code and label and keeps strictness."""
         from coderill.operators.codes import effective
 
-        own = effective(self.addresses(), self.read("codes")).filter(F.col("address") == address.lower()).first()
+        own = effective(self.addresses(), self.codes()).filter(F.col("address") == address.lower()).first()
         if own is None:
             raise KeyError(address)
         held = self.seeds().filter(F.col("address") == own["address"]).first()
@@ -93,8 +179,11 @@ class Store:
     def spend(self, day: str, method: str, credits: int) -> None:
         self.append("ledger", self.spark.createDataFrame([(day, method, credits)], SCHEMAS["ledger"]))
 
+    def spent(self, day: str, batch: str | None = None) -> int:
+        return self.read("ledger", batch).filter(F.col("day") == day).agg(F.sum("credits")).first()[0] or 0
+
     def progress(self) -> int | None:
         return self.read("progress").agg(F.max("block")).first()[0]
 
     def set_progress(self, block: int, updated_at: str) -> None:
-        self.append("progress", self.spark.createDataFrame([(block, updated_at)], SCHEMAS["progress"]))
+        self.append("progress", self.spark.createDataFrame([(block, updated_at, block)], SCHEMAS["progress"]))

@@ -8,8 +8,9 @@ import sys
 
 from pyspark.sql import functions as F
 
+from coderill.functions.bytecode import flags
 from coderill.functions.similarity import ALERT_MIN, SEARCH_MIN
-from coderill.operators import calibration, clusters, codes, similarity, statistics
+from coderill.operators import calibration, clusters, codes, ingest, similarity, statistics
 from coderill.session import session
 from coderill.sources.store import Store
 
@@ -51,27 +52,108 @@ def parser() -> argparse.ArgumentParser:
     calibrate.add_argument("labels")
     calibrate.add_argument("--grid", default=",".join(map(str, calibration.GRID)))
     verbs.add_parser("report").add_argument("--out", required=True)
+    for name in ("backfill", "listen"):
+        verb = verbs.add_parser(name)
+        verb.add_argument("--node", required=True, help="URL of a node; {key} in it stands for a key")
+        verb.add_argument("--key-variable", help="variable of the environment, or of .env, that holds the key")
+        verb.add_argument("--daily-budget", type=int)
+        verb.add_argument("--max-calls-per-block", type=int)
+        verb.add_argument("--workers", type=int, default=1)
+        verb.add_argument("--alert-on", choices=("created", "seen", "all"), default="all")
+        verb.add_argument("--min", type=_share, default=ALERT_MIN)
+        if name == "backfill":
+            verb.add_argument("--from", dest="first", type=int, required=True)
+            verb.add_argument("--to", dest="last", type=int, required=True)
+        else:
+            verb.add_argument("--interval", type=float, default=12)
+            verb.add_argument("--checkpoint", required=True)
+    dashboard = verbs.add_parser("dashboard")
+    dashboard.add_argument("--host", default="127.0.0.1")
+    dashboard.add_argument("--port", type=int, default=8080)
+    dashboard.add_argument("--static")
     return p
 
 
+#: Credits of a call, by method.
+PRICES = {"eth_blockNumber": 80, "eth_getBlockReceipts": 1000, "eth_getCode": 80, "eth_getStorageAt": 80}
+
+
+def _follow(args: argparse.Namespace, store: Store, say) -> int:
+    """Blocks of a node into the store, with the lines of each batch's events as they are committed; 3 where a limit stops it."""
+    from coderill.sources import rpc
+    from coderill.streaming import follow
+
+    url = rpc.node_url(args.node, args.key_variable) if args.key_variable else args.node
+    limits = follow.Limits(args.max_calls_per_block, args.daily_budget, PRICES)
+    get_code, get_slot = rpc.code_fetcher(url, workers=args.workers), rpc.slot_fetcher(url, workers=args.workers)
+    last = store.read("events").agg(F.max("id")).first()[0] or 0
+
+    def told() -> None:
+        nonlocal last
+        fresh = store.read("events").filter(F.col("id") > last)
+        for r in ingest.lines(fresh, args.alert_on).orderBy("id").toLocalIterator():
+            say(r["line"])
+        last = max(last, fresh.agg(F.max("id")).first()[0] or 0)
+
+    if args.verb == "backfill":
+        for block in range(args.first, args.last + 1):
+            out = follow.backfill(store, url, block, block, get_code, limits, get_slot=get_slot, watch=args.min)
+            told()
+            if out.stopped:
+                print(f"stopped: {out.stopped}; progress {out.progress}", file=sys.stderr)
+                return 3
+        return 0
+    query = follow.listen(store.spark, store, url, args.checkpoint, get_code, f"{args.interval} seconds", limits=limits, get_slot=get_slot, watch=args.min)
+    try:
+        while not query.awaitTermination(args.interval):
+            told()
+    except KeyboardInterrupt:
+        query.stop()
+    told()
+    return 0
+
+
+def _serve(args: argparse.Namespace, store: Store) -> int:
+    from coderill import serving
+
+    try:
+        server = serving.server(store, args.host, args.port, args.static)
+    except OSError as error:
+        print(error, file=sys.stderr)
+        return 2
+    print("serving http://%s:%d/" % server.server_address[:2], file=sys.stderr)
+    try:
+        server.serve_forever()
+    except KeyboardInterrupt:
+        server.server_close()
+    return 0
+
+
 def run(args: argparse.Namespace) -> int:
     spark = session()
-    store = Store(spark, args.store)
-    stored, held = store.addresses(), store.read("codes")
+    store = Store(spark, args.store, readonly=args.verb not in ("backfill", "listen", "seed"))
+    say = lambda *fields: print("\t".join(map(str, fields)), flush=True)
+    if args.verb in ("backfill", "listen"):
+        return _follow(args, store, say)
+    if args.verb == "dashboard":
+        return _serve(args, store)
+    stored, held = store.addresses(), store.codes()
     own, seeds = codes.effective(stored, held), store.seeds()
-    say = lambda *fields: print("\t".join(map(str, fields)))
+    flagged = held.select("code_id", flags(F.col("selfdestruct"), F.col("mutable_delegatecall")).alias("flags"))
     if args.verb == "clusters":
-        for r in clusters.top(clusters.build(stored, held), args.n).collect():
+        for r in clusters.top(clusters.sizes(stored, held), args.n).collect():
             say(r["level"], r["key"], r["n_members"])
     elif args.verb == "cluster":
-        for r in clusters.containing(clusters.build(stored, held), args.address).collect():
-            say(r["level"], r["key"], ",".join(r["members"]))
+        mine = stored.filter(F.col("address") == args.address).join(flagged, "code_id").first()
+        for r in clusters.containing(stored, held, args.address).toLocalIterator():
+            say(r["level"], r["key"], ",".join(r["members"]), mine["flags"] if mine else "-")
     elif args.verb == "similar":
-        for r in similarity.find_similar(held, own, args.address, args.min).toLocalIterator():
-            say(r["address"], f"{r['score']:.4f}")
+        found = similarity.find_similar(held, own, args.address, args.min).join(stored.join(flagged, "code_id").select("address", "flags"), "address", "left")
+        for r in found.orderBy(F.desc("score"), "address").toLocalIterator():
+            say(r["address"], f"{r['score']:.4f}", r["flags"] or "-")
     elif args.verb == "risk":
         for r in statistics.flagged_addresses(stored, held, args.flag).toLocalIterator():
-            say(r["address"], r["flags"])
+            say(r["address"], args.flag or r["flags"])
     elif args.verb == "seed":
         return _seed(args, store, say)
     elif args.verb == "recheck":
@@ -98,7 +180,7 @@ def _seed(args: argparse.Namespace, store: Store, say) -> int:
         return 0
     if args.action == "audit":
         seeds = store.seeds()
-        hits = similarity.interface_hits(store.read("codes"), seeds).join(seeds.withColumnRenamed("address", "seed_address"), "seed_address")
+        hits = similarity.interface_hits(store.codes(), seeds).join(seeds.withColumnRenamed("address", "seed_address"), "seed_address")
         for r in hits.orderBy("seed_address").collect():
             say(r["seed_address"], r["label"], r["hits"], "strict" if r["strict"] else "loose")
         return 0
@@ -106,7 +188,7 @@ def _seed(args: argparse.Namespace, store: Store, say) -> int:
         raise ValueError("an address is needed")
     if args.action == "add":
         store.add_seed(args.address, args.label)
-        stored, held = store.addresses(), store.read("codes")
+        stored, held = store.addresses(), store.codes()
         one = store.seeds().filter(F.col("address") == args.address)
         for r in similarity.recheck(stored, held, one, codes.effective(stored, held)).collect():
             say("ALERT", r["address"], r["seed_address"], r["label"], f"{r['score']:.4f}", r["origin"])

@@ -91,10 +91,22 @@ def flags(destructs: Column, mutable: Column) -> Column:
     return F.coalesce(F.nullif(F.concat_ws(",", F.when(destructs, "selfdestruct"), F.when(mutable, "mutable_delegatecall")), F.lit("")), F.lit("-"))
 
 
+def numbered(ops: Column) -> Column:
+    """Opcodes as numbers."""
+    return F.transform(ops, lambda o: F.conv(o, 16, 10).cast("bigint"))
+
+
 def shingles(ops: Column, n: int = 5) -> Column:
-    """Distinct runs of ``n`` opcodes, none where there are fewer."""
-    runs = F.transform(F.sequence(F.lit(0), F.size(ops) - n), lambda i: F.array_join(F.slice(ops, i + 1, n), ""))
-    return F.when(F.size(ops) >= n, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+    """Distinct runs of ``n`` numbered opcodes (7 at most), each as one number; none where there are fewer."""
+
+    def run(i: Column) -> Column:
+        out = F.get(ops, i)
+        for k in range(1, n):
+            out = out * 256 + F.get(ops, i + k)
+        return out
+
+    runs = F.transform(F.sequence(F.lit(0), F.size(ops) - n), run)
+    return F.when(F.size(ops) >= n, F.array_distinct(runs)).otherwise(F.array().cast("array<bigint>"))
 
 
 def is_hex_code(text: Column) -> Column:

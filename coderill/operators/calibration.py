@@ -5,13 +5,14 @@ from __future__ import annotations
 import json
 import math
 import re
+from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coderill.functions.similarity import CODE_MIN
-from coderill.operators.similarity import score_pairs, with_code_similarity
+from coderill.operators.similarity import Index, score_pairs, with_code_similarity
 
 GRID = (0.5, 0.6, 0.7, 0.75, 0.8, 0.9, 1.0)
 _ADDRESS = re.compile(r"0x[0-9a-fA-F]{40}")
@@ -67,48 +68,55 @@ def label_frames(spark: SparkSession, labels: dict[str, list]) -> tuple[DataFram
     return spark.createDataFrame(pairs, "k long, kind string, a string, b string"), spark.createDataFrame([(x,) for x in labels["strict"]], "address string")
 
 
-def evaluate(pairs: DataFrame, strict: DataFrame, stored: DataFrame, codes: DataFrame, grid: list[float] = list(GRID), code_min: float = CODE_MIN) -> DataFrame:
+def evaluate(pairs: DataFrame, strict: DataFrame, stored: DataFrame, codes: DataFrame, grid: list[float] = list(GRID), code_min: float = CODE_MIN, index: Index | None = None) -> DataFrame:
     """(position, threshold, recall, negatives, benign, interface_only, benign_total).
 
     Each labelled pair is checked both ways, each address in turn as the seed. Benign are codes of no
     labelled address; interface_only are those hit by a seed that is not strict, with unlike opcode runs.
     """
-    spark = stored.sparkSession
     labelled = pairs.select(F.col("a").alias("address")).union(pairs.select("b")).distinct()
     held = labelled.join(stored.filter("code_id IS NOT NULL").select("address", "code_id"), "address")
     is_strict = strict.distinct().withColumn("strict", F.lit(True))
     seeds = held.join(is_strict, "address", "left").select("address", "code_id", F.coalesce("strict", F.lit(False)).alias("strict"))
     used = codes.join(held.select("code_id"), "code_id", "left_semi")
     least = min(grid)
-    scores = score_pairs(used, codes, least).select("a", "b", "score")
-    scored = with_code_similarity(scores, codes)
+    scores = score_pairs(used, codes, least, index or Index(codes)).select("a", "b", "score").persist()
     directed = pairs.select("k", "kind", F.col("a").alias("seed"), F.col("b").alias("other")).union(pairs.select("k", "kind", "b", "a"))
     checks = (
         directed.join(seeds.select(F.col("address").alias("seed"), F.col("code_id").alias("a"), "strict"), "seed")
         .join(held.select(F.col("address").alias("other"), F.col("code_id").alias("b")), "other")
-        .join(scored, ["a", "b"], "left")
-        .select("kind", "strict", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("code_score", F.lit(0.0)).alias("code_score"))
-    )
-    thresholds = spark.createDataFrame(list(enumerate(grid)), "position int, threshold double")
-    passes = (F.col("score") >= F.col("threshold")) & (~F.col("strict") | (F.col("code_score") >= code_min))
-    by_check = checks.crossJoin(thresholds).groupBy("position").agg(  # labels by the grid, both small
-        F.count_if((F.col("kind") == "positives") & passes).alias("hits"),
-        F.count_if(F.col("kind") == "positives").alias("positives"),
-        F.count_if((F.col("kind") == "negatives") & passes).alias("negatives"),
-    )
-    benign = stored.filter("code_id IS NOT NULL").select("code_id").distinct().join(held.select("code_id"), "code_id", "left_anti")
-    hits = scored.join(benign, scored["b"] == benign["code_id"], "left_semi").join(seeds.select(F.col("code_id").alias("a"), "strict").distinct(), "a")
-    by_benign = hits.crossJoin(thresholds).filter(passes).groupBy("position").agg(
-        F.countDistinct("b").alias("benign"),
-        F.countDistinct(F.when(~F.col("strict") & (F.col("code_score") < code_min), F.col("b"))).alias("interface_only"),
+        .join(scores, ["a", "b"], "left")
     )
+    # opcode runs are fetched for strict seeds only
+    scored = with_code_similarity(checks, codes, "strict AND score IS NOT NULL").select("kind", F.when(_passes(code_min), F.col("score")).alias("score"))
+    positive, negative = F.col("kind") == "positives", F.col("kind") == "negatives"
+    reached = lambda column, t: F.coalesce(F.col(column) >= t, F.lit(False))
+    by_check = _over_grid(scored, grid, hits=lambda t: positive & reached("score", t), negatives=lambda t: negative & reached("score", t), positives=lambda t: positive)
+    # of each benign code, the greatest score of a seed that it passes, and of one that is not strict and has unlike runs
+    own = seeds.select(F.col("code_id").alias("a"), "strict").distinct()
+    benign = stored.filter("code_id IS NOT NULL").select("code_id").distinct().join(held.select("code_id"), "code_id", "left_anti").persist()
+    hits = with_code_similarity(scores.join(benign, scores["b"] == benign["code_id"], "left_semi"), codes).join(own, "a")
+    unlike = F.when(~F.col("strict") & (F.col("code_score") < code_min), F.col("score"))
+    greatest = hits.groupBy("b").agg(F.max(F.when(_passes(code_min), F.col("score"))).alias("score"), F.max(unlike).alias("unlike"))
+    by_benign = _over_grid(greatest, grid, benign=lambda t: reached("score", t), interface_only=lambda t: reached("unlike", t))
     total = benign.agg(F.count(F.lit(1)).alias("benign_total"))
     zero = lambda c: F.coalesce(c, F.lit(0))
-    out = thresholds.join(by_check, "position", "left").join(by_benign, "position", "left").crossJoin(total)
+    out = by_check.join(by_benign, ["position", "threshold"]).crossJoin(total)  # a row for each threshold, and one
     recall = F.coalesce(F.try_divide(F.col("hits").cast("double"), F.col("positives")), F.lit(0.0))
     return out.select("position", "threshold", recall.alias("recall"), zero("negatives").alias("negatives"), zero("benign").alias("benign"), zero("interface_only").alias("interface_only"), "benign_total").orderBy("position")
 
 
+def _passes(code_min: float) -> Column:
+    return ~F.col("strict") | F.coalesce(F.col("code_score") >= code_min, F.lit(False))
+
+
+def _over_grid(rows: DataFrame, grid: list[float], **tests: Callable[[float], Column]) -> DataFrame:
+    """(position, threshold, counts): how many rows pass each test at each threshold, in one pass over them."""
+    wide = rows.agg(*(F.count_if(test(t)).alias(f"{name}{k}") for name, test in tests.items() for k, t in enumerate(grid)))
+    cells = [F.struct(F.lit(k).alias("position"), F.lit(float(t)).alias("threshold"), *(F.col(f"{name}{k}").alias(name) for name in tests)) for k, t in enumerate(grid)]
+    return wide.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
+
+
 def missing(pairs: DataFrame, stored: DataFrame) -> DataFrame:
     """Labelled addresses without stored code."""
     labelled = pairs.select(F.col("a").alias("address")).union(pairs.select("b")).distinct()

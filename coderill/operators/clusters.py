@@ -1,38 +1,63 @@
-"""Clusters of addresses: same code, same template, same delegation target, same implementation."""
+"""Clusters of addresses: same code, same template, same delegation target, same implementation.
+
+Sizes are made from counts of addresses by code, so that members are gathered only of the clusters that are asked for. A
+cluster's list of members is as long as the cluster, as those who ask want it; sizes have no such list.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LEVELS = ("L0", "L1", "proxy", "eip7702", "impl")
+_FIELDS = ("code_id", "skeleton_hash", "proxy_kind", "proxy_target", "std_proxy")
 
 
-def _grouped(rows: DataFrame, level: str, key) -> DataFrame:
-    out = rows.groupBy(key.alias("key")).agg(F.array_sort(F.collect_set("address")).alias("members"))
-    return out.filter(F.size("members") >= 2).select(F.lit(level).alias("level"), "key", "members")
+def _target() -> Column:
+    return F.concat_ws(":", "proxy_kind", "proxy_target")
 
 
-def build(stored: DataFrame, codes: DataFrame) -> DataFrame:
-    """(level, key, members, n_members), of two members or more."""
-    held = stored.filter("code_id IS NOT NULL").join(codes.select("code_id", "skeleton_hash", "proxy_kind", "proxy_target", "std_proxy"), "code_id")
+def sizes(stored: DataFrame, codes: DataFrame) -> DataFrame:
+    """(level, key, n_members) of clusters of two members or more; ``stored`` has a row for each address."""
+    n = F.count(F.lit(1))
+    per_code = stored.filter("code_id IS NOT NULL").groupBy("code_id").agg(n.alias("n"))
+    held = per_code.join(codes.select(*_FIELDS), "code_id")
     plain = held.filter("proxy_kind IS NULL")
-    shared = plain.groupBy("skeleton_hash").agg(F.countDistinct("code_id").alias("n")).filter("n >= 2").select("skeleton_hash")
-    target = F.concat_ws(":", "proxy_kind", "proxy_target")
-    parts = [
-        _grouped(plain, "L0", F.col("code_id")),
-        plain.join(shared, "skeleton_hash").groupBy(F.col("skeleton_hash").alias("key")).agg(F.array_sort(F.collect_set("address")).alias("members")).select(F.lit("L1").alias("level"), "key", "members"),
-        _grouped(held.filter("proxy_kind = 'eip1167'"), "proxy", target),
-        _grouped(held.filter("proxy_kind = 'eip7702'"), "eip7702", target),
-        _grouped(held.filter("std_proxy AND implementation IS NOT NULL"), "impl", F.col("implementation")),
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.withColumn("n_members", F.size("members").cast("long"))
-
-
-def rank(level: str = "level"):
+    total = F.sum("n").alias("n_members")
+    parts = {
+        "L0": plain.select(F.col("code_id").alias("key"), F.col("n").alias("n_members")),
+        "L1": plain.groupBy(F.col("skeleton_hash").alias("key")).agg(total, n.alias("codes")).filter("codes >= 2").drop("codes"),
+        "proxy": held.filter("proxy_kind = 'eip1167'").groupBy(_target().alias("key")).agg(total),
+        "eip7702": held.filter("proxy_kind = 'eip7702'").groupBy(_target().alias("key")).agg(total),
+        "impl": stored.filter("implementation IS NOT NULL").join(codes.filter("std_proxy").select("code_id"), "code_id", "left_semi").groupBy(F.col("implementation").alias("key")).agg(n.alias("n_members")),
+    }
+    return reduce(DataFrame.unionByName, (rows.filter("n_members >= 2").select(F.lit(level).alias("level"), "key", "n_members") for level, rows in parts.items()))
+
+
+def with_members(chosen: DataFrame, stored: DataFrame, codes: DataFrame) -> DataFrame:
+    """Some clusters (level, key, n_members) with the sorted ``members`` of each."""
+    held = stored.filter("code_id IS NOT NULL").join(codes.select(*_FIELDS), "code_id")
+    plain = F.col("proxy_kind").isNull()
+    one = lambda level, when, key: F.when(when, F.struct(F.lit(level).alias("level"), key.alias("key")))
+    of = F.array_compact(
+        F.array(
+            one("L0", plain, F.col("code_id")), one("L1", plain, F.col("skeleton_hash")), one("proxy", F.col("proxy_kind") == "eip1167", _target()),
+            one("eip7702", F.col("proxy_kind") == "eip7702", _target()), one("impl", F.col("std_proxy") & F.col("implementation").isNotNull(), F.col("implementation")),
+        )
+    )
+    rows = held.select("address", F.explode(of).alias("c")).select("address", "c.level", "c.key")
+    members = rows.join(chosen, ["level", "key"]).groupBy("level", "key", "n_members").agg(F.array_sort(F.collect_set("address")).alias("members"))
+    return members.select("level", "key", "members", "n_members")
+
+
+def build(stored: DataFrame, codes: DataFrame) -> DataFrame:
+    """(level, key, members, n_members) of all clusters."""
+    return with_members(sizes(stored, codes), stored, codes)
+
+
+def rank(level: str = "level") -> Column:
     return F.array_position(F.array(*map(F.lit, LEVELS)), F.col(level))
 
 
@@ -44,5 +69,11 @@ def top(clusters: DataFrame, n: int = 20, level: str | None = None) -> DataFrame
     return rows.orderBy(F.desc("n_members"), rank(), "key").limit(n)
 
 
-def containing(clusters: DataFrame, address: str) -> DataFrame:
-    return clusters.filter(F.array_contains("members", address.lower())).orderBy(F.desc("n_members"), rank(), "key")
+def containing(stored: DataFrame, codes: DataFrame, address: str) -> DataFrame:
+    """The clusters of one address with their members, largest first."""
+    own = stored.filter(F.col("address") == address.lower())
+    mine = own.join(codes.select(*_FIELDS), "code_id")
+    keys = F.array(F.col("code_id"), F.col("skeleton_hash"), _target(), F.col("implementation"))
+    found = sizes(stored, codes).join(mine.select(F.explode(keys).alias("key")).filter("key IS NOT NULL").distinct(), "key", "left_semi")
+    out = with_members(found.select("level", "key", "n_members"), stored, codes).filter(F.array_contains("members", address.lower()))
+    return out.orderBy(F.desc("n_members"), rank(), "key")

@@ -18,7 +18,7 @@ def fingerprints(raw: DataFrame) -> DataFrame:
     # exploding an array of one keeps later columns and filters above it, so that nothing is made twice
     split = one.select("hx", F.explode(F.array(B.tokens(B.body(F.col("hx"))))).alias("tok"))
     out = split.select("hx", F.explode(F.array(F.struct(*B.fingerprint(F.col("hx"))))).alias("f")).select("hx", "f.*")
-    out = out.withColumn("runs", B.shingles(F.col("ops")))
+    out = out.select("*", F.explode(F.array(B.numbered(F.col("ops")))).alias("numbers")).withColumn("runs", B.shingles(F.col("numbers"))).drop("numbers")
     # instructions of the whole code, where the last push of the body may take bytes of the trailer
     whole = F.when(B.body_chars(F.col("hx")) == F.length("hx"), F.size("ops")).otherwise(F.size(B.tokens(F.col("hx"))))
     out = out.withColumn("opcode_count", whole.cast("long"))

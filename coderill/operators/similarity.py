@@ -1,54 +1,85 @@
 """Exact set-similarity joins of codes by their selectors.
 
-Many codes share one selector set, so sets are joined, and codes after them. With a threshold ``t > 0``
+Many codes share one selector set, so sets are joined, and codes after them; an ``Index`` of them is made once for
+all joins with the same codes. With a threshold ``t > 0``
 two sets can only reach it if they share one of their first ``n - ceil(t n) + 1`` selectors, rarest first,
 and if their sizes are within a factor of ``t``; the candidates of this index are verified.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coderill.functions.similarity import ALERT_MIN, CODE_MIN, code_similarity, jaccard, score
+from coderill.functions import bytecode as B
+from coderill.functions.similarity import ALERT_MIN, CODE_MIN, code_similarity, jaccard, score, score_of
 
 FIELDS = ("code_id", "proxy_kind", "proxy_target", "std_proxy", "selectors")
 
 
+def _keyed(codes: DataFrame) -> DataFrame:
+    return codes.withColumn("set_key", F.sha2(F.array_join("selectors", ","), 256))
+
+
+class Index:
+    """What joins need of the codes on their right side, made once for any number of them.
+
+    ``keyed`` has (set_key, code_id) of codes that are scored by selectors, ``sets`` (set_key, selectors), ``postings``
+    (selector, set_key, size) and ``counts`` the number of sets of a selector; ``targets`` are delegations.
+    """
+
+    def __init__(self, codes: DataFrame, persist: bool = False):
+        keep = (lambda f: f.persist()) if persist else (lambda f: f)
+        rows = keep(_keyed(codes.filter(_PLAIN).select("code_id", "selectors")))
+        self.keyed = rows.select("set_key", "code_id")
+        self.sets = keep(rows.select("set_key", "selectors").dropDuplicates(["set_key"]))
+        self.postings = keep(self.sets.select(F.explode("selectors").alias("selector"), "set_key", F.size("selectors").alias("size")))
+        self.counts = keep(self.postings.groupBy("selector").agg(F.count(F.lit(1)).alias("n")))
+        self.targets = codes.filter("proxy_kind IS NOT NULL").select("code_id", "proxy_kind", "proxy_target")
+
+
+_PLAIN = "proxy_kind IS NULL AND NOT std_proxy AND size(selectors) > 0"
+
+
 def _prefixed(sets: DataFrame, counts: DataFrame, t: float) -> DataFrame:
-    """(set_key, selector) for the prefix of each set."""
+    """(set_key, selector, size) for the prefix of each set, rarest selectors first."""
     rows = sets.select("set_key", F.explode("selectors").alias("selector")).join(counts, "selector", "left")
     ordered = rows.groupBy("set_key").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "selector"))).alias("s"))
     # a hair less than t n, so that rounding never shortens a prefix
     keep = F.size("s") - F.ceil(F.lit(t) * F.size("s") - 1e-9).cast("int") + 1
-    return ordered.select("set_key", F.explode(F.slice("s", F.lit(1), keep)).alias("e")).select("set_key", F.col("e.selector").alias("selector"))
+    return ordered.select("set_key", F.size("s").alias("size"), F.explode(F.slice("s", F.lit(1), keep)).alias("e")).select("set_key", F.col("e.selector").alias("selector"), "size")
 
 
-def _keyed(codes: DataFrame) -> DataFrame:
-    return codes.withColumn("set_key", F.sha2(F.array_join("selectors", ","), 256))
+def score_sets(left: DataFrame, index: Index, t: float, whole: bool) -> DataFrame:
+    """(a_key, b_key, score) of sets (set_key, selectors) with those of the index that reach ``t`` > 0.
+
+    Prefixes of the left sets meet all selectors of the right ones, or with ``whole`` (many left sets) their prefixes.
+    """
+    prefixes = _prefixed(left, index.counts, t).select(F.col("set_key").alias("a_key"), "selector", F.col("size").alias("a_size"))
+    right = _prefixed(index.sets, index.counts, t) if whole else index.postings
+    near = prefixes.join(right.select("selector", F.col("set_key").alias("b_key"), F.col("size").alias("b_size")), "selector")
+    near = near.filter(F.least("a_size", "b_size") >= F.lit(t) * F.greatest("a_size", "b_size") - 1e-9).select("a_key", "b_key").distinct()
+    sized = near.join(left.select(F.col("set_key").alias("a_key"), F.col("selectors").alias("x")), "a_key")
+    sized = sized.join(index.sets.select(F.col("set_key").alias("b_key"), F.col("selectors").alias("y")), "b_key")
+    return sized.withColumn("score", jaccard(F.col("x"), F.col("y"))).filter(F.col("score") >= t).select("a_key", "b_key", "score")
 
 
-def score_pairs(left: DataFrame, right: DataFrame, t: float) -> DataFrame:
+def score_pairs(left: DataFrame, right: DataFrame, t: float, index: Index | None = None) -> DataFrame:
     """(a, b, score): codes of ``left`` and ``right`` (FIELDS) that reach ``t``, both ways and with themselves.
 
-    ``t`` of zero or less pairs all codes with all, which is the only case of a cross join: it is asked for.
+    ``t`` of zero or less pairs all codes with all, which is the only case of a cross join: it is asked for. An ``index`` of
+    the right side is for a left side of few codes.
     """
-    a, b = (side.select(*(F.col(c).alias(f"{p}{c}") for c in FIELDS)) for side, p in ((left, "a_"), (right, "b_")))
     if t <= 0:
+        a, b = (side.select(*(F.col(c).alias(f"{p}{c}") for c in FIELDS)) for side, p in ((left, "a_"), (right, "b_")))
         out = a.crossJoin(b).withColumn("score", score("a_", "b_"))
         return out.filter(F.col("score") >= t).select(F.col("a_code_id").alias("a"), F.col("b_code_id").alias("b"), "score")
-    targets = a.filter("a_proxy_kind IS NOT NULL").join(b, (F.col("a_proxy_kind") == F.col("b_proxy_kind")) & (F.col("a_proxy_target") == F.col("b_proxy_target")))
-    targets = targets.select(F.col("a_code_id").alias("a"), F.col("b_code_id").alias("b"), F.lit(1.0).alias("score")).filter(F.lit(1.0) >= t)
-    plain = "proxy_kind IS NULL AND NOT std_proxy AND size(selectors) > 0"
-    lk, rk = (_keyed(side.filter(plain).select("code_id", "selectors")) for side in (left, right))
-    lsets, rsets = (k.select("set_key", "selectors").dropDuplicates(["set_key"]) for k in (lk, rk))
-    counts = rsets.select(F.explode("selectors").alias("selector")).groupBy("selector").agg(F.count(F.lit(1)).alias("n"))
-    index = _prefixed(rsets, counts, t).withColumnRenamed("set_key", "b_key")
-    near = _prefixed(lsets, counts, t).withColumnRenamed("set_key", "a_key").join(index, "selector").select("a_key", "b_key").distinct()
-    sized = near.join(lsets.select(F.col("set_key").alias("a_key"), F.col("selectors").alias("x")), "a_key").join(rsets.select(F.col("set_key").alias("b_key"), F.col("selectors").alias("y")), "b_key")
-    fitting = sized.filter(F.least(F.size("x"), F.size("y")) >= F.lit(t) * F.greatest(F.size("x"), F.size("y")) - 1e-9)
-    found = fitting.withColumn("score", jaccard(F.col("x"), F.col("y"))).filter(F.col("score") >= t).select("a_key", "b_key", "score")
-    codes = found.join(lk.select(F.col("set_key").alias("a_key"), F.col("code_id").alias("a")), "a_key").join(rk.select(F.col("set_key").alias("b_key"), F.col("code_id").alias("b")), "b_key")
+    whole, index = index is None, index or Index(right)
+    mine = left.filter("proxy_kind IS NOT NULL").select(F.col("code_id").alias("a"), "proxy_kind", "proxy_target")
+    targets = mine.join(index.targets.withColumnRenamed("code_id", "b"), ["proxy_kind", "proxy_target"]).select("a", "b", F.lit(1.0).alias("score")).filter(F.lit(1.0) >= t)
+    own = _keyed(left.filter(_PLAIN).select("code_id", "selectors"))
+    found = score_sets(own.select("set_key", "selectors").dropDuplicates(["set_key"]), index, t, whole)
+    codes = found.join(own.select(F.col("set_key").alias("a_key"), F.col("code_id").alias("a")), "a_key").join(index.keyed.select(F.col("set_key").alias("b_key"), F.col("code_id").alias("b")), "b_key")
     return codes.select("a", "b", "score").unionByName(targets)
 
 
@@ -63,36 +94,45 @@ def with_code_similarity(pairs: DataFrame, codes: DataFrame, when: str = "true")
     return out.withColumn("code_score", F.when(F.col("x_runs").isNotNull() & F.col("y_runs").isNotNull(), code_similarity(F.col("x_runs"), F.col("y_runs")))).drop("x_id", "y_id", "x_runs", "y_runs")
 
 
-def find_similar(codes: DataFrame, effective: DataFrame, address: str, t: float) -> DataFrame:
+def similarity_of(a: Column, b: Column) -> Column:
+    """Similarity of two codes given as hexadecimal text: the score of their fingerprints."""
+    sides = {}
+    for name, hx in (("a", a), ("b", b)):
+        tok = B.tokens(B.body(hx))
+        sides[name] = B.proxy_kind(hx), B.proxy_target(hx), B.is_standard_proxy(tok), B.selectors(tok)
+    return score_of(*sides["a"], *sides["b"])
+
+
+def find_similar(codes: DataFrame, effective: DataFrame, address: str, t: float, index: Index | None = None) -> DataFrame:
     """(address, score): addresses whose effective code is as similar to that of ``address``, itself left out."""
     own = effective.filter(F.col("address") == address.lower()).select("code_id")
     query = codes.join(own, "code_id", "left_semi")
-    pairs = score_pairs(query, codes, t)
+    pairs = score_pairs(query, codes, t, index or Index(codes))
     out = pairs.join(effective, pairs["b"] == effective["code_id"]).filter(F.col("address") != address.lower())
     return out.select("address", "score").orderBy(F.desc("score"), "address")
 
 
-def match(new_codes: DataFrame, codes: DataFrame, seeds: DataFrame, t: float = ALERT_MIN, code_min: float = CODE_MIN) -> DataFrame:
-    """(code_id, seed_address, label, score): codes near a seed's; strict seeds need like opcode runs too."""
+def match(new_codes: DataFrame, codes: DataFrame, seeds: DataFrame, t: float = ALERT_MIN, code_min: float = CODE_MIN, index: Index | None = None) -> DataFrame:
+    """(code_id, seed_address, label, score): codes near a seed's; strict seeds need like opcode runs too. Greatest scores first."""
     seed_codes = codes.join(seeds.select("code_id"), "code_id", "left_semi")
-    pairs = score_pairs(seed_codes, new_codes, t)
+    pairs = score_pairs(seed_codes, new_codes, t, index or Index(new_codes))
     hits = pairs.join(seeds.select(F.col("address").alias("seed_address"), F.col("code_id").alias("a"), "label", "strict"), "a")
     kept = with_code_similarity(hits, codes, "strict").filter(~F.col("strict") | (F.col("code_score") >= code_min))
     return kept.select(F.col("b").alias("code_id"), "seed_address", "label", "score").orderBy(F.desc("score"), "seed_address")
 
 
-def recheck(stored: DataFrame, codes: DataFrame, seeds: DataFrame, effective: DataFrame, t: float = ALERT_MIN, code_min: float = CODE_MIN, origin: str | None = None) -> DataFrame:
+def recheck(stored: DataFrame, codes: DataFrame, seeds: DataFrame, effective: DataFrame, t: float = ALERT_MIN, code_min: float = CODE_MIN, origin: str | None = None, index: Index | None = None) -> DataFrame:
     """(address, seed_address, label, score, origin): alerts over the whole store, an address never with itself."""
-    found = match(codes, codes, seeds, t, code_min).join(effective, "code_id").filter("address <> seed_address")
+    found = match(codes, codes, seeds, t, code_min, index).join(effective, "code_id").filter("address <> seed_address")
     origins = stored.select("address", F.coalesce("origin", F.lit("unknown")).alias("origin"))
     out = found.join(origins, "address", "left").select("address", "seed_address", "label", "score", F.coalesce("origin", F.lit("unknown")).alias("origin"))
     out = out if origin is None else out.filter(F.col("origin") == origin)
     return out.orderBy("address", F.desc("score"), "seed_address")
 
 
-def interface_hits(codes: DataFrame, seeds: DataFrame, t: float = ALERT_MIN, code_min: float = CODE_MIN) -> DataFrame:
+def interface_hits(codes: DataFrame, seeds: DataFrame, t: float = ALERT_MIN, code_min: float = CODE_MIN, index: Index | None = None) -> DataFrame:
     """(seed_address, hits): other codes with like selectors but unlike opcode runs."""
     seed_codes = codes.join(seeds.select("code_id"), "code_id", "left_semi")
-    pairs = with_code_similarity(score_pairs(seed_codes, codes, t).filter("a <> b"), codes)
+    pairs = with_code_similarity(score_pairs(seed_codes, codes, t, index or Index(codes)).filter("a <> b"), codes)
     hits = pairs.filter(F.col("code_score") < code_min).groupBy("a").agg(F.count(F.lit(1)).alias("hits"))
     return seeds.join(hits, seeds["code_id"] == hits["a"], "left").select(F.col("address").alias("seed_address"), F.coalesce("hits", F.lit(0)).alias("hits"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +9,7 @@ from pyspark.sql import functions as F
 SIZE_EDGES = (0, 256, 1024, 4096, 8192, 16384, 24576)
 SELECTOR_EDGES = (0, 1, 2, 4, 8, 16, 32, 64)
 CLUSTER_EDGES = (2, 3, 4, 5, 9, 17, 33, 65)
+ORIGINS = ("created", "seen", "impl", "fetched", "unknown")
 FEATURES = ("size", "opcode_count", "selector_count", "address_count", "l1_family_size", "is_proxy")
 
 
@@ -55,11 +54,10 @@ def distribution(values: DataFrame, column: str) -> DataFrame:
 def levels(clusters: DataFrame, stored: DataFrame) -> DataFrame:
     """(level, clusters, addresses, share) of L0, L1, proxy and eip7702, of all addresses with code."""
     base = clusters.filter("level <> 'impl'")
-    n = base.groupBy("level").agg(F.count(F.lit(1)).alias("clusters"))
-    members = base.select("level", F.explode("members").alias("address")).distinct().groupBy("level").agg(F.count(F.lit(1)).alias("addresses"))
+    n = base.groupBy("level").agg(F.count(F.lit(1)).alias("clusters"), F.sum("n_members").alias("addresses"))  # an address is in one of a level
     whole = stored.agg(F.count("code_id").alias("whole"))
     every = clusters.sparkSession.createDataFrame([(x,) for x in ("L0", "L1", "proxy", "eip7702")], "level string")
-    joined = every.join(n, "level", "left").join(members, "level", "left").crossJoin(whole)  # four rows and one
+    joined = every.join(n, "level", "left").crossJoin(whole)  # four rows and one
     zero = lambda c: F.coalesce(c, F.lit(0))
     return joined.select("level", zero("clusters").alias("clusters"), zero("addresses").alias("addresses"), share(zero("addresses"), F.col("whole")).alias("share"))
 
@@ -112,14 +110,16 @@ def features(stored: DataFrame, codes: DataFrame) -> DataFrame:
     return joined.select(F.coalesce("address_count", F.lit(0)).alias("address_count"), *(c for c in FEATURES if c != "address_count"))
 
 
-def average_ranks(rows: DataFrame, column: str) -> DataFrame:
-    """(column, rank): ranks from 1 of the distinct values, ties sharing their mean.
+#: Distinct values of a feature that are ranked together, and broadcast, at most.
+MOST_VALUES = 1_000_000
+
 
-    Only distinct values are in one order. They are dealt by ranges, and a range starts where the counts
-    of those below it end, so that no task holds all of them.
+def average_ranks(values: DataFrame, column: str) -> DataFrame:
+    """(column, rank): ranks from 1 of distinct values with their number ``n``, ties sharing their mean.
+
+    Values are dealt by ranges, and a range starts where the counts of those below it end, so that no task holds all of them.
     """
-    n = rows.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    dealt = n.repartitionByRange(F.col(column)).withColumn("part", F.spark_partition_id())
+    dealt = values.repartitionByRange(F.col(column)).withColumn("part", F.spark_partition_id())
     starts = dealt.groupBy("part").agg(F.sum("n").alias("m"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
     starts = starts.select("part", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("start"))
@@ -128,9 +128,28 @@ def average_ranks(rows: DataFrame, column: str) -> DataFrame:
     return placed.select(column, (F.col("start") + F.col("below") + (F.col("n") + 1) / 2).alias(f"{column}_rank"))
 
 
+def _all_ranks(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame | None:
+    """(feature, value, rank) of all features in one pass, where each has few distinct values; else none."""
+    pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).cast("long").alias("value")) for c in columns)))
+    counts = rows.select(pairs.alias("p")).groupBy("p.feature", "p.value").agg(F.count(F.lit(1)).alias("n")).persist()
+    if counts.count() > MOST_VALUES:
+        counts.unpersist()
+        return None
+    below = Window.partitionBy("feature").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    return counts.select("feature", "value", (F.coalesce(F.sum("n").over(below), F.lit(0)) + (F.col("n") + 1) / 2).alias("rank"))
+
+
 def spearman(rows: DataFrame, columns: tuple[str, ...] = FEATURES) -> DataFrame:
     """(a, b, rho): Pearson's coefficient of average ranks; null where a feature does not vary."""
-    ranked = reduce(lambda df, c: df.join(average_ranks(rows, c), c), columns, rows)
+    rows = rows.select(*columns).persist()
+    ranks = _all_ranks(rows, columns)
+    ranked = rows
+    for c in columns:
+        if ranks is not None:
+            one = F.broadcast(ranks.filter(F.col("feature") == c).select(F.col("value").alias(c), F.col("rank").alias(f"{c}_rank")))
+        else:
+            one = average_ranks(rows.groupBy(c).agg(F.count(F.lit(1)).alias("n")), c)
+        ranked = ranked.join(one, c)
     aggs = []
     for i, a in enumerate(columns):
         for b in columns[i:]:
@@ -143,5 +162,14 @@ def spearman(rows: DataFrame, columns: tuple[str, ...] = FEATURES) -> DataFrame:
     return wide.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
 
 
+def origin_shares(counts: DataFrame) -> DataFrame:
+    """(origin, count, percent) of the five origins, in percent with one decimal, of which half is rounded up; zeros of nothing."""
+    every = counts.sparkSession.createDataFrame([(o,) for o in ORIGINS], "origin string")
+    joined = every.join(counts, "origin", "left").select("origin", F.coalesce("n", F.lit(0)).alias("count"))
+    whole = joined.agg(F.sum("count").alias("whole"))
+    percent = F.floor(F.try_divide(F.col("count") * 1000.0, F.col("whole")) + 0.5) / 10
+    return joined.crossJoin(whole).select("origin", "count", F.coalesce(percent, F.lit(0.0)).alias("percent"))  # five rows and one
+
+
 def alerts_by_seed(alerts: DataFrame) -> DataFrame:
     return alerts.groupBy("seed_address", "label").agg(F.count(F.lit(1)).alias("n"))

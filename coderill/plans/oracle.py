@@ -169,6 +169,43 @@ def _ingest(*ctes: str, select: str) -> str:
     return "WITH " + ",".join((STORE, RECEIPTS, CANDIDATES, _NEW, *ctes)) + "\n" + select
 
 
+#: Each code beside that of the part two hundred on, or twenty.
+NEIGHBOURS = """
+neighbours AS (
+  SELECT a.p_partkey, a.hx, b.hx AS other FROM built a JOIN built b ON b.p_partkey = a.p_partkey + CASE WHEN a.p_partkey % 2 = 0 THEN 20 ELSE 200 END WHERE a.hx <> '' AND b.hx <> '')"""
+
+#: Words that a node gives for the two slots of proxies at three blocks: addresses, zeros, malformed ones and failed reads.
+SLOTS = """
+slot_words AS (
+  SELECT address, CAST(1000 + b AS BIGINT) AS block, slot,
+    CASE (p_partkey + b + CASE WHEN slot = 'beacon' THEN 3 ELSE 0 END) % 7
+      WHEN 0 THEN NULL WHEN 1 THEN '0x' || repeat('0', 64) WHEN 2 THEN '0x12' WHEN 3 THEN '0x' || repeat('0', 23) || '1' || substr(target, 3)
+      ELSE '0x' || repeat('0', 24) || upper(substr(target, 3)) END AS word
+  FROM (SELECT x.address, x.p_partkey, y.address AS target FROM built x JOIN built y ON y.p_partkey = x.p_partkey + 7 + x.p_partkey % 3 WHERE x.kind IN (2, 12)) p
+    CROSS JOIN (SELECT 0 AS b UNION ALL SELECT 1 UNION ALL SELECT 2) blocks CROSS JOIN (SELECT 'implementation' AS slot UNION ALL SELECT 'beacon') slots)"""
+_ADDRESS = "CASE WHEN regexp_matches({w}, '^0[xX]0{{24}}[0-9a-fA-F]{{40}}$') AND right({w}, 40) <> repeat('0', 40) THEN '0x' || lower(right({w}, 40)) END"
+_RESOLVED = f"""
+both_slots AS (
+  SELECT i.address, i.block, i.word AS iw, {_ADDRESS.format(w='i.word')} AS own, {_ADDRESS.format(w='b.word')} AS other
+  FROM slot_words i JOIN slot_words b ON b.address = i.address AND b.block = i.block AND b.slot = 'beacon' WHERE i.slot = 'implementation'),
+resolved AS (SELECT address, block, coalesce(own, CASE WHEN iw IS NOT NULL THEN other END) AS implementation, own IS NOT NULL AS direct FROM both_slots)"""
+
+_LATER = "later AS (SELECT address, CASE WHEN right(address, 1) < '8' THEN '0x' || repeat('ab', 20) WHEN right(address, 1) < 'c' THEN implementation END AS implementation FROM implementations)"
+_NUMBERED = """
+numbered AS (
+  SELECT row_number() OVER (ORDER BY block, kind, address, score DESC, seed_address, new_impl) AS id, * FROM (
+    SELECT 'ALERT' AS kind, s.block, a.address, a.seed_address, a.label, a.score, a.origin, CAST(NULL AS STRING) AS old_impl, CAST(NULL AS STRING) AS new_impl
+    FROM alerts a JOIN stored s ON s.address = a.address
+    UNION ALL SELECT 'UPGRADE', s.block, b.address, NULL, NULL, NULL, NULL, b.implementation, n.implementation
+    FROM implementations b JOIN later n ON n.address = b.address JOIN stored s ON s.address = b.address
+    WHERE b.implementation IS NOT NULL AND n.implementation IS NOT NULL AND n.implementation <> b.implementation) q)"""
+_LINE = "CASE WHEN kind = 'ALERT' THEN concat_ws(chr(9), kind, address, seed_address, label, printf('%.4f', score), origin) ELSE concat_ws(chr(9), kind, address, old_impl, new_impl, CAST(block AS STRING)) END"
+
+
+def _events(select: str) -> str:
+    return with_store(*_ALERTS, _LATER, _NUMBERED, select=select)
+
+
 _RECENT = "(SELECT max(block) FROM stored) - 299"
 
 SQL: dict[str, str] = {
@@ -184,7 +221,7 @@ FROM (SELECT c.* FROM codes c WHERE EXISTS (SELECT 1 FROM contracts k WHERE k.hx
     "k8_fingerprint": with_store(select="SELECT code_id, size, skeleton_hash, array_to_string(selectors, ',') AS selectors, proxy_kind, proxy_target, std_proxy FROM codes"),
     "k9_opcode_shingles": with_raw(f"SELECT code_id, CAST(len({_RUNS.replace('{o}', 'ops')}) AS BIGINT) AS n_shingles, CAST(len(ops) AS BIGINT) AS n_ops FROM codes"),
     "k10_opcode_trigrams": with_store(select="SELECT code_id, CAST(CASE WHEN len(ops) >= 3 THEN len(list_distinct(list_transform(generate_series(1, len(ops) - 2), lambda i: ops[i] || ops[i + 1] || ops[i + 2]))) ELSE 0 END AS BIGINT) AS n_trigrams FROM codes"),
-    "k11_hex_code": "SELECT doc_id, regexp_matches('0x' || left(text, doc_id % 9), '^0x([0-9a-fA-F]{2})*$') AS is_code FROM documents",
+    "k11_hex_code": "SELECT doc_id, CAST(length(code) AS BIGINT) AS chars, regexp_matches(code, '^0x([0-9a-fA-F]{2})*$') AS is_code FROM (SELECT doc_id, text AS code FROM documents UNION ALL SELECT doc_id, '0x' || hex(encode(text)) FROM documents)",
     "k12_slot_address": f"WITH {CONTRACTS}, words AS (SELECT address, CASE WHEN p_partkey % 3 = 0 THEN '0X' ELSE '0x' END || repeat('0', 24 - p_partkey % 2) || upper(substr(address, 3 - CASE WHEN p_partkey % 2 = 1 THEN 1 ELSE 0 END)) AS word FROM built) SELECT address, CASE WHEN regexp_matches(word, '^0[xX]0{{24}}[0-9a-fA-F]{{40}}$') AND right(word, 40) <> repeat('0', 40) THEN '0x' || lower(right(word, 40)) END AS slot_address FROM words",
     "k14_flags": with_store(select=f"SELECT code_id, {_FLAGS} AS flags FROM flagged"),
     "s1_score_pairs": with_store(pairs("codes", 0.75), select="SELECT a, b, score FROM pairs"),
@@ -241,6 +278,35 @@ SELECT b.block, b.candidates, b.candidates - (SELECT count(*) FROM decided d WHE
 FROM b"""),
     "j10_upgrades": with_store(*_SEEDED, "later AS (SELECT address, CASE WHEN right(address, 1) < '8' THEN '0x' || repeat('ab', 20) WHEN right(address, 1) < 'c' THEN implementation END AS implementation FROM implementations)", select="SELECT b.address, b.implementation AS old_impl, n.implementation AS new_impl FROM implementations b JOIN later n ON n.address = b.address WHERE b.implementation IS NOT NULL AND n.implementation IS NOT NULL AND n.implementation <> b.implementation"),
     "f7_events_after": "SELECT event_id AS id, event_type AS kind, user_id FROM events WHERE event_id > 100 ORDER BY event_id DESC LIMIT 100",
-    "w8_events": with_store(*_ALERTS, select="SELECT row_number() OVER (ORDER BY s.block, a.address, a.score DESC, a.seed_address) AS id, 'ALERT' AS kind, s.block, a.address, a.seed_address, a.label, a.score, a.origin, CAST(NULL AS STRING) AS old_impl, CAST(NULL AS STRING) AS new_impl FROM alerts a JOIN stored s ON s.address = a.address"),
+    "w8_events": _events("SELECT * FROM numbered"),
+    "w9_event_lines": _events(f"SELECT id, {_LINE} AS line FROM numbered"),
+    "w10_lines_of_created": _events(f"SELECT id, {_LINE} AS line FROM numbered WHERE kind = 'UPGRADE' OR origin = 'created'"),
+    "a7_event_counts": _events("SELECT k.kind, count(n.id) AS n FROM (VALUES ('ALERT'), ('UPGRADE')) k(kind) LEFT JOIN numbered n ON n.kind = k.kind GROUP BY 1"),
+    "a7_seed_counts": _events("SELECT seed_address, label, count(*) AS n FROM numbered WHERE kind = 'ALERT' GROUP BY 1, 2"),
+    "f9_upgrades_only": _events("SELECT * FROM numbered WHERE kind = 'UPGRADE'"),
+    "o8_feed": """
+WITH e AS (SELECT event_id AS id, event_type AS kind, user_id FROM events),
+both_of AS (SELECT id, kind, -user_id AS user_id FROM e WHERE id % 3 <> 0 UNION ALL SELECT * FROM e WHERE id % 2 = 0 AND id % 3 = 0)
+SELECT * FROM both_of ORDER BY id DESC LIMIT 500""",
+    "a21_origin_shares": with_store("c AS (SELECT o.origin, count(s.address) AS n FROM (VALUES ('created'), ('seen'), ('impl'), ('fetched'), ('unknown')) o(origin) LEFT JOIN stored s ON coalesce(s.origin, 'unknown') = o.origin GROUP BY 1)", select='SELECT origin, n AS "count", coalesce(floor(n * 1000.0 / nullif((SELECT sum(n) FROM c), 0) + 0.5) / 10, 0.0) AS percent FROM c'),
+    "c15_formatted": f"""WITH {CONTRACTS}, ages AS (SELECT address, p_partkey, CASE WHEN p_partkey % 10 <> 0 THEN p_partkey * 7 % 9000 END AS s FROM built)
+SELECT address, left(address, 6) || chr(8230) || right(address, 4) AS short,
+  CASE WHEN s IS NULL THEN 'n/a' WHEN s < 60 THEN s || ' s' WHEN s < 3600 THEN s // 60 || ' min' ELSE s // 3600 || ' h' END AS age,
+  CASE WHEN s IS NULL THEN 'unknown' WHEN s < 60 THEN 'live' WHEN s < 300 THEN 'behind' ELSE 'stalled' END AS status,
+  printf('%02d:%02d:00', p_partkey % 24, p_partkey % 60) AS time, 'https://etherscan.io/address/' || address AS url FROM ages""",
+    "k13_addresses": f"""WITH {CONTRACTS}, g AS (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN upper(address) WHEN 1 THEN left(address, 41) WHEN 2 THEN address || 'f' WHEN 3 THEN '0x' || upper(substr(address, 3)) ELSE address END AS given FROM built)
+SELECT p_partkey, given, length(given) = 42 AND given[1:2] = '0x' AND translate(lower(given[3:]), '0123456789abcdef', '') = '' AS valid FROM g""",
+    "s3_similarity_of_codes": with_store(NEIGHBOURS, select=f"SELECT n.p_partkey, {_score('x', 'y')} AS score FROM neighbours n JOIN codes x ON x.hx = n.hx JOIN codes y ON y.hx = n.other"),
+    "j9_resolved_proxies": with_store(SLOTS, _RESOLVED, select="SELECT * FROM resolved"),
+    "st6_upgrades": with_store(SLOTS, _RESOLVED, """
+chained AS (
+  SELECT r.block, r.address, coalesce(lag(r.implementation) OVER (PARTITION BY r.address ORDER BY r.block), s.implementation) AS old_impl, r.implementation AS new_impl
+  FROM resolved r LEFT JOIN stored s ON s.address = r.address WHERE r.implementation IS NOT NULL)""", select="SELECT * FROM chained WHERE old_impl IS NOT NULL AND old_impl <> new_impl"),
+    "st8_implementation_alerts": with_store(SLOTS, _RESOLVED, *_ALERTS, select="""
+SELECT r.block, r.address, m.seed_address, m.label, m.score, coalesce(p.origin, 'unknown') AS origin
+FROM resolved r JOIN stored p ON p.address = r.address JOIN stored i ON i.address = r.implementation JOIN matched m ON m.code_id = i.code_id"""),
+    "st9_capped_by_budget": _ingest("firsts AS (SELECT address, min(block) AS block, arg_min(origin, block) AS origin FROM fresh GROUP BY address)",
+      "ranked AS (SELECT *, row_number() OVER (PARTITION BY block ORDER BY address) AS k FROM firsts)",
+      select="SELECT address, block, origin, k <= 50 AND CASE WHEN k <= 50 THEN sum(CASE WHEN k <= 50 THEN 1 ELSE 0 END) OVER (ORDER BY block, address ROWS UNBOUNDED PRECEDING) ELSE 401 END <= 400 AS fetched FROM ranked"),
     "c10_formatted_alerts": with_store(*_ALERTS, select="SELECT concat_ws(chr(9), 'ALERT', address, seed_address, label, printf('%.4f', score), origin) AS line FROM alerts"),
 }

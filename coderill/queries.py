@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from coderill.functions import bytecode as B
+from coderill.functions import formats
 from coderill.operators import calibration, clusters, codes, ingest, similarity, statistics
 from coderill.plans import corpus, oracle
 
@@ -33,12 +34,13 @@ class Store:
         self.stored = codes.addresses(contracts).persist()
         self.effective = codes.effective(self.stored, self.codes).persist()
         self.seeds = codes.seeds(corpus.seed_rows(spark, sf_dir), self.stored, self.codes).persist()
+        self.index = similarity.Index(self.codes, persist=True)
 
-    def clusters(self) -> DataFrame:
-        return clusters.build(self.stored, self.codes)
+    def sizes(self) -> DataFrame:
+        return clusters.sizes(self.stored, self.codes)
 
     def recheck(self, origin: str | None = None) -> DataFrame:
-        return similarity.recheck(self.stored, self.codes, self.seeds, self.effective, origin=origin)
+        return similarity.recheck(self.stored, self.codes, self.seeds, self.effective, origin=origin, index=self.index)
 
 
 _stores: dict[tuple[str, str], Store] = {}
@@ -103,18 +105,19 @@ def k8_fingerprint(spark, sf_dir):
 
 @query
 def k9_opcode_shingles(spark, sf_dir):
-    return _raw(spark, sf_dir).select("code_id", F.size(B.shingles(F.col("ops"))).cast("long").alias("n_shingles"), F.size("ops").cast("long").alias("n_ops"))
+    return _raw(spark, sf_dir).select("code_id", F.size("runs").cast("long").alias("n_shingles"), F.size("ops").cast("long").alias("n_ops"))
 
 
 @query
 def k10_opcode_trigrams(spark, sf_dir):
-    return store_of(spark, sf_dir).codes.select("code_id", F.size(B.shingles(F.col("ops"), 3)).cast("long").alias("n_trigrams"))
+    return store_of(spark, sf_dir).codes.select("code_id", F.size(B.shingles(B.numbered(F.col("ops")), 3)).cast("long").alias("n_trigrams"))
 
 
 @query
 def k11_hex_code(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.select("doc_id", B.is_hex_code(F.expr("concat('0x', left(text, cast(doc_id % 9 as int)))")).alias("is_code"))
+    whole = docs.select("doc_id", F.col("text").alias("code")).unionByName(docs.select("doc_id", F.concat(F.lit("0x"), F.hex(F.col("text").cast("binary"))).alias("code")))
+    return whole.select("doc_id", F.length("code").cast("long").alias("chars"), B.is_hex_code(F.col("code")).alias("is_code"))
 
 
 @query
@@ -139,7 +142,7 @@ def s1_score_pairs(spark, sf_dir):
 def s2_code_similarity(spark, sf_dir):
     store = store_of(spark, sf_dir)
     own = store.codes.join(store.seeds.select("code_id"), "code_id", "left_semi")
-    return similarity.with_code_similarity(similarity.score_pairs(own, store.codes, 0.5), store.codes).select("a", "b", "score", "code_score")
+    return similarity.with_code_similarity(similarity.score_pairs(own, store.codes, 0.5, store.index), store.codes).select("a", "b", "score", "code_score")
 
 
 @query
@@ -157,13 +160,13 @@ def j2_implementations(spark, sf_dir):
 def j3_find_similar(spark, sf_dir):
     store = store_of(spark, sf_dir)
     address = store.seeds.filter("strict").agg(F.min("address")).first()[0]
-    return similarity.find_similar(store.codes, store.effective, address or "", 0.8)
+    return similarity.find_similar(store.codes, store.effective, address or "", 0.8, store.index)
 
 
 @query
 def j4_match_watchlist(spark, sf_dir):
     store = store_of(spark, sf_dir)
-    return similarity.match(store.codes, store.codes, store.seeds)
+    return similarity.match(store.codes, store.codes, store.seeds, index=store.index)
 
 
 @query
@@ -179,29 +182,30 @@ def f5_recheck_created(spark, sf_dir):
 @query
 def j7_interface_hits(spark, sf_dir):
     store = store_of(spark, sf_dir)
-    return similarity.interface_hits(store.codes, store.seeds)
+    return similarity.interface_hits(store.codes, store.seeds, index=store.index)
 
 
 @query
 def a1_clusters(spark, sf_dir):
-    return store_of(spark, sf_dir).clusters().withColumn("members", F.array_join("members", ","))
+    store = store_of(spark, sf_dir)
+    return clusters.build(store.stored, store.codes).withColumn("members", F.array_join("members", ","))
 
 
 @query
 def o5_clusters_top(spark, sf_dir):
-    return clusters.top(store_of(spark, sf_dir).clusters()).select("level", "key", "n_members")
+    return clusters.top(store_of(spark, sf_dir).sizes()).select("level", "key", "n_members")
 
 
 @query
 def f8_clusters_of_level(spark, sf_dir):
-    return clusters.top(store_of(spark, sf_dir).clusters(), 20, "impl").select("level", "key", "n_members")
+    return clusters.top(store_of(spark, sf_dir).sizes(), 20, "impl").select("level", "key", "n_members")
 
 
 @query
 def j11_cluster_of_address(spark, sf_dir):
     store = store_of(spark, sf_dir)
     address = store.seeds.agg(F.min("address")).first()[0]
-    return clusters.containing(store.clusters(), address or "").select("level", "key", "n_members")
+    return clusters.containing(store.stored, store.codes, address or "").select("level", "key", "n_members")
 
 
 @query
@@ -236,7 +240,7 @@ def a9_ledger_days(spark, sf_dir):
 @query
 def a10_levels(spark, sf_dir):
     store = store_of(spark, sf_dir)
-    return statistics.levels(store.clusters(), store.stored)
+    return statistics.levels(store.sizes(), store.stored)
 
 
 @query
@@ -267,7 +271,7 @@ def a13_selector_histogram(spark, sf_dir):
 
 @query
 def a13_cluster_histogram(spark, sf_dir):
-    return statistics.histogram(store_of(spark, sf_dir).clusters(), "n_members", statistics.CLUSTER_EDGES)
+    return statistics.histogram(store_of(spark, sf_dir).sizes(), "n_members", statistics.CLUSTER_EDGES)
 
 
 @query
@@ -292,7 +296,7 @@ def a18_calibrate(spark, sf_dir):
     store = store_of(spark, sf_dir)
     labels = corpus.over_built(spark, sf_dir, oracle.LABELS)
     strict = labels.filter("k % 3 = 0").select(F.col("a").alias("address")).distinct()
-    return calibration.evaluate(labels, strict, store.stored, store.codes)
+    return calibration.evaluate(labels, strict, store.stored, store.codes, index=store.index)
 
 
 def _candidates(spark, sf_dir):
@@ -348,12 +352,104 @@ def f7_events_after(spark, sf_dir):
     return ingest.events_after(rows, 100, 100)
 
 
+def _events(spark, sf_dir):
+    store = store_of(spark, sf_dir)
+    where = store.stored.select("address", "block")
+    alerts = store.recheck().join(where, "address")
+    return ingest.events(alerts, j10_upgrades(spark, sf_dir).join(where, "address"))
+
+
 @query
 def w8_events(spark, sf_dir):
+    return _events(spark, sf_dir)
+
+
+@query
+def w9_event_lines(spark, sf_dir):
+    return ingest.lines(_events(spark, sf_dir))
+
+
+@query
+def w10_lines_of_created(spark, sf_dir):
+    return ingest.lines(_events(spark, sf_dir), "created")
+
+
+@query
+def a7_event_counts(spark, sf_dir):
+    return ingest.event_counts(_events(spark, sf_dir))
+
+
+@query
+def a7_seed_counts(spark, sf_dir):
+    return ingest.seed_counts(_events(spark, sf_dir))
+
+
+@query
+def f9_upgrades_only(spark, sf_dir):
+    return ingest.of_kind(_events(spark, sf_dir), "UPGRADE")
+
+
+@query
+def o8_feed(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("id"), F.col("event_type").alias("kind"), "user_id")
+    kept = rows.filter("id % 3 <> 0").withColumn("user_id", -F.col("user_id"))
+    return ingest.merged(kept, rows.filter("id % 2 = 0"))
+
+
+@query
+def a21_origin_shares(spark, sf_dir):
+    return statistics.origin_shares(statistics.origin_counts(store_of(spark, sf_dir).stored))
+
+
+@query
+def c15_formatted(spark, sf_dir):
+    seconds = F.when(F.col("p_partkey") % 10 != 0, F.col("p_partkey") * 7 % 9000)
+    rows = corpus.over_built(spark, sf_dir, "ages AS (SELECT address, p_partkey FROM built)")
+    return rows.select("address", formats.short_address(F.col("address")).alias("short"), formats.age(seconds).alias("age"), formats.status(seconds).alias("status"), formats.time_of(F.format_string("2026-01-01T%02d:%02d:00Z", F.col("p_partkey") % 24, F.col("p_partkey") % 60)).alias("time"), formats.explorer_url(F.upper("address")).alias("url"))
+
+
+@query
+def k13_addresses(spark, sf_dir):
+    rows = corpus.over_built(spark, sf_dir, "given AS (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN upper(address) WHEN 1 THEN left(address, 41) WHEN 2 THEN address || 'f' WHEN 3 THEN '0x' || upper(substr(address, 3)) ELSE address END AS given FROM built)")
+    return rows.select("p_partkey", "given", B.is_address(F.col("given")).alias("valid"))
+
+
+@query
+def s3_similarity_of_codes(spark, sf_dir):
+    rows = corpus.over_built(spark, sf_dir, oracle.NEIGHBOURS)
+    return rows.select("p_partkey", similarity.similarity_of(F.col("hx"), F.col("other")).alias("score"))
+
+
+def _resolved(spark, sf_dir):
+    words = corpus.over_built(spark, sf_dir, oracle.SLOTS)
+    proxies = words.select("address", "block").distinct()
+    return ingest.resolved(proxies, words, ("address", "block"))
+
+
+@query
+def j9_resolved_proxies(spark, sf_dir):
+    return _resolved(spark, sf_dir)
+
+
+@query
+def st6_upgrades(spark, sf_dir):
+    store = store_of(spark, sf_dir)
+    before = store.stored.filter("implementation IS NOT NULL").select("address", "implementation")
+    return ingest.changes(_resolved(spark, sf_dir), before)
+
+
+@query
+def st8_implementation_alerts(spark, sf_dir):
     store = store_of(spark, sf_dir)
-    alerts = store.recheck().join(store.stored.select("address", "block"), "address")
-    none = store.stored.limit(0).selectExpr("block", "address", "implementation AS old_impl", "implementation AS new_impl")
-    return ingest.events(alerts, none)
+    behind = _resolved(spark, sf_dir).filter("implementation IS NOT NULL").join(store.stored.select("address", "origin"), "address")
+    behind = behind.join(store.stored.select(F.col("address").alias("implementation"), "code_id"), "implementation").select("block", "address", "origin", "code_id")
+    matched = similarity.match(store.codes.join(behind.select("code_id"), "code_id", "left_semi"), store.codes, store.seeds)
+    return matched.join(behind, "code_id").select("block", "address", "seed_address", "label", "score", F.coalesce("origin", F.lit("unknown")).alias("origin"))
+
+
+@query
+def st9_capped_by_budget(spark, sf_dir):
+    return ingest.capped(ingest.first_seen(_unknown(spark, sf_dir)), 50, 400)
 
 
 @query

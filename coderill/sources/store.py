@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from coderill.functions import bytecode as B
 
 SCHEMAS = {
-    "codes": "code_id string, size long, skeleton_hash string, selectors array<string>, proxy_kind string, proxy_target string, std_proxy boolean, selfdestruct boolean, mutable_delegatecall boolean, ops array<string>, runs array<string>, hx string, opcode_count long",
+    "codes": "code_id string, size long, skeleton_hash string, selectors array<string>, proxy_kind string, proxy_target string, std_proxy boolean, selfdestruct boolean, mutable_delegatecall boolean, ops array<string>, runs array<bigint>, hx string, opcode_count long",
     "addresses": "address string, code_id string, block long, origin string",
     "implementations": "address string, implementation string, block long, step long",
     "deferred": "address string, block long, origin string, pending boolean, step long",

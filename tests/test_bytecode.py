@@ -35,7 +35,7 @@ CODES += [bytes.fromhex("6001") + bytes.fromhex("a165627a7a72305820") + bytes(32
 def kernel(spark):
     hx = F.col("hx")
     frame = spark.createDataFrame([(c.hex(),) for c in CODES], "hx string")
-    rows = frame.select("hx", B.body(hx).alias("body"), B.tokens(B.body(hx)).alias("tok")).select("hx", "body", "tok", B.skeleton(F.col("tok")).alias("skeleton"), B.selectors(F.col("tok")).alias("selectors"), B.shingles(B.opcodes(F.col("tok"))).alias("runs"))
+    rows = frame.select("hx", B.body(hx).alias("body"), B.tokens(B.body(hx)).alias("tok")).select("hx", "body", "tok", B.skeleton(F.col("tok")).alias("skeleton"), B.selectors(F.col("tok")).alias("selectors"), B.shingles(B.numbered(B.opcodes(F.col("tok")))).alias("runs"))
     return {r.hx: r for r in rows.collect()}
 
 
@@ -54,7 +54,7 @@ def test_skeletons_zero_wide_pushes(kernel):
 def test_shingles(kernel):
     for code in CODES:
         ops = [t[:1].hex() for t in sweep(stripped(code))]
-        assert set(kernel[code.hex()].runs) == {"".join(ops[i : i + 5]) for i in range(len(ops) - 4)}
+        assert set(kernel[code.hex()].runs) == {int("".join(ops[i : i + 5]), 16) for i in range(len(ops) - 4)}
 
 
 def test_selectors_need_a_comparison(spark):

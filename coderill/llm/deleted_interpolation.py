@@ -168,7 +168,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % HELD_OUT_OF == HELD_OUT, F.lit(False)).alias("held_out"),
     )
     chunks = shards(plain, "text")
-    chunked = plain.withColumn("chunk", exchange.chunk_of("doc_id", chunks))
+    chunked = plain.withColumn("chunk", exchange.chunk_of(chunks))
     asked = chunked.groupBy("chunk").applyInArrow(lambda table: _asked(table, chunks), exchange.REQUEST)
     # one job, so that requests and answers read the same exchange of texts; from here on only counts are read
     counted = exchange.with_answers(chunked, exchange.totals(asked), lambda a, b: _counted(a, b, chunks), COUNTED.replace("doc_id long", f"doc_id {kind}"))

@@ -1,11 +1,15 @@
 """Corpus-wide counts of 64-bit keys for chunks of documents, by request and answer.
 
-A chunk holds the documents of one hash of the id, so its size is bounded and its number grows with the
-corpus. Each chunk asks for its distinct keys once, with its own counts: the request goes to the bucket
-of the keys' leading bits, where the totals are made, and the answer returns as counts in the order of
+Rows are dealt to chunks by their place in the input, whatever their ids or texts, so chunks are of one size. Each
+chunk asks for its distinct keys once, with its own counts: the request goes to the bucket of the keys'
+leading bits, where the totals are made, and the answer returns as counts in the order of
 the request. A key that half of all rows hold is still one entry for each chunk, so no bucket is hot.
 
-Of a key, its bucket and its last 48 bits travel.
+A request is a row for each chunk and bucket. Chunks and buckets are of 16 MB of text, and of more from 64 GB on, growing with the
+square root of the input (``tables.shards``: 64 MB at 1 TB, 640 MB at 100 TB), so that a row has some 4 KB and the
+number of rows grows in proportion to the input.
+
+Keys travel whole, in rising order, as their differences.
 """
 
 from __future__ import annotations
@@ -17,11 +21,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_LOW = np.uint64((1 << 32) - 1)
-
-
-def chunk_of(id_col: str, chunks: int) -> Column:
-    return F.pmod(F.xxhash64(F.col(id_col)), F.lit(chunks)).cast("int")
+def chunk_of(chunks: int) -> Column:
+    """The chunk of a row by its file and place there, which are the same whenever they are read."""
+    return F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(chunks)).cast("int")
 
 
 def pack_counts(counts: np.ndarray) -> bytes:
@@ -39,13 +41,15 @@ def unpack_counts(data: bytes, n: int) -> np.ndarray:
 
 
 def _pack_keys(keys: np.ndarray) -> bytes:
-    return (keys & _LOW).astype(np.uint32).tobytes() + ((keys >> np.uint64(32)) & np.uint64(0xFFFF)).astype(np.uint16).tobytes()
+    """Distinct keys in rising order; the upper bytes of their differences are zero, and compressed."""
+    planes = np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(len(keys), 8).T.tobytes()
+    return len(keys).to_bytes(8, "little") + pa.compress(planes, codec="lz4", asbytes=True)
 
 
 def _unpack_keys(data: bytes) -> np.ndarray:
-    n = len(data) // 6
-    low, high = np.frombuffer(data, np.uint32, n), np.frombuffer(data, np.uint16, n, 4 * n)
-    return low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32)
+    n = int.from_bytes(data[:8], "little")
+    planes = np.frombuffer(pa.decompress(data[8:], 8 * n, codec="lz4", asbytes=True), dtype=np.uint8).reshape(8, n)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
 REQUEST = "bucket int, chunk int, keys binary, counts binary"
@@ -77,7 +81,7 @@ def _answer(table: pa.Table) -> pa.Table:
     total = np.zeros(len(distinct), dtype=np.int64)
     places = [np.searchsorted(distinct, k) for k in keys]
     for at, n in zip(places, counts):
-        np.add.at(total, at, n)  # within a chunk two keys may share their last 48 bits
+        total[at] += n  # a chunk's keys are distinct
     return pa.table(
         {
             "chunk": table["chunk"],

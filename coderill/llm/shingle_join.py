@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from coderill.llm import exchange, words, worker
 from coderill.llm.graph import Forest, components
-from coderill.llm.tables import materialise, shards
+from coderill.llm.tables import join_groups, materialise, shards
 
 N = 5
 PERCENT = 75
@@ -80,7 +80,7 @@ def shared_sets(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFram
     """(doc_id, n, f, g, own, shared): set size, fingerprint, n-grams of no other document, and the others
     as order keys (frequency, then hash) where the document can link at all, else null."""
     chunks = shards(docs, "text")
-    chunked = docs.select("doc_id", "text", exchange.chunk_of("doc_id", chunks).alias("chunk"))
+    chunked = docs.select("doc_id", "text", exchange.chunk_of(chunks).alias("chunk"))
 
     def ask(table: pa.Table) -> pa.Table:
         _, members = document_sets(table["text"], n)
@@ -266,7 +266,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     sets = materialise(shared_sets(plain, n, percent))
     can = sets.filter("shared IS NOT NULL AND doc_id IS NOT NULL")
-    classes = can.groupBy("n", "f", "g").agg(F.min("doc_id").alias("first"))
+    classes = materialise(can.groupBy("n", "f", "g").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("__n")))
     firsts = can.join(classes.select(F.col("first").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     prefixes = _prefixes(firsts, percent)
     ties = prefixes.groupBy("key").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("top")).filter("top > b").drop("top")
@@ -280,7 +280,11 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     if not several.isEmpty():
         edges = _across(several.drop("blocks"), edges, percent)
     linked = components(edges).withColumnRenamed("node", "first")
-    members = can.select("doc_id", "n", "f", "g").join(classes, ["n", "f", "g"]).join(linked, "first", "left")
-    members = members.select("doc_id", F.coalesce("component", "first").alias("component")).dropDuplicates(["doc_id"])
-    out = sets.select("doc_id", "n").join(members, "doc_id", "left")
+    classed = classes.join(linked, "first", "left").select("n", "f", "g", "__n", F.coalesce("component", "first").alias("component"))
+    members = join_groups(can.select("doc_id", "n", "f", "g"), classed, ["n", "f", "g"], "__n")
+    members = members.groupBy("doc_id").agg(F.min("component").alias("component"))
+    known = sets.filter("doc_id IS NOT NULL").select("doc_id", "n")
+    ids = materialise(known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("__n")).join(members, "doc_id", "left"))
+    out = join_groups(known, ids, ["doc_id"], "__n").select("doc_id", "n", "component")
+    out = out.unionByName(sets.filter("doc_id IS NULL").select("doc_id", "n", F.lit(None).cast("long").alias("component")))
     return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))

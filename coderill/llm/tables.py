@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
@@ -39,10 +40,37 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def shards(df: DataFrame, text: str, per_shard: int = 16 << 20, least: int = 8) -> int:
-    """A power of two that grows with the bytes of ``text``: about ``per_shard`` bytes each."""
+def shards(df: DataFrame, text: str, per_shard: int = 16 << 20, least: int = 8, per_row: int = 4096) -> int:
+    """A power of two that grows with the bytes of ``text``: about ``per_shard`` bytes each, or what leaves ``per_row``
+    bytes for each two shards, whichever is more."""
     total = df.agg(F.sum(F.octet_length(text)).alias("b")).first()["b"] or 0
+    each = max(per_shard, math.isqrt(per_row * total))
     n = least
-    while n * per_shard < total:
+    while n * each < total:
         n *= 2
     return n
+
+
+#: Rows of a group from which on it is joined apart from the others, and groups that are broadcast at most.
+CROWDED = 1_000
+BROADCAST_GROUPS = 1_000_000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], n: str) -> DataFrame:
+    """Rows with the columns of their group, of which there is one; ``n`` is how many rows a group has.
+
+    Crowded groups are few and go to all tasks, so that none meets in one; where they are too many for that, their
+    rows are dealt by a hash as well.
+    """
+    crowded, others = groups.filter(F.col(n) > CROWDED), groups.filter(F.col(n) <= CROWDED)
+    known = crowded.count()
+    if not known:
+        return rows.join(others, keys)
+    if known <= BROADCAST_GROUPS:
+        apart = rows.join(F.broadcast(crowded), keys)
+        rest = rows.join(F.broadcast(crowded.select(*keys)), keys, "left_anti")
+        return apart.unionByName(rest.join(others, keys))
+    salts = 16
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(salts)))
+    spread = groups.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumn("__salt", F.col("__salt").cast("long"))
+    return salted.join(spread, [*keys, "__salt"]).drop("__salt")

@@ -4,9 +4,11 @@ Unit vectors with a cosine of at least ``threshold`` lie within ``epsilon = sqrt
 are projected on leading principal dimensions (an orthonormal basis, fitted on a bounded sample, so that
 distances only shrink) and sorted by the grid cells of side ``epsilon`` in these dimensions. The sorted
 sequence is cut into intervals of at most ``INTERVAL`` vectors, which carry the box of their coordinates.
-Intervals meet where their first cells are neighbours and their boxes are within ``epsilon``; a pair of
+Intervals meet where their boxes cover cells that are neighbours in several leading dimensions (more of them, the more
+intervals there are) and are within ``epsilon``; a pair of
 intervals is joined by halving both, leaving out halves whose boxes are provably distant, down to blocks
 whose cosines are computed in double precision. Results do not depend on the basis or the cuts.
+Vectors travel as they came, in single precision where that is what they have, and are made unit vectors where they meet.
 
 Equal vectors are one class that is joined once, with its size as weight. A task returns link counts and
 a spanning forest of its links, not the links, so dense groups stay linear in rows.
@@ -116,7 +118,7 @@ def _placed(vectors: DataFrame, basis: np.ndarray, epsilon: float) -> DataFrame:
     return vectors.select("class", "v", "weight").mapInArrow(run, "class long, v array<double>, weight long, cells array<long>")
 
 
-INTERVALS = "interval long, first long, last long, low array<double>, high array<double>, classes binary, weights binary, vectors binary"
+INTERVALS = "interval long, low array<double>, high array<double>, classes binary, weights binary, vectors binary"
 
 
 def _intervals(placed: DataFrame, basis: np.ndarray, size: int) -> DataFrame:
@@ -133,14 +135,14 @@ def _intervals(placed: DataFrame, basis: np.ndarray, size: int) -> DataFrame:
             flat = table["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
             vectors = unit(flat)
             places = vectors @ basis
-            first = [c[0].as_py() for c in (table["cells"][0], table["cells"][table.num_rows - 1])]
+            with np.errstate(over="ignore"):
+                single = flat.astype(np.float32)
             return pa.RecordBatch.from_pydict(
                 {
-                    "interval": [number], "first": first[:1], "last": first[1:],
-                    "low": [places.min(axis=0).tolist()], "high": [places.max(axis=0).tolist()],
-                    "classes": [table["class"].to_numpy().tobytes()], "weights": [table["weight"].to_numpy().tobytes()], "vectors": [vectors.tobytes()],
+                    "interval": [number], "low": [places.min(axis=0).tolist()], "high": [places.max(axis=0).tolist()], "classes": [table["class"].to_numpy().tobytes()],
+                    "weights": [table["weight"].to_numpy().tobytes()], "vectors": [(single if (single == flat).all() else flat).tobytes()],
                 },
-                schema=pa.schema([("interval", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("low", pa.list_(pa.float64())), ("high", pa.list_(pa.float64())), ("classes", pa.binary()), ("weights", pa.binary()), ("vectors", pa.binary())]),
+                schema=pa.schema([("interval", pa.int64()), ("low", pa.list_(pa.float64())), ("high", pa.list_(pa.float64())), ("classes", pa.binary()), ("weights", pa.binary()), ("vectors", pa.binary())]),
             )
 
         for batch in batches:
@@ -161,8 +163,9 @@ FOUND = "class long, n long, root long"
 
 def _join_pair(one: dict, other: dict, basis: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     def opened(x: dict) -> tuple[np.ndarray, np.ndarray, Sequence]:
-        classes = np.frombuffer(x["classes"], np.int64)
-        return classes, np.frombuffer(x["weights"], np.int64), Sequence(np.frombuffer(x["vectors"]).reshape(len(classes), -1), basis)
+        classes, data = np.frombuffer(x["classes"], np.int64), x["vectors"]
+        kind = np.float64 if len(data) == 8 * len(classes) * len(basis) else np.float32
+        return classes, np.frombuffer(x["weights"], np.int64), Sequence(unit(np.frombuffer(data, kind).astype(np.float64).reshape(len(classes), -1)), basis)
 
     a = opened(one)
     b = a if one["interval"] == other["interval"] else opened(other)
@@ -196,13 +199,21 @@ def _linked(vectors: DataFrame, dimensions: int, threshold: float, size: int) ->
     order = [F.col("cells")[k] for k in range(min(4, dimensions))] + [F.xxhash64("class")]
     spread = _placed(vectors, basis, epsilon).repartitionByRange(*order).sortWithinPartitions("cells", "class")
     intervals = materialise(_intervals(spread, basis, size))
-    # first cells that are neighbours: each interval stands under the cells it covers, and meets those one below
-    boxes = intervals.select("interval", "first", "last", "low", "high")
-    under = boxes.select("*", F.explode(F.sequence("first", "last")).alias("cell"))
-    near = under.select(*(F.col(c).alias(f"o_{c}") for c in ("interval", "low", "high")), F.explode(F.array(F.col("cell") - 1, "cell", F.col("cell") + 1)).alias("cell"))
+    # each interval stands under the cells that its box covers in some dimensions, and meets those of a higher number that cover
+    # neighbouring cells
+    boxes = intervals.select("interval", "low", "high")
+    n = boxes.count()
+    used = min(len(basis[0]), max(1, round(math.log(max(n, 2), 7))), 3)
+    cells = lambda place: F.floor(place / F.lit(epsilon)).cast("long")
+    under = near = boxes
+    for k in range(used):
+        under = under.withColumn(f"c{k}", F.explode(F.sequence(cells(F.col("low")[k]), cells(F.col("high")[k]))))
+        near = near.withColumn(f"c{k}", F.explode(F.sequence(cells(F.col("low")[k]) - 1, cells(F.col("high")[k]) + 1)))
+    near = near.select(*(F.col(c).alias(f"o_{c}") for c in ("interval", "low", "high")), *(f"c{k}" for k in range(used)))
     gaps = F.zip_with(F.zip_with("low", "o_high", lambda a, b: a - b), F.zip_with("o_low", "high", lambda a, b: a - b), lambda a, b: F.greatest(a, b, F.lit(0.0)))
     apart = F.aggregate(gaps, F.lit(0.0), lambda s, g: s + g * g)
-    pairs = under.join(near, "cell").filter((F.col("interval") <= F.col("o_interval")) & (apart <= 2 - 2 * threshold + 1e-9)).select("interval", "o_interval").distinct()
+    met = under.join(near, [f"c{k}" for k in range(used)]).filter((F.col("interval") <= F.col("o_interval")) & (apart <= 2 - 2 * threshold + 1e-9))
+    pairs = met.select("interval", "o_interval").distinct()
     held = ("classes", "weights", "vectors")
     left = intervals.select("interval", *held)
     right = intervals.select(F.col("interval").alias("o_interval"), *(F.col(c).alias(f"o_{c}") for c in held))

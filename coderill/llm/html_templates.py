@@ -275,7 +275,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         joined = hosted.join(F.broadcast(own), F.col("host") == F.col("__host"), "left")
     else:  # a host of many pages is dealt to several tasks
         salt = F.pmod(F.xxhash64("page_id", "url", F.length("html")), F.lit(_SALTS))
-        salted = own.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).cast("long"))
+        salted = own.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
         joined = hosted.withColumn("salt", salt).join(salted, (F.col("host") == F.col("__host")) & (F.col("salt") == F.col("__salt")), "left")
     joined = joined.select("page_id", "url", "html", "region", "furniture")
 

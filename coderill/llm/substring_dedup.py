@@ -267,11 +267,18 @@ def levels(spans: list[tuple[int, int, int]], most: int) -> list[int]:
 CHAINS = "doc_id long, source long, places binary, sources binary"
 
 
-def joints(place: np.ndarray, source: np.ndarray, source_place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Key and places of neighbouring seeds of a document that lie otherwise in their sources."""
+def seeded(places: np.ndarray, sources: np.ndarray, k: int) -> int:
+    """Words that the seeds of a chain cover, on the side where that is less."""
+    return min(int(np.minimum(np.diff(x), k).sum()) + k for x in (places, sources))
+
+
+def joints(place: np.ndarray, source: np.ndarray, source_place: np.ndarray, held: list[tuple[int, int]] | tuple = ()) -> tuple[np.ndarray, np.ndarray]:
+    """Key and places of neighbouring seeds of a document that lie otherwise in their sources, outside of ``held``."""
     rows = np.unique(np.stack([place.astype(np.int64), source, source_place.astype(np.int64)], axis=1), axis=0)
     a, b = rows[:-1], rows[1:]
     joint = (a[:, 1] != b[:, 1]) | (b[:, 2] - a[:, 2] != b[:, 0] - a[:, 0])
+    for first, last in held:
+        joint &= (a[:, 0] < first) | (b[:, 0] > last)
     a, b = a[joint], b[joint]
     key = np.zeros(len(a), dtype=np.uint64)
     for part in (a[:, 1], a[:, 2], b[:, 1], b[:, 2], b[:, 0] - a[:, 0]):
@@ -310,8 +317,11 @@ def rechained(spans: list[tuple[int, np.ndarray, np.ndarray, bool]], k: int) ->
     return out
 
 
-def chained(matched: DataFrame, k: int = K, gap_cost: float = GAP_COST) -> DataFrame:
-    """CHAINS of each document with its sources, and its joints: the key as source, and no source places."""
+def chained(matched: DataFrame, k: int = K, gap_cost: float = GAP_COST, min_words: int = MIN_WORDS) -> DataFrame:
+    """CHAINS of each document with its sources, and its joints: the key as source, and no source places.
+
+    Joints inside of a chain that holds ``min_words`` words of seeds, half of its words or more, are left out: it has a source for both sides.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -330,17 +340,20 @@ def chained(matched: DataFrame, k: int = K, gap_cost: float = GAP_COST) -> DataF
             rows: tuple[list, ...] = ([], [], [], [])
             for lo, hi in zip(cuts, cuts[1:]):
                 place, first, first_place, before, before_place, known = (c[lo:hi] for c in columns[1:])
-                for key, both in zip(*joints(place, first, first_place)):
-                    for column, value in zip(rows, (doc[lo], key, both.tobytes(), b"")):
-                        column.append(value)
                 other = (first != doc[lo]) & ~(known & (first == before))
                 pairs = np.concatenate([np.stack([first, place, first_place], axis=1)[other], np.stack([before, place, before_place], axis=1)[known]])
                 pairs = np.unique(pairs, axis=0)
+                held: list[tuple[int, int]] = []
                 for part in np.split(pairs, np.flatnonzero(np.diff(pairs[:, 0])) + 1) if len(pairs) else ():
                     p, s = part[:, 1], part[:, 2]
                     for chain in chains(p.tolist(), s.tolist(), k, gap_cost):
+                        if seeded(p[chain], s[chain], k) >= max(min_words, 0.5 * (p[chain[-1]] - p[chain[0]] + k)):
+                            held.append((int(p[chain[0]]), int(p[chain[-1]])))
                         for column, value in zip(rows, (doc[lo], part[0, 0], p[chain].astype(np.int32).tobytes(), s[chain].astype(np.int32).tobytes())):
                             column.append(value)
+                for key, both in zip(*joints(place, first, first_place, held)):
+                    for column, value in zip(rows, (doc[lo], key, both.tobytes(), b"")):
+                        column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.binary()), pa.array(rows[3], pa.binary())], names=["doc_id", "source", "places", "sources"])
 
     rows = matched.select("doc_id", "place", "first_doc", "first_place", "prev_doc", "prev_place")
@@ -475,41 +488,49 @@ def one_text(plain: DataFrame) -> DataFrame:
     return plain.join(several, "doc_id", "left_anti").unionByName(plain.join(several, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")))
 
 
-_PICKED = "doc_id long, source long, level int, first int, last int, places binary, sources binary"
-_ROUNDS = 4
+_CHAIN = "array<struct<source:bigint,level:int,first:int,last:int,places:binary,sources:binary>>"
+_ROUNDS = 3
+#: Bytes of chains, or of words cut out around them, that are broadcast at most, so that texts need no shuffle.
+BROADCAST_BYTES = 32 << 20
 
 
 def _picked(chains_of: DataFrame, k: int) -> DataFrame:
-    """Rows of _PICKED: the chains of each document, joints among them chained again, and the round of each."""
+    """(doc_id, chains): a row for each document, with joints among its chains chained again, and the round of each."""
     chain = F.struct("source", "places", "sources", "joint")
     by_doc = chains_of.groupBy("doc_id").agg(F.collect_list(chain).alias("chains"))  # no more than the document has seeds
+    kind = pa.list_(pa.struct([("source", pa.int64()), ("level", pa.int32()), ("first", pa.int32()), ("last", pa.int32()), ("places", pa.binary()), ("sources", pa.binary())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[tuple] = []
-            for doc, chains_here in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                some = rechained([(c["source"], np.frombuffer(c["places"], np.int32), np.frombuffer(c["sources"], np.int32), c["joint"]) for c in chains_here], k)
-                some.sort(key=lambda c: (c[0], int(c[1][0]), int(c[2][0])))
-                spans = [(int(p[0]), int(p[-1]), len(p)) for _, p, _ in some]
-                for (source, p, s), (first, last, _), level in zip(some, spans, levels(spans, _ROUNDS)):
-                    rows.append((doc, source, level, first, last, p.astype(np.int32).tobytes(), s.astype(np.int32).tobytes()))
-            if rows:
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=[f.split()[0] for f in _PICKED.split(", ")])
+            for lo in range(0, batch.num_rows, 200):
+                part, out = batch.slice(lo, 200), []
+                for chains_here in part.column(1).to_pylist():
+                    some = rechained([(c["source"], np.frombuffer(c["places"], np.int32), np.frombuffer(c["sources"], np.int32), c["joint"]) for c in chains_here], k)
+                    some.sort(key=lambda c: (c[0], int(c[1][0]), int(c[2][0])))
+                    spans = [(int(p[0]), int(p[-1]), len(p)) for _, p, _ in some]
+                    out.append([
+                        {"source": source, "level": level, "first": first, "last": last, "places": p.astype(np.int32).tobytes(), "sources": s.astype(np.int32).tobytes()}
+                        for (source, p, s), (first, last, _), level in zip(some, spans, levels(spans, _ROUNDS))
+                    ])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, kind)], names=["doc_id", "chains"])
 
-    return by_doc.mapInArrow(worker.tidy(run), _PICKED)
+    return by_doc.mapInArrow(worker.tidy(run), f"doc_id long, chains {_CHAIN}")
 
 
 _CUT_OUT = "source long, doc_id long, lo int, more boolean, places binary, sources binary, segment binary"
-_ALIGNED = f"{PASSAGES}, whole boolean, places binary, sources binary"
+_ALIGNED = f"{PASSAGES}, places binary, sources binary"
 
 
 def _aligned(chains_of: DataFrame, plain: DataFrame, reach: int, min_words: int, identity: float, k: int) -> DataFrame:
-    """_ALIGNED rows of chains: whether they end the document, and the chains of those that end where ``reach`` words beyond them do."""
-    asked = chains_of.select("doc_id").union(chains_of.select("source")).distinct()
+    """_ALIGNED rows of chains (doc_id, chains): passages, and the chains of those that end where ``reach`` words beyond them do."""
+    pairs = chains_of.select("doc_id", F.explode("chains").alias("c"))
+    asked = pairs.select("doc_id").union(pairs.select("c.source")).distinct()
     few = asked.count() <= BROADCAST_ROWS
     texts = plain.join(F.broadcast(asked) if few else asked, "doc_id", "left_semi")
-    by_doc = chains_of.groupBy("doc_id").agg(F.collect_list(F.struct("source", "places", "sources")).alias("chains"))
+    size = F.aggregate("chains", F.lit(0).cast("long"), lambda n, c: n + F.octet_length(c["places"]) * 2 + 32)
+    cut = F.aggregate("chains", F.lit(0).cast("long"), lambda n, c: n + 8 * (c["last"] - c["first"] + k + 2 * reach) + 64)
+    chain_bytes, cut_bytes = (x or 0 for x in chains_of.agg(F.sum(size), F.sum(size + cut)).first())
+    by_doc = F.broadcast(chains_of) if chain_bytes <= BROADCAST_BYTES else chains_of
 
     def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segments = _Segments()
@@ -525,7 +546,7 @@ def _aligned(chains_of: DataFrame, plain: DataFrame, reach: int, min_words: int,
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=[f.split()[0] for f in _CUT_OUT.split(", ")])
 
     cut_out = by_doc.join(texts, "doc_id").select("doc_id", "text", "chains").mapInArrow(worker.tidy(segment), _CUT_OUT)
-    sourced = cut_out.join(texts.select(F.col("doc_id").alias("source"), "text"), "source").select("source", "text", "doc_id", "lo", "more", "places", "sources", "segment")
+    sourced = (F.broadcast(cut_out) if cut_bytes <= BROADCAST_BYTES else cut_out).join(texts.select(F.col("doc_id").alias("source"), "text"), "source").select("source", "text", "doc_id", "lo", "more", "places", "sources", "segment")
 
     def align_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segments = _Segments()
@@ -544,9 +565,9 @@ def _aligned(chains_of: DataFrame, plain: DataFrame, reach: int, min_words: int,
                     behind = (end == len(own) and more or source_end == len(part) and source_more) and (end < len(own) or more) and (source_end < len(part) or source_more)
                     share = equal / max(end - start, source_end - source_start)
                     chain = (places, sources) if ahead or behind else (None, None)
-                    rows.append((doc, start + lo, end + lo, source, source_start + source_lo, source_end + source_lo, equal, share, end == len(own) and not more, *chain))
-            columns = list(zip(*rows)) or [()] * 11
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.bool_(), pa.binary(), pa.binary())
+                    rows.append((doc, start + lo, end + lo, source, source_start + source_lo, source_end + source_lo, equal, share, *chain))
+            columns = list(zip(*rows)) or [()] * 10
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=[f.split()[0] for f in _ALIGNED.split(", ")])
 
     return sourced.mapInArrow(worker.tidy(align_all), _ALIGNED)
@@ -555,34 +576,39 @@ def _aligned(chains_of: DataFrame, plain: DataFrame, reach: int, min_words: int,
 def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, identity: float = IDENTITY, k: int = K, window: int = W) -> DataFrame:
     """Rows of PASSAGES: words ``start`` to ``end`` of a document repeat those of its source.
 
-    Chains are aligned in rounds, the greater ones of a document first; one that lies in a passage that is found, with as many
-    words around it as hold a seed, is left out, as it finds the same words again. In a group of near copies, whose
-    seeds each have another document before, that leaves each document few chains.
+    Chains are aligned in rounds, the greater ones of a document first; one whose seeds lie in a passage that is found is
+    left out, as it finds the same words again, and beyond them less than what holds another seed. In a group of near copies,
+    whose seeds each have another document before, that leaves each document few chains.
     """
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     plain = one_text(plain.filter("doc_id IS NOT NULL AND text IS NOT NULL"))
-    first_round = materialise(chained(linked(seeds(plain, k, window)), k))
+    first_round = materialise(chained(linked(seeds(plain, k, window)), k, min_words=min_words))
     second_round = materialise(second_chains(first_round))
     both = first_round.filter("length(sources) > 0").withColumn("joint", F.lit(False)).union(second_round.withColumn("joint", F.lit(True)))
     picked = materialise(_picked(both, k))
-    found, around = None, k + window - 1
+    found = None
     for level in range(1, _ROUNDS + 1):
-        open_chains = picked.filter(F.col("level") == level)
-        if found is not None:
-            spans = found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "whole")).alias("spans"))
-            holds = lambda x: (x["start"] <= F.greatest(F.col("first") - around, F.lit(0))) & ((x["end"] >= F.col("last") + k + around) | x["whole"])
-            open_chains = materialise(open_chains.join(spans, "doc_id", "left").filter(~F.coalesce(F.exists("spans", holds), F.lit(False))).drop("spans"))
+        here = F.filter("chains", lambda c: c["level"] == level)
+        if found is None:
+            open_chains = picked.select("doc_id", here.alias("chains"))
+        else:
+            spans = found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+            outside = lambda c: ~F.exists("spans", lambda x: (x["start"] <= c["first"]) & (x["end"] >= c["last"] + k))
+            mine = picked.filter(F.exists("chains", lambda c: c["level"] == level))
+            open_chains = mine.join(spans, "doc_id", "left").select("doc_id", F.when(F.col("spans").isNull(), here).otherwise(F.filter(here, outside)).alias("chains"))
+        open_chains = materialise(open_chains.filter(F.size("chains") > 0))
         reach = _REACH
         while not open_chains.isEmpty():
             part = materialise(_aligned(open_chains, plain, reach, min_words, identity, k))
             rows = part.drop("places", "sources")
             found = rows if found is None else found.unionByName(rows)
-            open_chains = part.filter("places IS NOT NULL").select("doc_id", F.col("source_id").alias("source"), "places", "sources").distinct()
+            again = F.struct(F.col("source_id").alias("source"), F.lit(level).alias("level"), F.col("start").alias("first"), F.col("end").alias("last"), "places", "sources")
+            open_chains = materialise(part.filter("places IS NOT NULL").groupBy("doc_id").agg(F.collect_set(again).alias("chains")))
             reach *= 16  # few go on beyond what lay there
     if found is None:
         return plain.sparkSession.createDataFrame([], PASSAGES)
     before = Window.partitionBy("doc_id").orderBy("start", F.desc("end"), "source_id", "source_start").rowsBetween(Window.unboundedPreceding, -1)
-    return found.drop("whole").withColumn("__to", F.max("end").over(before)).filter("__to IS NULL OR end > __to").drop("__to")
+    return found.withColumn("__to", F.max("end").over(before)).filter("__to IS NULL OR end > __to").drop("__to")
 
 
 def cut(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

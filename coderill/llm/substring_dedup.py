@@ -99,11 +99,11 @@ LINKED = "kind int, part int, key long, doc_id long, place long, first_doc long,
 _INNER, _HEAD, _TAIL = 0, 1, 2
 
 
-def _linked(keys: np.ndarray, docs: np.ndarray, places: np.ndarray, state: tuple | None) -> tuple[list[np.ndarray], int, tuple | None]:
-    """Rows of LINKED (from ``key`` on) for sorted occurrences but for those of the last key and document, which may go on.
+def _linked(keys: np.ndarray, docs: np.ndarray, places: np.ndarray, done: int, end: bool) -> tuple[list[np.ndarray], np.ndarray, int]:
+    """Rows of LINKED (from ``key`` on) for sorted occurrences, but for the ``done`` first ones, which were rows before.
 
-    ``state`` is the first and the last occurrence before these of the first key, if it has any. Also
-    returned are how many rows are done, and the state for the rest.
+    Unless it is the ``end``, the last document's occurrences of its key may go on: also returned are the rows that are needed
+    for them (of the first document of the key, of the one before, and its own), and how many of these are done.
     """
     n = len(keys)
     new_key = np.ones(n, dtype=bool)
@@ -111,32 +111,33 @@ def _linked(keys: np.ndarray, docs: np.ndarray, places: np.ndarray, state: tuple
     new = new_key.copy()
     new[1:] |= docs[1:] != docs[:-1]
     at = np.flatnonzero(new)  # where a document's occurrences of a key begin
-    of_row = np.cumsum(new) - 1
+    size, of_row = np.diff(at, append=n), np.cumsum(new) - 1
     key_start = new_key[at]
     first = np.maximum.accumulate(np.where(key_start, np.arange(len(at)), 0))
     prev = np.where(key_start, -1, np.arange(len(at)) - 1)
-    first_doc, first_place = docs[at[first]], places[at[first]]
-    prev_doc, prev_place = np.where(prev >= 0, docs[at[prev]], -1), np.where(prev >= 0, places[at[prev]], 0)
-    known = prev >= 0
-    if state is not None:
-        mine = first == 0
-        first_doc, first_place = np.where(mine, state[0], first_doc), np.where(mine, state[1], first_place)
-        prev_doc[0], prev_place[0], known[0] = state[2], state[3], True
+    follows = np.zeros(len(at), dtype=bool)
+    follows[:-1] = first[1:] == first[:-1]
     last = len(at) - 1
-    done = int(at[last])
-    more = known.copy()
-    more[:-1] |= first[1:] == first[:-1]  # another document follows
-    rest = (int(first_doc[last]), int(first_place[last]), int(prev_doc[last]), int(prev_place[last])) if known[last] else None
-    k = np.flatnonzero(more[of_row[:done]])
-    g = of_row[:done][k]
-    return [keys[k], docs[k], places[k], first_doc[g], first_place[g], np.where(known[g], prev_doc[g], -1), prev_place[g], known[g]], done, rest
+    to = n if end else int(at[last])
+    k = np.arange(done, max(to, done))
+    g = of_row[k]
+    rank = k - at[g]  # the i-th occurrence in a document meets the i-th in another, going round where that has fewer
+    known = prev[g] >= 0
+    k_prev, k_first = np.where(known, at[prev[g]] + rank % size[prev[g]], k), np.where(known, at[first[g]] + rank % size[first[g]], k)
+    kept = known | follows[g]
+    out = [x[kept] for x in (keys[k], docs[k], places[k], docs[k_first], places[k_first], docs[k_prev], places[k_prev], known)]
+    if end:
+        return out, np.zeros(0, dtype=np.int64), 0
+    groups = sorted({int(first[last]), int(max(prev[last], first[last])), last})
+    rest = np.concatenate([np.arange(at[x], at[x] + size[x]) for x in groups])
+    return out, rest, len(rest) - int(size[last])
 
 
 def linked(found: DataFrame) -> DataFrame:
     """(key, doc_id, place, first_doc, first_place, prev_doc, prev_place) for keys that two documents have.
 
-    ``found`` is (key, doc_id, place). Of each occurrence in a document that is not the first of its range, the first
-    occurrence in the range and the one in the document before; of the first one, itself and no document before.
+    ``found`` is (key, doc_id, place). Of each occurrence in a document that is not the first of its range: the occurrence of the
+    same rank in the first document of the range and in the document before; of the first one, itself and none.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,29 +152,30 @@ def linked(found: DataFrame) -> DataFrame:
             head = [pa.array(np.full(n, kind, np.int32)), pa.array(np.full(n, part, np.int32))]
             return pa.RecordBatch.from_arrays([*head, *(pa.array(c.astype(np.int64)) for c in columns[:5]), pa.array(columns[5].astype(np.int64), mask=~known), pa.array(columns[6].astype(np.int64), mask=~known)], names=names)
 
-        held, state, first = None, None, True
-        for batch in batches:
-            if not batch.num_rows:
+        def one(columns: list[np.ndarray], i: int, first: int, kind: int) -> pa.RecordBatch:
+            """A row of the range's first or last document, for the ranges beside."""
+            key, doc, place = (c[i : i + 1] for c in columns)
+            return rows([key, doc, place, columns[1][first : first + 1], columns[2][first : first + 1], doc, place, np.zeros(1, dtype=bool)], kind)
+
+        held, done, begun = None, 0, False
+        for batch in _with_end(batches):
+            if batch is not None and not batch.num_rows:
                 continue
-            columns = [batch.column(k).to_numpy() for k in range(3)]
+            columns = [batch.column(k).to_numpy() for k in range(3)] if batch is not None else []
             if held is not None:
-                columns = [np.concatenate(x) for x in zip(held, columns)]
-            if first:  # the first document of the range, which may have ones before it
-                first = False
-                n = int(np.argmax((columns[0] != columns[0][0]) | (columns[1] != columns[1][0]))) or len(columns[0])
-                one = np.ones(n, dtype=bool)
-                yield rows([columns[0][:n], columns[1][:n], columns[2][:n], columns[1][:n], columns[2][:n], columns[1][:n], columns[2][:n], ~one], _HEAD)
-            out, done, state = _linked(*columns, state)
-            held = [c[done:] for c in columns]
+                columns = [np.concatenate(x) for x in zip(held, columns)] if columns else held
+            if not columns:
+                continue
+            if not begun:  # the first document of the range may have ones before it
+                begun = True
+                yield one(columns, 0, 0, _HEAD)
+            out, rest, n_done = _linked(*columns, done, batch is None)
             if len(out[0]):
                 yield rows(out, _INNER)
-        if held is not None:
-            keys, docs, places = held
-            if state is not None:
-                n = len(keys)
-                yield rows([keys, docs, places, *(np.full(n, x) for x in state), np.ones(n, dtype=bool)], _INNER)
-            begun = state[:2] if state is not None else (docs[0], places[0])
-            yield rows([keys[:1], docs[:1], places[:1], np.array(begun[:1]), np.array(begun[1:]), docs[:1], places[:1], np.zeros(1, dtype=bool)], _TAIL)
+            if batch is None:
+                last = int(np.flatnonzero((columns[0] == columns[0][-1]) & (columns[1] == columns[1][-1]))[0])
+                yield one(columns, last, int(np.flatnonzero(columns[0] == columns[0][-1])[0]), _TAIL)
+            held, done = [c[rest] for c in columns], n_done
 
     dealt = found.repartitionByRange("key", "doc_id").sortWithinPartitions("key", "doc_id", "place")
     out = materialise(dealt.mapInArrow(worker.tidy(run), LINKED))

@@ -127,3 +127,38 @@ def test_chains_are_the_best_ones():
         for a, b in zip(chain, chain[1:]):
             score = k + gain(score, a, b)
         assert score == pytest.approx(max(best))
+
+
+def test_occurrences_meet_by_rank():
+    """Rows do not depend on how occurrences come in batches, and are those of plain loops."""
+    rng = np.random.default_rng(7)
+    for _ in range(30):
+        rows = sorted({(int(k), int(d), int(p)) for k, d, p in zip(rng.integers(0, 4, 60), rng.integers(0, 6, 60), rng.integers(0, 50, 60))})
+        want = []
+        for key in {k for k, _, _ in rows}:
+            by_doc = {}
+            for k, d, p in rows:
+                if k == key:
+                    by_doc.setdefault(d, []).append(p)
+            order = sorted(by_doc)
+            for i, d in enumerate(order):
+                for r, p in enumerate(by_doc[d]):
+                    first, before = by_doc[order[0]], by_doc[order[i - 1]]
+                    if i or len(order) > 1:
+                        want.append((key, d, p, order[0], first[r % len(first)] if i else p, *((order[i - 1], before[r % len(before)]) if i else (None, None))))
+        for step in (1, 2, 7, 100):
+            got, held, done = [], [np.zeros(0, dtype=np.int64)] * 3, 0
+            for lo in [*range(0, len(rows), step), None]:
+                some = np.array(rows[lo : lo + step], dtype=np.int64).reshape(-1, 3).T if lo is not None else np.zeros((3, 0), dtype=np.int64)
+                columns = [np.concatenate(x) for x in zip(held, some)]
+                out, rest, n_done = substring_dedup._linked(*columns, done, lo is None)
+                got += [(*map(int, r[:5]), *(map(int, r[5:7]) if r[7] else (None, None))) for r in zip(*out)]
+                held, done = [c[rest] for c in columns], n_done
+            assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_repetitive_texts_are_one_passage(spark):
+    period = [f"p{i}" for i in range(31)]
+    rows = [(k, " ".join([f"a{k}", *period * 8, f"b{k}"])) for k in range(40)] + [(100 + k, " ".join(["x", "y"] * (100 + k))) for k in range(30)]
+    found = passages(frame_of(spark, rows)).collect()
+    assert len(found) == 39 + 29 and all(r.start == (r.doc_id < 100) and r.end - r.start >= 200 for r in found)

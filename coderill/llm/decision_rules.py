@@ -203,7 +203,7 @@ def learn(x: np.ndarray, bad: np.ndarray, seed: int = 7, longest: int = 4, most:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED) -> DecisionList:
-    """Rules from at most ``max_labelled`` labelled documents, those of the lowest id hashes."""
+    """Rules from at most ``max_labelled`` labels, those of the lowest id hashes; of several rows or labels of an id, the least counts."""
     sample = (
         labels.select(F.col("doc_id").alias("__label_id"), F.col("quality").alias("__quality"))
         .filter("__label_id IS NOT NULL AND __quality IS NOT NULL")
@@ -212,8 +212,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     )
     frame = docs.select(F.col(id_col), F.col(text_col)).join(F.broadcast(sample), F.col(id_col) == F.col("__label_id"))
     stats = statistics(frame.select(F.col(id_col), F.col(text_col)), id_col, text_col)
-    rows = stats.join(F.broadcast(sample), F.col(id_col) == F.col("__label_id")).filter(f"n_words >= {MIN_WORDS}").select(id_col, "__quality", *FEATURES).limit(4 * max_labelled).collect()
-    rows.sort(key=lambda r: (r[0], tuple(r)[1:]))
+    labelled = stats.join(F.broadcast(sample), F.col(id_col) == F.col("__label_id")).filter(f"n_words >= {MIN_WORDS}")
+    one = F.min(F.struct("__quality", *FEATURES)).alias("r")
+    rows = labelled.groupBy(F.col(id_col).alias("__own")).agg(one).select("__own", "r.*").orderBy("__own").collect()  # a row for each id of the sample
     if not rows:
         return DecisionList()
     return learn(np.array([[r[f] for f in FEATURES] for r in rows], dtype=float), np.array([r["__quality"] == 0 for r in rows]))

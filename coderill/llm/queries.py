@@ -86,4 +86,19 @@ n AS (SELECT x, count(*) AS k FROM links GROUP BY x)
 SELECT vec_id, coalesce(k, 0) AS n_links, c AS component_id, vec_id = c AS kept
 FROM embeddings JOIN least ON least.x = vec_id LEFT JOIN n ON n.x = vec_id"""
 
-ORACLE_SQL: dict[str, str] = {"op2_embedding_near_dedup": OP2_SQL, "op6_license_scan": license_scan.scan_sql()}
+OP5_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(generate_series(1, len(ws) - 4), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS g FROM w),
+n AS (SELECT doc_id, CAST(len(g) AS BIGINT) AS k FROM s),
+e AS (SELECT doc_id, unnest(g) AS x FROM s),
+p AS (SELECT a.doc_id AS i, b.doc_id AS j, count(*) AS c FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT i, j FROM p JOIN n a ON a.doc_id = p.i JOIN n b ON b.doc_id = p.j WHERE 100 * c >= 75 * (a.k + b.k - c)),
+links AS (SELECT i, j FROM l UNION ALL SELECT j, i FROM l),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, links.j FROM reach r JOIN links ON links.i = r.y),
+least AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x)
+SELECT n.doc_id, n.k AS n_shingles, least.component_id FROM n JOIN least ON least.x = n.doc_id"""
+
+ORACLE_SQL: dict[str, str] = {"op2_embedding_near_dedup": OP2_SQL, "op5_ngram_jaccard_join": OP5_SQL, "op6_license_scan": license_scan.scan_sql()}

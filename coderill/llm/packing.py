@@ -88,17 +88,20 @@ class WordIds:
 
     def _learn(self, fresh: list[str]) -> None:
         known, whole, signs = self.known, [], {}
+        joined = "\n".join(fresh)
+        special = any(token in joined for token in self.added)
         parted: list[tuple[str, str, str]] = []
         for word in fresh:
             head = word.rstrip(_SIGNS)
             # lower-casing may part a letter into a letter and a mark, which is encoded as a sign
-            if not self.parted or not head.isalpha() or not head.lower().isalpha() or any(token in word for token in self.added):
+            plain = head.isascii()
+            if not self.parted or not head.isalpha() or not (plain or head.lower().isalpha()) or special and any(token in word for token in self.added):
                 whole.append(word)
                 continue
             tail = word[len(head) :]
             if tail and tail not in signs:
                 signs[tail] = self._bytes(tail)
-            parted.append((word, head.lower() if head.isascii() else head, tail))
+            parted.append((word, head.lower() if plain else head, tail))
         heads = {head: known[head] for _, head, _ in parted if head in known}
         self._letters(list({head for _, head, _ in parted} - heads.keys()), heads)
         for word, head, tail in parted:

@@ -198,6 +198,7 @@ def _linked(vectors: DataFrame, dimensions: int, threshold: float, size: int) ->
     # equal cells are parted by a hash, so that a crowded cell is no single task
     order = [F.col("cells")[k] for k in range(min(4, dimensions))] + [F.xxhash64("class")]
     spread = _placed(vectors, basis, epsilon).repartitionByRange(*order).sortWithinPartitions("cells", "class")
+    spread = spread.coalesce(max(1, -(-vectors.count() // size)))  # ranges beside one another, so that intervals are full
     intervals = materialise(_intervals(spread, basis, size))
     # each interval stands under the cells that its box covers in some dimensions, and meets those of a higher number that cover
     # neighbouring cells

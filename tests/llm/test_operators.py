@@ -285,7 +285,8 @@ def test_rules(spark):
 def test_licenses(spark):
     rows = [*ODD, (50, "text before\nLicensed under the Apache License, Version 2.0.\nafter"), (51, "released under the mit license"), (52, "Released under no license at all by anyone")]
     got = license_scan.scan(docs(spark, rows)).collect()
-    assert sorted((r.doc_id, r.unit, r.license) for r in got) == [(50, 0, "Apache-2.0"), (50, 2, "Apache-2.0"), (51, 1, "MIT")]
+    assert sorted((r.doc_id, r.unit, r.license) for r in got if r.unit >= 0) == [(50, 0, "Apache-2.0"), (50, 2, "Apache-2.0"), (51, 1, "MIT")]
+    assert {(r.doc_id, r.license) for r in got if r.unit < 0} == {(50, "Apache-2.0")}  # windows
 
 
 def test_quality_model(spark):

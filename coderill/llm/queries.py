@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from coderill.llm import bpe, decision_rules, deleted_interpolation, embedding_dedup, html_templates, license_scan, packing, quality_lm, shingle_join, substring_dedup
+from coderill.llm import bpe, decision_rules, deleted_interpolation, embedding_dedup, embedding_whitening, html_templates, license_scan, packing, quality_lm, shingle_join, source_divergence, substring_dedup, suffix_dedup
 from coderill.llm.tables import read
 
 
@@ -59,6 +59,18 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decision_rules.judge(docs, decision_rules.fit(docs, read(spark, sf_dir, "labels")))
 
 
+def op11_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(read(spark, sf_dir, "documents"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.audit(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
@@ -70,6 +82,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_deleted_interpolation": op9_deleted_interpolation,
     "op10_quality_rules": op10_quality_rules,
+    "op11_suffix_array_dedup": op11_suffix_array_dedup,
+    "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 OP2_SQL = """
@@ -101,4 +116,9 @@ reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, links
 least AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x)
 SELECT n.doc_id, n.k AS n_shingles, least.component_id FROM n JOIN least ON least.x = n.doc_id"""
 
-ORACLE_SQL: dict[str, str] = {"op2_embedding_near_dedup": OP2_SQL, "op5_ngram_jaccard_join": OP5_SQL, "op6_license_scan": license_scan.scan_sql()}
+ORACLE_SQL: dict[str, str] = {
+    "op2_embedding_near_dedup": OP2_SQL,
+    "op5_ngram_jaccard_join": OP5_SQL,
+    "op6_license_scan": license_scan.scan_sql(),
+    "op13_source_divergence": source_divergence.audit_sql(),
+}

@@ -5,7 +5,7 @@ anchors. So texts are cut into segments, runs of starts with one anchor and the
 segments of different anchors are different, and each anchor can be looked at by itself.
 
 1. Chunks of documents ask for the corpus-wide counts of their anchors (``exchange``), and keep the segments whose anchor
-   occurs twice or more. These are written as a table.
+   occurs twice or more. These are written as a table, with the bytes of each text that are in any of them.
 2. Segments are compared whole: where an equal one stands elsewhere, all of its strings are repeated. The others are left if
    their anchor has any other segment, or occurs twice inside of them.
 3. Anchors are dealt to buckets with some thousands of different segments. A bucket's collection gets its Burrows-Wheeler
@@ -43,7 +43,7 @@ LENGTH = 200
 #: Lengths of the k-grams that anchor a string, in bytes, from level to level.
 LEVELS = (64, 112, 160, 200)
 #: Different segments of an anchor up to which they meet in a bucket, and of a bucket about.
-HOT = 1024
+HOT = 4096
 BUCKET = 2048
 BLOCK = 1 << 17
 
@@ -214,17 +214,36 @@ class Collection:
 
 
 SPANS = "chunk int, d binary, start long, stop long"
-SEGMENTS = "anchor long, h long, weight long, many boolean, chunk int, d binary, start long, starts int, seg binary"
-_SEGMENTS = pa.schema([("anchor", pa.int64()), ("h", pa.int64()), ("weight", pa.int64()), ("many", pa.bool_()), ("chunk", pa.int32()), ("d", pa.binary()), ("start", pa.int64()), ("starts", pa.int32()), ("seg", pa.binary())])
+SEGMENTS = "anchor long, h long, weight long, many boolean, chunk int, d binary, base long, start long, starts int, z binary, size long"
+_TYPES = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}
+_SEGMENTS = pa.schema([(n, _TYPES[t]) for n, t in (f.split() for f in SEGMENTS.split(", "))])
+
+
+def _rows(text: bytes, chunk: int, d: bytes, weight: int, start: np.ndarray, starts: np.ndarray, anchor: np.ndarray, places: np.ndarray, base: int = 0) -> pa.RecordBatch:
+    """Segments of a text, or of its part from ``base`` on, as rows; the first has the bytes of all of them, with zeros elsewhere."""
+    n, h, seen = len(start), [], bytearray(len(text))
+    for a, s in zip(start.tolist(), starts.tolist()):
+        seg = text[a : a + s + LENGTH - 1]
+        h.append(xxhash.xxh3_64_intdigest(seg))
+        seen[a : a + len(seg)] = seg
+    z = [pa.compress(bytes(seen), codec="zstd", asbytes=True)] + [None] * (n - 1)
+    columns = [anchor.view(np.int64), np.array(h, dtype=np.uint64).view(np.int64), np.full(n, weight), places > 1, np.full(n, chunk), [d] * n, np.full(n, base), start + base, starts, z, np.full(n, len(text))]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) if isinstance(c, list) else pa.array(c).cast(f.type) for c, f in zip(columns, _SEGMENTS)], schema=_SEGMENTS)
 
 
-def _rows(text: bytes, chunk: int, d: bytes, weight: int, start: np.ndarray, starts: np.ndarray, anchor: np.ndarray, places: np.ndarray, at: int = 0) -> pa.RecordBatch:
-    """Segments of one text as rows; ``at`` is the text's own place."""
-    segs = [text[a : a + s + LENGTH - 1] for a, s in zip(start.tolist(), starts.tolist())]
-    n = len(segs)
-    h = np.array([xxhash.xxh3_64_intdigest(s) for s in segs], dtype=np.uint64)
-    columns = [anchor.view(np.int64), h.view(np.int64), np.full(n, weight), places > 1, np.full(n, chunk), [d] * n, start + at, starts, segs]
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) if isinstance(c, list) else pa.array(c).cast(f.type) for c, f in zip(columns, _SEGMENTS)], schema=_SEGMENTS)
+OPEN = "anchor long, n long, others long, chunk int, d binary, start long, seg binary"
+_OPEN = pa.schema([(n, _TYPES[t]) for n, t in (f.split() for f in OPEN.split(", "))])
+
+
+def _fetched(texts: pa.Table, asked: pa.Table) -> pa.Table:
+    """Segments of a chunk with their bytes."""
+    wanted = set(zip(asked["d"].to_pylist(), asked["base"].to_pylist()))
+    held = {}
+    for d, base, z, size in zip(*(texts[c].to_pylist() for c in ("d", "base", "z", "size"))):
+        if (d, base) in wanted:
+            held[d, base] = pa.decompress(z, size, codec="zstd", asbytes=True)
+    segs = [held[d, base][a - base : a - base + n + LENGTH - 1] for d, base, a, n in zip(*(asked[c].to_pylist() for c in ("d", "base", "start", "starts")))]
+    return pa.table({**{f.name: asked[f.name].cast(f.type) for f in _OPEN if f.name != "seg"}, "seg": pa.array(segs, pa.binary())}).select(_OPEN.names)
 
 
 def _distinct(table: pa.Table) -> tuple[list[bytes], list[bytes], np.ndarray]:
@@ -301,38 +320,36 @@ def _indexed(table: pa.Table) -> pa.Table:
 
 def _repeated(segs: DataFrame, level: int) -> DataFrame:
     """SPANS of a written table of SEGMENTS."""
-    here = F.struct("chunk", "d", "start")
+    here = F.struct("chunk", "d", "base", "start", "starts")
     each = segs.groupBy("anchor", "h").agg(F.sum("weight").alias("n"), F.max("many").alias("many"), F.min(here).alias("at"))
     whole = each.groupBy("anchor").agg(F.count(F.lit(1)).alias("others"), F.min("n").alias("least"), F.max("many").alias("any_many"))
     state = each.join(whole, "anchor").withColumn("open", F.expr("least = 1 AND (others > 1 OR any_many)")).filter("open OR n > 1")
     state = materialise(state.select("anchor", "h", "n", "others", "open", "at.*"))
     equal = segs.select("anchor", "h", "chunk", "d", "start", "starts").join(state.filter("n > 1").select("anchor", "h"), ["anchor", "h"], "left_semi")
     spans = equal.select("chunk", "d", "start", (F.col("start") + F.col("starts") + (LENGTH - 1)).alias("stop"))
-    last = level + 1 == len(LEVELS)
-    n_open, n_hot = state.filter("open").agg(F.count(F.lit(1)), F.count_if(F.col("others") > HOT)).first()
-    if not n_open:
-        return spans
-    one = segs.select("anchor", "h", "chunk", "d", "start", "seg").join(state.filter("open"), ["anchor", "h", "chunk", "d", "start"])
-    few = one if last else one.filter(F.col("others") <= HOT)
-    buckets = -(-n_open // BUCKET)
-    dealt = few.select(F.pmod(F.xxhash64("anchor"), F.lit(buckets)).alias("bucket"), "n", "chunk", "d", "start", "seg")
-    spans = spans.unionByName(dealt.groupBy("bucket").applyInArrow(_indexed, SPANS))
-    if n_hot and not last:
+    few = F.lit(level + 1 == len(LEVELS)) | (F.col("others") <= HOT)
+    n_few, n_hot = state.filter("open").agg(F.count_if(few), F.count_if(~few)).first()
+    texts = segs.filter("z IS NOT NULL").select("chunk", "d", "base", "z", "size").groupBy("chunk")
+    fetched = lambda rows: texts.cogroup(rows.drop("h", "open").groupBy("chunk")).applyInArrow(_fetched, OPEN)
+    if n_few:
+        buckets = -(-n_few // BUCKET)
+        dealt = fetched(state.filter("open").filter(few)).withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets)))
+        spans = spans.unionByName(dealt.drop("anchor", "others").groupBy("bucket").applyInArrow(_indexed, SPANS))
+    if n_hot:
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                texts = batch.column(4).to_pylist()
-                for k, start, starts, anchor, places in segments(texts, LEVELS[level + 1]):
-                    n, chunk, d, at = (batch.column(c)[k].as_py() for c in range(4))
-                    yield _rows(texts[k], chunk, d, n, start, starts, anchor, places, at)
+                n, chunk, d, at, texts = (batch.column(c).to_pylist() for c in range(5))
+                for k, *found in segments(texts, LEVELS[level + 1]):
+                    yield _rows(texts[k], chunk[k], d[k], n[k], *found, at[k])
 
-        hot = one.filter(F.col("others") > HOT).select("n", "chunk", "d", "start", "seg").mapInArrow(tidy(cut), SEGMENTS)
+        hot = fetched(state.filter("open").filter(~few)).select("n", "chunk", "d", "start", "seg").mapInArrow(tidy(cut), SEGMENTS)
         spans = spans.unionByName(_repeated(_written(hot), level + 1))
     return spans
 
 
 def _written(frame: DataFrame) -> DataFrame:
-    """A frame as a table in the shared folder; neighbouring segments overlap, and compress well."""
+    """A frame as a table in the shared folder."""
     path = stage_folder(frame.sparkSession)
     frame.write.option("compression", "zstd").parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)

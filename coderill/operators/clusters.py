@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LEVELS = ("L0", "L1", "proxy", "eip7702", "impl")
-_FIELDS = ("code_id", "skeleton_hash", "proxy_kind", "proxy_target", "std_proxy")
+FIELDS = ("code_id", "skeleton_hash", "proxy_kind", "proxy_target", "std_proxy")
 
 
 def _target() -> Column:
@@ -23,7 +23,14 @@ def sizes(stored: DataFrame, codes: DataFrame) -> DataFrame:
     """(level, key, n_members) of clusters of two members or more; ``stored`` has a row for each address."""
     n = F.count(F.lit(1))
     per_code = stored.filter("code_id IS NOT NULL").groupBy("code_id").agg(n.alias("n"))
-    held = per_code.join(codes.select(*_FIELDS), "code_id")
+    behind = stored.filter("implementation IS NOT NULL").groupBy("implementation", "code_id").agg(n.alias("n"))
+    return sizes_from(per_code, behind, codes)
+
+
+def sizes_from(per_code: DataFrame, behind: DataFrame, codes: DataFrame) -> DataFrame:
+    """The same from numbers of addresses: (code_id, n), and (implementation, code_id, n)."""
+    n = F.count(F.lit(1))
+    held = per_code.join(codes.select(*FIELDS), "code_id")
     plain = held.filter("proxy_kind IS NULL")
     total = F.sum("n").alias("n_members")
     parts = {
@@ -31,14 +38,23 @@ def sizes(stored: DataFrame, codes: DataFrame) -> DataFrame:
         "L1": plain.groupBy(F.col("skeleton_hash").alias("key")).agg(total, n.alias("codes")).filter("codes >= 2").drop("codes"),
         "proxy": held.filter("proxy_kind = 'eip1167'").groupBy(_target().alias("key")).agg(total),
         "eip7702": held.filter("proxy_kind = 'eip7702'").groupBy(_target().alias("key")).agg(total),
-        "impl": stored.filter("implementation IS NOT NULL").join(codes.filter("std_proxy").select("code_id"), "code_id", "left_semi").groupBy(F.col("implementation").alias("key")).agg(n.alias("n_members")),
+        "impl": behind.join(codes.filter("std_proxy").select("code_id"), "code_id", "left_semi").groupBy(F.col("implementation").alias("key")).agg(total),
     }
     return reduce(DataFrame.unionByName, (rows.filter("n_members >= 2").select(F.lit(level).alias("level"), "key", "n_members") for level, rows in parts.items()))
 
 
+def codes_of(chosen: DataFrame, codes: DataFrame) -> DataFrame:
+    """Codes whose holders are members of some clusters (level, key), but for those by implementation."""
+    keys = chosen.select("level", "key").distinct()
+    by = {"L0": F.col("code_id"), "L1": F.col("skeleton_hash"), "proxy": _target(), "eip7702": _target()}
+    kinds = {"L0": "proxy_kind IS NULL", "L1": "proxy_kind IS NULL", "proxy": "proxy_kind = 'eip1167'", "eip7702": "proxy_kind = 'eip7702'"}
+    parts = (codes.filter(kinds[level]).withColumn("key", key).join(keys.filter(F.col("level") == level).select("key"), "key", "left_semi").drop("key") for level, key in by.items())
+    return reduce(DataFrame.unionByName, parts).distinct()
+
+
 def with_members(chosen: DataFrame, stored: DataFrame, codes: DataFrame) -> DataFrame:
     """Some clusters (level, key, n_members) with the sorted ``members`` of each."""
-    held = stored.filter("code_id IS NOT NULL").join(codes.select(*_FIELDS), "code_id")
+    held = stored.filter("code_id IS NOT NULL").join(codes.select(*FIELDS), "code_id")
     plain = F.col("proxy_kind").isNull()
     one = lambda level, when, key: F.when(when, F.struct(F.lit(level).alias("level"), key.alias("key")))
     of = F.array_compact(
@@ -72,7 +88,7 @@ def top(clusters: DataFrame, n: int = 20, level: str | None = None) -> DataFrame
 def containing(stored: DataFrame, codes: DataFrame, address: str) -> DataFrame:
     """The clusters of one address with their members, largest first."""
     own = stored.filter(F.col("address") == address.lower())
-    mine = own.join(codes.select(*_FIELDS), "code_id")
+    mine = own.join(codes.select(*FIELDS), "code_id")
     keys = F.array(F.col("code_id"), F.col("skeleton_hash"), _target(), F.col("implementation"))
     found = sizes(stored, codes).join(mine.select(F.explode(keys).alias("key")).filter("key IS NOT NULL").distinct(), "key", "left_semi")
     out = with_members(found.select("level", "key", "n_members"), stored, codes).filter(F.array_contains("members", address.lower()))

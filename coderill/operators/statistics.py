@@ -53,9 +53,13 @@ def distribution(values: DataFrame, column: str) -> DataFrame:
 
 def levels(clusters: DataFrame, stored: DataFrame) -> DataFrame:
     """(level, clusters, addresses, share) of L0, L1, proxy and eip7702, of all addresses with code."""
+    return levels_of(clusters, stored.agg(F.count("code_id").alias("whole")))
+
+
+def levels_of(clusters: DataFrame, whole: DataFrame) -> DataFrame:
+    """The same with the number of addresses with code as one row (whole)."""
     base = clusters.filter("level <> 'impl'")
     n = base.groupBy("level").agg(F.count(F.lit(1)).alias("clusters"), F.sum("n_members").alias("addresses"))  # an address is in one of a level
-    whole = stored.agg(F.count("code_id").alias("whole"))
     every = clusters.sparkSession.createDataFrame([(x,) for x in ("L0", "L1", "proxy", "eip7702")], "level string")
     joined = every.join(n, "level", "left").crossJoin(whole)  # four rows and one
     zero = lambda c: F.coalesce(c, F.lit(0))

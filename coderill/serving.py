@@ -15,6 +15,7 @@ from urllib.parse import unquote
 from pyspark.sql import functions as F
 
 from coderill.operators import clusters, ingest, statistics
+from coderill.sources import views
 from coderill.sources.store import Store
 
 RECENT_BLOCKS = 300
@@ -47,15 +48,15 @@ def _origins(rows) -> dict:
 
 
 def summary(store: Store) -> dict:
-    stored, progress = store.addresses(), store.progress()
+    progress = store.progress()
     since = 1 << 62 if progress is None else progress - RECENT_BLOCKS + 1
-    counts = statistics.counts(stored, store.codes()).first()
+    counts = views.counts(store).first()
     return {
         "addresses": counts["addresses"], "codes": counts["codes"], "seeds": store.seeds().count(),
-        "implementations_resolved": stored.filter("implementation IS NOT NULL").count(),
-        "origins": _origins(statistics.origin_counts(stored)),
+        "implementations_resolved": views.resolved(store),
+        "origins": _origins(views.origin_counts(store)),
         "alerts_by_seed": [{"label": r["label"], "seed_address": r["seed_address"], "count": r["n"]} for r in ingest.seed_counts(store.read("events")).collect()],
-        "recent": {"blocks": RECENT_BLOCKS, "by_origin": _origins(statistics.origin_counts(stored, since))},
+        "recent": {"blocks": RECENT_BLOCKS, "by_origin": _origins(views.origin_counts(store, since))},
     }
 
 
@@ -75,9 +76,8 @@ class ClusterCache:
         with self._lock:
             at, rows = self._held.get(key, (float("-inf"), []))
             if self.clock() - at >= self.seconds:
-                stored, codes = store.addresses(), store.codes()
-                chosen = clusters.top(clusters.sizes(stored, codes), MOST_CLUSTERS, level)
-                found = clusters.with_members(chosen, stored, codes).collect()
+                chosen = clusters.top(views.sizes(store), MOST_CLUSTERS, level)
+                found = views.members(store, chosen).collect()
                 at, rows = self.clock(), sorted(found, key=lambda r: (-r["n_members"], r["key"]))
                 self._held[key] = at, rows
             return rows

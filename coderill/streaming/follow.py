@@ -104,17 +104,17 @@ def ingest_batch(
     at = now or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     if store.committed(batch):
         return Outcome(progress=store.progress())
-    day, step = limits.today(), store.step(batch)
+    day, step = limits.today(), store.step()
     calls = dict(ahead or {})
     held: Held = lambda frame, name: store.scratch(frame, batch, name)
 
     def spent() -> int:
-        return store.spent(day, batch) + sum(limits.prices.get(m, 0) * n for m, n in calls.items())
+        return store.spent(day) + sum(limits.prices.get(m, 0) * n for m, n in calls.items())
 
     found = held(ingest.candidates(ingest.touched(receipts)), "found")
-    left = held(store.pending(batch), "left")
+    left = held(store.pending(), "left")
     waiting = found.select("address", "block", "origin").unionByName(left.select("address", "block", "origin"))
-    known = held(store.known(batch, waiting.select("address").distinct()), "known")
+    known = held(store.known(waiting.select("address")), "known")
     # a record of an earlier block than the stored one, which needs no fetch
     sooner = ingest.first_seen(found).join(known.select("address", "code_id", F.col("block").alias("later")), "address").filter("block < later").drop("later")
     allowed = limits.calls("eth_getCode", spent())
@@ -124,7 +124,7 @@ def ingest_batch(
     stored, new_codes = _stored(answers), held(codes.fingerprints(answers.filter("kind = 'contract'")), "new_codes")
     seeds = store.seeds()
     used = stored.select("code_id").unionByName(known.select("code_id")).unionByName(seeds.select("code_id")).distinct()
-    old_codes = held(store.codes(batch).join(used, "code_id", "left_semi"), "old_codes")
+    old_codes = held(store.codes(used), "old_codes")
     new_codes = new_codes.join(old_codes.select("code_id"), "code_id", "left_anti")
     here = old_codes.unionByName(new_codes, allowMissingColumns=True)
     matched = similarity.match(here.join(stored.select("code_id"), "code_id", "left_semi"), here, seeds, watch)
@@ -141,17 +141,17 @@ def ingest_batch(
         words, n = _words(targets, get_slot, rest, held)
         calls["eth_getStorageAt"] = calls.get("eth_getStorageAt", 0) + n
         resolved = held(ingest.resolved(targets, words, ("address", "block")).filter("implementation IS NOT NULL"), "resolved")
-        upgraded = held(ingest.changes(resolved, store.implementations(batch)), "upgraded")
+        upgraded = held(ingest.changes(resolved, store.implementations(resolved.select("address"))), "upgraded")
         # codes of implementations that a slot named and nobody holds yet
         behind = resolved.select(F.col("implementation").alias("address")).distinct()
-        held_behind = held(store.known(batch, behind).select("address", "code_id").unionByName(stored.join(behind, "address", "left_semi").select("address", "code_id")), "held_behind")
+        held_behind = held(store.known(behind).select("address", "code_id").unionByName(stored.join(behind, "address", "left_semi").select("address", "code_id")), "held_behind")
         named = resolved.filter("direct").groupBy(F.col("implementation").alias("address")).agg(F.min("block").alias("block"))
         asked = named.join(held_behind.select("address"), "address", "left_anti").select("address", "block", F.lit("impl").alias("origin"))
         side = held(ingest.classified(get_code(asked)), "side")
         calls["eth_getCode"] += side.count()
         side_stored, side_codes = _stored(side), held(codes.fingerprints(side.filter("kind = 'contract'")), "side_codes")
         ids = held_behind.select("code_id").unionByName(side_stored.select("code_id")).distinct()
-        behind_codes = held(store.codes(batch).join(ids, "code_id", "left_semi").join(here.select("code_id"), "code_id", "left_anti"), "behind_codes")
+        behind_codes = held(store.codes(ids).join(here.select("code_id"), "code_id", "left_anti"), "behind_codes")
         here = here.unionByName(behind_codes, allowMissingColumns=True)
         side_codes = side_codes.join(here.select("code_id"), "code_id", "left_anti")
         here = here.unionByName(side_codes, allowMissingColumns=True)
@@ -164,7 +164,7 @@ def ingest_batch(
         store.write("implementations", resolved.withColumn("step", F.lit(step)), batch)
     store.write("codes", new_codes, batch)
     store.write("addresses", stored.unionByName(sooner.select(*stored.columns)), batch)
-    last = store.read("events", batch).agg(F.max("id")).first()[0] or 0
+    last = store.read("events").agg(F.max("id")).first()[0] or 0
     store.write("events", ingest.events(alerts, upgraded, last).withColumn("at", F.lit(at)), batch)
     deferred = decided.join(left.select("address", F.lit(True).alias("before")), "address", "left").filter("NOT fetched OR before")
     gone = left.join(decided.select("address"), "address", "left_anti").select("address", "block", "origin", F.lit(False).alias("pending"))  # known by now
@@ -174,7 +174,7 @@ def ingest_batch(
     # progress stops before the least block that is not complete
     top, n_blocks = receipts.agg(F.max("block"), F.count_distinct("block")).first()
     least, pending = decided.filter("NOT fetched").agg(F.min("block"), F.count(F.lit(1))).first()
-    before, furthest = store.read("progress", batch).agg(F.max("block"), F.max("seen")).first()
+    before, furthest = store.read("progress").agg(F.max("block"), F.max("seen")).first()
     seen = max((b for b in (top, before, furthest) if b is not None), default=None)
     done = seen if least is None else least - 1
     moved = done is not None and done >= 0 and (before is None or done > before)

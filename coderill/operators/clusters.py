@@ -52,8 +52,8 @@ def codes_of(chosen: DataFrame, codes: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).distinct()
 
 
-def with_members(chosen: DataFrame, stored: DataFrame, codes: DataFrame) -> DataFrame:
-    """Some clusters (level, key, n_members) with the sorted ``members`` of each."""
+def _memberships(stored: DataFrame, codes: DataFrame) -> DataFrame:
+    """(address, level, key) for each cluster that an address would be in, whatever its size."""
     held = stored.filter("code_id IS NOT NULL").join(codes.select(*FIELDS), "code_id")
     plain = F.col("proxy_kind").isNull()
     one = lambda level, when, key: F.when(when, F.struct(F.lit(level).alias("level"), key.alias("key")))
@@ -63,9 +63,19 @@ def with_members(chosen: DataFrame, stored: DataFrame, codes: DataFrame) -> Data
             one("eip7702", F.col("proxy_kind") == "eip7702", _target()), one("impl", F.col("std_proxy") & F.col("implementation").isNotNull(), F.col("implementation")),
         )
     )
-    rows = held.select("address", F.explode(of).alias("c")).select("address", "c.level", "c.key")
-    members = rows.join(chosen, ["level", "key"]).groupBy("level", "key", "n_members").agg(F.array_sort(F.collect_set("address")).alias("members"))
-    return members.select("level", "key", "members", "n_members")
+    return held.select("address", F.explode(of).alias("c")).select("address", "c.level", "c.key")
+
+
+def members(stored: DataFrame, codes: DataFrame) -> DataFrame:
+    """(level, key, address) of all clusters, a row for each member."""
+    return _memberships(stored, codes).join(sizes(stored, codes).select("level", "key"), ["level", "key"], "left_semi")
+
+
+def with_members(chosen: DataFrame, stored: DataFrame, codes: DataFrame) -> DataFrame:
+    """Some clusters (level, key, n_members) with the sorted ``members`` of each."""
+    rows = _memberships(stored, codes).join(chosen, ["level", "key"])
+    found = rows.groupBy("level", "key", "n_members").agg(F.array_sort(F.collect_set("address")).alias("members"))
+    return found.select("level", "key", "members", "n_members")
 
 
 def build(stored: DataFrame, codes: DataFrame) -> DataFrame:

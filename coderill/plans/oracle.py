@@ -241,6 +241,12 @@ FROM (SELECT c.* FROM codes c WHERE EXISTS (SELECT 1 FROM contracts k WHERE k.hx
     "a6_origin_counts": with_store(select="SELECT coalesce(origin, 'unknown') AS origin, count(*) AS n FROM stored GROUP BY 1"),
     "f6_origins_since_block": with_store(select=f"SELECT coalesce(origin, 'unknown') AS origin, count(*) AS n FROM stored WHERE block >= {_RECENT} GROUP BY 1"),
     "a8_counts": with_store(select="SELECT count(*) AS addresses, count(code_id) AS with_code, count(*) - count(code_id) AS without_code, count(DISTINCT block) AS blocks, (SELECT count(*) FROM codes) AS codes FROM stored"),
+    "r6_code_of": with_store(RECEIPTS, CANDIDATES, select="SELECT DISTINCT s.address, c.code_id, c.size FROM found f JOIN stored s ON s.address = f.address JOIN codes c ON c.code_id = s.code_id"),
+    "r7_addresses_of": with_store(*_SEEDED, select="SELECT code_id, address FROM stored WHERE code_id IN (SELECT code_id FROM seeds)"),
+    "r8_has_address": with_store(RECEIPTS, CANDIDATES, select="SELECT DISTINCT f.address, f.address IN (SELECT address FROM stored) AS stored FROM found f"),
+    "a2_member_pages": with_store(CLUSTERS, select="""
+SELECT level, key, k // 100 AS page, string_agg(address, ',' ORDER BY address) AS members
+FROM (SELECT level, key, address, row_number() OVER (PARTITION BY level, key ORDER BY address) - 1 AS k FROM (SELECT level, key, unnest(string_split(members, ',')) AS address FROM clusters)) GROUP BY 1, 2, 3"""),
     "a9_ledger_days": "SELECT strftime(o_orderdate, '%Y-%m-%d') AS day, CAST(sum(1000 + 80 * (o_orderkey % 9)) AS BIGINT) AS credits FROM orders GROUP BY 1",
     "a10_levels": with_store(CLUSTERS, select="""
 SELECT l.level, (SELECT count(*) FROM clusters c WHERE c.level = l.level) AS clusters,
@@ -310,3 +316,7 @@ FROM resolved r JOIN stored p ON p.address = r.address JOIN stored i ON i.addres
       select="SELECT address, block, origin, k <= 50 AND CASE WHEN k <= 50 THEN sum(CASE WHEN k <= 50 THEN 1 ELSE 0 END) OVER (ORDER BY block, address ROWS UNBOUNDED PRECEDING) ELSE 401 END <= 400 AS fetched FROM ranked"),
     "c10_formatted_alerts": with_store(*_ALERTS, select="SELECT concat_ws(chr(9), 'ALERT', address, seed_address, label, printf('%.4f', score), origin) AS line FROM alerts"),
 }
+
+# the same numbers, kept by differences
+for _name in ("a6_origin_counts", "a8_counts", "a10_levels", "o5_clusters_top"):
+    SQL[f"{_name}_kept"] = SQL[_name]

@@ -11,6 +11,9 @@ from coderill.functions import bytecode as B
 from coderill.functions import formats
 from coderill.operators import calibration, clusters, codes, ingest, similarity, statistics
 from coderill.plans import corpus, oracle
+from coderill.sources import views
+from coderill.sources.shared import shared_folder
+from coderill.sources.store import Store as FolderStore
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -54,6 +57,27 @@ def store_of(spark: SparkSession, sf_dir: str) -> Store:
     return _stores[key]
 
 
+_folders: dict[tuple[str, str], FolderStore] = {}
+
+
+def folder_of(spark: SparkSession, sf_dir: str) -> FolderStore:
+    """The derived store as tables in a folder: most of it loaded in buckets, the latest blocks in batches that were merged once."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _folders:
+        _folders.clear()
+        derived, store = store_of(spark, sf_dir), FolderStore(spark, shared_folder(spark, "store"), fanout=3)
+        implementations = derived.stored.filter("implementation IS NOT NULL").select("address", "implementation", "block", F.lit(0).alias("step"))
+        top = (derived.stored.agg(F.max("block")).first()[0] or 0) * 3 // 4
+        store.load({"codes": derived.codes, "addresses": derived.stored.filter(F.col("block") <= top), "implementations": implementations.filter(F.col("block") <= top)})
+        for k in range(4):
+            late = (F.col("block") > top) & (F.pmod(F.xxhash64("address"), F.lit(4)) == k)
+            store.write("addresses", derived.stored.filter(late), f"late-{k}")
+            store.write("implementations", implementations.filter(late), f"late-{k}")
+            store.commit(f"late-{k}")
+        _folders[key] = store
+    return _folders[key]
+
+
 def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.fingerprints(corpus.raw_codes(spark, sf_dir))
 
@@ -337,6 +361,50 @@ def a19_block_stats(spark, sf_dir):
     return ingest.block_stats(_candidates(spark, sf_dir), stored.filter("block <= 100"), decided, kinds)
 
 
+@query
+def r6_code_of(spark, sf_dir):
+    """The code of every address that receipts touch, by point reads."""
+    return folder_of(spark, sf_dir).codes_of(_candidates(spark, sf_dir).select("address")).select("address", "code_id", "size")
+
+
+@query
+def r7_addresses_of(spark, sf_dir):
+    """The addresses of every seed's code."""
+    return folder_of(spark, sf_dir).holders_of(store_of(spark, sf_dir).seeds.select("code_id"))
+
+
+@query
+def r8_has_address(spark, sf_dir):
+    return folder_of(spark, sf_dir).stored(_candidates(spark, sf_dir).select("address"))
+
+
+@query
+def a6_origin_counts_kept(spark, sf_dir):
+    return views.origin_counts(folder_of(spark, sf_dir))
+
+
+@query
+def a8_counts_kept(spark, sf_dir):
+    return views.counts(folder_of(spark, sf_dir))
+
+
+@query
+def a10_levels_kept(spark, sf_dir):
+    return views.levels(folder_of(spark, sf_dir))
+
+
+@query
+def o5_clusters_top_kept(spark, sf_dir):
+    return clusters.top(views.sizes(folder_of(spark, sf_dir))).select("level", "key", "n_members")
+
+
+@query
+def a2_member_pages(spark, sf_dir):
+    """Members of all clusters in pages of 100."""
+    store = store_of(spark, sf_dir)
+    return views.pages(clusters.members(store.stored, store.codes), 100).withColumn("members", F.array_join("members", ","))
+
+
 @query
 def j10_upgrades(spark, sf_dir):
     store = store_of(spark, sf_dir)

@@ -248,7 +248,7 @@ class Store:
         tables = {name: self._shaped(name, rows) for name, rows in tables.items()}
         held = tables.get("addresses", self._empty("addresses"))
         tables["holders"] = self._shaped("holders", held.filter("code_id IS NOT NULL"))
-        tables["tallies"] = self._shaped("tallies", views.differences(self, held, tables.get("implementations", self._empty("implementations"))))
+        tables["tallies"] = self._shaped("tallies", views.differences(self, held, tables.get("implementations", self._empty("implementations")), anew=True))
         self.log.commit(None, [self._generation(name, rows, level) for name, rows in tables.items()])
 
     def vacuum(self, keep_seconds: int = 3600) -> list[str]:

@@ -12,7 +12,9 @@ from coderill.functions.bytecode import flags
 from coderill.functions.similarity import ALERT_MIN, SEARCH_MIN
 from coderill.operators import calibration, clusters, codes, ingest, similarity, statistics
 from coderill.session import session
+from coderill.sources import rpc, views
 from coderill.sources.store import Store
+from coderill.streaming import follow
 
 
 def _address(text: str) -> str:
@@ -31,6 +33,12 @@ def _share(text: str) -> float:
     return value
 
 
+def _count(text: str) -> int:
+    if not text.isascii() or not text.isdigit() or int(text) < 1:
+        raise argparse.ArgumentTypeError(f"not 1 or more: {text}")
+    return int(text)
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="coderill")
     p.add_argument("--store", required=True)
@@ -45,6 +53,9 @@ def parser() -> argparse.ArgumentParser:
     seed.add_argument("action", choices=("add", "remove", "list", "strict", "loose", "audit"))
     seed.add_argument("address", type=_address, nargs="?")
     seed.add_argument("--label", default="")
+    seed.add_argument("--fetch", action="store_true", help="read an unknown address, or a proxy's implementation, from the node")
+    seed.add_argument("--node", help="URL of a node for --fetch; {key} in it stands for a key")
+    seed.add_argument("--key-variable")
     recheck = verbs.add_parser("recheck")
     recheck.add_argument("--min", type=_share, default=ALERT_MIN)
     recheck.add_argument("--origin")
@@ -58,7 +69,9 @@ def parser() -> argparse.ArgumentParser:
         verb.add_argument("--key-variable", help="variable of the environment, or of .env, that holds the key")
         verb.add_argument("--daily-budget", type=int)
         verb.add_argument("--max-calls-per-block", type=int)
-        verb.add_argument("--workers", type=int, default=1)
+        verb.add_argument("--workers", type=_count, help="calls at once of a task; 1 with a key, else 8")
+        verb.add_argument("--plan", choices=("metered", "free"), help="metered: calls have prices, and codes are read at their block; free: neither. By default metered with a key")
+        verb.add_argument("--step", type=_count, default=1, help="blocks of a batch")
         verb.add_argument("--alert-on", choices=("created", "seen", "all"), default="all")
         verb.add_argument("--min", type=_share, default=ALERT_MIN)
         if name == "backfill":
@@ -66,7 +79,6 @@ def parser() -> argparse.ArgumentParser:
             verb.add_argument("--to", dest="last", type=int, required=True)
         else:
             verb.add_argument("--interval", type=float, default=12)
-            verb.add_argument("--checkpoint", required=True)
     dashboard = verbs.add_parser("dashboard")
     dashboard.add_argument("--host", default="127.0.0.1")
     dashboard.add_argument("--port", type=int, default=8080)
@@ -78,14 +90,18 @@ def parser() -> argparse.ArgumentParser:
 PRICES = {"eth_blockNumber": 80, "eth_getBlockReceipts": 1000, "eth_getCode": 80, "eth_getStorageAt": 80}
 
 
+def _url(args: argparse.Namespace) -> str:
+    return rpc.node_url(args.node, args.key_variable) if args.key_variable else args.node
+
+
 def _follow(args: argparse.Namespace, store: Store, say) -> int:
     """Blocks of a node into the store, with the lines of each batch's events as they are committed; 3 where a limit stops it."""
-    from coderill.sources import rpc
-    from coderill.streaming import follow
-
-    url = rpc.node_url(args.node, args.key_variable) if args.key_variable else args.node
-    limits = follow.Limits(args.max_calls_per_block, args.daily_budget, PRICES)
-    get_code, get_slot = rpc.code_fetcher(url, workers=args.workers), rpc.slot_fetcher(url, workers=args.workers)
+    metered = args.plan == "metered" or args.plan is None and args.key_variable is not None
+    if args.daily_budget is not None and not metered:
+        raise ValueError("--daily-budget needs a metered plan")
+    url, workers, tag = _url(args), args.workers or (1 if metered else 8), None if metered else "latest"
+    limits = follow.Limits(args.max_calls_per_block, args.daily_budget, PRICES if metered else {})
+    get_code, get_slot = rpc.code_fetcher(url, tag=tag, workers=workers), rpc.slot_fetcher(url, tag=tag, workers=workers)
     last = store.read("events").agg(F.max("id")).first()[0] or 0
 
     def told() -> None:
@@ -95,22 +111,19 @@ def _follow(args: argparse.Namespace, store: Store, say) -> int:
             say(r["line"])
         last = max(last, fresh.agg(F.max("id")).first()[0] or 0)
 
-    if args.verb == "backfill":
-        for block in range(args.first, args.last + 1):
-            out = follow.backfill(store, url, block, block, get_code, limits, get_slot=get_slot, watch=args.min)
-            told()
-            if out.stopped:
-                print(f"stopped: {out.stopped}; progress {out.progress}", file=sys.stderr)
-                return 3
-        return 0
-    query = follow.listen(store.spark, store, url, args.checkpoint, get_code, f"{args.interval} seconds", limits=limits, get_slot=get_slot, watch=args.min)
+    options = {"step": args.step, "told": told, "get_slot": get_slot, "watch": args.min}
     try:
-        while not query.awaitTermination(args.interval):
-            told()
+        if args.verb == "backfill":
+            out = follow.backfill(store, url, args.first, args.last, get_code, limits, **options)
+        else:
+            out = follow.watch_chain(store, url, get_code, limits, args.interval, **options)
     except KeyboardInterrupt:
-        query.stop()
-    told()
-    return 0
+        return 0
+    if out.stopped is None:
+        return 0
+    progress = "none" if out.progress is None else out.progress
+    print(f"stopped: {out.stopped}, spent {store.spent(out.day)} credits, progress {progress}", file=sys.stderr)
+    return 3
 
 
 def _serve(args: argparse.Namespace, store: Store) -> int:
@@ -141,7 +154,7 @@ def run(args: argparse.Namespace) -> int:
     own, seeds = codes.effective(stored, held), store.seeds()
     flagged = held.select("code_id", flags(F.col("selfdestruct"), F.col("mutable_delegatecall")).alias("flags"))
     if args.verb == "clusters":
-        for r in clusters.top(clusters.sizes(stored, held), args.n).collect():
+        for r in clusters.top(views.sizes(store), args.n).collect():
             say(r["level"], r["key"], r["n_members"])
     elif args.verb == "cluster":
         mine = stored.filter(F.col("address") == args.address).join(flagged, "code_id").first()
@@ -187,6 +200,17 @@ def _seed(args: argparse.Namespace, store: Store, say) -> int:
     if args.address is None:
         raise ValueError("an address is needed")
     if args.action == "add":
+        if args.fetch:
+            if args.node is None:
+                raise ValueError("--fetch needs --node")
+            code = store.code_of(args.address).first()
+            proxy = code is not None and code["std_proxy"] and store.implementations([args.address]).isEmpty()
+            if proxy or not store.has_address(args.address):  # of what is held, nothing is asked
+                url = _url(args)
+                kind = follow.fetch(store, args.address, rpc.head(url), rpc.code_fetcher(url), rpc.slot_fetcher(url))
+                if kind == "failed":
+                    print(f"eth_getCode returned no code: {args.address}", file=sys.stderr)
+                    return 1
         store.add_seed(args.address, args.label)
         stored, held = store.addresses(), store.codes()
         one = store.seeds().filter(F.col("address") == args.address)
@@ -201,9 +225,15 @@ def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     try:
         return run(args)
-    except (ValueError, KeyError) as error:
+    except KeyError as error:
+        print(f"unknown address or no code: {error.args[0]}", file=sys.stderr)
+        return 2
+    except ValueError as error:
         print(str(error).splitlines()[0], file=sys.stderr)
         return 2
+    except (rpc.RpcError, PermissionError) as error:
+        print(str(error).splitlines()[0], file=sys.stderr)
+        return 1
 
 
 if __name__ == "__main__":

@@ -50,6 +50,13 @@ def capped(new: DataFrame, most: int | None, calls: int | None = None) -> DataFr
     return ranked.join(quota, "block").withColumn("fetched", F.col("k") <= F.col("quota")).select(*new.columns, "fetched")
 
 
+def reserved(reads: DataFrame, left: int | None, price: int) -> DataFrame:
+    """The first reads (address, block), in order of block and address, whose prices sum up to ``left`` credits at most."""
+    if left is None or price <= 0:
+        return reads
+    return capped(reads, None, max(0, left) // price).filter("fetched").drop("fetched")
+
+
 def classified(answers: DataFrame) -> DataFrame:
     """Answers (block, address, origin, answer) with ``kind``: contract, eoa, or failed for what is no code."""
     code = F.col("answer")

@@ -314,6 +314,8 @@ FROM resolved r JOIN stored p ON p.address = r.address JOIN stored i ON i.addres
     "st9_capped_by_budget": _ingest("firsts AS (SELECT address, min(block) AS block, arg_min(origin, block) AS origin FROM fresh GROUP BY address)",
       "ranked AS (SELECT *, row_number() OVER (PARTITION BY block ORDER BY address) AS k FROM firsts)",
       select="SELECT address, block, origin, k <= 50 AND CASE WHEN k <= 50 THEN sum(CASE WHEN k <= 50 THEN 1 ELSE 0 END) OVER (ORDER BY block, address ROWS UNBOUNDED PRECEDING) ELSE 401 END <= 400 AS fetched FROM ranked"),
+    "st10_reserved": with_store(SLOTS, select="""
+SELECT address, block FROM (SELECT *, sum(80 + 80) OVER (ORDER BY block, address ROWS UNBOUNDED PRECEDING) AS reserved FROM (SELECT DISTINCT address, block FROM slot_words)) WHERE reserved <= 20000"""),
     "c10_formatted_alerts": with_store(*_ALERTS, select="SELECT concat_ws(chr(9), 'ALERT', address, seed_address, label, printf('%.4f', score), origin) AS line FROM alerts"),
 }
 

@@ -520,6 +520,13 @@ def st9_capped_by_budget(spark, sf_dir):
     return ingest.capped(ingest.first_seen(_unknown(spark, sf_dir)), 50, 400)
 
 
+@query
+def st10_reserved(spark, sf_dir):
+    """The slot reads of all proxies that 20,000 credits pay, each with the code that it may name."""
+    proxies = corpus.over_built(spark, sf_dir, oracle.SLOTS).select("address", "block").distinct()
+    return ingest.reserved(proxies, 20_000, 80 + 80)
+
+
 @query
 def c10_formatted_alerts(spark, sf_dir):
     rows = store_of(spark, sf_dir).recheck()

@@ -7,7 +7,7 @@ slots come from functions of rows, so that the node, a file or a test can give t
 2. decides which codes to fetch under a cap for each block and a budget of credits for the day; the others are left
    to later batches in the ``deferred`` table, and progress never reaches the least block of them,
 3. stores codes and addresses, and matches the new codes with the watchlist,
-4. reads the slots of standard proxies that are new or touched, stores the codes of new implementations, and finds
+4. reads the slots of standard proxies that are new or touched, at each block that touches them, stores the codes of new implementations, and finds
    upgrades and the alerts of implementations (with the default threshold, whatever ``watch`` is),
 5. writes alerts, then upgrades, as events, the calls to the ledger, and progress.
 
@@ -20,17 +20,21 @@ come in; a failed read stores nothing, and the address is read again when a late
 from __future__ import annotations
 
 import hashlib
+import re
+import time
 import uuid
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from datetime import UTC, datetime
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from coderill.functions.similarity import ALERT_MIN
 from coderill.operators import codes, ingest, similarity
+from coderill.sources import rpc
 from coderill.sources.store import Store
 
 GetCode = Callable[[DataFrame], DataFrame]
@@ -60,12 +64,13 @@ class Limits:
 
 @dataclass
 class Outcome:
-    """What a batch did: number of blocks, ``cap`` or ``budget`` if it left candidates, progress, and what it left."""
+    """What a batch did: number of blocks, ``cap`` or ``budget`` if it left candidates, progress, what it left, and the day that it was charged to."""
 
     blocks: int = 0
     stopped: str | None = None
     progress: int | None = None
     pending: int = 0
+    day: str | None = None
 
 
 def _stored(answers: DataFrame) -> DataFrame:
@@ -76,15 +81,21 @@ def _stored(answers: DataFrame) -> DataFrame:
 Held = Callable[[DataFrame, str], DataFrame]
 
 
-def _words(targets: DataFrame, get_slot: GetSlot, most: int | None, held: Held) -> tuple[DataFrame, int]:
-    """Slot words (address, block, slot, word) of proxies (address, block), beacons only where the first read gave no address, and the number of calls."""
-    asked = targets.withColumn("slot", F.lit("implementation"))
-    first = held(get_slot(asked if most is None else asked.orderBy("block", "address").limit(most)), "impl_words")
+def _words(targets: DataFrame, get_slot: GetSlot, credits: int | None, limits: Limits, held: Held) -> tuple[DataFrame, int]:
+    """Slot words (address, block, slot, word) of proxies (address, block), beacons only where the first read gave no address, and the number of calls.
+
+    Of ``credits``, a first read reserves its own price and that of the code that it may name, in order of block and address; a
+    beacon's has what remains when these codes are paid.
+    """
+    slot_price, code_price = (limits.prices.get(m, 0) for m in ("eth_getStorageAt", "eth_getCode"))
+    first = held(get_slot(ingest.reserved(targets, credits, slot_price + code_price).withColumn("slot", F.lit("implementation"))), "impl_words")
     n = first.count()
-    rest = ingest.resolved(first, first, ("address", "block")).filter("implementation IS NULL")
-    open_words = rest.join(first.filter("word IS NOT NULL").select("address", "block"), ["address", "block"], "left_semi")
-    again = open_words.select("address", "block", F.lit("beacon").alias("slot"))
-    second = held(get_slot(again if most is None else again.orderBy("block", "address").limit(max(0, most - n))), "beacon_words")
+    found = ingest.resolved(first, first, ("address", "block"))
+    if credits is not None:
+        named = found.filter("implementation IS NOT NULL").agg(F.count_distinct("implementation")).first()[0]
+        credits -= n * slot_price + named * code_price
+    open_words = found.filter("implementation IS NULL").join(first.filter("word IS NOT NULL").select("address", "block"), ["address", "block"], "left_semi")
+    second = held(get_slot(ingest.reserved(open_words.select("address", "block"), credits, slot_price).withColumn("slot", F.lit("beacon"))), "beacon_words")
     return first.unionByName(second), n + second.count()
 
 
@@ -134,11 +145,12 @@ def ingest_batch(
         alerts = held(alerts, "alerts")
         proxies = here.filter("std_proxy").select("code_id")
         new_proxies = held(stored.join(proxies, "code_id", "left_semi"), "new_proxies")
-        old = found.join(known.join(proxies, "code_id", "left_semi").select("address"), "address", "left_semi")
-        targets = new_proxies.select("address", "block").unionByName(old.select("address", "block")).distinct()
-        code_price, slot_price = (limits.prices.get(m, 0) for m in ("eth_getCode", "eth_getStorageAt"))
-        rest = None if limits.budget is None or not slot_price else max(0, (limits.budget - spent() - code_price) // slot_price)
-        words, n = _words(targets, get_slot, rest, held)
+        # every block that touches a proxy, whether it was known before or is new in this batch
+        every = known.join(proxies, "code_id", "left_semi").select("address").unionByName(new_proxies.select("address")).distinct()
+        again = found.join(every, "address", "left_semi")
+        targets = new_proxies.select("address", "block").unionByName(again.select("address", "block")).distinct()
+        credits = None if limits.budget is None else max(0, limits.budget - spent())
+        words, n = _words(targets, get_slot, credits, limits, held)
         calls["eth_getStorageAt"] = calls.get("eth_getStorageAt", 0) + n
         resolved = held(ingest.resolved(targets, words, ("address", "block")).filter("implementation IS NOT NULL"), "resolved")
         upgraded = held(ingest.changes(resolved, store.implementations(resolved.select("address"))), "upgraded")
@@ -213,33 +225,115 @@ def follow(spark: SparkSession, store: Store, folder: str, checkpoint: str, get_
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
-def listen(spark: SparkSession, store: Store, url: str, checkpoint: str, get_code: GetCode, every: str = "12 seconds", start: int | None = None, **options) -> StreamingQuery:
-    """Blocks of a node as they come, from ``start``, else from progress on, else from the head."""
+def listen(spark: SparkSession, store: Store, url: str, checkpoint: str, get_code: GetCode, every: str = "12 seconds", start: int | None = None, most: int = 100, **options) -> StreamingQuery:
+    """Blocks of a node as a stream, ``most`` of them a batch, from ``start``, else from progress on, else from the head.
+
+    The receipts of a batch are read before it is known what they cost; ``watch_chain`` asks the ledger first.
+    """
     from coderill.sources.blocks import BlockSource
 
     spark.dataSource.register(BlockSource)
-    progress = store.progress()
+    progress, seen = store.progress(), store.read("progress").agg(F.max("seen")).first()[0]
     first = start if start is not None else progress + 1 if progress is not None else None
-    reader = spark.readStream.format("blocks").option("url", url)
-    stream = (reader if first is None else reader.option("start", str(first))).load()
+    reader = spark.readStream.format("blocks").option("url", url).option("most", str(most))
+    reader = reader if first is None else reader.option("start", str(first))
+    stream = (reader if seen is None else reader.option("at", str(seen + 1))).load()
     return _writer(stream, store, checkpoint, get_code, **options).trigger(processingTime=every).start()
 
 
-def backfill(store: Store, url: str, first: int, last: int, get_code: GetCode, limits: Limits | None = None, step: int = 1, **options) -> Outcome:
-    """Blocks of a node from first to last, ``step`` of them a batch; stops at a batch that leaves candidates."""
-    from coderill.sources.rpc import read_receipts
-
-    limits, out = limits or Limits(), Outcome(progress=store.progress())
-    for lo in range(first, last + 1, step):
-        numbers = range(lo, min(lo + step, last + 1))
-        price, n = limits.prices.get("eth_getBlockReceipts", 0), len(numbers)
-        if limits.budget is not None and store.spent(limits.today()) + n * price > limits.budget:
-            out.stopped = "budget"
-            break
-        receipts = read_receipts(store.spark, url, numbers).persist()
-        got = ingest_batch(store, receipts, get_code, limits, ahead={"eth_getBlockReceipts": n}, **options)
-        receipts.unpersist()
-        out = Outcome(out.blocks + got.blocks, got.stopped, got.progress, got.pending)
-        if got.stopped:
+RPC_ERROR = re.compile(r"RpcError: ([^\n]*)")
+
+
+def follow_chain(
+    store: Store, url: str, get_code: GetCode, limits: Limits | None = None, first: int | None = None, last: int | None = None, step: int = 1,
+    told: Callable[[], None] | None = None, **options,
+) -> Outcome:
+    """One pass up to the head, or to ``last`` where that is less, in batches of ``step`` blocks that the ledger allows.
+
+    Starts at ``first``, else behind progress, else at the head. The poll of the head and the receipts are charged to the day, and not
+    made where its budget does not pay for them. Stops at a batch that leaves candidates. ``told`` is called after each
+    batch. A failed read of the node is an RpcError, and leaves nothing of its batch.
+    """
+    limits, progress = limits or Limits(), store.progress()
+    out = Outcome(progress=progress, day=limits.today())
+    if limits.calls("eth_blockNumber", store.spent(out.day)) == 0:
+        out.stopped = "budget"
+        return out
+    head, price = rpc.head(url), limits.prices.get("eth_blockNumber", 0)
+    if price:
+        store.spend(out.day, "eth_blockNumber", price)
+    lo = first if first is not None else progress + 1 if progress is not None else head
+    stop = head if last is None else min(last, head)
+    while lo <= stop and out.stopped is None:
+        day = limits.today()
+        allowed = limits.calls("eth_getBlockReceipts", store.spent(day))
+        n = min(step, stop - lo + 1) if allowed is None else min(step, stop - lo + 1, allowed)
+        if not n:
+            out.stopped, out.day = "budget", day
             break
+        receipts = rpc.read_receipts(store.spark, url, range(lo, lo + n)).persist()
+        try:
+            got = ingest_batch(store, receipts, get_code, replace(limits, day=day), ahead={"eth_getBlockReceipts": n}, **options)
+        except PySparkException as error:
+            if found := RPC_ERROR.search(str(error)):
+                raise rpc.RpcError(found[1]) from None
+            raise
+        finally:
+            receipts.unpersist()
+        out = Outcome(out.blocks + got.blocks, got.stopped, got.progress, got.pending, day)
+        lo += n
+        if told:
+            told()
     return out
+
+
+def watch_chain(store: Store, url: str, get_code: GetCode, limits: Limits | None = None, interval: float = 12, sleep: Callable[[float], None] = time.sleep, **options) -> Outcome:
+    """Passes up to the head, ``interval`` seconds apart, until a limit stops one."""
+    while (out := follow_chain(store, url, get_code, limits, **options)).stopped is None:
+        sleep(interval)
+    return out
+
+
+def backfill(store: Store, url: str, first: int, last: int, get_code: GetCode, limits: Limits | None = None, step: int = 1, **options) -> Outcome:
+    """Blocks of a node from first to last, or to the head, ``step`` of them a batch."""
+    return follow_chain(store, url, get_code, limits, first, last, step, **options)
+
+
+def fetch(store: Store, address: str, block: int, get_code: GetCode, get_slot: GetSlot) -> str:
+    """Store an address by name as of ``block``, and what a standard proxy points to; returns contract, eoa or failed.
+
+    An address that is stored is not read again; of a proxy, the implementation is read where none is known. A slot that fails or
+    is empty leaves the proxy without one. Nothing is stored where the code cannot be read.
+    """
+    spark, address, batch = store.spark, address.lower(), uuid.uuid4().hex
+    row = spark.createDataFrame([(address, block, "fetched")], "address string, block long, origin string")
+    held: Held = lambda frame, name: store.scratch(frame, batch, name)
+    known = store.has_address(address)
+    if known:
+        here, stored = store.code_of(address), row.limit(0).withColumn("code_id", F.lit(None).cast("string"))
+        kind, new_codes = "eoa" if here.isEmpty() else "contract", here.limit(0)
+    else:
+        answers = held(ingest.classified(get_code(row)), "answers")
+        kind = answers.first()["kind"]
+        if kind == "failed":
+            store.sweep(batch)
+            return kind
+        stored = _stored(answers)
+        here = held(codes.fingerprints(answers.filter("kind = 'contract'")), "here")
+        new_codes = here.join(store.codes(here.select("code_id")).select("code_id"), "code_id", "left_anti")
+    if not here.filter("std_proxy").isEmpty() and store.implementations([address]).isEmpty():
+        targets = row.select("address", "block")
+        words, _ = _words(targets, get_slot, None, Limits(), held)
+        resolved = held(ingest.resolved(targets, words, ("address", "block")).filter("implementation IS NOT NULL"), "resolved")
+        named = resolved.filter("direct").select(F.col("implementation").alias("address"), "block", F.lit("impl").alias("origin"))
+        named = named.join(store.known(named.select("address")).select("address"), "address", "left_anti")
+        side = held(ingest.classified(get_code(named)), "side")
+        more = held(codes.fingerprints(side.filter("kind = 'contract'")), "more")
+        more = more.join(store.codes(more.select("code_id")).select("code_id"), "code_id", "left_anti").join(new_codes.select("code_id"), "code_id", "left_anti")
+        stored, new_codes = stored.unionByName(_stored(side)), new_codes.unionByName(more, allowMissingColumns=True)
+        store.write("implementations", resolved.withColumn("step", F.lit(store.step())), batch)
+    store.write("codes", new_codes, batch)
+    store.write("addresses", stored, batch)
+    store.commit(batch, named=False)
+    store.sweep(batch)
+    return kind

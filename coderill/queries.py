@@ -65,13 +65,15 @@ def folder_of(spark: SparkSession, sf_dir: str) -> FolderStore:
     key = spark.sparkContext.applicationId, sf_dir
     if key not in _folders:
         _folders.clear()
-        derived, store = store_of(spark, sf_dir), FolderStore(spark, shared_folder(spark, "store"), fanout=3)
-        implementations = derived.stored.filter("implementation IS NOT NULL").select("address", "implementation", "block", F.lit(0).alias("step"))
-        top = (derived.stored.agg(F.max("block")).first()[0] or 0) * 3 // 4
-        store.load({"codes": derived.codes, "addresses": derived.stored.filter(F.col("block") <= top), "implementations": implementations.filter(F.col("block") <= top)})
+        derived, store, path = store_of(spark, sf_dir), FolderStore(spark, shared_folder(spark, "store"), fanout=3), shared_folder(spark, "stored")
+        derived.stored.write.parquet(path)  # its plan is long, and is not to be in that of each batch
+        stored = spark.read.parquet(path)
+        implementations = stored.filter("implementation IS NOT NULL").select("address", "implementation", "block", F.lit(0).alias("step"))
+        top = (stored.agg(F.max("block")).first()[0] or 0) * 3 // 4
+        store.load({"codes": derived.codes, "addresses": stored.filter(F.col("block") <= top), "implementations": implementations.filter(F.col("block") <= top)})
         for k in range(4):
             late = (F.col("block") > top) & (F.pmod(F.xxhash64("address"), F.lit(4)) == k)
-            store.write("addresses", derived.stored.filter(late), f"late-{k}")
+            store.write("addresses", stored.filter(late), f"late-{k}")
             store.write("implementations", implementations.filter(late), f"late-{k}")
             store.commit(f"late-{k}")
         _folders[key] = store

@@ -384,18 +384,20 @@ def _extend(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
 
     So three in four of the words gone on by are equal at least, and no passage falls below that by going on.
     """
-    n = min(len(a), len(b))
-    if not n:
-        return 0, 0
-    same = a[:n] == b[:n]
-    score = np.cumsum(np.where(same, 1, -3))
-    top = np.maximum.accumulate(np.maximum(score, 0))
-    fallen = np.flatnonzero(top - score > 10)
-    end = int(fallen[0]) if len(fallen) else n
-    if not end or score[:end].max() <= 0:
-        return 0, 0
-    best = int(np.argmax(score[:end])) + 1
-    return best, int(same[:best].sum())
+    whole = min(len(a), len(b))
+    n = min(whole, 256)
+    while n:
+        same = a[:n] == b[:n]
+        score = np.cumsum(np.where(same, 1, -3))
+        fallen = np.flatnonzero(np.maximum.accumulate(np.maximum(score, 0)) - score > 10)
+        if len(fallen) or n == whole:
+            end = int(fallen[0]) if len(fallen) else n
+            if not end or score[:end].max() <= 0:
+                return 0, 0
+            best = int(np.argmax(score[:end])) + 1
+            return best, int(same[:best].sum())
+        n = min(whole, 4 * n)  # few go on far
+    return 0, 0
 
 
 def _equal(a: np.ndarray, b: np.ndarray) -> int:
@@ -427,7 +429,7 @@ def align(doc: np.ndarray, source: np.ndarray, places: np.ndarray, sources: np.n
     """Start and end in both, and equal words, of the passages around a chain of matches.
 
     That is the whole chain where it is one, else the fewest of its longest stretches, from block to block,
-    that hold all words of stretches which are.
+    that hold all words of stretches which are; and what lies on one diagonal with a seed and is a passage, if it is in none of these.
     """
     blocks = np.array(_blocks(doc, source, places, sources, k), dtype=np.int64)
     start, end, source_start, source_end, equal, gap = blocks.T
@@ -448,20 +450,47 @@ def align(doc: np.ndarray, source: np.ndarray, places: np.ndarray, sources: np.n
         back, on = int(backs[i, 0]), int(ons[j, 0])
         return int(start[i]) - back, int(end[j]) + on, int(source_start[i]) - back, int(source_end[j]) + on, int(judged(i, j)[0])
 
-    reach(0, n - 1)
-    if judged(0, n - 1)[1]:
-        return [stretch(0, n - 1)]
-    longest: list[tuple[int, int]] = []
-    if n > 1:
-        for i in range(n):
-            reach(i, i)
-        for i in range(n):
-            good = np.flatnonzero(judged(i, np.arange(i, n))[1])
-            if len(good) and (not longest or i + good[-1] > longest[-1][1]):
-                while len(longest) > 1 and longest[-2][1] >= i - 1:
-                    longest.pop()  # the one before and this one hold it
-                longest.append((i, i + int(good[-1])))
-    return [stretch(i, j) for i, j in longest]
+    def found() -> list[tuple[int, int, int, int, int]]:
+        reach(0, n - 1)
+        if judged(0, n - 1)[1]:
+            return [stretch(0, n - 1)]
+        longest: list[tuple[int, int]] = []
+        if n > 1:
+            for i in range(n):
+                reach(i, i)
+            for i in range(n):
+                good = np.flatnonzero(judged(i, np.arange(i, n))[1])
+                if len(good) and (not longest or i + good[-1] > longest[-1][1]):
+                    while len(longest) > 1 and longest[-2][1] >= i - 1:
+                        longest.pop()  # the one before and this one hold it
+                    longest.append((i, i + int(good[-1])))
+        return [stretch(i, j) for i, j in longest]
+
+    out = found()
+    # a chain of seeds that stand elsewhere too can leave the diagonal of a passage and end before it does
+    for one in _diagonals(doc, source, places, sources):
+        first, last, *_, same = one
+        if same >= min_words and same >= identity * (last - first) and not any(a <= first and last <= b for a, b, *_ in out):
+            out.append(one)
+    return out
+
+
+def _diagonals(doc: np.ndarray, source: np.ndarray, places: np.ndarray, sources: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+    """Start and end in both, and equal words, of what each diagonal of a chain's seeds extends to; none if there is only one."""
+    shift = places.astype(np.int64) - sources
+    if (shift == shift[0]).all():
+        return []
+    out: list[tuple[int, int, int, int, int]] = []
+    diagonal, to = None, 0
+    for i in np.lexsort((places, shift)).tolist():
+        p, s = int(places[i]), int(sources[i])
+        if p - s == diagonal and p < to:
+            continue  # it is in what the one before extends to
+        back, same_back = _extend(doc[:p][::-1], source[:s][::-1])
+        on, same_on = _extend(doc[p:], source[s:])
+        diagonal, to = p - s, p + on
+        out.append((p - back, to, s - back, s + on, same_back + same_on))
+    return out
 
 
 PASSAGES = "doc_id long, start int, end int, source_id long, source_start int, source_end int, n_equal int, identity double"

@@ -34,11 +34,13 @@ from pyspark.sql import functions as F
 from coderill.llm import words, worker
 from coderill.llm.tables import materialise
 
-K = 8
+K = 6
 W = 12
 GAP_COST = 0.1
 MIN_WORDS = 50
 IDENTITY = 0.75
+#: Fall of the score that ends an extension, at 3 for each word that differs.
+DROP = 30
 _REACH = 64
 #: Ids, or spans, that are broadcast at most; more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -380,7 +382,7 @@ def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def _extend(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
-    """Words to go on from two starts, and the equal ones of them: the best of +1 and -3, ended by a drop of 10.
+    """Words to go on from two starts, and the equal ones of them: the best of +1 and -3, ended by a drop of ``DROP``.
 
     So three in four of the words gone on by are equal at least, and no passage falls below that by going on.
     """
@@ -389,7 +391,7 @@ def _extend(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     while n:
         same = a[:n] == b[:n]
         score = np.cumsum(np.where(same, 1, -3))
-        fallen = np.flatnonzero(np.maximum.accumulate(np.maximum(score, 0)) - score > 10)
+        fallen = np.flatnonzero(np.maximum.accumulate(np.maximum(score, 0)) - score > DROP)
         if len(fallen) or n == whole:
             end = int(fallen[0]) if len(fallen) else n
             if not end or score[:end].max() <= 0:

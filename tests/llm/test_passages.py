@@ -163,3 +163,46 @@ def test_repetitive_texts_are_one_passage(spark):
     found = passages(frame_of(spark, rows)).collect()
     whole = {r.doc_id: (r.start, r.end) for r in found if r.start <= 1}
     assert whole == {k: (1, 249) for k in range(1, 40)} | {k: (0, 2 * k - 2) for k in range(101, 130)} and len(found) <= 2 * len(whole)
+
+
+def found_share(spark, pairs):
+    """Of each pair (earlier document, later one, first and last word of a passage in it), the share of its words that is found."""
+    rows = [(2 * i + j, " ".join(p[j])) for i, p in enumerate(pairs) for j in (0, 1)]
+    masks = {2 * i + 1: np.zeros(len(p[1]), dtype=bool) for i, p in enumerate(pairs)}
+    for r in passages(frame_of(spark, rows)).collect():
+        masks[r.doc_id][r.start : r.end] = True
+    return np.array([masks[2 * i + 1][a:b].mean() for i, (_, _, a, b) in enumerate(pairs)])
+
+
+def test_passages_whose_blocks_stand_elsewhere(spark):
+    """Blocks of a passage that both documents have elsewhere too, in other orders, do not cut it short."""
+    rng = np.random.default_rng(31)
+    own = lambda k: [f"w{x}" for x in rng.integers(1 << 40, size=k)]
+    pairs = []
+    for i in range(60):
+        whole, n = own(int(rng.integers(88, 121))), 3 + i % 3
+        edges = np.linspace(0, len(whole), n + 1).astype(int)
+        both = []
+        for _ in range(2):
+            parts = [whole[edges[b] : edges[b + 1]] for b in rng.permutation(n)]
+            at, words = int(rng.integers(0, n + 1)), []
+            for k, part in enumerate([*parts[:at], whole, *parts[at:]]):
+                words += own(int(rng.integers(20, 60)))
+                place = len(words) if k == at else place if k else 0
+                words += part
+            both.append((words, place))
+        pairs.append((both[0][0], both[1][0], both[1][1], both[1][1] + len(whole)))
+    assert (found_share(spark, pairs) == 1).all()
+
+
+@pytest.mark.parametrize(("n", "equal", "least"), [(100, 0.85, 0.7), (100, 0.9, 0.9), (500, 0.8, 0.7), (500, 0.85, 0.9)])
+def test_fuzzy_passages(spark, n, equal, least):
+    """Share of passages with ``equal`` of their words unchanged of which 80 % is found."""
+    rng = np.random.default_rng(n)
+    own = lambda k: [f"w{x}" for x in rng.integers(1 << 40, size=k)]
+    pairs = []
+    for _ in range(60):
+        one = own(n)
+        other = [w if rng.random() < equal else own(1)[0] for w in one]
+        pairs.append(([*own(90), *one, *own(70)], [*own(80), *other, *own(60)], 80, 80 + n))
+    assert (found_share(spark, pairs) >= 0.8).mean() >= least

@@ -559,7 +559,8 @@ def _aligned(chains_of: DataFrame, plain: DataFrame, reach: int, min_words: int,
     pairs = chains_of.select("doc_id", F.explode("chains").alias("c"))
     asked = pairs.select("doc_id").union(pairs.select("c.source")).distinct()
     few = asked.count() <= BROADCAST_ROWS
-    texts = plain.join(F.broadcast(asked) if few else asked, "doc_id", "left_semi")
+    # both joins take the texts by one name, so that their shuffle is written once
+    texts = plain.join(F.broadcast(asked) if few else asked, "doc_id", "left_semi").withColumnRenamed("doc_id", "__id")
     size = F.aggregate("chains", F.lit(0).cast("long"), lambda n, c: n + F.octet_length(c["places"]) * 2 + 32)
     cut = F.aggregate("chains", F.lit(0).cast("long"), lambda n, c: n + 8 * (c["last"] - c["first"] + k + 2 * reach) + 64)
     chain_bytes, cut_bytes = (x or 0 for x in chains_of.agg(F.sum(size), F.sum(size + cut)).first())
@@ -578,8 +579,8 @@ def _aligned(chains_of: DataFrame, plain: DataFrame, reach: int, min_words: int,
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=[f.split()[0] for f in _CUT_OUT.split(", ")])
 
-    cut_out = by_doc.join(texts, "doc_id").select("doc_id", "text", "chains").mapInArrow(worker.tidy(segment), _CUT_OUT)
-    sourced = (F.broadcast(cut_out) if cut_bytes <= BROADCAST_BYTES else cut_out).join(texts.select(F.col("doc_id").alias("source"), "text"), "source").select("source", "text", "doc_id", "lo", "more", "places", "sources", "segment")
+    cut_out = by_doc.join(texts, F.col("doc_id") == F.col("__id")).select("doc_id", "text", "chains").mapInArrow(worker.tidy(segment), _CUT_OUT)
+    sourced = (F.broadcast(cut_out) if cut_bytes <= BROADCAST_BYTES else cut_out).join(texts, F.col("source") == F.col("__id")).select("source", "text", "doc_id", "lo", "more", "places", "sources", "segment")
 
     def align_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segments = _Segments()

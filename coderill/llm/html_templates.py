@@ -26,7 +26,7 @@ main or an h1 stands outside of it.
 
 Character references are decoded, white space inside a block is one space, blocks are joined by one line
 feed in page order. A null or empty page gives an empty text, a null url is a host of its own. Repeated
-rows give rows of their own and leave all texts as they are. Extra columns are dropped. An empty table gives no row.
+rows give rows of their own; a template counts pages of the same url and html once, whatever their ids, so that they leave all texts as they are. Extra columns are dropped. An empty table gives no row.
 """
 
 from __future__ import annotations
@@ -51,6 +51,8 @@ REST = 0.2
 HELD = 0.99
 #: Numbers in templates that are broadcast at most (8 bytes each); more are joined by shuffle, dealt by hash within a host.
 BROADCAST_NUMBERS = 4_000_000
+#: Hashes of pages that stand several times, broadcast at most; more are joined by shuffle.
+BROADCAST_REPEATS = 1_000_000
 _SALTS = 32
 
 
@@ -203,9 +205,23 @@ def deduced(rows: list[dict], n_pages: int) -> tuple[int | None, list[int]]:
     return region.path, sorted(r.path for r in inside)
 
 
+def distinct(pages: DataFrame) -> DataFrame:
+    """(host, number, html): a row for each url and html, numbered by a hash of both; only hashes of pages that stand alone are shuffled."""
+    numbered = pages.select("host", F.xxhash64("url", "html").alias("number"), F.xxhash64("html", "url", F.lit(1)).alias("check"), "html")
+    key = ["number", "check"]
+    several = materialise(numbered.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*key))
+    n = several.count()
+    if n:
+        several = F.broadcast(several) if n <= BROADCAST_REPEATS else several
+        # copies of a page on a task are one row before the shuffle
+        once = numbered.join(several, key, "left_semi").groupBy(*key).agg(F.first("host").alias("host"), F.first("html").alias("html"))
+        numbered = numbered.join(several, key, "left_anti").unionByName(once)
+    return numbered.select("host", "number", "html")
+
+
 def templates(pages: DataFrame) -> DataFrame:
     """(host, region, furniture): of each host of ``FEW`` pages or more, and under a null host of all pages."""
-    parts = pages.select("host", F.xxhash64("page_id", "url", F.length("html")).alias("number"), "html").mapInArrow(_counts, COUNTS)
+    parts = distinct(pages).mapInArrow(_counts, COUNTS)
     sums = [F.sum(c).alias(c) for c in _SUMS]
     roles = materialise(parts.groupBy("host", "path").agg(F.first("parent").alias("parent"), F.min("low").alias("low"), F.max("high").alias("high"), *sums))
     whole = roles.filter("parent = 0").select(F.col("host").alias("of"), F.col("pages").alias("n_pages"))

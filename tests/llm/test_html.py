@@ -62,6 +62,16 @@ def test_unchanging_parts_are_furniture(spark):
     assert set(texts(spark, [(k, "http://h.example", same) for k in range(8)]).values()) == {"One\ntwo words"}
 
 
+def test_repeated_rows_do_not_make_a_template(spark):
+    """Two pages with a bar that says the same are too few for a template of their own, however often each stands."""
+    page = "<body><div class=q><p>SAME bar text</p></div><div class=r><h1>{0} title</h1><p>{0} words of this page</p></div></body>"
+    rows = [(k, f"http://h.example/{k}", page.format(w)) for k, w in enumerate(["first", "second"])]
+    once = texts(spark, rows)
+    assert all(texts(spark, rows, times=n) == once for n in (2, 5))
+    again = [(k + 10, url, html) for k, url, html in rows]  # under other ids
+    assert texts(spark, rows + again) == once | {k + 10: t for k, t in once.items()}
+
+
 def test_marked_pages():
     assert main_text("<a title='x > y' href='q'>link</a>") == "link"
     assert main_text("<p class=ad>buy now<p>the text of it") == "the text of it"

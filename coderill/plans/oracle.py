@@ -322,3 +322,5 @@ SELECT address, block FROM (SELECT *, sum(80 + 80) OVER (ORDER BY block, address
 # the same numbers, kept by differences
 for _name in ("a6_origin_counts", "a8_counts", "a10_levels", "o5_clusters_top"):
     SQL[f"{_name}_kept"] = SQL[_name]
+
+SQL["st6_upgrades_keyed"] = SQL["st6_upgrades"]

@@ -14,6 +14,7 @@ from coderill.plans import corpus, oracle
 from coderill.sources import views
 from coderill.sources.shared import shared_folder
 from coderill.sources.store import Store as FolderStore
+from coderill.streaming import proxies
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -508,6 +509,25 @@ def st6_upgrades(spark, sf_dir):
     return ingest.changes(_resolved(spark, sf_dir), before)
 
 
+@query
+def st6_upgrades_keyed(spark, sf_dir):
+    """The same upgrades from keyed state of a stream: reads come in no order of block, and a second run from the checkpoint polls the head."""
+    store = store_of(spark, sf_dir)
+    before = store.stored.filter("implementation IS NOT NULL").select("address", "implementation")
+    folder, out, checkpoint = (shared_folder(spark, name) for name in ("reads", "changes", "state"))
+    reads = _resolved(spark, sf_dir).select("address", "block", "implementation")
+    head = reads.agg(F.max("block")).first()[0] or 0
+    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    reads.withColumn("seen", F.lit(head).cast("long")).repartition(files, "address", "block").write.parquet(folder)
+    poll = spark.createDataFrame([(None, None, None, head + 100)], proxies.READS)
+    for rows in (None, poll):
+        if rows is not None:
+            rows.write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(proxies.READS).option("maxFilesPerTrigger", max(1, files // 2)).parquet(folder)
+        proxies.follow_proxies(stream, out, checkpoint, before).awaitTermination()
+    return spark.read.parquet(out).filter("kind = 'UPGRADE'").drop("kind")
+
+
 @query
 def st8_implementation_alerts(spark, sf_dir):
     store = store_of(spark, sf_dir)

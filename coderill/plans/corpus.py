@@ -73,6 +73,29 @@ touched AS (
   UNION ALL SELECT CAST(o_custkey % 40 AS BIGINT), upper({address('customer', 'o_custkey')}), FALSE FROM orders
   UNION ALL SELECT CAST(l_orderkey % 40 AS BIGINT), {address('part', 'l_partkey')}, FALSE FROM lineitem)"""
 
+_ORIGIN_COUNTS = """'{"created":' || k || ',"seen":2,"impl":0,"fetched":0,"unknown":1}'"""
+
+#: JSON answers of the serving views as a client reads them, most of them with a fault: (p_partkey, what, answer).
+ANSWERS = f"""
+answers AS (
+  SELECT p_partkey, what, CASE p_partkey % 13
+      WHEN 0 THEN left(answer, length(answer) - 1) WHEN 1 THEN replace(answer, '"block":', '"blocks":') WHEN 2 THEN replace(answer, ':null', ':[]')
+      WHEN 3 THEN replace(answer, '"UPGRADE"', '"OTHER"') WHEN 4 THEN replace(answer, '"members":["', '"members":["x",1,"') WHEN 5 THEN replace(answer, '"now":', '"now":1,"then":')
+      WHEN 6 THEN replace(answer, '"seen":', '"seen":null,"gone":') WHEN 7 THEN replace(answer, '"n":', '"n":"1","m":') WHEN 8 THEN '[' || answer || ']'
+      WHEN 9 THEN replace(answer, '"score":0.', '"score":"",,') WHEN 10 THEN replace(answer, '"count":', '"count":true,"of":') ELSE answer END AS answer
+  FROM (
+    SELECT p_partkey, 'health' AS what, '{{"progress":' || CASE WHEN kind < 3 THEN 'null' ELSE CAST(block AS STRING) END || ',"progress_at":' || coalesce('"' || origin || '"', 'null')
+      || ',"seconds_since_progress":' || CASE WHEN kind < 5 THEN 'null' ELSE k || '.5' END || ',"now":"' || md5(k) || '"}}' AS answer FROM built
+    UNION ALL SELECT p_partkey, 'events', '{{"events":[{{"id":' || k || '1,"kind":"ALERT","block":' || CAST(block AS STRING) || ',"at":"","address":"' || address || '","seed_address":"' || md5(k)
+      || '","label":"l","origin":' || coalesce('"' || origin || '"', 'null') || ',"old_impl":null,"new_impl":null,"score":0.75}},{{"id":' || k || '0,"kind":"UPGRADE","block":' || CAST(block AS STRING)
+      || ',"at":"","address":"' || address || '","seed_address":null,"label":null,"origin":null,"old_impl":' || coalesce('"' || implementation || '"', 'null')
+      || ',"new_impl":"' || md5(k) || '","score":null}}],"last_id":' || k || '1}}' FROM built
+    UNION ALL SELECT p_partkey, 'summary', '{{"addresses":' || k || ',"codes":1,"seeds":0,"implementations_resolved":3,"origins":' || {_ORIGIN_COUNTS} || ',"alerts_by_seed":['
+      || CASE WHEN kind < 9 THEN '{{"label":"a","seed_address":"b","count":1}},{{"label":"c","seed_address":"d","count":2}}' ELSE '' END
+      || '],"recent":{{"blocks":100,"by_origin":' || {_ORIGIN_COUNTS} || '}}}}' FROM built
+    UNION ALL SELECT p_partkey, 'clusters', '{{"level":"exact","n":' || k || ',"clusters":[{{"level":"exact","key":"' || md5(k) || '","members":["' || address || '"]}},{{"level":"exact","key":"","members":[]}}]}}' FROM built
+  ) views)"""
+
 
 _built: dict[tuple[str, str], DataFrame] = {}
 

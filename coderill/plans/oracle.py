@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from coderill.functions.bytecode import BEACON_SLOT, CLONE, DELEGATION, IMPLEMENTATION_SLOT, TOKENS
 from coderill.operators.statistics import CLUSTER_EDGES, FEATURES, SELECTOR_EDGES, SIZE_EDGES
-from coderill.plans.corpus import CONTRACTS, RECEIPTS, SEEDS
+from coderill.plans.corpus import ANSWERS, BUILT, CONTRACTS, RECEIPTS, SEEDS
 
 _LEN = "CAST(length(hx) AS BIGINT)"
 _N = "CAST(coalesce(try_cast('0x' || right(hx, 4) AS BIGINT), 0) AS BIGINT)"
@@ -324,3 +324,42 @@ for _name in ("a6_origin_counts", "a8_counts", "a10_levels", "o5_clusters_top"):
     SQL[f"{_name}_kept"] = SQL[_name]
 
 SQL["st6_upgrades_keyed"] = SQL["st6_upgrades"]
+
+_NUMBERS, _TEXT = "'UBIGINT', 'BIGINT', 'HUGEINT', 'DOUBLE'", "'VARCHAR'"
+
+
+def _kinds(base: str, number: str = "", text: str = "", number_or_null: str = "", text_or_null: str = "") -> list[str]:
+    """Checks of members below a path that is an SQL expression."""
+    groups = ((number, _NUMBERS), (text, _TEXT), (number_or_null, f"{_NUMBERS}, 'NULL'"), (text_or_null, f"{_TEXT}, 'NULL'"))
+    return [f"CASE WHEN coalesce(json_type(j, {base} || '.{m}'), '') NOT IN ({kinds}) THEN {base} || '.{m}' END" for members, kinds in groups for m in members.split()]
+
+
+def _is(path: str, kind: str) -> str:
+    return f"CASE WHEN coalesce(json_type(j, {path}), '') <> '{kind}' THEN {path} END"
+
+
+def _items(path: str, var: str, checks: list[str]) -> str:
+    return f"(list_filter(list_transform(range(CAST(CASE WHEN json_type(j, {path}) = 'ARRAY' THEN json_array_length(j, {path}) ELSE 0 END AS BIGINT)), lambda {var}: coalesce({', '.join(checks)})), lambda f: f IS NOT NULL))[1]"
+
+
+_EVENT_AT, _SEED_AT, _CLUSTER_AT = "('$.events[' || i || ']')", "('$.alerts_by_seed[' || i || ']')", "('$.clusters[' || i || ']')"
+_COUNTED = "created seen impl fetched unknown"
+_FAULTS = {
+    "health": _kinds("'$'", number_or_null="progress") + _kinds("'$'", text_or_null="progress_at") + _kinds("'$'", number_or_null="seconds_since_progress") + _kinds("'$'", text="now"),
+    "events": [*_kinds("'$'", number="last_id"), _is("'$.events'", "ARRAY"), _items("'$.events'", "i", [
+        _is(_EVENT_AT, "OBJECT"), *_kinds(_EVENT_AT, number="id"),
+        f"CASE WHEN coalesce(json_extract_string(j, {_EVENT_AT} || '.kind'), '') NOT IN ('ALERT', 'UPGRADE') THEN {_EVENT_AT} || '.kind' END",
+        *_kinds(_EVENT_AT, number="block"), *_kinds(_EVENT_AT, text="at address"), *_kinds(_EVENT_AT, text_or_null="seed_address label origin old_impl new_impl"), *_kinds(_EVENT_AT, number_or_null="score")])],
+    "summary": [*_kinds("'$'", number="addresses codes seeds implementations_resolved"), _is("'$.origins'", "OBJECT"), *_kinds("'$.origins'", number=_COUNTED), _is("'$.alerts_by_seed'", "ARRAY"),
+        _items("'$.alerts_by_seed'", "i", [_is(_SEED_AT, "OBJECT"), *_kinds(_SEED_AT, text="label seed_address"), *_kinds(_SEED_AT, number="count")]),
+        _is("'$.recent'", "OBJECT"), *_kinds("'$.recent'", number="blocks"), _is("'$.recent.by_origin'", "OBJECT"), *_kinds("'$.recent.by_origin'", number=_COUNTED)],
+    "clusters": [*_kinds("'$'", text="level"), *_kinds("'$'", number="n"), _is("'$.clusters'", "ARRAY"), _items("'$.clusters'", "i", [
+        _is(_CLUSTER_AT, "OBJECT"), *_kinds(_CLUSTER_AT, text="level key"), _is(f"({_CLUSTER_AT} || '.members')", "ARRAY"),
+        _items(f"({_CLUSTER_AT} || '.members')", "m", [_is(f"({_CLUSTER_AT} || '.members[' || m || ']')", "VARCHAR")])])],
+}
+_FIGURES = {"health": "progress", "events": "last_id", "summary": "addresses", "clusters": "n"}
+SQL["c16_valid_answers"] = f"""
+WITH {BUILT},{ANSWERS},
+parsed AS (SELECT p_partkey, what, CASE WHEN json_valid(answer) THEN CAST(answer AS JSON) END AS j FROM answers),
+judged AS (SELECT *, CASE WHEN j IS NULL OR json_type(j) <> 'OBJECT' THEN '$' {' '.join(f"WHEN what = '{w}' THEN coalesce({', '.join(c)})" for w, c in _FAULTS.items())} END AS fault FROM parsed)
+SELECT p_partkey, what, fault, CASE WHEN fault IS NULL THEN CASE what {' '.join(f"WHEN '{w}' THEN CAST(json_extract_string(j, '$.{m}') AS DOUBLE)" for w, m in _FIGURES.items())} END END AS figure FROM judged"""

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from coderill.functions import bytecode as B
-from coderill.functions import formats
+from coderill.functions import answers, formats
 from coderill.operators import calibration, clusters, codes, ingest, similarity, statistics
 from coderill.plans import corpus, oracle
 from coderill.sources import views
@@ -537,6 +538,18 @@ def st8_implementation_alerts(spark, sf_dir):
     return matched.join(behind, "code_id").select("block", "address", "seed_address", "label", "score", F.coalesce("origin", F.lit("unknown")).alias("origin"))
 
 
+@query
+def c16_valid_answers(spark, sf_dir):
+    """JSON answers by view: the path of the first fault, or a figure of the typed answer."""
+    rows = corpus.over_built(spark, sf_dir, corpus.ANSWERS)
+    figures = {"health": "progress", "events": "last_id", "summary": "addresses", "clusters": "n"}
+    parts = []
+    for what, member in figures.items():
+        part = rows.filter(F.col("what") == what).withColumn("c", answers.checked(F.col("answer"), answers.SHAPES[what]))
+        parts.append(part.select("p_partkey", "what", "c.fault", F.col(f"c.value.{member}").alias("figure")))
+    return functools.reduce(DataFrame.union, parts)
+
+
 @query
 def st9_capped_by_budget(spark, sf_dir):
     return ingest.capped(ingest.first_seen(_unknown(spark, sf_dir)), 50, 400)

@@ -33,6 +33,8 @@ FUNCTIONS: dict[str, str] = {
     "evm_selfdestruct(tok ARRAY<STRING>) RETURNS BOOLEAN": "array_contains(evm_opcodes(tok), 'ff')",
     "evm_mutable_delegatecall(hx STRING, tok ARRAY<STRING>) RETURNS BOOLEAN": """
         array_contains(evm_opcodes(tok), 'f4') AND array_contains(evm_opcodes(tok), '54') AND coalesce(evm_proxy_kind(hx) <> 'eip1167', TRUE) AND NOT evm_std_proxy(tok)""",
+    "evm_flags(selfdestruct BOOLEAN, mutable_delegatecall BOOLEAN) RETURNS STRING": """
+        CASE WHEN selfdestruct AND mutable_delegatecall THEN 'selfdestruct,mutable_delegatecall' WHEN selfdestruct THEN 'selfdestruct' WHEN mutable_delegatecall THEN 'mutable_delegatecall' ELSE '-' END""",
     "evm_shingles(tok ARRAY<STRING>, n INT) RETURNS ARRAY<STRING>": """
         CASE WHEN size(tok) >= n THEN array_distinct(transform(sequence(1, size(tok) - n + 1), i -> array_join(slice(transform(tok, t -> left(t, 2)), i, n), '')))
         ELSE cast(array() AS ARRAY<STRING>) END""",

@@ -325,6 +325,10 @@ for _name in ("a6_origin_counts", "a8_counts", "a10_levels", "o5_clusters_top"):
 
 SQL["st6_upgrades_keyed"] = SQL["st6_upgrades"]
 
+# the same rows by SQL functions of the session
+for _name in ("k8_fingerprint", "s1_score_pairs"):
+    SQL[f"{_name}_sql"] = SQL[_name]
+
 _NUMBERS, _TEXT = "'UBIGINT', 'BIGINT', 'HUGEINT', 'DOUBLE'", "'VARCHAR'"
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from coderill.functions import bytecode as B
 from coderill.functions import answers, formats
+from coderill.functions import sql as sql_functions
 from coderill.operators import calibration, clusters, codes, ingest, similarity, statistics
 from coderill.plans import corpus, oracle
 from coderill.sources import views
@@ -166,6 +167,51 @@ def s1_score_pairs(spark, sf_dir):
     return similarity.score_pairs(store.codes, store.codes, 0.75)
 
 
+#: As a user of the SQL functions writes them.
+FINGERPRINTS = "SELECT f.* FROM (SELECT evm_fingerprint(hx) AS f FROM distinct_codes)"
+#: Two sets reach three quarters only if they share one of their rarest selectors.
+SCORES = """
+WITH plain AS (SELECT code_id, sha2(array_join(selectors, ','), 256) AS set_key, selectors FROM fingerprints WHERE proxy_kind IS NULL AND NOT std_proxy AND size(selectors) > 0),
+sets AS (SELECT set_key, any_value(selectors) AS selectors FROM plain GROUP BY set_key),
+postings AS (SELECT set_key, size(selectors) AS size, explode(selectors) AS selector FROM sets),
+counts AS (SELECT selector, count(*) AS n FROM postings GROUP BY selector),
+ranked AS (SELECT set_key, size, selector, row_number() OVER (PARTITION BY set_key ORDER BY n, selector) AS k FROM postings JOIN counts USING (selector)),
+prefixes AS (SELECT * FROM ranked WHERE k <= size - ceil(0.75D * size - 1e-9) + 1),
+near AS (
+  SELECT DISTINCT x.set_key AS a_key, y.set_key AS b_key FROM prefixes x JOIN prefixes y ON y.selector = x.selector AND least(x.size, y.size) >= 0.75D * greatest(x.size, y.size) - 1e-9),
+scored AS (
+  SELECT a_key, b_key, evm_jaccard(x.selectors, y.selectors) AS score FROM near JOIN sets x ON x.set_key = a_key JOIN sets y ON y.set_key = b_key)
+SELECT x.code_id AS a, y.code_id AS b, score FROM scored JOIN plain x ON x.set_key = a_key JOIN plain y ON y.set_key = b_key WHERE score >= 0.75D
+UNION ALL
+SELECT x.code_id, y.code_id, evm_score(struct(x.*), struct(y.*)) FROM fingerprints x JOIN fingerprints y ON y.proxy_kind = x.proxy_kind AND y.proxy_target = x.proxy_target"""
+
+_fingerprints: dict[tuple[str, str], DataFrame] = {}
+
+
+def _as_text(spark, sf_dir, text):
+    """The rows of an SQL text over ``fingerprints``, which an SQL function makes and a table keeps, once for a session and a folder."""
+    sql_functions.register(spark)
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _fingerprints:
+        _fingerprints.clear()
+        corpus.contracts(spark, sf_dir).select("hx").filter("hx <> ''").distinct().createOrReplaceTempView("distinct_codes")
+        path = shared_folder(spark, "fingerprints")
+        spark.sql(FINGERPRINTS).write.parquet(path)  # so that no filter is pushed into the function
+        _fingerprints[key] = spark.read.parquet(path)
+    _fingerprints[key].createOrReplaceTempView("fingerprints")
+    return spark.sql(text)
+
+
+@query
+def k8_fingerprint_sql(spark, sf_dir):
+    return _as_text(spark, sf_dir, "SELECT code_id, size, skeleton_hash, array_join(selectors, ',') AS selectors, proxy_kind, proxy_target, std_proxy FROM fingerprints")
+
+
+@query
+def s1_score_pairs_sql(spark, sf_dir):
+    return _as_text(spark, sf_dir, SCORES)
+
+
 @query
 def s2_code_similarity(spark, sf_dir):
     store = store_of(spark, sf_dir)

@@ -62,6 +62,12 @@ def test_checks(spark, codes):
     assert all(r[0] == r[1] and r[2] == r[3] and r[4] == r[5] for r in rows)
 
 
+def test_flags(spark, codes):
+    pairs = spark.createDataFrame([(a, b) for a in (True, False) for b in (True, False)], "a boolean, b boolean")
+    rows = pairs.select(B.flags(F.col("a"), F.col("b")), F.expr("evm_flags(a, b)")).collect()
+    assert len({r[0] for r in rows}) == 4 and all(r[0] == r[1] for r in rows)
+
+
 def test_nothing_runs_in_python(spark, codes):
     plan = spark.sql("SELECT evm_fingerprint(hx) AS f FROM sample_codes")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "evm_" not in plan

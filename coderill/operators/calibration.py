@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coderill.functions.similarity import CODE_MIN
-from coderill.operators.similarity import Index, score_pairs, with_code_similarity
+from coderill.operators.similarity import Index, class_pairs
 
 GRID = (0.5, 0.6, 0.7, 0.75, 0.8, 0.9, 1.0)
 _ADDRESS = re.compile(r"0x[0-9a-fA-F]{40}")
@@ -78,27 +78,31 @@ def evaluate(pairs: DataFrame, strict: DataFrame, stored: DataFrame, codes: Data
     held = labelled.join(stored.filter("code_id IS NOT NULL").select("address", "code_id"), "address")
     is_strict = strict.distinct().withColumn("strict", F.lit(True))
     seeds = held.join(is_strict, "address", "left").select("address", "code_id", F.coalesce("strict", F.lit(False)).alias("strict"))
+    index = index or Index(codes)
+    keys = ["set_key", "runs_key"]
+    seeds = seeds.join(index.keyed, "code_id", "left").withColumnsRenamed({"set_key": "a_key", "runs_key": "a_runs_key"})
     used = codes.join(held.select("code_id"), "code_id", "left_semi")
-    least = min(grid)
-    scores = score_pairs(used, codes, least, index or Index(codes)).select("a", "b", "score").persist()
+    own = seeds.filter("a_key IS NOT NULL").select("a_key", "a_runs_key", "strict").distinct()
+    wanted = own.select(F.col("a_key").alias("set_key"), F.col("a_runs_key").alias("runs_key"), F.lit(True).alias("strict")).distinct()
+    scores = class_pairs(wanted, used, min(grid), index).drop("strict").persist()  # of classes: codes follow by counts
     directed = pairs.select("k", "kind", F.col("a").alias("seed"), F.col("b").alias("other")).union(pairs.select("k", "kind", "b", "a"))
+    others = held.join(index.keyed, "code_id", "left").select(F.col("address").alias("other"), F.col("set_key").alias("b_key"), F.col("runs_key").alias("b_runs_key"))
     checks = (
-        directed.join(seeds.select(F.col("address").alias("seed"), F.col("code_id").alias("a"), "strict"), "seed")
-        .join(held.select(F.col("address").alias("other"), F.col("code_id").alias("b")), "other")
-        .join(scores, ["a", "b"], "left")
+        directed.join(seeds.select(F.col("address").alias("seed"), "a_key", "a_runs_key", "strict"), "seed")
+        .join(others, "other")
+        .join(scores, ["a_key", "a_runs_key", "b_key", "b_runs_key"], "left")
     )
-    # opcode runs are fetched for strict seeds only
-    scored = with_code_similarity(checks, codes, "strict AND score IS NOT NULL").select("kind", F.when(_passes(code_min), F.col("score")).alias("score"))
+    scored = checks.select("kind", F.when(_passes(code_min), F.col("score")).alias("score"), F.lit(1).alias("n"))
     positive, negative = F.col("kind") == "positives", F.col("kind") == "negatives"
     reached = lambda column, t: F.coalesce(F.col(column) >= t, F.lit(False))
     by_check = _over_grid(scored, grid, hits=lambda t: positive & reached("score", t), negatives=lambda t: negative & reached("score", t), positives=lambda t: positive)
-    # of each benign code, the greatest score of a seed that it passes, and of one that is not strict and has unlike runs
-    own = seeds.select(F.col("code_id").alias("a"), "strict").distinct()
+    # of each class, the greatest score of a seed that it passes, and of one that is not strict and has unlike runs; and its benign codes
     benign = stored.filter("code_id IS NOT NULL").select("code_id").distinct().join(held.select("code_id"), "code_id", "left_anti").persist()
-    hits = with_code_similarity(scores.join(benign, scores["b"] == benign["code_id"], "left_semi"), codes).join(own, "a")
     unlike = F.when(~F.col("strict") & (F.col("code_score") < code_min), F.col("score"))
-    greatest = hits.groupBy("b").agg(F.max(F.when(_passes(code_min), F.col("score"))).alias("score"), F.max(unlike).alias("unlike"))
-    by_benign = _over_grid(greatest, grid, benign=lambda t: reached("score", t), interface_only=lambda t: reached("unlike", t))
+    hits = scores.join(own, ["a_key", "a_runs_key"]).select(F.col("b_key").alias("set_key"), F.col("b_runs_key").alias("runs_key"), "strict", "score", "code_score")
+    greatest = hits.groupBy(keys).agg(F.max(F.when(_passes(code_min), F.col("score"))).alias("score"), F.max(unlike).alias("unlike"))
+    counted = benign.join(index.keyed, "code_id").groupBy(keys).agg(F.count(F.lit(1)).alias("n"))
+    by_benign = _over_grid(greatest.join(counted, keys), grid, benign=lambda t: reached("score", t), interface_only=lambda t: reached("unlike", t))
     total = benign.agg(F.count(F.lit(1)).alias("benign_total"))
     zero = lambda c: F.coalesce(c, F.lit(0))
     out = by_check.join(by_benign, ["position", "threshold"]).crossJoin(total)  # a row for each threshold, and one
@@ -111,8 +115,8 @@ def _passes(code_min: float) -> Column:
 
 
 def _over_grid(rows: DataFrame, grid: list[float], **tests: Callable[[float], Column]) -> DataFrame:
-    """(position, threshold, counts): how many rows pass each test at each threshold, in one pass over them."""
-    wide = rows.agg(*(F.count_if(test(t)).alias(f"{name}{k}") for name, test in tests.items() for k, t in enumerate(grid)))
+    """(position, threshold, counts): how many rows, each for ``n``, pass each test at each threshold, in one pass over them."""
+    wide = rows.agg(*(F.coalesce(F.sum(F.when(test(t), F.col("n"))), F.lit(0)).alias(f"{name}{k}") for name, test in tests.items() for k, t in enumerate(grid)))
     cells = [F.struct(F.lit(k).alias("position"), F.lit(float(t)).alias("threshold"), *(F.col(f"{name}{k}").alias(name) for name in tests)) for k, t in enumerate(grid)]
     return wide.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
 

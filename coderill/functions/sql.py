@@ -13,6 +13,13 @@ from coderill.functions.bytecode import BEACON_SLOT, CLONE, DELEGATION, IMPLEMEN
 FINGERPRINT = "STRUCT<code_id STRING, size BIGINT, skeleton_hash STRING, selectors ARRAY<STRING>, proxy_kind STRING, proxy_target STRING, std_proxy BOOLEAN>"
 _TRAILER_AT = "length(hx) - 4 - 2 * coalesce(cast(conv(right(hx, 4), 16, 10) AS INT), 0)"
 
+_SELECTORS = """
+        array_sort(array_distinct(transform(
+          filter(tok, (t, i) -> t RLIKE '^63.{8}$' AND (coalesce(left(get(tok, i + 1), 2) = '14', FALSE) OR coalesce(left(get(tok, i + 2), 2) = '14', FALSE))),
+          t -> concat('0x', substr(t, 3)))))"""
+_STD_PROXY = f"arrays_overlap(tok, array('7f{IMPLEMENTATION_SLOT}', '7f{BEACON_SLOT}'))"
+_SKELETON = "array_join(transform(tok, t -> CASE WHEN left(t, 2) IN ('73', '7f') THEN rpad(left(t, 2), length(t), '0') ELSE t END), '')"
+
 #: Signature and body; later ones call earlier ones.
 FUNCTIONS: dict[str, str] = {
     "evm_is_code(answer STRING) RETURNS BOOLEAN": "answer RLIKE '^0x([0-9a-fA-F]{2})*$'",
@@ -22,14 +29,11 @@ FUNCTIONS: dict[str, str] = {
     "evm_trailer(hx STRING) RETURNS STRING": "substr(hx, length(evm_body(hx)) + 1)",
     "evm_tokens(hx STRING) RETURNS ARRAY<STRING>": f"regexp_extract_all(hx, '{TOKENS}', 0)",
     "evm_opcodes(tok ARRAY<STRING>) RETURNS ARRAY<STRING>": "transform(tok, t -> left(t, 2))",
-    "evm_selectors(tok ARRAY<STRING>) RETURNS ARRAY<STRING>": """
-        array_sort(array_distinct(transform(
-          filter(tok, (t, i) -> t RLIKE '^63.{8}$' AND (coalesce(left(get(tok, i + 1), 2) = '14', FALSE) OR coalesce(left(get(tok, i + 2), 2) = '14', FALSE))),
-          t -> concat('0x', substr(t, 3)))))""",
+    "evm_selectors(tok ARRAY<STRING>) RETURNS ARRAY<STRING>": _SELECTORS,
     "evm_proxy_kind(hx STRING) RETURNS STRING": f"CASE WHEN hx RLIKE '{CLONE}' THEN 'eip1167' WHEN hx RLIKE '{DELEGATION}' THEN 'eip7702' END",
     "evm_proxy_target(hx STRING) RETURNS STRING": f"concat('0x', CASE WHEN hx RLIKE '{CLONE}' THEN regexp_extract(hx, '{CLONE}', 1) WHEN hx RLIKE '{DELEGATION}' THEN regexp_extract(hx, '{DELEGATION}', 1) END)",
-    "evm_std_proxy(tok ARRAY<STRING>) RETURNS BOOLEAN": f"arrays_overlap(tok, array('7f{IMPLEMENTATION_SLOT}', '7f{BEACON_SLOT}'))",
-    "evm_skeleton(tok ARRAY<STRING>) RETURNS STRING": "array_join(transform(tok, t -> CASE WHEN left(t, 2) IN ('73', '7f') THEN rpad(left(t, 2), length(t), '0') ELSE t END), '')",
+    "evm_std_proxy(tok ARRAY<STRING>) RETURNS BOOLEAN": _STD_PROXY,
+    "evm_skeleton(tok ARRAY<STRING>) RETURNS STRING": _SKELETON,
     "evm_selfdestruct(tok ARRAY<STRING>) RETURNS BOOLEAN": "array_contains(evm_opcodes(tok), 'ff')",
     "evm_mutable_delegatecall(hx STRING, tok ARRAY<STRING>) RETURNS BOOLEAN": """
         array_contains(evm_opcodes(tok), 'f4') AND array_contains(evm_opcodes(tok), '54') AND coalesce(evm_proxy_kind(hx) <> 'eip1167', TRUE) AND NOT evm_std_proxy(tok)""",
@@ -38,10 +42,11 @@ FUNCTIONS: dict[str, str] = {
     "evm_shingles(tok ARRAY<STRING>, n INT) RETURNS ARRAY<STRING>": """
         CASE WHEN size(tok) >= n THEN array_distinct(transform(sequence(1, size(tok) - n + 1), i -> array_join(slice(transform(tok, t -> left(t, 2)), i, n), '')))
         ELSE cast(array() AS ARRAY<STRING>) END""",
-    f"evm_fingerprint_of(hx STRING, tok ARRAY<STRING>) RETURNS {FINGERPRINT}": """
-        named_struct('code_id', sha2(unhex(hx), 256), 'size', cast(length(hx) / 2 AS BIGINT), 'skeleton_hash', sha2(unhex(evm_skeleton(tok)), 256), 'selectors', evm_selectors(tok),
-          'proxy_kind', evm_proxy_kind(hx), 'proxy_target', evm_proxy_target(hx), 'std_proxy', evm_std_proxy(tok))""",
-    f"evm_fingerprint(hx STRING) RETURNS {FINGERPRINT}": "evm_fingerprint_of(hx, evm_tokens(evm_body(hx)))",
+    # the instructions are the element of an array of one, so that they are made once; functions can't be called there
+    f"evm_fingerprint(hx STRING) RETURNS {FINGERPRINT}": f"""
+        transform(array(named_struct('tok', evm_tokens(evm_body(hx)), 'kind', evm_proxy_kind(hx), 'target', evm_proxy_target(hx))), x -> named_struct(
+          'code_id', sha2(unhex(hx), 256), 'size', cast(length(hx) / 2 AS BIGINT), 'skeleton_hash', sha2(unhex({_SKELETON.replace('tok', 'x.tok')}), 256),
+          'selectors', {_SELECTORS.replace('tok', 'x.tok')}, 'proxy_kind', x.kind, 'proxy_target', x.target, 'std_proxy', {_STD_PROXY.replace('tok', 'x.tok')}))[0]""",
     "evm_jaccard(x ARRAY<STRING>, y ARRAY<STRING>) RETURNS DOUBLE": "coalesce(try_divide(cast(size(array_intersect(x, y)) AS DOUBLE), size(array_union(x, y))), 0D)",
     f"evm_score(x {FINGERPRINT}, y {FINGERPRINT}) RETURNS DOUBLE": """
         CASE WHEN x.proxy_kind IS NOT NULL OR y.proxy_kind IS NOT NULL THEN CASE WHEN x.proxy_kind = y.proxy_kind AND x.proxy_target = y.proxy_target THEN 1D ELSE 0D END

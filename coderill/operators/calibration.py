@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coderill.functions.similarity import CODE_MIN
-from coderill.operators.similarity import Index, class_pairs
+from coderill.operators.similarity import FIELDS, Index, class_pairs
 
 GRID = (0.5, 0.6, 0.7, 0.75, 0.8, 0.9, 1.0)
 _ADDRESS = re.compile(r"0x[0-9a-fA-F]{40}")
@@ -68,25 +68,26 @@ def label_frames(spark: SparkSession, labels: dict[str, list]) -> tuple[DataFram
     return spark.createDataFrame(pairs, "k long, kind string, a string, b string"), spark.createDataFrame([(x,) for x in labels["strict"]], "address string")
 
 
-def evaluate(pairs: DataFrame, strict: DataFrame, stored: DataFrame, codes: DataFrame, grid: list[float] = list(GRID), code_min: float = CODE_MIN, index: Index | None = None) -> DataFrame:
+def evaluate(pairs: DataFrame, strict: DataFrame, stored: DataFrame, codes: DataFrame, grid: list[float] = list(GRID), code_min: float = CODE_MIN, index: Index | None = None, keep: Callable[[DataFrame, str], DataFrame] = lambda frame, name: frame.persist()) -> DataFrame:
     """(position, threshold, recall, negatives, benign, interface_only, benign_total).
 
     Each labelled pair is checked both ways, each address in turn as the seed. Benign are codes of no
     labelled address; interface_only are those hit by a seed that is not strict, with unlike opcode runs.
+    ``keep`` is given what is read more than once, and its name.
     """
     labelled = pairs.select(F.col("a").alias("address")).union(pairs.select("b")).distinct()
-    held = labelled.join(stored.filter("code_id IS NOT NULL").select("address", "code_id"), "address")
+    held = keep(labelled.join(stored.filter("code_id IS NOT NULL").select("address", "code_id"), "address"), "held")
     is_strict = strict.distinct().withColumn("strict", F.lit(True))
     seeds = held.join(is_strict, "address", "left").select("address", "code_id", F.coalesce("strict", F.lit(False)).alias("strict"))
     index = index or Index(codes)
     keys = ["set_key", "runs_key"]
-    seeds = seeds.join(index.keyed, "code_id", "left").withColumnsRenamed({"set_key": "a_key", "runs_key": "a_runs_key"})
-    used = codes.join(held.select("code_id"), "code_id", "left_semi")
+    seeds = keep(seeds.join(index.keyed, "code_id", "left").withColumnsRenamed({"set_key": "a_key", "runs_key": "a_runs_key"}), "labelled")
+    used = keep(codes.join(held.select("code_id"), "code_id", "left_semi").select(*FIELDS, "runs"), "used")
     own = seeds.filter("a_key IS NOT NULL").select("a_key", "a_runs_key", "strict").distinct()
     wanted = own.select(F.col("a_key").alias("set_key"), F.col("a_runs_key").alias("runs_key"), F.lit(True).alias("strict")).distinct()
-    scores = class_pairs(wanted, used, min(grid), index).drop("strict").persist()  # of classes: codes follow by counts
+    scores = keep(class_pairs(wanted, used, min(grid), index).drop("strict"), "scores")  # of classes: codes follow by counts
     directed = pairs.select("k", "kind", F.col("a").alias("seed"), F.col("b").alias("other")).union(pairs.select("k", "kind", "b", "a"))
-    others = held.join(index.keyed, "code_id", "left").select(F.col("address").alias("other"), F.col("set_key").alias("b_key"), F.col("runs_key").alias("b_runs_key"))
+    others = seeds.select(F.col("address").alias("other"), F.col("a_key").alias("b_key"), F.col("a_runs_key").alias("b_runs_key"))
     checks = (
         directed.join(seeds.select(F.col("address").alias("seed"), "a_key", "a_runs_key", "strict"), "seed")
         .join(others, "other")
@@ -97,13 +98,13 @@ def evaluate(pairs: DataFrame, strict: DataFrame, stored: DataFrame, codes: Data
     reached = lambda column, t: F.coalesce(F.col(column) >= t, F.lit(False))
     by_check = _over_grid(scored, grid, hits=lambda t: positive & reached("score", t), negatives=lambda t: negative & reached("score", t), positives=lambda t: positive)
     # of each class, the greatest score of a seed that it passes, and of one that is not strict and has unlike runs; and its benign codes
-    benign = stored.filter("code_id IS NOT NULL").select("code_id").distinct().join(held.select("code_id"), "code_id", "left_anti").persist()
+    benign = stored.filter("code_id IS NOT NULL").select("code_id").distinct().join(held.select("code_id"), "code_id", "left_anti")
     unlike = F.when(~F.col("strict") & (F.col("code_score") < code_min), F.col("score"))
     hits = scores.join(own, ["a_key", "a_runs_key"]).select(F.col("b_key").alias("set_key"), F.col("b_runs_key").alias("runs_key"), "strict", "score", "code_score")
     greatest = hits.groupBy(keys).agg(F.max(F.when(_passes(code_min), F.col("score"))).alias("score"), F.max(unlike).alias("unlike"))
-    counted = benign.join(index.keyed, "code_id").groupBy(keys).agg(F.count(F.lit(1)).alias("n"))
+    counted = keep(benign.join(index.keyed, "code_id", "left").groupBy(keys).agg(F.count(F.lit(1)).alias("n")), "benign")
     by_benign = _over_grid(greatest.join(counted, keys), grid, benign=lambda t: reached("score", t), interface_only=lambda t: reached("unlike", t))
-    total = benign.agg(F.count(F.lit(1)).alias("benign_total"))
+    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("benign_total"))
     zero = lambda c: F.coalesce(c, F.lit(0))
     out = by_check.join(by_benign, ["position", "threshold"]).crossJoin(total)  # a row for each threshold, and one
     recall = F.coalesce(F.try_divide(F.col("hits").cast("double"), F.col("positives")), F.lit(0.0))

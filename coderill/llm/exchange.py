@@ -52,6 +52,12 @@ def _unpack_keys(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
+def cuts(keys: np.ndarray, buckets: int) -> list[int]:
+    """Where buckets by leading bits begin and end in rising keys; ``buckets`` is a power of two."""
+    edges = np.searchsorted(keys, np.arange(1, buckets, dtype=np.uint64) << np.uint64(64 - (buckets.bit_length() - 1))) if buckets > 1 else []
+    return [0, *map(int, edges), len(keys)]
+
+
 REQUEST = "bucket int, chunk int, keys binary, counts binary"
 ANSWER = "chunk int, bucket int, counts binary, n_keys long, n_counted long"
 
@@ -61,9 +67,8 @@ def requests(chunk: int, keys: np.ndarray, counts: np.ndarray, buckets: int, bas
 
     Keys of another kind use buckets from another ``base`` on.
     """
-    edges = np.searchsorted(keys, np.arange(1, buckets, dtype=np.uint64) << np.uint64(64 - (buckets.bit_length() - 1))) if buckets > 1 else []
-    cuts = [0, *map(int, edges), len(keys)]
-    spans = [(b, lo, hi) for b, (lo, hi) in enumerate(zip(cuts, cuts[1:])) if hi > lo]
+    at = cuts(keys, buckets)
+    spans = [(b, lo, hi) for b, (lo, hi) in enumerate(zip(at, at[1:])) if hi > lo]
     return pa.table(
         {
             "bucket": pa.array([base + b for b, _, _ in spans], pa.int32()),
@@ -103,13 +108,12 @@ def totals(asked: DataFrame) -> DataFrame:
 
 def answered(table: pa.Table, keys: np.ndarray, buckets: int, base: int = 0) -> np.ndarray:
     """Totals in the order of the chunk's ``keys``, from its rows of ANSWER."""
-    edges = np.searchsorted(keys, np.arange(1, buckets, dtype=np.uint64) << np.uint64(64 - (buckets.bit_length() - 1))) if buckets > 1 else []
-    cuts = [0, *map(int, edges), len(keys)]
+    at = cuts(keys, buckets)
     out = np.zeros(len(keys), dtype=np.int64)
     for b, data in zip(table["bucket"].to_pylist(), table["counts"].to_pylist()):
         b -= base
         if 0 <= b < buckets:
-            out[cuts[b] : cuts[b + 1]] = unpack_counts(data, cuts[b + 1] - cuts[b])
+            out[at[b] : at[b + 1]] = unpack_counts(data, at[b + 1] - at[b])
     return out
 
 

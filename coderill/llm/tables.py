@@ -40,6 +40,13 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` once as Parquet below the checkpoint folder, compressed, and read it again."""
+    path = stage_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def shards(df: DataFrame, text: str, per_shard: int = 16 << 20, least: int = 8, per_row: int = 4096) -> int:
     """A power of two that grows with the bytes of ``text``: about ``per_shard`` bytes each, or what leaves ``per_row``
     bytes for each two shards, whichever is more."""

@@ -40,15 +40,15 @@ def unpack_counts(data: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(np.uint32 if len(planes) == 4 else np.uint64).ravel().astype(np.int64)
 
 
-def _pack_keys(keys: np.ndarray) -> bytes:
-    """Distinct keys in rising order; the upper bytes of their differences are zero, and compressed."""
+def _pack_keys(keys: np.ndarray, codec: str = "lz4") -> bytes:
+    """Keys in rising order; the upper bytes of their differences are zero, and compressed."""
     planes = np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(len(keys), 8).T.tobytes()
-    return len(keys).to_bytes(8, "little") + pa.compress(planes, codec="lz4", asbytes=True)
+    return len(keys).to_bytes(8, "little") + pa.compress(planes, codec=codec, asbytes=True)
 
 
-def _unpack_keys(data: bytes) -> np.ndarray:
+def _unpack_keys(data: bytes, codec: str = "lz4") -> np.ndarray:
     n = int.from_bytes(data[:8], "little")
-    planes = np.frombuffer(pa.decompress(data[8:], 8 * n, codec="lz4", asbytes=True), dtype=np.uint8).reshape(8, n)
+    planes = np.frombuffer(pa.decompress(data[8:], 8 * n, codec=codec, asbytes=True), dtype=np.uint8).reshape(8, n)
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
 
 

@@ -1,12 +1,14 @@
 """The Kneser-Ney model against a plain implementation, learned bounds, and odd inputs."""
 
 import math
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from coderill.llm import bigram_table
 from coderill.llm import quality_lm as Q
 
 
@@ -153,3 +155,30 @@ def test_all_trusted_texts_train_and_a_large_model_stays_a_table(spark):
     part = {r[0] for r in frame.filter("doc_id < 3600").select("doc_id").distinct().filter(F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(5)) > 0).collect()}
     grams = {g for k, t, _ in rows if k in part for s in [["", "", *t.split(), "."]] for g in zip(s[1:], s[2:])}
     assert len(part) > 2800 and len(whole.model.grams[1][0]) == len(grams)
+
+
+def test_bigrams_that_ask_their_buckets_score_as_a_broadcast_model(spark):
+    """op4 and the pipeline took too much disk and memory: now no text is shuffled, whatever share of bigrams goes to all tasks."""
+    rng = np.random.default_rng(5)
+    common = [f"{a}{b}{c}" for a in "bdk" for b in "aeiou" for c in "nr"]
+    rows = [(k, " ".join(rng.choice(common, p=np.arange(1, 31) / 465, size=rng.integers(1, 30))), ("en", "de", None)[k % 3]) for k in range(3600)]
+    odd = [(9000, None, "en"), (9001, "", None), (None, rows[0][1], "en"), (9002, "zzz QQQ! 12 " * 20, "de"), (9003, "ban " * 3000, "xx"), rows[7]]
+    frame = frame_of(spark, rows + odd)
+    labels = spark.createDataFrame([(k, 1, 0) for k, *_ in rows], "doc_id long, quality int, toxic int")
+    whole = Q.fit(frame, labels)
+    for frequent in (0, 50, 1_000_000):
+        table = Q.fit(frame, labels, broadcast_grams=0, frequent=frequent)
+        assert isinstance(table.model, bigram_table.Bigrams) and (len(table.model.known.frequent) > 0) == (frequent > 0)
+        assert len(table.model.known.frequent) <= frequent
+        same_verdicts(frame, whole, table)
+    plan = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    shuffled = re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]", Q.judge(frame, table)._jdf.queryExecution().explainString(plan))
+    assert shuffled and {c.split("#")[0] for x in shuffled for c in x.split(", ")} <= {"bucket", "chunk", "head", "a", "b", "keys", "counts", "n"}
+
+
+def test_trusted_ids_of_several_rows_are_one_text(spark):
+    rows = [(1, "b", "en"), (1, "a", "de"), (1, None, "en"), (2, "c", None), (3, "d", "en"), (4, None, "en"), (5, "e", "en"), (5, "e", "en")]
+    docs = spark.createDataFrame(rows, "__id long, text string, lang string")
+    ids = spark.createDataFrame([(k,) for k in (1, 2, 4, 5, 6)], "__label long")
+    got = sorted(((r["__id"], r.text, r.lang) for r in Q._trusted(docs, ids).collect()), key=repr)
+    assert got == [(1, "a", "de"), (2, "c", None), (5, "e", "en")]

@@ -182,3 +182,18 @@ def test_trusted_ids_of_several_rows_are_one_text(spark):
     ids = spark.createDataFrame([(k,) for k in (1, 2, 4, 5, 6)], "__label long")
     got = sorted(((r["__id"], r.text, r.lang) for r in Q._trusted(docs, ids).collect()), key=repr)
     assert got == [(1, "a", "de"), (2, "c", None), (5, "e", "en")]
+
+
+def test_the_pipeline_stage_shuffles_no_text(spark):
+    """The stage that keeps documents took too much memory: with a model in a table it drops texts by their hashes, and copies and nulls stay as they are."""
+    rng = np.random.default_rng(6)
+    common = [f"{a}{b}{c}" for a in "bdk" for b in "aeiou" for c in "nr"]
+    good = [(k, " ".join(rng.choice(common, size=rng.integers(5, 30))), ("en", None)[k % 2]) for k in range(600)]
+    bad = " ".join(["QQQ!!12"] * 40)
+    frame = frame_of(spark, good + [(1000, bad, "en"), (1000, bad, "en"), (1001, bad, None), (None, None, None), (None, "", "en"), good[3], good[3]])
+    table = Q.fit(frame, spark.createDataFrame([(k, 1, 0) for k, *_ in good], "doc_id long, quality int, toxic int"), broadcast_grams=0, frequent=0)
+    kept = table.accepted(frame)
+    ids = {r.doc_id for r in Q.judge(frame, table).filter("kept").collect()}
+    assert sorted(kept.collect(), key=repr) == sorted((r for r in frame.collect() if r.doc_id in ids), key=repr)
+    assert kept.filter("doc_id >= 1000").count() == 0 and kept.filter("doc_id IS NULL").count() == 2 and kept.filter("doc_id = 3").count() == 3
+    assert "Exchange hashpartitioning" not in kept._jdf.queryExecution().executedPlan().toString()
